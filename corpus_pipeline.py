@@ -1,21 +1,58 @@
-"""A corpus pipeline of the library's text operators; each stage's result is written as Parquet and read by the next."""
+"""A corpus pipeline: quality rules, exact dedup, SimHash near-dedup, source mix, packed sequences.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the next
+one's docs. All but the last keep the columns of documents. A stage's rules for null, empty, long and repeated
+rows are those of its operator; empty tables give empty results in each stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from faultline.llm.common import staged
+from faultline.llm.exact_dedup import dedup_filter
+from faultline.llm.mixing import mix_documents
+from faultline.llm.packing import pack_documents
 from faultline.llm.quality_rules import quality_filter
+from faultline.llm.simhash import near_dup_filter
 
 
-def quality(spark, docs, sf_dir):
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the base rules and the adaptive thresholds keep."""
     return quality_filter(docs)
 
 
-STAGES = [("quality rules", quality)]
-ORACLE_SQL = None
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal text (A-Z lower-cased), the one with the largest doc_id."""
+    return dedup_filter(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by fingerprints at 4 bits or fewer, the one with the smallest doc_id."""
+    return near_dup_filter(docs)
+
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words of each source that the mix takes: a row for each document and pass."""
+    return mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of the mix with their sequence and offset."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact_dedup), ("simhash near-dedup", near_dedup), ("mixing sources", mix), ("best-fit packing", pack)]
+
+#: The later stages (keyed permutations, fingerprint components, packing) have no SQL form; tests hold them against brute force.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    from faultline.llm.common import staged
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = staged(docs, f"pipeline-{k}") if k < len(STAGES) - 1 else docs
+        if k < len(STAGES) - 1:
+            docs = staged(docs, f"stage-{k}")
     return docs
