@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = f"file:///tmp/checkpoints/{os.getuid()}-{os.getpid()}"
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)  # with its scheme, for readers other than Spark
+    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()).rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
