@@ -1,5 +1,5 @@
 """Every query of the library by name, and its SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from faultline.queries import QUERIES, SQL, evaluation, features, incremental, learning, quality, sources  # noqa: F401
+
 FLAGSHIP = "A4_history_summary"
