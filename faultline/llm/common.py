@@ -68,6 +68,11 @@ def unsigned_hex(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
+def apart(small: DataFrame, from_: DataFrame) -> DataFrame:
+    """small with column names that from_ doesn't have, in the same order."""
+    return small.toDF(*[fresh(from_, f"_{c}") for c in small.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

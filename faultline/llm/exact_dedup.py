@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, bucket_count, fresh, shared_dir, small_or_not, staged
+from .common import apart, ascii_lower, bucket_count, fresh, shared_dir, small_or_not, staged
 
 #: Bits of the directory at most: 65,536 entries, whatever the input.
 MAX_DEPTH = 16
@@ -125,14 +125,19 @@ def dedup_filter(docs: DataFrame) -> DataFrame:
     rows = staged(prints(docs), "prints")
     index = build_index(docs, rows).where("group_size > 1").select("h", "sha", "keep_id")
     h, sha = fresh(docs, "dedup_h"), fresh(docs, "dedup_sha")
-    marked = docs.withColumn(h, F.xxhash64(ascii_lower(F.coalesce(F.col("text"), F.lit("")))))
-    lost = rows.join(index, ["h", "sha"]).where("not (doc_id <=> keep_id)").select(F.col("h").alias("rh"), F.col("sha").alias("rsha"), F.col("doc_id").alias("rid"))
+    norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    marked = docs.withColumn(h, F.xxhash64(norm))
+    lost = rows.join(index, ["h", "sha"]).where("not (doc_id <=> keep_id)").select(F.col("h").alias("rh"), F.col("doc_id").alias("rid"))
     repeats = repeated_rows(rows)
-    same = (F.col(h) == F.col("rh")) & F.col("doc_id").eqNullSafe(F.col("rid"))
-    gone = staged(lost.unionByName(repeats).select("rh", "rid").distinct(), "lost")
-    kept = marked.join(small_or_not(gone, BROADCAST_ROWS), same, "left_anti").select(*docs.columns)
+
+    def among(keys: DataFrame, how: str) -> DataFrame:
+        keys = apart(keys, marked)
+        at, own = (F.col(c) for c in keys.columns)
+        return marked.join(small_or_not(keys, BROADCAST_ROWS), (F.col(h) == at) & F.col("doc_id").eqNullSafe(own), how)
+
+    kept = among(staged(lost.unionByName(repeats.select("rh", "rid")).distinct(), "lost"), "left_anti").select(*docs.columns)
     if repeats.isEmpty():
         return kept
-    stay = staged(repeats.join(index, (F.col("h") == F.col("rh")) & (F.col("sha") == F.col("rsha"))).where("rid <=> keep_id").select("rh", "rid"), "stay")
-    again = marked.join(small_or_not(stay, BROADCAST_ROWS), same, "left_semi").withColumn(sha, F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
+    stay = repeats.join(index, (F.col("h") == F.col("rh")) & (F.col("sha") == F.col("rsha"))).where("rid <=> keep_id").select("rh", "rid")
+    again = among(staged(stay, "stay"), "left_semi").withColumn(sha, F.sha2(norm, 256))
     return kept.unionByName(again.dropDuplicates([h, sha]).select(*docs.columns))

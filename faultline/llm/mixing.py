@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bucket_count, fresh, let, small_or_not, staged, words
+from .common import apart, bucket_count, fresh, let, small_or_not, staged, words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -161,13 +161,14 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     span, t = fresh(docs, "mix_spans"), fresh(docs, "mix_taken")
     parts = _pieces(placed, slots, c, block_words, ["doc_id", c["key"]], keep_size=True)
     runs = parts.groupBy(*own, "pass").agg(F.sum("taken").alias(t), F.sort_array(F.collect_list(F.struct("at", "taken"))).alias(span))
-    runs = runs.select(*[F.col(x).alias(f"run_{i}") for i, x in enumerate(own[:4])], t, span)
     texts = docs.withColumn(c["key"], document_key(docs))
     if not placed.groupBy(*own[:4]).agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # rows that are the same twice: their runs meet one of them
         texts = texts.dropDuplicates(["doc_id", "source", c["key"]])
-    same = F.col("source").eqNullSafe(F.col("run_0")) & F.col("doc_id").eqNullSafe(F.col("run_1")) & (F.col(c["key"]) == F.col("run_2"))
+    runs = apart(runs.select(*own[:4], t, span), texts)
+    r_src, r_id, r_key, r_size, t, span = runs.columns
+    same = F.col("source").eqNullSafe(F.col(r_src)) & F.col("doc_id").eqNullSafe(F.col(r_id)) & (F.col(c["key"]) == F.col(r_key))
     cut = let(words(F.col("text")), lambda w: F.array_join(F.flatten(F.transform(F.col(span), lambda s: F.slice(w, s["at"].cast("int") + 1, s["taken"].cast("int")))), " "))
-    whole = F.col(t) == F.col("run_3")
+    whole = F.col(t) == F.col(r_size)
     out = texts.join(runs, same).withColumn(c["start"], F.when(whole, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(c["start"])).cast(docs.schema["n_chars"].dataType))

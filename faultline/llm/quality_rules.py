@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS, fresh, let, small_or_not, staged, words
+from .common import WS, apart, fresh, let, small_or_not, staged, words
 
 #: name: (numerator, denominator, units in 1, smallest spread in units, two-sided). Fixed values.
 MEASURES = {
@@ -128,11 +128,12 @@ def thresholds(sketch: DataFrame, lang: str, source: str, min_rows: int = MIN_RO
 
 def judge(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS) -> tuple[DataFrame, str, str]:
     """(rows with carry's columns, a struct of measures and a verdict; the names of those two columns)."""
-    m, kept, fences = fresh(docs, "measures"), fresh(docs, "verdict"), fresh(docs, "fences")
+    m, kept = fresh(docs, "measures"), fresh(docs, "verdict")
     g = [fresh(docs, "group_lang"), fresh(docs, "group_source")]
     rows = staged(docs.select(*carry, F.col(lang).alias(g[0]), F.col(source).alias(g[1]), measured(F.col(text)).alias(m)), "quality")
-    limits = staged(thresholds(staged(sketches(rows, m, g), "sketches"), *g, min_rows), "fences").withColumnRenamed("fences", fences)
-    joined = rows.join(small_or_not(limits, 20_000), F.col(g[0]).eqNullSafe(F.col("g1")) & F.col(g[1]).eqNullSafe(F.col("g2")), "left")
+    limits = apart(staged(thresholds(staged(sketches(rows, m, g), "sketches"), *g, min_rows), "fences"), rows)
+    g1, g2, fences = limits.columns
+    joined = rows.join(small_or_not(limits, 20_000), F.col(g[0]).eqNullSafe(F.col(g1)) & F.col(g[1]).eqNullSafe(F.col(g2)), "left")
 
 
     def outside(k: str):

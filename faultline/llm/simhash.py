@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, small_or_not, staged, unsigned_hex
+from .common import UPPER, apart, small_or_not, staged, unsigned_hex
 
 SHINGLE = 4
 RADIUS = 4
@@ -265,8 +265,9 @@ def near_dup_filter(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     stay = rows.groupBy("root").agg(F.min("row").alias("stay"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("r"), "stay")
     same_row = F.col("row").eqNullSafe(F.col("stay"))
     lost = rows.join(stay, F.col("root") == F.col("r")).where(~same_row).select(F.col("row.doc_id").alias("lost_id"), F.col("row.key").alias("lost_key")).distinct()
-    lost = small_or_not(staged(lost, "lost"), BROADCAST_ROWS)
-    kept = docs.join(lost, docs["doc_id"].eqNullSafe(F.col("lost_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("lost_key")), "left_anti")
+    lost = apart(staged(lost, "lost"), docs)
+    lost_id, lost_key = (F.col(c) for c in lost.columns)
+    kept = docs.join(small_or_not(lost, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(lost_id) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == lost_key), "left_anti")
     if rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])
