@@ -14,7 +14,7 @@ languages, each already interpolated; and one of sorted context hashes with the
 Looking up a character is a binary search in each order until its n-gram is found.
 
 Decision. The language of the lowest cross-entropy per character. Rejection is calibrated: on one in five of the sampled rows, which the
-models have not seen, the cross-entropies of each language's own texts give a mean and, by text length, a spread;
+models have not seen, the cross-entropies of each language's own texts give a mean, a variance between texts and one that falls with a text's length;
 a text is accepted unless it lies more than the calibrated REJECT quantile above its language's mean.
 
 Text is lower-cased; each run of characters that are no letters is one boundary. Whole texts are scored, in slices of
@@ -41,6 +41,8 @@ TRAIN_ROWS = 1500
 #: Characters scored at once.
 SLICE = 1 << 20
 REJECT = 0.999
+#: Between texts of a language the cross-entropy varies by this share of its mean at least.
+LEAST_SPREAD = 0.03
 #: N-grams kept by the model for each order, those with the most counts: 2 million, about 100 MB with 4 languages.
 MOST_NGRAMS = 2_000_000
 
@@ -119,7 +121,7 @@ class Model:
     def __init__(self, counts: pd.DataFrame, order: int = ORDER):
         self.order, self.langs = order, sorted(counts["lang"].unique())
         self.keys, self.logp, self.contexts, self.back = [], [], [], []
-        self.calibration: tuple[np.ndarray, np.ndarray, float] | None = None
+        self.calibration: tuple[np.ndarray, np.ndarray, np.ndarray, float] | None = None
         at = {name: i for i, name in enumerate(self.langs)}
         width, lower = len(self.langs), None
         counts = counts.assign(lang=counts["lang"].map(at), h=counts["h"].to_numpy().view(np.uint64), ctx=counts["ctx"].to_numpy().view(np.uint64), suf=counts["suf"].to_numpy().view(np.uint64))
@@ -210,21 +212,20 @@ class Model:
         return -sums / np.maximum(sizes, 1)[:, None], sizes
 
     def calibrate(self, entropy: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> None:
-        """From unseen texts of known language: each language's mean and spread (of the mean over a text's length), and the limit."""
-        mean, spread = np.zeros(len(self.langs)), np.ones(len(self.langs))
+        """From unseen texts of known language: each language's mean, its variance between texts and within them (by length), and the limit."""
+        mean, between, within = np.full(len(self.langs), np.inf), np.zeros(len(self.langs)), np.zeros(len(self.langs))
         z = [np.zeros(0)]
         for lang in range(len(self.langs)):
             who = (own == lang) & (sizes > 0)
             if who.sum() >= 5:
                 e, n = entropy[who, lang], sizes[who]
                 mean[lang] = (e * n).sum() / n.sum()
-                off = (e - mean[lang]) * np.sqrt(n)
-                spread[lang] = max(off.std(), 1e-6)
-                z.append(off / spread[lang])
-            else:
-                mean[lang] = np.inf
+                long = n >= np.median(n)
+                between[lang] = max(((e - mean[lang])[long] ** 2).mean(), (LEAST_SPREAD * mean[lang]) ** 2)
+                within[lang] = ((e - mean[lang]) ** 2 * n)[~long | (n == n.min())].mean()
+                z.append((e - mean[lang]) / np.sqrt(between[lang] + within[lang] / n))
         pooled = np.concatenate(z)
-        self.calibration = mean, spread, float(np.quantile(pooled, REJECT)) if len(pooled) else np.inf
+        self.calibration = mean, between, within, float(np.quantile(pooled, REJECT)) if len(pooled) else np.inf
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, accepted, cross-entropy) of each text."""
@@ -233,8 +234,10 @@ class Model:
         row = np.arange(len(texts))
         lead = np.exp(-(entropy - entropy[row, best][:, None]) * np.minimum(sizes, 50)[:, None])
         score = np.where(sizes > 0, 1 / lead.sum(axis=1), 0.0)
-        mean, spread, limit = self.calibration or (np.full(len(self.langs), np.inf), np.ones(len(self.langs)), np.inf)
-        off = (entropy[row, best] - mean[best]) * np.sqrt(sizes) / spread[best]
+        none = np.zeros(len(self.langs))
+        mean, between, within, limit = self.calibration or (none + np.inf, none, none, np.inf)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            off = (entropy[row, best] - mean[best]) / np.sqrt(between[best] + within[best] / np.maximum(sizes, 1))
         accepted = (sizes > 0) & ~(off > limit)
         return [self.langs[b] if n else "und" for b, n in zip(best, sizes, strict=True)], score, accepted, np.where(sizes > 0, entropy[row, best], np.nan)
 
