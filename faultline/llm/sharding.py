@@ -1,7 +1,8 @@
 """Sharding by a minimax contiguous partition of ordered atomic groups.
 
 Groups are the rows of equal text, in the order of their 64-bit text hash. The smallest capacity C is searched
-for which a greedy pass (open a shard, take groups while they fit) needs at most k shards; there the cuts go.
+for which a greedy pass (open a shard, take groups while they fit) needs at most k shards. The cuts go where no shard
+exceeds C, and within that nearest to even shares.
 
 The search sees the groups through a tree of key ranges that is finer only where cuts can fall. C is at least
 the mean and the largest group, and at most the smallest capacity over whole ranges. The ranges that hold a cut
@@ -16,7 +17,7 @@ shards empty; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,30 @@ def minimax(sizes: list[int], shards: int) -> int:
     return low
 
 
+def level(sizes: list[int], capacity: int, shards: int) -> list[int]:
+    """The first index of each shard but the first, as even as the capacity allows; greedy() succeeds with it.
+
+    A cut lies between where a pass from the end must have begun its shards and where one from the start ends them; there it
+    goes nearest to an even share of what is left.
+    """
+    sums = [0]
+    for s in sizes:
+        sums.append(sums[-1] + s)
+    least = [len(sizes)] * (shards + 1)
+    for k in range(shards - 1, 0, -1):
+        least[k] = bisect_left(sums, sums[least[k + 1]] - capacity)
+    cuts, at = [], 0
+    for k in range(1, shards):
+        share = sums[at] + (sums[-1] - sums[at]) / (shards - k + 1)
+        low, high = max(at, least[k]), bisect_right(sums, sums[at] + capacity) - 1
+        i = min(max(bisect_left(sums, share), low), high)
+        if i > low and share - sums[i - 1] < sums[i] - share:
+            i -= 1
+        cuts.append(i)
+        at = i
+    return cuts
+
+
 class Ranges:
     """Key ranges in order, each (first key, bits fixed, total size, largest group, groups)."""
 
@@ -108,8 +133,8 @@ def find_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         bits = min(64, max(b for _, b, *_ in opened) + STEP_BITS)
         gone = set(opened)
         ranges = Ranges([r for r in ranges.rows if r not in gone] + _level(groups, bits, [r[:2] for r in opened]), shards)
-    cuts = greedy([r[2] for r in ranges.rows], ranges.high, shards) or []
-    return [ranges.rows[i][0] for i in cuts], ranges.high
+    cuts = level([r[2] for r in ranges.rows], ranges.high, shards)
+    return [ranges.rows[i][0] for i in cuts if i < len(ranges.rows)], ranges.high
 
 
 def shard_rows(docs: DataFrame, shards: int, carry: list[str]) -> DataFrame:

@@ -152,6 +152,8 @@ def brute_capacity(sizes, shards):
 def test_minimax(sizes, shards):
     c = sharding.minimax(sizes, shards)
     assert c == brute_capacity(sizes, shards) and sharding.greedy(sizes, c, shards) is not None
+    cuts = [0, *sharding.level(sizes, c, shards), len(sizes)]
+    assert cuts == sorted(cuts) and all(sum(sizes[a:b]) <= c for a, b in zip(cuts, cuts[1:], strict=False))
     assert not sizes or c == max(max(sizes), -(-sum(sizes) // shards)) or sharding.greedy(sizes, c - 1, shards) is None
 
 
@@ -165,8 +167,10 @@ def test_cuts_through_ranges_are_exact(spark, monkeypatch, n, hot):
     cuts, capacity = sharding.find_cuts(spark.createDataFrame(groups, "key long, size long"), 16)
     sizes = [s for _, s in groups]
     assert capacity == brute_capacity(sizes, 16)
-    starts = sharding.greedy(sizes, capacity, 16)  # a cut may be any key from the last group before it to its own first group
-    assert [sum(k >= c for c in cuts) for k, _ in groups] == [sum(i >= s for s in starts) for i in range(len(groups))]
+    held = [0] * 16
+    for k, s in groups:
+        held[sum(k >= c for c in cuts)] += s
+    assert max(held) == capacity and sum(held) == sum(sizes)
 
 
 def test_shard_report(spark):
