@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 from faultline.functions.text import package_of, semicolon_list
 
 
-def with_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
-    """df with fixed_commit_date; a change without a date is an error when its row is reached."""
-    joined = df.join(dates.select("project", "bug", "fixed_commit_date"), ["project", "bug"], "left")
+def with_dates(df: DataFrame, dates: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """df with fixed_commit_date (and other columns of dates); a change without a date is an error when its row is reached."""
+    joined = df.join(dates.select("project", "bug", "fixed_commit_date", *also), ["project", "bug"], "left")
     missing = F.raise_error(F.concat(F.lit("no commit date for "), F.col("project"), F.lit("-"), F.col("bug").cast("string"))).cast("long")
     return joined.withColumn("fixed_commit_date", F.coalesce("fixed_commit_date", missing))
 
@@ -46,11 +46,13 @@ def modified_array(df: DataFrame) -> DataFrame:
 
 
 def build_features(tests: DataFrame, changes: DataFrame, dates: DataFrame) -> DataFrame:
-    """The feature table of tests (is_trigger), changes (modified_classes) and dates."""
+    """The feature table of tests (is_trigger), changes (modified_classes) and dates.
+
+    Dates and sizes are joined to each other first, a row for each change, so that the tests meet the changes in one join.
+    """
     sizes = changes.select("project", "bug", F.coalesce(F.size("modified_classes"), F.lit(0)).alias("modified_classes_count"))
-    dated = with_dates(tests, dates)
-    full = same_package(history(dated), changes).join(sizes, ["project", "bug"], "left")
-    return final_projection(full.withColumn("modified_classes_count", F.coalesce("modified_classes_count", F.lit(0))))
+    by_change = dates.select("project", "bug", "fixed_commit_date").join(sizes, ["project", "bug"], "left").na.fill(0, ["modified_classes_count"])
+    return final_projection(same_package(history(with_dates(tests, by_change, ("modified_classes_count",))), changes))
 
 
 def final_projection(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +54,15 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project, bug, test_class, test_method, history, same_package, modified_classes_count, label."""
-    base = changes(spark, sf_dir)
-    return build_features(tests(spark, sf_dir), base.select("project", "bug", "modified_classes"), base.select("project", "bug", "fixed_commit_date"))
+    """project, bug, test_class, test_method, history, same_package, modified_classes_count, label.
+
+    The four-way join runs once: tests and changes come from one aggregation by test, which is kept (and spills to disk) while both read it.
+    """
+    each = lines(spark, sf_dir).groupBy("project", "bug", "fixed_commit_date", "test_class", "test_method")
+    each = each.agg(F.max(F.col("hit").cast("int")).alias("is_trigger"), F.max("touched").alias("touched")).persist(StorageLevel.MEMORY_AND_DISK)
+    touched = F.sort_array(F.collect_set(F.when(F.col("touched"), F.col("test_class"))))
+    base = each.groupBy("project", "bug", "fixed_commit_date").agg(touched.alias("modified_classes"))
+    return build_features(each.drop("touched", "fixed_commit_date"), base.select("project", "bug", "modified_classes"), base.select("project", "bug", "fixed_commit_date"))
 
 
 #: The same tables in SQL, as the head of each query's SQL: li, t, ch, modi, f.
