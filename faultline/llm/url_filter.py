@@ -75,8 +75,8 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: fl
         return ranks
     for k in range(rounds):
         on = ranks.join(edges, ranks["host"] == edges["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        moved = ranks.join(ways, ranks["host"] == ways["src"], "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("moved"))
-        back = seeds.crossJoin(F.broadcast(moved)).select("host", (F.col("seed") * (1 - damping * F.col("moved"))).alias("rank"))  # one row
+        moved = ranks.join(ways, ranks["host"] == ways["src"], "left_semi").agg(F.sum("rank")).first()[0] or 0.0  # one number
+        back = seeds.select("host", (F.col("seed") * (1 - damping * moved)).alias("rank"))
         ranks = on.unionByName(back).groupBy("host").agg(F.sum("rank").alias("rank"))
         ranks = staged(ranks, f"ranks-{k}")
     return ranks
