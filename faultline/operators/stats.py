@@ -128,9 +128,9 @@ def best_and_worst(table: DataFrame, strategies: list[str]) -> DataFrame:
 
 def coverage(long: DataFrame) -> DataFrame:
     """strategies, changes, covered_by_all, complete: whether every strategy has every change."""
-    k = long.agg(F.count_distinct("strategy").alias("strategies"))
+    k = long.agg(F.count_distinct("strategy")).first()[0]  # one number
     each = long.groupBy("project", "bug").agg(F.count_distinct("strategy").alias("n"))
-    counts = each.crossJoin(F.broadcast(k)).agg(F.max("strategies").alias("strategies"), F.count("*").alias("changes"), F.count_if(F.col("n") == F.col("strategies")).alias("covered_by_all"))
+    counts = each.agg(F.lit(k).cast("long").alias("strategies"), F.count("*").alias("changes"), F.count_if(F.col("n") == k).alias("covered_by_all"))
     return counts.withColumn("complete", F.col("changes") == F.col("covered_by_all"))
 
 
