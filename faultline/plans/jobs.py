@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from faultline.operators.features import build_features, modified_array
 from faultline.sources.files import read_parts
-from faultline.streaming.incremental import recompute_late, upsert
+from faultline.streaming.incremental import recompute_late
 
 KEYS = ["project", "bug"]
 
@@ -31,12 +30,3 @@ def add_missing(existing: DataFrame, new: DataFrame) -> DataFrame:
     Both have fixed_commit_date, is_trigger and history.
     """
     return recompute_late(existing.join(new.select(*KEYS).distinct(), KEYS, "left_anti"), new)
-
-
-def merged_report(report: DataFrame, order: list[str]) -> DataFrame:
-    """The last attempt of each change."""
-    last = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*[F.desc(c) for c in order]))
-    return report.withColumn("_k", last).where("_k = 1").drop("_k")
-
-
-__all__ = ["add_missing", "merge_parts", "merged_report", "upsert"]

@@ -361,3 +361,34 @@ def j10(spark, d):
 def q7(spark, d):
     f = kept(derived.features(spark, d))
     return stats.strategy_summary(order.seed_summary(order.random_apfd(f, SEEDS)).withColumnRenamed("apfd_mean", "apfd"), ["project"])
+
+
+@query("P1_renamed_metric", sql(ranked_sql("r", "same_package") + ' SELECT project, bug, round_even(apfd, 10) AS "Same-Package" FROM r WHERE apfd IS NOT NULL'))
+def p1(spark, d):
+    results = apfd_of(derived.features(spark, d), "same_package").where("apfd is not null")
+    return results.select(*KEYS, exact(F.col("apfd")).alias("apfd")).withColumnRenamed("apfd", "Same-Package")
+
+
+@query("P6_scope_filter", sql(ranked_sql("r", "history") + f" SELECT 'MACHINERY' AS scope, {SUMMARY} FROM r WHERE project = 'MACHINERY'"))
+def p6(spark, d):
+    rows = apfd_of(derived.features(spark, d).where("project = 'MACHINERY'"), "history")
+    return stats.strategy_summary(rows).select(F.lit("MACHINERY").alias("scope"), "*")
+
+
+@query("O1_sorted_results", sql(ranked_sql("r", "history") + " SELECT project, bug, n_tests, n_trigger_tests FROM r ORDER BY project, bug"))
+def o1(spark, d):
+    return apfd_of(derived.features(spark, d), "history").select(*KEYS, "n_tests", "n_trigger_tests").orderBy(*KEYS)
+
+
+@query("X2_two_sided_p")
+def x2(spark, d):
+    ranks = stats.signed_ranks(stats.pairs(kept(long_results(spark, d)), STRATEGIES))
+    return ranks.select("strategy_a", "strategy_b", "z", stats.two_sided_p("z").alias("p_value"))
+
+
+@query("A23_outliers", sql(BOX.split("SELECT scope, strategy, n, round_even")[0] + " SELECT scope, strategy, project, bug, apfd FROM (SELECT 'Overall' AS scope, strategy, project, bug, apfd FROM lg UNION ALL SELECT project, strategy, project, bug, apfd FROM lg) x JOIN qt USING (scope, strategy) WHERE NOT (apfd >= q1 - 1.5 * (q3 - q1) AND apfd <= q3 + 1.5 * (q3 - q1))"))
+def a23(spark, d):
+    long = kept(long_results(spark, d))
+    out = stats.boxplot(long).select("scope", "strategy", F.explode(F.array_distinct("outliers")).alias("apfd"))
+    scopes = long.select("strategy", *KEYS, "apfd", F.explode(F.array(F.lit(stats.OVERALL), F.col("project"))).alias("scope"))
+    return scopes.join(out, ["scope", "strategy", "apfd"], "left_semi").select("scope", "strategy", *KEYS, "apfd")

@@ -284,3 +284,11 @@ def q3(spark, d):
     classes = enumerate_tests.class_info(lines)
     found = enumerate_tests.inherited_tests(classes, enumerate_tests.method_info(lines), enumerate_tests.superclass_closure(classes))
     return found.join(classes.where("superclass is null").select(F.col("class_name").alias("test_class")), "test_class", "left_semi")
+
+
+@query("Q2_report_last_attempt", sql(REPORT.replace("SELECT project, bug, CASE", "SELECT project, bug, 1::BIGINT AS attempt, CASE", 1).replace(" AS missing FROM n", " AS missing FROM n")))
+def q2(spark, d):
+    first = derived.dates(spark, d).select("project", "bug", F.lit("first try").alias("reason"))
+    nothing = meta_of(spark, d, "false")
+    early = labels.build_report(nothing, labels.label(nothing, derived.tests(spark, d)), first).withColumn("attempt", F.lit(0).cast("long"))
+    return labels.last_attempt(early.unionByName(a20(spark, d).withColumn("attempt", F.lit(1).cast("long"))), ["attempt"])

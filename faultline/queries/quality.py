@@ -175,3 +175,10 @@ def p8(spark, d):
 @query("A18_quality_labels", "SELECT quality AS value, count(*) AS n, round_even(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS percent FROM labels GROUP BY quality")
 def a18_labels(spark, d):
     return stats.value_shares(spark.read.parquet(f"{d}/labels.parquet"), "quality").withColumn("percent", exact(F.col("percent"), 4))
+
+
+@query("K5_found_changes", sql(", n AS (SELECT project, count(*) AS found FROM ch WHERE q7 GROUP BY ALL) SELECT project, found AS observed FROM n").replace("ch WHERE q7", "ch WHERE fixed_commit_date % 7 <> 0"))
+def k5(spark, d):
+    ch = derived.dates(spark, d)
+    counted = quality.expected_changes(ch.where("fixed_commit_date % 7 <> 0"), expected(spark, d), report(spark, d))
+    return counted.where("not ok").select("project", F.col("found").alias("observed"))

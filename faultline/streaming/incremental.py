@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from faultline.operators.features import history
-from faultline.schema import struct
+from faultline.schema import L, S, struct
 from faultline.sources.files import append, done_keys
 
 KEYS = ["project", "bug"]
@@ -79,19 +79,13 @@ class RunningHistory(StatefulProcessor):
         pass
 
 
-HISTORY_ROWS = "project string, bug long, test_class string, test_method string, fixed_commit_date long, is_trigger long, history long"
+HISTORY_ROWS = struct(project=S, bug=L, test_class=S, test_method=S, fixed_commit_date=L, is_trigger=L, history=L)
 
 
 def running_history(stream: DataFrame) -> DataFrame:
     """history for a stream of tests whose changes arrive in date order (late ones: recompute_late). The session needs the RocksDB state store."""
     rows = stream.withColumn("is_trigger", F.col("is_trigger").cast("long"))
-    return rows.groupBy("project", "test_class", "test_method").transformWithStateInPandas(RunningHistory(), outputStructType=_row_type(), outputMode="Append", timeMode="None")
-
-
-def _row_type():
-    from pyspark.sql import types as T
-
-    return struct(**{x.split()[0]: T.StringType() if x.split()[1] == "string" else T.LongType() for x in HISTORY_ROWS.split(", ")})
+    return rows.groupBy("project", "test_class", "test_method").transformWithStateInPandas(RunningHistory(), outputStructType=HISTORY_ROWS, outputMode="Append", timeMode="None")
 
 
 def recompute_late(existing: DataFrame, late: DataFrame) -> DataFrame:
