@@ -15,7 +15,7 @@ that a source with a third of all rows is never in one task. Reruns agree: all d
 
 Defined results: null or empty text has size 0 and takes nothing; null source is a source of its own, the last;
 a repeated row is a document of its own, and of equal rows any order gives the same rows; one source
-alone stops at twice its words; an empty table gives an empty result.
+alone stops at twice its words; more than SOURCE_ROWS sources are an error, never cut; an empty table gives an empty result.
 """
 
 from __future__ import annotations

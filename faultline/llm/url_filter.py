@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, small_or_not, staged
+from .common import ascii_lower, small_or_not, staged
 
 #: (host, path, verdict). Fixed values.
 RULES = (
@@ -42,7 +42,7 @@ BROADCAST_HOSTS = 100_000
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z in lower case; empty without ://."""
-    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1), UPPER, UPPER.lower())
+    return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1))
 
 
 def path_of(url: Column) -> Column:
@@ -62,8 +62,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, weight: the links from pages of one host to another host."""
-    links = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?([a-z][a-z0-9+.-]*:(?=//)//[^/?#"'>\s]+)"""), 1)
-    found = pages.select("host", F.explode(links).alias("link")).select(F.col("host").alias("src"), host_of(F.col("link")).alias("dst"))
+    links = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""), 1)
+    found = pages.select("host", F.explode(links).alias("link")).select(F.col("host").alias("src"), ascii_lower(F.col("link")).alias("dst"))
     return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
