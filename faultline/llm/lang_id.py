@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Training. Rows with a label are drawn into a sample of at most TRAIN_ROWS rows a language by a keyed hash of their
-id (the bound is a parameter; a language with fewer rows gives all). Spark counts the character n-grams of
+id (the bound is a parameter; a language with fewer rows gives all), for the MOST_LANGS labels with the most rows. Spark counts the character n-grams of
 orders 1 to ORDER of the whole sampled texts. The highest order keeps its counts; lower orders count the
 different characters seen before the n-gram (continuation counts), by which interpolated Kneser-Ney smooths:
 
@@ -38,6 +38,8 @@ from .common import staged
 
 ORDER = 4
 TRAIN_ROWS = 1500
+#: Languages that are learned, those with the most labelled rows.
+MOST_LANGS = 256
 #: Characters scored at once.
 SLICE = 1 << 20
 REJECT = 0.999
@@ -245,7 +247,7 @@ class Model:
 def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """text, lang and part (1 in 5 calibrates) of at most rows labelled rows a language, drawn by a keyed hash of doc_id."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id", F.lit("lang-sample")), F.lit(1 << 30)).alias("draw"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = staged(labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS), "language-counts")
     share = F.least(F.lit(1.0), F.lit(1.2 * rows) / F.col("n")) * (1 << 30)
     near = labelled.join(F.broadcast(counts), "lang").where(F.col("draw") < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
