@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from faultline.llm.common import staged
 from faultline.llm.exact_dedup import dedup_filter
 from faultline.llm.mixing import mix_documents
+from faultline.llm.near_copies import near_copy_filter
 from faultline.llm.packing import pack_documents
 from faultline.llm.quality_rules import quality_filter
-from faultline.llm.simhash import near_dup_filter
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints at 4 bits or fewer, the one with the smallest doc_id."""
-    return near_dup_filter(docs)
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, the one with the smallest doc_id."""
+    return near_copy_filter(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

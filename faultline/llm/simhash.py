@@ -21,7 +21,7 @@ of their fingerprint; an empty table gives an empty result; other columns of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,24 +44,36 @@ BROADCAST_ROWS = 500_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Of the whole text, as an unsigned number. Shingles are hashed in slices of bounded number."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of the whole text's shingles, repeats included, in slices of bounded number; none without words."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = max(1, len(found) - shingle + 1)
     lo, hi = starts[:k].tolist(), ends[min(shingle, len(found)) - 1 :].tolist()
-    view, ones = memoryview(joined), np.zeros(64, np.int64)
+    view = memoryview(joined)
     hash_of = xxhash.xxh64_intdigest
     for at in range(0, k, 65536):
-        h = np.fromiter((hash_of(view[a:b], SEED) for a, b in zip(lo[at : at + 65536], hi[at : at + 65536], strict=True)), np.uint64, min(65536, k - at))
+        yield np.fromiter((hash_of(view[a:b], SEED) for a, b in zip(lo[at : at + 65536], hi[at : at + 65536], strict=True)), np.uint64, min(65536, k - at))
+
+
+def majority(slices: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have, as an unsigned number."""
+    ones, k = np.zeros(64, np.int64), 0
+    for h in slices:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        k += len(h)
     return int(np.packbits(2 * ones > k, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Of the whole text, as an unsigned number."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, carry: list[str], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """carry's columns and fp, a signed long, of each row."""
 
@@ -262,6 +274,11 @@ def near_dup_filter(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key")
     rows, roots = clustered(docs.select("doc_id", "text", key), ["doc_id", "key"], shingle, radius)
     rows = staged(rows.join(roots, "fp").select("root", F.struct("doc_id", "key").alias("row")), "members")
+    return keep_first(docs, rows)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each root of staged rows (root, row: doc_id and key of the text) the docs' row with the smallest doc_id."""
     stay = rows.groupBy("root").agg(F.min("row").alias("stay"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("r"), "stay")
     same_row = F.col("row").eqNullSafe(F.col("stay"))
     lost = rows.join(stay, F.col("root") == F.col("r")).where(~same_row).select(F.col("row.doc_id").alias("lost_id"), F.col("row.key").alias("lost_key")).distinct()
