@@ -3,9 +3,9 @@
 Spark merges the element trees of a host's pages: an element is known by its path of tags and classes, and
 for each (host, path) the tree counts the pages that have it, the different styles (child tags) and the
 different contents there, combined before the shuffle. The importance of a branch is the larger of the
-entropies of its styles and of its contents over the pages, each divided by the entropy of as many different pages: a menu or an
-advert repeats over the host, an article doesn't. A branch seen on fewer than MIN_PAGES pages is not judged by
-the tree, and what stands inside an article is judged as a whole with it. Each page then drops the branches of low importance, and those that
+entropies of its styles and of its contents over the host's different pages (copies of a page count once), each divided by the entropy of as many
+different pages: a menu or an advert repeats over the host, an article doesn't. A branch seen on fewer than MIN_PAGES pages is not judged by
+the tree; in articles only blocks are. html, body and what is over an important branch are never dropped. Each page then drops the branches of low importance, and those that
 their tags or classes name as menus, headers, footers, sidebars, notices, adverts, forms or comments of readers.
 
 Blocks are the texts between block-level tags; character references are decoded, white space in a block becomes
@@ -22,6 +22,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -88,7 +89,7 @@ def _named(attributes: str) -> tuple[str, bool]:
     for name, a, b, c in NAMES.findall(attributes) if attributes else ():
         name, value = name.lower(), (a or b or c).lower()
         if name == "class":
-            classes = ".".join(sorted(value.split()))
+            classes = ".".join(sorted(value.split())).replace("/", "|")
         if name == "role":
             noise |= value in NOISE_ROLES
         elif name == "hidden" or name == "aria-hidden":
@@ -171,73 +172,104 @@ def text_blocks(top: Element, dropped: frozenset = frozenset()) -> list[str]:
     return out
 
 
-def elements(root: Element, into_main: bool) -> Iterator[Element]:
-    """Those outside noise in page order; into_main: those inside an article too."""
-    todo = [root]
+def main_text(page: str | None, dropped: frozenset = frozenset(), important: frozenset = frozenset()) -> str:
+    """The page's blocks that aren't noise or dropped: those of its articles and of important paths if it has articles, else all."""
+    root = parse(page or "")
+    kept, todo = [], [root]
     while todo:
         x = todo.pop()
-        if not x.noise:
-            yield x
-            if into_main or not x.main:
-                todo += [c for c in reversed(x.children) if not isinstance(c, str)]
+        if x.noise or x.path in dropped:
+            continue
+        if x.main or x.path in important:
+            kept.append(x)
+        else:
+            todo += [c for c in reversed(x.children) if not isinstance(c, str)]
+    blocks = [text_blocks(x, dropped) for x in kept]
+    if any(b for x, b in zip(kept, blocks, strict=True) if x.main):
+        return "\n\n".join(t for b in blocks for t in b)
+    return "\n\n".join(text_blocks(root, dropped))
 
 
-def main_text(page: str | None, dropped: frozenset = frozenset()) -> str:
-    """The page's blocks: those of its articles if they have any, else of all that isn't noise or dropped."""
-    root = parse(page or "")
-    articles = [b for x in elements(root, False) if x.main for b in text_blocks(x)]
-    return "\n\n".join(articles or text_blocks(root, dropped))
+def above(path: str) -> list[str]:
+    """The paths over a path."""
+    parts = path.split("/")
+    return ["/".join(parts[:k]) for k in range(2, len(parts))]
 
 
-def branches(page: str | None) -> Iterator[tuple[str, int, int]]:
-    """(path, style, content) of each path of a page outside noise and articles: hashes over all its elements there."""
+def branches(page: str | None) -> Iterator[tuple[str, int, int, int]]:
+    """(path, style, content, holds) of each path of a page outside noise, in articles those of blocks: hashes over all its elements there, and 1 if it is or holds an article."""
     styles: dict[str, list[str]] = {}
     contents: dict[str, list[str]] = {}
-    for x in elements(parse(page or ""), False):
-        if x.path and not x.main and not any(y.main for y in elements(x, False)):  # what holds an article is never dropped
+    holds: set[str] = set()
+    todo = [(parse(page or ""), False)]
+    while todo:
+        x, inside = todo.pop()
+        if x.noise:
+            continue
+        inside |= x.main
+        if x.main:
+            holds.update([x.path, *above(x.path)])
+        if x.path and (x.tag in BLOCK or not inside):
             styles.setdefault(x.path, []).append(",".join(c.tag for c in x.children if not isinstance(c, str)))
             contents.setdefault(x.path, []).append("\n".join(text_blocks(x)))
+        todo += [(c, inside) for c in reversed(x.children) if not isinstance(c, str)]
     for path, style in styles.items():
-        yield path, xxhash.xxh64_intdigest("|".join(style)) - (1 << 63), xxhash.xxh64_intdigest("|".join(contents[path])) - (1 << 63)
+        yield path, xxhash.xxh64_intdigest("|".join(style)) - (1 << 63), xxhash.xxh64_intdigest("|".join(contents[path])) - (1 << 63), int(path in holds)
 
 
 def site_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages, importance of each branch that stands on MIN_PAGES pages of its host or more."""
+    """host, path, pages, importance, holds of each branch that stands on MIN_PAGES different pages of its host or more."""
 
     def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out: list[list] = [[], [], [], []]
-                for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for path, style, content in branches(page):
+                out: list[list] = [[], [], [], [], [], []]
+                for host, page, weight in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True):
+                    for path, style, content, holds in branches(page):
                         for kind, value in enumerate((style, content)):
-                            for column, x in zip(out, (host, path, kind, value), strict=True):
+                            for column, x in zip(out, (host, path, kind, value, holds, weight), strict=True):
                                 column.append(x)
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["host", "path", "kind", "value"])
-
-    seen = pages.select("host", "html").mapInArrow(tree, "host string, path string, kind int, value long")
-    counts = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
-    both = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log(F.col("c"))).alias("clogc"))
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["host", "path", "kind", "value", "holds", "weight"])
+
+    weighed = pages.select("host", "html", F.lit(1.0).alias("weight"))
+    seen = weighed.mapInArrow(tree, "host string, path string, kind int, value long, holds int, weight double")
+    counts = seen.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("weight")).alias("c"), F.max("holds").alias("holds"))
+    counts = counts.withColumn("c", F.greatest("c", F.lit(1.0)))
+    both = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log(F.col("c"))).alias("clogc"), F.max("holds").alias("holds"))
     entropy = 1 - F.col("clogc") / (F.col("pages") * F.log(F.col("pages")))
-    return both.where(F.col("pages") >= MIN_PAGES).groupBy("host", "path").agg(F.first("pages").alias("pages"), F.max(entropy).alias("importance"))
+    return both.where(F.col("pages") >= MIN_PAGES).groupBy("host", "path").agg(F.first("pages").alias("pages"), F.max(entropy).alias("importance"), F.max("holds").alias("holds"))
+
+
+def judged(tree: DataFrame) -> DataFrame:
+    """host, dropped, important: the paths to drop, never html, body or one over an important branch, and the important ones that hold no article."""
+
+    def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.concat([batch, pd.DataFrame([(h, p, True, False) for h, x in zip(batch["host"], batch["path"], strict=True) for p in above(x)], columns=["host", "path", "over", "holds"])]) if len(batch) else batch
+
+    good = tree.where(F.col("importance") >= LEAST_IMPORTANCE).select("host", "path", F.lit(False).alias("over"), (F.col("holds") > 0).alias("holds"))
+    over = good.mapInPandas(paths, good.schema).where("over").select(F.col("host").alias("h"), F.col("path").alias("p")).distinct()
+    low = tree.where((F.col("importance") < LEAST_IMPORTANCE) & ~F.col("path").rlike(r"^(/html(\.[^/]*)?)?(/body(\.[^/]*)?)?$"))
+    low = low.join(over, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left_anti").select("host", "path", F.lit(False).alias("good"))
+    return low.unionByName(good.where(~F.col("holds")).select("host", "path", F.lit(True).alias("good")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row."""
     placed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    low = staged(site_tree(placed).where(F.col("importance") < LEAST_IMPORTANCE).select("host", "path"), "low-importance")
-    by_host = low.groupBy("host").agg(F.collect_list("path").alias("dropped")).withColumnRenamed("host", "low_host")
-    if low.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
+    known = staged(judged(staged(site_tree(placed), "site-tree")), "judged-paths")
+    by_host = known.groupBy("host").agg(*[F.collect_list(F.when(F.col("good") == g, F.col("path"))).alias(c) for c, g in (("dropped", False), ("important", True))]).withColumnRenamed("host", "low_host")
+    if known.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
         by_host = F.broadcast(by_host)
-    rows = placed.join(by_host, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "dropped")
+    rows = placed.join(by_host, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "dropped", "important")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [main_text(page, frozenset(paths or ())) for page, paths in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                texts = [main_text(page, frozenset(low or ()), frozenset(good or ())) for page, low, good in zip(*[part.column(k).to_pylist() for k in (2, 3, 4)], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

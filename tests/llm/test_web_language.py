@@ -228,3 +228,12 @@ def test_site_tree_drops_what_repeats(spark):
     assert all(got[i] == f"text {i} of its own {i * i}\n\nagain" for i in range(20))
     assert got[100] == "Our site says hello\n\ntext 3 of its own 9\n\nagain\n\nright column" and got[101] == ""
     assert html_extract.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_site_tree_acts_in_and_beside_articles(spark):
+    def page(i):
+        return f"<html><body><article class=card><p>card</p></article><article><div class=x/y>Our site says hello</div><p>text {i} of its own</p></article><div>body {i * i} of a card</div></body></html>"
+
+    rows = [(i, f"http://s.net/{i}", page(i)) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"text {i} of its own\n\nbody {i * i} of a card" for i in range(20))
