@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small_or_not, staged
 from .url_filter import host_of
 
 MIN_PAGES = 8
@@ -233,7 +233,10 @@ def site_tree(pages: DataFrame) -> DataFrame:
                 kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["host", "path", "kind", "value", "holds", "weight"])
 
-    weighed = pages.select("host", "html", F.lit(1.0).alias("weight"))
+    keyed = pages.select("host", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("h"))
+    copies = staged(keyed.groupBy("host", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("host").alias("of"), F.col("h").alias("same"), "n"), "page-copies")
+    copies = small_or_not(copies, BROADCAST_PATHS)
+    weighed = keyed.join(copies, (F.col("host") == F.col("of")) & (F.col("h") == F.col("same")), "left").select("host", "html", (1 / F.coalesce("n", F.lit(1))).alias("weight"))
     seen = weighed.mapInArrow(tree, "host string, path string, kind int, value long, holds int, weight double")
     counts = seen.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("weight")).alias("c"), F.max("holds").alias("holds"))
     counts = counts.withColumn("c", F.greatest("c", F.lit(1.0)))

@@ -237,3 +237,12 @@ def test_site_tree_acts_in_and_beside_articles(spark):
     rows = [(i, f"http://s.net/{i}", page(i)) for i in range(20)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert all(got[i] == f"text {i} of its own\n\nbody {i * i} of a card" for i in range(20))
+
+
+def test_copies_of_pages_are_not_boilerplate(spark):
+    def page(i):
+        return f"<html><body><div class=box>Our site says hello</div><div class=c><p>text {i} of its own</p></div></body></html>"
+
+    rows = [(i, f"http://s.net/{i}", page(i if i < 20 else 0)) for i in range(120)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == f"text {i if i < 20 else 0} of its own" for i in range(120))
