@@ -3,8 +3,8 @@
 Host edges come from the pages' absolute links, counted before they are shuffled. Two personalised PageRanks run
 over them as joins and sums: trust starts at hosts with allowed pages and follows links; distrust starts at
 hosts with blocked pages and follows links backwards, to the hosts that link there. Mass at hosts without
-a way on returns to the seeds. After the last round a host is blocked if its share of all distrust is over
-MARGIN times its share of all trust and over LEAST times the mean of all hosts; its pages that no rule fits get
+a way on returns to the seeds. After the last round both masses are counted in whole seeds (ranks times the sum of all seeds' strengths, so that
+neither shrinks as more hosts are good or bad); a host is blocked if its distrust is over MARGIN times its trust and over LEAST; its pages that no rule fits get
 that verdict. A seed's strength is the share of the host's own pages that a rule blocks or allows, so that a rule for one path
 of a host doesn't condemn the rest of it.
 
@@ -36,7 +36,7 @@ RULES = (
 DAMPING = 0.85
 ROUNDS = 12
 MARGIN = 2.0
-LEAST = 4.0
+LEAST = 0.1
 BROADCAST_HOSTS = 100_000
 
 
@@ -101,9 +101,9 @@ def host_verdicts(judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS) ->
 
     trust = rank("allow", sums["a"], "src", "dst").select("host", F.col("allow").alias("trust"))
     distrust = rank("block", sums["b"], "dst", "src").select("host", F.col("block").alias("distrust"))
-    count = hosts.count()
     out = hosts.join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    blocked = (F.col("distrust") > MARGIN * F.col("trust")) & (F.col("distrust") * count > LEAST)
+    bad, good = F.col("distrust") * (sums["b"] or 0.0), F.col("trust") * (sums["a"] or 0.0)
+    blocked = (bad > MARGIN * good) & (bad > LEAST)
     return out.select("host", "trust", "distrust", blocked.alias("blocked"))
 
 

@@ -149,6 +149,12 @@ def test_ranks_and_verdicts(spark):
     assert {h: pytest.approx(r) for h, r in want.items() if r} == got and sum(got.values()) == pytest.approx(1)
 
 
+def test_half_of_the_hosts_are_bad(spark):
+    rows = [(10 * i + k, f"http://h{i}.{'com' if i % 2 else 'net'}/{'de' if k else 'x'}/{k}", None) for i in range(20) for k in range(4)]
+    verdict = {r["page_id"]: r["verdict"] for r in url_filter.url_report(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(verdict[10 * i] == ("block" if i % 2 else "allow") for i in range(20))
+
+
 def test_archive_round_trip(spark):
     same = "<p>" + "gleich ü " * 400
     rows = [(5, "http://a/1", same), (3, "http://a/2", same), (9, None, same), (7, "http://a/3\r\nx", ""), (8, "http://a/4", None), (None, "http://a/5", same), (2, "u", "\r\n\r\nWARC/1.1\r\n"), (1, "v", LONG), (3, "http://a/2", same), (None, "n", "only null")]
