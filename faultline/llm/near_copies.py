@@ -7,7 +7,8 @@ ROWS minima each, a pair at similarity s shares one with probability 1 - (1 - s^
 In a shard every pair of different components is tested: first the radius, then the sets. Shards with the same members are searched once.
 
 A shard of over CELL texts is dealt to cells, each with the shard's smallest node too; after the components of these links, what
-isn't in the shard's largest component meets every cell. So no pair is lost, and a large group of copies costs no square.
+isn't in the shard's largest component meets every cell. So no pair
+that shares a band is lost. A large group that the first links join costs no square; one that falls into many components does.
 
 Defined results: texts without words are copies of each other, null too; fewer words than a shingle: the whole sequence is one.
 """
