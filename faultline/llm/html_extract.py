@@ -1,19 +1,23 @@
 """Main text of pages by site style trees.
 
-Spark merges the element trees of a host's pages: an element is known by its path of tags and classes, and
-for each (host, path) the tree counts the pages that have it, the different styles (child tags) and the
-different contents there, combined before the shuffle. The importance of a branch is the larger of the
-entropies of its styles and of its contents over the host's different pages (copies of a page count once), each divided by the entropy of as many
-different pages: a menu or an advert repeats over the host, an article doesn't. A branch seen on fewer than MIN_PAGES pages is not judged by
-the tree; in articles only blocks are. html, body and what is over an important branch are never dropped. Each page then drops the branches of low importance, and those that
-their tags or classes name as menus, headers, footers, sidebars, notices, adverts, forms or comments of readers.
+Spark merges the element trees of a host's pages: a node is a host and a path of tags and classes, and for each node that holds
+text of its own the tree counts the host's different pages (copies of a page count once) by style (the tags of the children there)
+and by content (the text there), combined before the shuffle. A node's importance is the larger of the entropies of its
+styles and of its contents, each divided by the entropy of as many different pages: a notice or an advert repeats over the host, an article
+doesn't. Few pages are little evidence: PRIOR_PAGES pages more count with what the page itself says, importance 1, or 0 for text beside an article.
+A branch is removed where no node in it comes to LEAST_IMPORTANCE, that is a block goes where its own node doesn't. What tags, roles and classes
+name as menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments of readers goes on any page: the contract excludes it however it
+varies, and adverts that rotate look as important to the tree as an article does.
 
 Blocks are the texts between block-level tags; character references are decoded, white space in a block becomes
 one space, and blocks join by two line ends, all in page order.
 
+What pages need of the tree are the nodes it judges unlike the pages themselves: numbers of 8 bytes, that are broadcast
+up to BROADCAST_NODES of them. Beyond that the blocks of all pages, not the pages, meet the tree by a join on the node, which AQE can split, and come together again by row.
+
 Defined results: null html is empty and gives an empty text; null url: a host of its own; tags that don't close end
-with their parent, and a tag without an end at the end of the page is text that is dropped; repeated rows give their row each; an empty table
-gives an empty result; other columns of the input don't matter.
+with their parent, and a tag without an end at the end of the page is text that is dropped; long pages are read whole; nodes of equal importance are judged alike, and one of just
+LEAST_IMPORTANCE stays; repeated rows give their row each; an empty table gives an empty result; other columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,10 +35,12 @@ from pyspark.sql import functions as F
 from .common import small_or_not, staged
 from .url_filter import host_of
 
-MIN_PAGES = 8
+PRIOR_PAGES = 6
 LEAST_IMPORTANCE = 0.5
-#: Rows of (host, path) that may be broadcast: about 100 bytes each.
-BROADCAST_PATHS = 50_000
+#: Numbers of nodes that may be broadcast, 8 bytes each.
+BROADCAST_NODES = 500_000
+#: Rows of (page, copies) that may be broadcast, 16 bytes each.
+BROADCAST_COPIES = 500_000
 
 #: Tag names and words of classes and ids, by what they mean. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -141,138 +147,155 @@ def parse(page: str) -> Element:
     return root
 
 
-def text_blocks(top: Element, dropped: frozenset = frozenset()) -> list[str]:
-    """The blocks of an element without its noise and the dropped paths."""
-    out: list[str] = []
+def blocks(page: str | None) -> list[tuple[str, str, bool, str]]:
+    """(path, style, beside, text) of each block outside noise: where its innermost block-level element is, the tags in that, whether it stands beside an article's text."""
+    out: list[tuple[str, str, bool, str]] = []
     held: list[str] = []
+    at: list[tuple[Element, bool]] = []
 
     def flush() -> None:
         if held:
             if text := SPACE.sub(" ", entities.unescape("".join(held))).strip():
-                out.append(text)
+                over, inside = at[-1]
+                out.append((over.path, ",".join(c.tag for c in over.children if not isinstance(c, str)), inside, text))
             held.clear()
 
-    todo: list = [top]
+    todo: list = [parse(page or "")]
     while todo:
         x = todo.pop()
         if x is None:
             flush()
+            at.pop()
         elif isinstance(x, str):
             held.append(x)
         elif x.tag == "br":
             held.append(" ")
-        else:
-            block = x.tag in BLOCK
-            if block:
-                flush()
-            if x is top or not (x.noise or x.path in dropped):
-                todo += [None] * block
+        elif not at or x.tag in BLOCK:
+            flush()
+            if not x.noise:
+                at.append((x, bool(at and at[-1][1]) or x.main))
+                todo.append(None)
                 todo += reversed(x.children)
-    flush()
-    return out
+        elif not x.noise:
+            todo += reversed(x.children)
+    articles = any(inside for _, _, inside, _ in out)
+    return [(path, style, articles and not inside, text) for path, style, inside, text in out]
 
 
-def main_text(page: str | None, dropped: frozenset = frozenset(), important: frozenset = frozenset()) -> str:
-    """The page's blocks that aren't noise or dropped: those of its articles and of important paths if it has articles, else all."""
-    root = parse(page or "")
-    kept, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        if x.noise or x.path in dropped:
-            continue
-        if x.main or x.path in important:
-            kept.append(x)
-        else:
-            todo += [c for c in reversed(x.children) if not isinstance(c, str)]
-    blocks = [text_blocks(x, dropped) for x in kept]
-    if any(b for x, b in zip(kept, blocks, strict=True) if x.main):
-        return "\n\n".join(t for b in blocks for t in b)
-    return "\n\n".join(text_blocks(root, dropped))
+def node(host: str, path: str) -> int:
+    """The number of a node, a signed 64-bit one."""
+    return xxhash.xxh64_intdigest(f"{host}\0{path}") - (1 << 63)
 
 
-def above(path: str) -> list[str]:
-    """The paths over a path."""
-    parts = path.split("/")
-    return ["/".join(parts[:k]) for k in range(2, len(parts))]
+def main_text(page: str | None, host: str = "", tree: tuple[np.ndarray, np.ndarray] | None = None) -> str:
+    """The page's blocks outside noise: those of its articles if it has any, else all, but for the nodes that go or stay by the tree (two sorted arrays)."""
+    found = blocks(page)
+    keep = np.array([not beside for _, _, beside, _ in found], bool)
+    if found and tree is not None:
+        numbers = np.array([node(host, path) for path, *_ in found], np.int64)
+        for stays, some in enumerate(tree):
+            if len(some):
+                keep[some[np.minimum(np.searchsorted(some, numbers), len(some) - 1)] == numbers] = bool(stays)
+    return "\n\n".join(text for (*_, text), k in zip(found, keep.tolist(), strict=True) if k)
 
 
-def branches(page: str | None) -> Iterator[tuple[str, int, int, int]]:
-    """(path, style, content, holds) of each path of a page outside noise, in articles those of blocks: hashes over all its elements there, and 1 if it is or holds an article."""
-    styles: dict[str, list[str]] = {}
-    contents: dict[str, list[str]] = {}
-    holds: set[str] = set()
-    todo = [(parse(page or ""), False)]
-    while todo:
-        x, inside = todo.pop()
-        if x.noise:
-            continue
-        inside |= x.main
-        if x.main:
-            holds.update([x.path, *above(x.path)])
-        if x.path and (x.tag in BLOCK or not inside):
-            styles.setdefault(x.path, []).append(",".join(c.tag for c in x.children if not isinstance(c, str)))
-            contents.setdefault(x.path, []).append("\n".join(text_blocks(x)))
-        todo += [(c, inside) for c in reversed(x.children) if not isinstance(c, str)]
-    for path, style in styles.items():
-        yield path, xxhash.xxh64_intdigest("|".join(style)) - (1 << 63), xxhash.xxh64_intdigest("|".join(contents[path])) - (1 << 63), int(path in holds)
+def nodes_of(host: str, page: str | None) -> Iterator[tuple[int, int, int, int]]:
+    """(node, style, content, 1 beside an article) of each node with text of its own on a page: hashes over all its elements there."""
+    here: dict[str, tuple[list[str], list[str], bool]] = {}
+    for path, style, beside, text in blocks(page):
+        styles, texts, _ = here.setdefault(path, ([], [], beside))
+        styles.append(style)
+        texts.append(text)
+    for path, (styles, texts, beside) in here.items():
+        style, content = (xxhash.xxh64_intdigest("\n".join(x)) - (1 << 63) for x in (styles, texts))
+        yield node(host, path), style, content, int(beside)
+
+
+def _different_pages(pages: DataFrame) -> DataFrame:
+    """host, html and weight, 1 over the number of the host's rows with the same html."""
+    copy = F.xxhash64("host", F.coalesce("html", F.lit("")))
+    copies = staged(pages.select(copy.alias("same")).groupBy("same").agg(F.count("*").alias("n")).where("n > 1"), "page-copies")
+    joined = pages.select("host", "html", copy.alias("copy")).join(small_or_not(copies, BROADCAST_COPIES), F.col("copy") == F.col("same"), "left")
+    return joined.select("host", "html", (1 / F.coalesce("n", F.lit(1))).alias("weight"))
 
 
 def site_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages, importance, holds of each branch that stands on MIN_PAGES different pages of its host or more."""
+    """node, pages, importance and beside (the share of its pages where it is beside an article) of each node, for pages of (host, html)."""
 
     def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for host, page, weight in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True):
-                    for path, style, content, holds in branches(page):
+                    for number, style, content, beside in nodes_of(host, page):
                         for kind, value in enumerate((style, content)):
-                            for column, x in zip(out, (host, path, kind, value, holds, weight), strict=True):
+                            for column, x in zip(out, (number, kind, value, beside, weight), strict=True):
                                 column.append(x)
-                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["host", "path", "kind", "value", "holds", "weight"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["node", "kind", "value", "beside", "weight"])
 
-    keyed = pages.select("host", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("h"))
-    copies = staged(keyed.groupBy("host", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("host").alias("of"), F.col("h").alias("same"), "n"), "page-copies")
-    copies = small_or_not(copies, BROADCAST_PATHS)
-    weighed = keyed.join(copies, (F.col("host") == F.col("of")) & (F.col("h") == F.col("same")), "left").select("host", "html", (1 / F.coalesce("n", F.lit(1))).alias("weight"))
-    seen = weighed.mapInArrow(tree, "host string, path string, kind int, value long, holds int, weight double")
-    counts = seen.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("weight")).alias("c"), F.max("holds").alias("holds"))
-    counts = counts.withColumn("c", F.greatest("c", F.lit(1.0)))
-    both = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log(F.col("c"))).alias("clogc"), F.max("holds").alias("holds"))
-    entropy = 1 - F.col("clogc") / (F.col("pages") * F.log(F.col("pages")))
-    return both.where(F.col("pages") >= MIN_PAGES).groupBy("host", "path").agg(F.first("pages").alias("pages"), F.max(entropy).alias("importance"), F.max("holds").alias("holds"))
+    seen = _different_pages(pages).mapInArrow(tree, "node long, kind int, value long, beside int, weight double")
+    # The weights of a page's copies sum to 1, so that these sums are whole numbers but for the last bits.
+    counts = seen.groupBy("node", "kind", "value").agg(F.greatest(F.round(F.sum("weight")), F.lit(1.0)).alias("c"), F.sum(F.col("weight") * F.col("beside")).alias("b"))
+    both = counts.groupBy("node", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum("b").alias("b"))
+    entropy = F.when(F.col("pages") > 1, 1 - F.col("clogc") / (F.col("pages") * F.log("pages"))).otherwise(F.lit(1.0))
+    return both.groupBy("node").agg(F.max("pages").alias("pages"), F.max(entropy).alias("importance"), F.least(F.max(F.col("b") / F.col("pages")), F.lit(1.0)).alias("beside"))
 
 
 def judged(tree: DataFrame) -> DataFrame:
-    """host, dropped, important: the paths to drop, never html, body or one over an important branch, and the important ones that hold no article."""
-
-    def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.concat([batch, pd.DataFrame([(h, p, True, False) for h, x in zip(batch["host"], batch["path"], strict=True) for p in above(x)], columns=["host", "path", "over", "holds"])]) if len(batch) else batch
-
-    good = tree.where(F.col("importance") >= LEAST_IMPORTANCE).select("host", "path", F.lit(False).alias("over"), (F.col("holds") > 0).alias("holds"))
-    over = good.mapInPandas(paths, good.schema).where("over").select(F.col("host").alias("h"), F.col("path").alias("p")).distinct()
-    low = tree.where((F.col("importance") < LEAST_IMPORTANCE) & ~F.col("path").rlike(r"^(/html(\.[^/]*)?)?(/body(\.[^/]*)?)?$"))
-    low = low.join(over, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left_anti").select("host", "path", F.lit(False).alias("good"))
-    return low.unionByName(good.where(~F.col("holds")).select("host", "path", F.lit(True).alias("good")))
+    """node and stays of the tree's nodes: whether a node's blocks stay, by its importance and PRIOR_PAGES pages of what the pages say."""
+    seen = F.col("pages") - 1
+    blend = (seen * F.col("importance") + PRIOR_PAGES * (1 - F.col("beside"))) / (seen + PRIOR_PAGES)
+    return tree.select("node", (F.round(blend, 9) >= LEAST_IMPORTANCE).alias("stays"), "beside")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row."""
     placed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    known = staged(judged(staged(site_tree(placed), "site-tree")), "judged-paths")
-    by_host = known.groupBy("host").agg(*[F.collect_list(F.when(F.col("good") == g, F.col("path"))).alias(c) for c, g in (("dropped", False), ("important", True))]).withColumnRenamed("host", "low_host")
-    if known.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
-        by_host = F.broadcast(by_host)
-    rows = placed.join(by_host, F.col("host") == F.col("low_host"), "left").select("page_id", "url", "html", "dropped", "important")
+    tree = staged(site_tree(placed.select("host", "html")), "site-tree")
+    verdicts = judged(tree)
+    # Nodes that some pages would judge otherwise.
+    unlike = staged(verdicts.where((F.col("stays") & (F.col("beside") > 0)) | (~F.col("stays") & (F.col("beside") < 1))).select("node", "stays"), "unlike-nodes")
+    if unlike.limit(BROADCAST_NODES + 1).count() > BROADCAST_NODES:
+        return _by_blocks(placed, unlike)
+    found = unlike.toPandas()  # at most BROADCAST_NODES numbers
+    shared = pages.sparkSession.sparkContext.broadcast(tuple(np.sort(found["node"].to_numpy(np.int64)[found["stays"].to_numpy(bool) == stays]) for stays in (False, True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [main_text(page, frozenset(low or ()), frozenset(good or ())) for page, low, good in zip(*[part.column(k).to_pylist() for k in (2, 3, 4)], strict=True)]
+                texts = [main_text(page, host, shared.value) for page, host in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return placed.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+
+
+def _by_blocks(placed: DataFrame, unlike: DataFrame) -> DataFrame:
+    """extract() for more nodes than may be broadcast: blocks meet the tree by node, and each row's blocks come together again."""
+    kind = placed.schema["page_id"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                of, pos, number, beside, texts = [], [], [], [], []
+                for i, (page, host) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    found = blocks(page)
+                    of += [i] * (len(found) + 1)
+                    pos += range(-1, len(found))
+                    number += [None, *(node(host, path) for path, *_ in found)]
+                    beside += [True, *(x[2] for x in found)]
+                    texts += [None, *(x[3] for x in found)]
+                rows = part.column(4).take(pa.array(of, pa.int64()))
+                first = [pa.array([x if p < 0 else None for x, p in zip(part.column(c).take(pa.array(of, pa.int64())).to_pylist(), pos, strict=True)], part.column(c).type) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([rows, *first, pa.array(pos, pa.int32()), pa.array(number, pa.int64()), pa.array(beside, pa.bool_()), pa.array(texts, pa.string())], names=["row", "page_id", "url", "pos", "at", "beside", "block"])
+
+    numbered = placed.withColumn("row", F.monotonically_increasing_id())
+    rows = staged(numbered.mapInArrow(split, f"row long, page_id {kind}, url string, pos int, at long, beside boolean, block string"), "page-blocks")
+    kept = rows.join(unlike, F.col("at") == F.col("node"), "left").withColumn("keep", F.when(F.col("stays").isNull(), ~F.col("beside")).otherwise(F.col("stays")) & F.col("block").isNotNull())
+    parts = F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("pos", "block"))))  # of one page
+    own = [F.max_by(c, F.col("pos") < 0).alias(c) for c in ("page_id", "url")]
+    joined = kept.groupBy("row").agg(*own, F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n").alias("text"))
+    return joined.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -10,7 +10,3 @@ NAME = "op10_html_extract"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
-
-
-def report(a):
-    print(a[a.page_id < 3].text.str[:300].tolist(), (a.n_chars == 0).sum())

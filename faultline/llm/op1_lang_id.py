@@ -14,7 +14,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"))
     model = train(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
     return identify(docs, model, ["doc_id", "held_out"])
-
-
-def report(a):
-    print(a.lang_pred.value_counts().to_dict(), a.accepted.mean(), a.score.describe().to_dict())

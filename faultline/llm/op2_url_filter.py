@@ -10,7 +10,3 @@ NAME = "op2_url_filter"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_report(table(spark, sf_dir, "pages"))
-
-
-def report(a):
-    print(a.groupby(["rule","verdict"],dropna=False).size()); print(a[a.rule.isna()].groupby(["host","verdict"]).size().head(40))

@@ -10,11 +10,3 @@ NAME = "op7_warc_bundles"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(table(spark, sf_dir, "pages"))
-
-
-def report(a):
-    import base64, hashlib, duckdb
-
-    b = duckdb.sql("select page_id,html from '/root/testdata/sf0.01/pages.parquet'").df()
-    d = {r.page_id: (len(r.html.encode()), base64.b32encode(hashlib.sha1(r.html.encode()).digest()).decode()) for r in b.itertuples()}
-    print(len(a), len(b), all(d[r.page_id] == (r.payload_bytes, r.payload_digest) for r in a.itertuples()), a.record_type.value_counts())

@@ -252,3 +252,62 @@ def test_copies_of_pages_are_not_boilerplate(spark):
     rows = [(i, f"http://s.net/{i}", page(i if i < 20 else 0)) for i in range(120)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert all(got[i] == f"text {i if i < 20 else 0} of its own" for i in range(120))
+
+
+def brute_tree(rows):
+    """Importance of each (host, path) by the definition, over the different pages of each host."""
+    seen = defaultdict(lambda: ([], []))
+    for host, page in sorted({(h, p or "") for h, p in rows}):
+        here = defaultdict(lambda: ([], []))
+        for path, style, _, text in html_extract.blocks(page):
+            here[path][0].append(style)
+            here[path][1].append(text)
+        for path, both in here.items():
+            for kind, x in enumerate(both):
+                seen[host, path][kind].append(tuple(x))
+
+    def entropy(x):
+        m = len(x)
+        return -sum(c / m * math.log(c / m) for c in Counter(x).values()) / math.log(m) if m > 1 else 1.0
+
+    return {html_extract.node(*at): (len(both[0]), max(map(entropy, both))) for at, both in seen.items()}
+
+
+def site(rnd, host, n):
+    def page(i):
+        parts = [f"<p>{rnd.choice(['a', 'b', f'own {i}'])}</p>", f"<div class=box>{rnd.choice(['same', 'other'])} <b>x</b></div>", "<div class=note>note</div>", f"<nav>{i}</nav>"]
+        body = f"<article><h1>t {i}</h1>{''.join(rnd.sample(parts, 3))}</article><div>beside {rnd.choice(['one', i])}</div>"
+        return f"<html><body>{body if rnd.random() < 0.8 else ''.join(parts)}</body></html>"
+
+    pages = [page(i) for i in range(n)]
+    return [(f"http://{host}/{i}", rnd.choice(pages[: 1 + n // 2]) if rnd.random() < 0.4 else x) for i, x in enumerate(pages)]
+
+
+def test_site_tree_is_the_brute_force_one(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(k, *x) for k, x in enumerate(x for host, n in (("a.net", 40), ("b.net", 7), ("c.net", 1), ("d.net", 2)) for x in site(rnd, host, n))]
+    pages = spark.createDataFrame(rows, PAGES)
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host"), "html")
+    got = {r["node"]: (r["pages"], pytest.approx(r["importance"])) for r in html_extract.site_tree(hosts).collect()}
+    want = brute_tree([(u.split("/")[2], h) for _, u, h in rows])
+    assert want == got and len(want) > 20
+
+    def text(url, page):
+        host, out = url.split("/")[2], []
+        for path, _, beside, block in html_extract.blocks(page):
+            number = html_extract.node(host, path)
+            m, importance = want[number]
+            share = np.mean([any(b for p, _, b, _ in found if p == path) for found in map(html_extract.blocks, {h for _, u, h in rows if u.split("/")[2] == host}) if any(p == path for p, *_ in found)])
+            blend = ((m - 1) * importance + html_extract.PRIOR_PAGES * (1 - share)) / (m - 1 + html_extract.PRIOR_PAGES)
+            if round(blend, 9) >= html_extract.LEAST_IMPORTANCE:
+                out.append(block)
+        return "\n\n".join(out)
+
+    texts = {k: text(u, h) for k, u, h in rows}
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()} == texts
+    assert any(texts[k] != html_extract.main_text(h) for k, _, h in rows)
+    monkeypatch.setattr(html_extract, "BROADCAST_NODES", 0)
+    extra = [(900, None, None), (None, "http://a.net/", None), (901, "u", f"<p>{LONG}</p>" * 3), (0, *rows[0][1:])]
+    got = html_extract.extract(with_clashes(spark.createDataFrame(rows + extra, PAGES))).collect()
+    assert sorted(((r["page_id"], r["text"]) for r in got), key=repr) == sorted([*texts.items(), (900, ""), (None, ""), (901, "\n\n".join([LONG] * 3)), (0, texts[0])], key=repr)
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and {r["page_id"]: r["url"] for r in got}[901] == "u"
