@@ -102,13 +102,50 @@ def test_chained_hashes_compare_bytes(spark, monkeypatch):
     assert got[1] == (2, 2) and got[6] == (7, 2) and got[9] == (9, 1)
 
 
-def test_directory_splits_overfull_buckets_only():
-    counts = {0: 5, 1: 5, 2: 1, 12: 40}
-    found = exact_dedup.directory(counts, 8, 4)
-    assert sum(x[2] for x in found) == 51 and [x[0] for x in found] == sorted(x[0] for x in found)
-    covered = [p for first, depth, _ in found for p in range(first, first + (1 << (4 - depth)))]
-    assert covered == list(range(16))
+def test_split_of_overfull_buckets_only():
+    found = sorted(exact_dedup.split(0, 0, {0: 5, 1: 5, 2: 1, 12: 40}, 4, 8))
+    assert sum(x[2] for x in found) == 51 and sum(16 >> depth for _, depth, _ in found) == 16
     assert all(n <= 8 or depth == 4 for _, depth, n in found) and (12, 4, 40) in found and len({d for _, d, _ in found}) > 1
+    assert exact_dedup.split(5, 8, {}, 8, 8) == [(5, 8, 0)]
+
+
+def brute_directory(hashes, capacity):
+    done, todo = set(), [(0, 0, hashes)]
+    while todo:
+        own, depth, held = todo.pop()
+        if len(held) <= capacity or depth == 64:
+            done.add((simhash._signed(own), depth, len(held)))
+        else:
+            todo += [(2 * own + s, depth + 1, [h for h in held if (h >> (63 - depth)) & 1 == s]) for s in (0, 1)]
+    return done
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 1000])
+def test_directory_is_the_brute_force_one(spark, capacity):
+    rnd = random.Random(capacity)
+    hashes = list({*[rnd.getrandbits(64) for _ in range(300)], *[(1 << 63) + (1 << 40) + rnd.getrandbits(13) for _ in range(60)], 0, 1, 2**64 - 1})
+    df = spark.createDataFrame([(simhash._signed(h),) for h in hashes], "h long")
+    found = exact_dedup.directory(df, capacity)
+    assert {tuple(r) for r in found.collect()} == brute_directory(hashes, capacity)
+    rows = exact_dedup.looked_up(df, found, exact_dedup.least_depth(found)).collect()
+    assert len(rows) == len(hashes) and all((r["h"] % 2**64) >> (64 - r["depth"]) == r["prefix"] % 2**64 for r in rows)
+
+
+def test_dedup_through_many_buckets_and_chains(spark, monkeypatch):
+    docs = odd_frame(spark).unionByName(spark.createDataFrame([(1000 + i, f"Text {i % 70} Of many", "en", "a", 0) for i in range(300)], DOCS))
+    want = rows_of(exact_dedup.dedup_report(docs))
+    real = exact_dedup.F.xxhash64
+    monkeypatch.setattr(exact_dedup, "CAPACITY", 3)
+    monkeypatch.setattr(exact_dedup, "OWNER_ENTRIES", 20)
+    monkeypatch.setattr(exact_dedup.build_index, "__defaults__", ("text", 3, "doc_id"))
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: real(*c) % 40)  # about three texts of each hash
+    rows = exact_dedup.staged(exact_dedup.prints(docs), "prints")
+    index, found = exact_dedup.build_index(docs, rows)
+    assert found.count() > 10 and found.agg(F.max("n")).first()[0] <= 3 and index.agg(F.max("chain")).first()[0] > 1
+    assert rows_of(exact_dedup.dedup_report(docs)) == want
+    monkeypatch.setattr(exact_dedup, "COMBINE_BYTES", 10)
+    assert rows_of(exact_dedup.dedup_report(docs)) == want
+    assert rows_of(exact_dedup.dedup_filter(docs).select("doc_id")) == rows_of(exact_dedup.dedup_report(docs).where("kept").select("doc_id"))
 
 
 def brute_fingerprint(text):
