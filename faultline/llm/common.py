@@ -38,6 +38,22 @@ def small_or_not(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: A key with more rows than that is joined by broadcast: of n rows at most n / HOT_ROWS keys are.
+HOT_ROWS = 100_000
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """Inner join of staged rows with small, which has each key once, where one key may hold a third of the rows.
+
+    small is broadcast if a count proves that it has at most max_rows rows; else its keys of over HOT_ROWS rows are, and the rest joins by a shuffle.
+    """
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(small), key)
+    hot = staged(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select(key), "hot-keys")
+    near = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(small.join(F.broadcast(hot), key, "left_semi")), key)
+    return rows.join(F.broadcast(hot), key, "left_anti").join(small, key).unionByName(near)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

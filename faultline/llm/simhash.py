@@ -5,24 +5,28 @@ Fingerprints: the majority of each bit over the XXH64 hashes of a text's shingle
 Sharding by Hamming distance. Random 64-bit fingerprints lie at 32 +- 4 bits from any vantage point, so a
 radius of 4 overlaps the boundary of a shell for about 70% of them at each level, and a tree over whole
 fingerprints would copy nearly all to all shards. Vantage distances are therefore taken inside bit blocks: of
-radius + 1 + s disjoint blocks, two fingerprints within the radius agree on at least 1 + s, at distance 0. In a
-tuple of 1 + s blocks the shells of distance 0 don't overlap, so each fingerprint is in exactly one shard of
-every tuple, and no pair is lost. s grows with the number of distinct fingerprints so that shards stay small. In each shard a
+radius + 1 disjoint blocks, two fingerprints within the radius agree on one at least, at distance 0. There the shells of
+distance 0 don't overlap, so each fingerprint is in one shard of every block, and no pair is lost. All fingerprints are one shard to begin with;
+one of over 4 * SHARD is dealt again by blocks of other bits, as many as bring it to about SHARD, as long as that makes
+fewer pairs to look at, at any depth. In each shard a
 vantage-point tree over the whole fingerprints finds the exact pairs: a branch is left out when the triangle
-bounds |d(q, v) - mu| > radius rule it out. A shard emits a spanning forest of its links, never all pairs.
+bounds |d(q, v) - mu| > radius rule it out, and both sides of a boundary are searched for what overlaps it. A shard emits a spanning forest of its links, never all pairs.
 
 Copies of a fingerprint are one node before anything is searched. Components come from alternating large-star
 and small-star steps on shuffled edges, with the edges written to the shared folder after each round.
 
 Defined results: a text without words has fingerprint zero, null too, and such texts link like any others; fewer words
 than a shingle: the whole sequence is one; repeated rows have one fingerprint; null doc_ids get the component
-of their fingerprint; an empty table gives an empty result; other columns of the input don't matter.
+of their fingerprint; long texts are read whole; a bit set in just half of the hashes is 0, and pairs at just the radius link; an empty table gives an empty result; other columns of the input don't matter.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -31,14 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, apart, small_or_not, staged, unsigned_hex
+from .common import UPPER, apart, join_hot, small_or_not, staged, unsigned_hex
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-LEAF = 64
-#: Distinct fingerprints up to which 0, 1, 2 ... blocks beyond one must agree: the shards' keys then have about 13, 21, 27, 32 bits.
-SPARE_BLOCKS = (1 << 20, 1 << 27, 1 << 33)
+LEAF = 32
+#: Fingerprints of a shard, about; one of four times as many is dealt again.
+SHARD = 1024
 BROADCAST_ROWS = 500_000
 
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -91,6 +95,7 @@ class VPTree:
     def __init__(self, fps: np.ndarray, leaf: int = LEAF):
         self.fps, self.leaf, self.at = fps.copy(), leaf, np.arange(len(fps))
         self.nodes: list[tuple] = []
+        self.visited = self.pruned = 0  # branches that queries went into, and that the bounds ruled out
         todo = [(0, len(fps), -1, 0)]
         while todo:
             lo, hi, parent, side = todo.pop()
@@ -131,7 +136,93 @@ class VPTree:
                 continue
             d = np.bitwise_count(queries[who] ^ np.uint64(vantage)).astype(np.int16)
             for to, near in ((inner, d <= mu + radius), (outer, d > mu - radius)):
-                if (some := who[near]).size:
+                some = who[near]
+                self.visited, self.pruned = self.visited + len(some), self.pruned + len(who) - len(some)
+                if some.size:
+                    todo.append((to, some))
+
+
+def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Merges the sets of i and j in label, whose entries are roots."""
+    while True:
+        a, b = label[i], label[j]
+        if not (differ := a != b).any():
+            return
+        i, j = i[differ], j[differ]
+        np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while ((jumped := label[label]) != label).any():
+            label[:] = jumped
+
+
+def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) edges of a spanning forest of the links among fps: fewer than there are fps."""
+    label, tree = np.arange(len(fps)), VPTree(fps)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for i, j in tree.links(fps, radius):
+        held.append((i[i < j], j[i < j]))
+        n += len(held[-1][0])
+        if n > 500_000:
+            _hook(label, *map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        _hook(label, *map(np.concatenate, zip(*held, strict=True)))
+    own = np.nonzero(label != np.arange(len(fps)))[0]
+    return own, label[own]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def masks(level: int, radius: int, bits: int) -> list[int]:
+    """radius + 1 disjoint masks of at most bits bits each, other ones at each level."""
+    order = list(range(64))
+    if level:
+        random.Random(level).shuffle(order)
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [_signed(sum(1 << x for x in order[a:b][:bits])) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def shards(fps: DataFrame, radius: int, shard: int | None = None) -> DataFrame:
+    """key and fp: each fingerprint of staged distinct ones (fp) in every shard that may hold one within the radius. Equal keys of different blocks only merge shards."""
+    shard = shard or SHARD
+    rows, done = fps.select(F.lit(0).cast("long").alias("key"), "fp"), []
+    for level in count():
+        large = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 4 * shard), "large-shards")
+        most = large.agg(F.max("n")).first()[0]
+        if most is None:
+            break
+        bits = max(1, math.ceil(math.log2(most / shard)))
+        finer = F.array(*[F.xxhash64("key", F.lit(level), F.lit(j), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for j, m in enumerate(masks(level, radius, bits))])
+        dealt = rows.join(small_or_not(large.select("key"), BROADCAST_ROWS), "key", "left_semi").select("key", "fp", F.explode(finer).alias("child"))
+        pairs = dealt.groupBy("key", "child").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum(F.col("c") * F.col("c")).alias("after"))
+        pays = staged(pairs.join(large, "key").where(2 * F.col("after") < F.col("n").cast("double") * F.col("n")).select("key"), "dealt-shards")
+        if pays.isEmpty():
+            break
+        chosen = small_or_not(pays, BROADCAST_ROWS)
+        done.append(rows.join(chosen, "key", "left_anti"))
+        rows = dealt.join(chosen, "key", "left_semi").select(F.col("child").alias("key"), "fp")
+    return reduce(DataFrame.unionByName, done, rows)
+
+
+def links(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query index, index in the tree's input) of the pairs within radius, a batch at a time."""
+        todo = [(0, np.arange(len(queries)))] if len(self.fps) and len(queries) else []
+        while todo:
+            node, who = todo.pop()
+            lo, hi, vantage, mu, inner, outer = self.nodes[node]
+            if mu < 0:
+                for q in range(0, len(who), 1024):
+                    for k in range(lo, hi, 1024):
+                        i, j = np.nonzero(np.bitwise_count(queries[who[q : q + 1024], None] ^ self.fps[None, k : min(k + 1024, hi)]) <= radius)
+                        yield who[q + i], self.at[k + j]
+                continue
+            d = np.bitwise_count(queries[who] ^ np.uint64(vantage)).astype(np.int16)
+            for to, near in ((inner, d <= mu + radius), (outer, d > mu - radius)):
+                some = who[near]
+                self.visited, self.pruned = self.visited + len(some), self.pruned + len(who) - len(some)
+                if some.size:
                     todo.append((to, some))
 
 
@@ -196,7 +287,7 @@ def split_hot(rows: DataFrame, radius: int, most: int = 50_000) -> DataFrame:
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Spanning edges (u, v) of the links among staged distinct fingerprints (fp)."""
-    rows = split_hot(shard_keys(fps, radius, fps.count()), radius)
+    rows = shards(fps, radius)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -264,24 +355,24 @@ def near_dup_report(docs: DataFrame) -> DataFrame:
     rows, roots = clustered(docs, ["doc_id"])
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     placed = staged(roots.join(first, "fp"), "roots")
-    ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = placed.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    ids = staged(placed.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
+    by_fp = staged(join_hot(placed, ids, "root", BROADCAST_ROWS).select("fp", "component_id"), "fingerprint-ids")
+    return join_hot(rows, by_fp, "fp", BROADCAST_ROWS).select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def near_dup_filter(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each component, with all columns: the one with the smallest doc_id."""
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key")
     rows, roots = clustered(docs.select("doc_id", "text", key), ["doc_id", "key"], shingle, radius)
-    rows = staged(rows.join(roots, "fp").select("root", F.struct("doc_id", "key").alias("row")), "members")
+    rows = staged(join_hot(rows, staged(roots, "roots"), "fp", BROADCAST_ROWS).select("root", F.struct("doc_id", "key").alias("row")), "members")
     return keep_first(docs, rows)
 
 
 def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Of each root of staged rows (root, row: doc_id and key of the text) the docs' row with the smallest doc_id."""
-    stay = rows.groupBy("root").agg(F.min("row").alias("stay"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("r"), "stay")
+    stay = staged(rows.groupBy("root").agg(F.min("row").alias("stay"), F.count("*").alias("n")).where("n > 1").select("root", "stay"), "stay")
     same_row = F.col("row").eqNullSafe(F.col("stay"))
-    lost = rows.join(stay, F.col("root") == F.col("r")).where(~same_row).select(F.col("row.doc_id").alias("lost_id"), F.col("row.key").alias("lost_key")).distinct()
+    lost = join_hot(rows, stay, "root", BROADCAST_ROWS).where(~same_row).select(F.col("row.doc_id").alias("lost_id"), F.col("row.key").alias("lost_key")).distinct()
     lost = apart(staged(lost, "lost"), docs)
     lost_id, lost_key = (F.col(c) for c in lost.columns)
     kept = docs.join(small_or_not(lost, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(lost_id) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == lost_key), "left_anti")

@@ -210,16 +210,39 @@ def test_tree_finds_all_links(n):
     assert [int(fps[x]) for x in label] == [int(fps[x]) for x in brute_components(list(range(len(fps))), [int(f) for f in fps])]
 
 
-@pytest.mark.parametrize("spare", [(1 << 20,), (0, 1 << 20), (0, 0, 1 << 20)])
-def test_shards_lose_no_pair(spark, monkeypatch, spare):
-    monkeypatch.setattr(simhash, "SPARE_BLOCKS", spare)
+@pytest.mark.parametrize(("shard", "radius"), [(1024, 4), (5, 4), (1, 4), (3, 0), (2, 9)])
+def test_shards_lose_no_pair(spark, monkeypatch, shard, radius):
     rnd = random.Random(5)
     base = rnd.getrandbits(64)
-    fps = list({base, *[base ^ sum(1 << b for b in rnd.sample(range(64), 4)) for _ in range(40)], *[rnd.getrandbits(64) for _ in range(40)]})
+    near = [base ^ sum(1 << b for b in rnd.sample(range(64), max(1, radius))) for _ in range(40)]
+    fps = list({base, *near, *[rnd.getrandbits(64) for _ in range(400)], *range(0, 9)})
     df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    keys = simhash.split_hot(simhash.shard_keys(df, 4, len(fps)), 4, most=5).groupBy("key").agg(F.collect_list("fp").alias("x")).collect()
+    keys = simhash.shards(df, radius, shard).groupBy("key").agg(F.collect_list("fp").alias("x")).collect()
     together = {frozenset(p) for r in keys for p in ((a % 2**64, b % 2**64) for a in r["x"] for b in r["x"] if a < b)}
-    assert all(frozenset((a, b)) in together for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 4)
+    assert all(frozenset((a, b)) in together for a in fps for b in fps if a != b and (a ^ b).bit_count() <= radius)
+    assert len(keys) == 1 if shard == 1024 else len(keys) > 1
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    signed = [simhash._signed(f) for f in fps]
+    root = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, radius)).collect()}
+    assert [root.get(f, f) for f in signed] == brute_components(signed, fps, radius)
+
+
+def test_trees_prune_branches():
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    tree = simhash.VPTree(fps)
+    assert sum(len(a) for a, _ in tree.links(fps, 4)) >= len(fps)
+    assert sum(mu >= 0 for *_, mu, _, _ in tree.nodes) > 50 and tree.pruned > len(fps) and tree.visited > 0
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_hot_keys_are_joined_apart(spark, monkeypatch, most):
+    from faultline.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(100)], "k long, x long")
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(6)], "k long, v string")
+    assert rows_of(common.join_hot(rows, small, "k", most)) == rows_of(rows.join(small, "k"))
 
 
 def test_components_of_chains(spark):
