@@ -1,21 +1,23 @@
 """Mixing sources to target weights, in fixed-length blocks.
 
 1. Targets: the sources, ordered by code point with null last, share 150% of all words by their weights; a
-   target stops at twice its source's words, and the excess is shared again by weight.
+   target stops at twice its source's words, and the excess is shared again by weight. In order of limit / weight
+   the first source that doesn't reach its limit gives the level at which all from there on share; running sums find it.
 2. Blocks: each source's documents, in a fixed pseudorandom order, are one stream of words cut into blocks of
    block_words words; the last may be shorter.
-3. Slots: a source fills slots until its target: pass 0 holds every block at most once, pass 1 again. Each
-   slot draws its output shard by a keyed hash, so the sources' counts in the shards are multinomial draws;
-   they are drawn given each source's total, which keeps the total at the target.
+3. Draws: each of an output shard's SHARD_SLOTS slots draws its source by a keyed hash, in proportion to the targets, so that the
+   sources' counts in a shard are a multinomial draw. A source's slots are numbered through the shards in their order:
+   pass 0 holds every block at most once, pass 1 again. A source that its draws bring to its target takes no more
+   slots; what draws leave short of it fills closing shards, so that totals meet the targets.
 4. Slots map to blocks through a pseudorandom permutation of the source's block indices, x -> (a x + b) mod n
    with gcd(a, n) = 1, and join the blocks by index. The last slot is cut to the words that are left.
 
-Positions in a stream are two-level prefix sums (within buckets of documents, then over bucket totals), so
-that a source with a third of all rows is never in one task. Reruns agree: all draws are keyed hashes.
+Positions in a stream and numbers of slots are two-level prefix sums (within buckets, then over bucket totals), so
+that a source with a third of all rows is never in one task. Sources are rows of a table, however many there are. Reruns agree: all draws are keyed hashes.
 
-Defined results: null or empty text has size 0 and takes nothing; null source is a source of its own, the last;
-a repeated row is a document of its own, and of equal rows any order gives the same rows; one source
-alone stops at twice its words; more than SOURCE_ROWS sources are an error, never cut; an empty table gives an empty result.
+Defined results: null or empty text has size 0 and takes nothing; long texts span many blocks; null source is a source of its own, the last;
+equal rows are counted before anything else and stand one after the other in the stream, each a document of its own; one source
+alone stops at twice its words; sources with equal limit for their weight stop together; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,25 +34,38 @@ MOST = 2
 BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 BUCKET_DOCS = 2_000
+#: Rows of one bucket of a two-level prefix sum over sources or shards.
+BUCKET_ROWS = 10_000
 SEED = "mix"
-#: Sources at most; their totals are one row each.
-SOURCE_ROWS = 200_000
-
-
-def targets(sizes: list[tuple], weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> list[float]:
-    """Targets of sources given as (name, words) in order: those with the lowest limit for their weight stop first."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    limits = [most * n for _, n in sizes]
-    left, weight = share * sum(n for _, n in sizes), sum(w)
-    order = sorted(range(len(sizes)), key=lambda i: limits[i] / w[i])
-    out = [0.0] * len(sizes)
-    for k, i in enumerate(order):
-        if limits[i] * weight > left * w[i]:
-            rest = set(order[k:])
-            return [left * w[j] / weight if j in rest else out[j] for j in range(len(sizes))]
-        out[i] = float(limits[i])
-        left, weight = left - limits[i], weight - w[i]
-    return out
+#: Rows of sources, or of cells of the draw, that may be broadcast, if names are short: about 100 bytes each.
+BROADCAST_ROWS = 50_000
+
+
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column], tag: str) -> DataFrame:
+    """The rows with the running sums of the given values before each in the order of all rows: within key ranges, then over their totals."""
+    parts = rows.repartitionByRange(bucket_count(rows.count(), BUCKET_ROWS), *order).withColumn("part", F.spark_partition_id())
+    parts = staged(parts, tag)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for BUCKET_ROWS rows
+    totals = parts.groupBy("part").agg(*[F.sum(v).alias(f"{k}_part") for k, v in sums.items()])
+    totals = totals.select("part", *[F.coalesce(F.sum(f"{k}_part").over(before), F.lit(0)).alias(f"{k}_part") for k in sums])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(k) for k, v in sums.items()]).join(F.broadcast(totals), "part")
+    return out.select(*rows.columns, *[(F.col(k) + F.col(f"{k}_part")).alias(k) for k in sums])
+
+
+def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """name, source_size, target of each source of staged rows (name, source_size)."""
+    placed = running(sources, [F.col("name").isNull().alias("last"), F.col("name")], {"at": F.lit(1)}, "sources")
+    w = F.get(F.array(*[F.lit(float(x)) for x in weights]), (F.col("at") % len(weights)).cast("int"))
+    placed = placed.select("name", "source_size", w.alias("w"), (F.lit(float(most)) * F.col("source_size")).alias("most"))
+    placed = staged(placed, "limits")
+    total, weight = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    order = [F.col("most") / F.col("w"), F.col("name").isNull(), F.col("name")]
+    steps = running(placed, order, {"stopped": F.col("most"), "gone": F.col("w")}, "levels")
+    left, rest = F.lit(share * total) - F.col("stopped"), F.lit(weight) - F.col("gone")
+    first = steps.where(F.col("most") * rest > left * F.col("w")).agg(F.min_by(left / rest, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))).first()[0]
+    level = F.col("most") if first is None else F.least("most", F.col("w") * first)
+    return placed.select("name", "source_size", level.alias("target"))
 
 
 def _coprime(n: Column, key: Column) -> Column:
@@ -78,75 +93,112 @@ def document_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"], F.lit(SEED))
 
 
-def plan(docs: DataFrame, carry: list[str], weights=WEIGHTS, block_words: int = BLOCK_WORDS, text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, dict]:
+def drawn(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """name, shard, n, first: how many slots of each shard go to a staged source (name, quota, slots), and the number of the first among the source's slots.
+
+    Shards are drawn for as many slots as all sources have; then closing shards give each source what it is short of. A source's slots may run beyond what it needs.
+    """
+    spark = sources.sparkSession
+    aims = running(sources.where("quota > 0").select("name", "quota", "slots"), [F.col("name").isNull(), F.col("name")], {"low": F.col("quota")}, "draw-shares")
+    aims = staged(aims.withColumn("high", F.col("low") + F.col("quota")), "draw-shares")
+    total, slots, n = aims.agg(F.sum("quota"), F.sum("slots"), F.count("*")).first()
+    if not n:
+        return spark.createDataFrame([], f"name {sources.schema['name'].dataType.simpleString()}, shard long, n long, first long")
+    shards = bucket_count(slots, shard_slots)
+    width = bucket_count(total, 4 * n)  # of a cell: a draw meets the few sources whose share touches its cell
+    cells = aims.select("name", "low", "high", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))).alias("cell"))
+    at = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.lit(total))
+    draws = spark.range(shards * shard_slots).select(F.expr(f"id div {shard_slots}").alias("shard"), at.alias("at")).withColumn("cell", F.expr(f"at div {width}"))
+    hits = draws.join(small_or_not(staged(cells, "draw-cells"), BROADCAST_ROWS), "cell").where("at >= low and at < high")
+    counts = staged(hits.groupBy("name", "shard").agg(F.count("*").alias("n")), "draws")
+    group = F.expr(f"shard div {BUCKET_ROWS}")
+    sums = counts.groupBy("name", group.alias("group")).agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("name").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged(sums.select(F.col("name").alias("o_name"), "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "draw-offsets")
+    within = Window.partitionBy("name", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("group", group).withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    placed = placed.join(small_or_not(offsets, BROADCAST_ROWS), F.col("name").eqNullSafe(F.col("o_name")) & (placed["group"] == offsets["group"]))
+    placed = placed.select("name", "shard", "n", (F.col("first") + F.col("offset")).alias("first"))
+    got = counts.groupBy(F.col("name").alias("g_name")).agg(F.sum("n").alias("got"))
+    short = aims.join(got, F.col("name").eqNullSafe(F.col("g_name")), "left").withColumn("got", F.coalesce("got", F.lit(0))).where("slots > got")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - got - 1) div {shard_slots}")))
+    closing = short.select("name", "slots", "got", part.alias("part")).withColumn("first", F.col("got") + F.col("part") * shard_slots)
+    closing = closing.select("name", (F.lit(shards) + F.col("part")).alias("shard"), F.least(F.lit(shard_slots), F.col("slots") - F.col("first")).cast("long").alias("n"), "first")
+    return placed.unionByName(closing)
+
+
+def plan(docs: DataFrame, carry: list[str], weights=WEIGHTS, block_words: int = BLOCK_WORDS, text: str = "text", source: str = "source", shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, dict]:
     """(documents with their place in their source's stream, slots with shard and block, column names)."""
-    spark = docs.sparkSession
-    c = {k: fresh(docs, f"mix_{k}") for k in ("src", "size", "bucket", "start", "key")}
+    c = {k: fresh(docs, f"mix_{k}") for k in ("src", "size", "bucket", "start", "key", "copies")}
     rows = docs.select(*carry, F.col(source).alias(c["src"]), F.size(words(F.col(text))).cast("long").alias(c["size"]), document_key(docs).alias(c["key"]))
-    rows = staged(rows, "sizes")
+    rows = staged(rows.groupBy(*rows.columns).agg(F.count("*").alias(c["copies"])), "sizes")
     buckets = bucket_count(rows.count(), BUCKET_DOCS)
     rows = rows.withColumn(c["bucket"], F.pmod(F.col(c["key"]), F.lit(buckets)).cast("int"))
-    sums = staged(rows.groupBy(c["src"], c["bucket"]).agg(F.sum(c["size"]).alias("words")), "bucket-sums")
-    totals = sums.groupBy(c["src"]).agg(F.sum("words").alias("words"))
-    small = totals.limit(SOURCE_ROWS + 1).collect()  # one row per source; SOURCE_ROWS is its proven bound
-    if len(small) > SOURCE_ROWS:
-        raise ValueError(f"more than {SOURCE_ROWS} sources")
-    small = sorted(((r[c["src"]], r["words"]) for r in small), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8")))
-    aims = [(name, n, t, round(t)) for (name, n), t in zip(small, targets(small, weights), strict=True)]
+    held = F.col(c["size"]) * F.col(c["copies"])
+    sums = staged(rows.groupBy(c["src"], c["bucket"]).agg(F.sum(held).alias("words")), "bucket-sums")
+    totals = staged(sums.groupBy(F.col(c["src"]).alias("name")).agg(F.sum("words").alias("source_size")), "source-sizes")
     n_blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
-    sources = spark.createDataFrame(aims, "name string, source_size long, target double, quota long").withColumn("n_blocks", n_blocks)
+    sources = targets(totals, weights).withColumn("quota", F.bround("target").cast("long")).withColumn("n_blocks", n_blocks)
     sources = sources.withColumn("perm_a", _coprime(F.col("n_blocks"), F.col("name"))).withColumn("perm_b", F.pmod(F.xxhash64("name", F.lit(SEED)), F.greatest("n_blocks", F.lit(1))))
+    span = F.when(F.col("quota") > 0, F.ceil(F.col("quota") / F.lit(block_words)) + 2).otherwise(F.lit(0)).cast("long")
+    sources = staged(sources.withColumn("slots", span), "sources")
     before = Window.partitionBy(c["src"]).orderBy(c["bucket"]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col(c["src"]).alias("o_src"), F.col(c["bucket"]).alias("o_bucket"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy(c["src"], c["bucket"]).orderBy(c["key"], c["size"]).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn(c["start"], F.coalesce(F.sum(c["size"]).over(within), F.lit(0)))
+    within = Window.partitionBy(c["src"], c["bucket"]).orderBy(c["key"], c["size"], *carry).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn(c["start"], F.coalesce(F.sum(held).over(within), F.lit(0)))
     offsets = staged(offsets, "offsets")
-    placed = (
-        placed.join(small_or_not(offsets, 100_000), F.col(c["src"]).eqNullSafe(F.col("o_src")) & (F.col(c["bucket"]) == F.col("o_bucket")), "left")
-        .withColumn(c["start"], (F.col(c["start"]) + F.col("offset")).cast("long"))
-        .drop("o_src", "o_bucket", "offset")
-    )
+    placed = placed.join(small_or_not(offsets, 2 * BROADCAST_ROWS), F.col(c["src"]).eqNullSafe(F.col("o_src")) & (F.col(c["bucket"]) == F.col("o_bucket")), "left")
+    placed = _each_copy(placed.withColumn(c["start"], (F.col(c["start"]) + F.col("offset")).cast("long")).drop("o_src", "o_bucket", "offset"), rows, c)
     # Slot k of pass p holds block perm(k). All blocks but the last have block_words words; where the last one falls is known.
-    span = F.when(F.col("quota") > 0, F.ceil(F.col("quota") / F.lit(block_words)) + 2).otherwise(F.lit(0))
-    chunk = 10_000
-    parts = F.when(span > 0, F.sequence(F.lit(0).cast("long"), F.floor((span - 1) / chunk).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    slots = sources.withColumn("part", F.explode(parts)).repartition(F.col("name"), F.col("part"))
-    slots = slots.withColumn("slot", F.explode(F.sequence(F.col("part") * chunk, F.least((F.col("part") + 1) * chunk, span) - 1)))
+    known = small_or_not(sources, BROADCAST_ROWS)
+    counts = drawn(sources, shard_slots).withColumnRenamed("name", "d_name")
+    slots = counts.join(known, F.col("d_name").eqNullSafe(F.col("name"))).drop("d_name")
+    slots = slots.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1))).where("slot < slots")  # n is shard_slots at most
     slots = slots.withColumn("pass", F.expr("slot div n_blocks")).withColumn("k", F.col("slot") % F.col("n_blocks"))
-    slots = slots.withColumn("block", _permuted(F.col("k")))
+    slots = staged(slots.withColumn("block", _permuted(F.col("k"))), "slots")
     short = F.col("n_blocks") * block_words - F.col("source_size")
     # The slot of the last block in a pass: perm(k) = n_blocks - 1, found by the slots themselves.
     last = staged(slots.where("pass = 0 and block = n_blocks - 1").select(F.col("name").alias("l_name"), F.col("k").alias("last_k")), "last-blocks")
-    slots = slots.join(F.broadcast(last), F.col("name").eqNullSafe(F.col("l_name")), "left").drop("l_name")
+    slots = slots.join(small_or_not(last, BROADCAST_ROWS), F.col("name").eqNullSafe(F.col("l_name")), "left").drop("l_name")
     used = F.col("pass") * F.col("source_size") + F.col("k") * block_words - F.when(F.coalesce(F.col("last_k"), F.col("n_blocks")) < F.col("k"), short).otherwise(0)
     length = F.when(F.col("block") == F.col("n_blocks") - 1, block_words - short).otherwise(F.lit(block_words))
     slots = slots.withColumn("words", F.least(length, F.col("quota") - used).cast("long")).where("words > 0")
-    shards = bucket_count(sum(a[3] for a in aims), SHARD_SLOTS * block_words)
-    slots = slots.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), F.col("name"), F.col("slot")), F.lit(shards)).cast("int"))
     return placed, slots.select("name", "source_size", "target", "shard", "slot", "pass", "block", "words"), c | {"sources": sources}
 
 
+def _each_copy(placed: DataFrame, rows: DataFrame, c: dict) -> DataFrame:
+    """A row for each of the copies that placed counts, one after the other in the stream."""
+    most = rows.agg(F.max(c["copies"])).first()[0] or 1
+    if most == 1:
+        return placed.drop(c["copies"])
+    i, part = fresh(placed, "mix_copy"), fresh(placed, "mix_part")
+    out = placed.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({c['copies']} - 1) div {BUCKET_ROWS}"))))
+    out = out.repartition(c["key"], part) if most > BUCKET_ROWS else out
+    out = out.withColumn(i, F.explode(F.sequence(F.col(part) * BUCKET_ROWS, F.least((F.col(part) + 1) * BUCKET_ROWS, F.col(c["copies"])) - 1)))
+    return out.withColumn(c["start"], F.col(c["start"]) + F.col(i) * F.col(c["size"])).drop(c["copies"], i, part)
+
+
 def _pieces(placed: DataFrame, slots: DataFrame, c: dict, block_words: int, by: list[str], keep_size: bool = False) -> DataFrame:
-    """A row for each document, block and slot that takes a part of it: source, start and by's columns, pass, first word in the document, words."""
+    """A row for each document, block and slot that takes a part of it: source, start and by's columns, shard, pass, first word in the document, words."""
     start, end = F.col(c["start"]), F.col(c["start"]) + F.col(c["size"])
     first, last = F.floor(start / block_words).cast("long"), F.floor((end - 1) / block_words).cast("long")
     parts = placed.where(F.col(c["size"]) > 0).select(*by, c["src"], c["start"], c["size"], F.explode(F.sequence(first, last)).alias("d_block"))
     # The joined key is (source, block): a source's rows are spread over its blocks.
-    both = parts.join(slots.select("name", "pass", "block", "words"), F.col(c["src"]).eqNullSafe(F.col("name")) & (F.col("d_block") == F.col("block")))
+    both = parts.join(slots.select("name", "shard", "pass", "block", "words"), F.col(c["src"]).eqNullSafe(F.col("name")) & (F.col("d_block") == F.col("block")))
     lo = F.greatest(start, F.col("block") * block_words)
     hi = F.least(end, F.col("block") * block_words + F.col("words"))
-    return both.select(*by, c["src"], c["start"], *[c["size"]] * keep_size, "pass", (lo - start).alias("at"), (hi - lo).alias("taken")).where("taken > 0")
+    return both.select(*by, c["src"], c["start"], *[c["size"]] * keep_size, "shard", "pass", (lo - start).alias("at"), (hi - lo).alias("taken")).where("taken > 0")
 
 
 def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row."""
+    """doc_id, size, source_size, target, taken of each row, and the first output shard that takes a part of it."""
     placed, slots, c = plan(docs, ["doc_id"], block_words=block_words)
     placed = staged(placed, "placed")
-    taken = _pieces(placed, slots, c, block_words, [c["key"]]).groupBy(c["src"], c["key"], c["start"]).agg(F.sum("taken").alias("taken"))
-    taken = taken.select(F.col(c["src"]).alias("t_src"), F.col(c["key"]).alias("t_key"), F.col(c["start"]).alias("t_start"), "taken")
+    taken = _pieces(placed, slots, c, block_words, [c["key"]]).groupBy(c["src"], c["key"], c["start"]).agg(F.sum("taken").alias("taken"), F.min("shard").alias("first_shard"))
+    taken = taken.select(F.col(c["src"]).alias("t_src"), F.col(c["key"]).alias("t_key"), F.col(c["start"]).alias("t_start"), "taken", "first_shard")
     same = F.col(c["src"]).eqNullSafe(F.col("t_src")) & (F.col(c["key"]) == F.col("t_key")) & (F.col(c["start"]) == F.col("t_start")) & (F.col(c["size"]) > 0)
-    out = placed.join(taken, same, "left").join(F.broadcast(c["sources"].select("name", "source_size", "target")), F.col(c["src"]).eqNullSafe(F.col("name")), "left")
-    return out.select("doc_id", F.col(c["size"]).alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = placed.join(taken, same, "left").join(small_or_not(c["sources"].select("name", "source_size", "target"), BROADCAST_ROWS), F.col(c["src"]).eqNullSafe(F.col("name")), "left")
+    return out.select("doc_id", F.col(c["size"]).alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
 def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -32,10 +32,38 @@ def brute_targets(sizes, weights=(3, 1, 2)):
         stopped |= over
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 10_000), min_size=1, max_size=9))
-def test_targets(sizes):
-    assert mixing.targets([(str(i), n) for i, n in enumerate(sizes)]) == pytest.approx(brute_targets(sizes))
+@pytest.mark.parametrize(("seed", "rows"), [(0, 10_000), (1, 3), (2, 2)])
+def test_targets(spark, monkeypatch, seed, rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+    rnd = random.Random(seed)
+    for sizes in ([5], [0, 0], [rnd.randrange(10_000) for _ in range(9)], [rnd.choice([1, 2, 3000]) for _ in range(40)]):
+        names = [f"é{i:02}" if i % 2 else f"a{i:02}" for i in range(len(sizes) - 1)] + [None]
+        order = sorted(range(len(sizes)), key=lambda i: (names[i] is None, (names[i] or "").encode()))
+        want = dict(zip([names[i] for i in order], brute_targets([sizes[i] for i in order]), strict=True))
+        frame = spark.createDataFrame(list(zip(names, sizes, strict=True)), "name string, source_size long").repartition(3)
+        assert {r["name"]: r["target"] for r in mixing.targets(frame).collect()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_shards_are_multinomial_draws(spark):
+    rows = [(f"s{i}" if i else None, q, q + 2) for i, q in enumerate((40_000, 100, 9_000, 0, 30_900))]
+    sources = spark.createDataFrame(rows, "name string, quota long, slots long")
+    got = mixing.drawn(sources, 1000).collect()
+    by_source, by_shard = defaultdict(list), defaultdict(int)
+    for r in got:
+        by_source[r["name"]].append((r["first"], r["n"], r["shard"]))
+        by_shard[r["shard"]] += r["n"]
+    for name, quota, slots in rows:
+        at = 0
+        for first, n, _ in sorted(by_source[name]):
+            assert first == at
+            at += n
+        assert at >= slots * (quota > 0) and [x[2] for x in sorted(by_source[name])] == sorted(x[2] for x in by_source[name])
+    open_shards = [j for j in by_shard if j < 81]
+    assert len(open_shards) == 81 and all(by_shard[j] == 1000 for j in open_shards)
+    p = 40_000 / 80_000
+    counts = [next((n for _, n, s in by_source[None] if s == j), 0) for j in open_shards]
+    chi = sum((n - 1000 * p) ** 2 / (1000 * p * (1 - p)) for n in counts)
+    assert 40 < chi < 140 and len(set(counts)) > 10  # 81 +- 13
 
 
 @pytest.mark.parametrize("block", [1, 7, 256])
