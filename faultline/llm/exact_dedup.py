@@ -29,7 +29,7 @@ CAPACITY = 512
 #: Bits by which the counts of overfull buckets become finer.
 STEP = 8
 #: Entries of an owner task, about.
-OWNER_ENTRIES = 50_000
+OWNER_ENTRIES = 20_000
 #: Bytes of texts that a task combines at once.
 COMBINE_BYTES = 1 << 25
 #: Rows of (hash) or of the directory that may be broadcast: 16 to 24 bytes each.
@@ -184,7 +184,7 @@ def build_index(docs: DataFrame, rows: DataFrame, text: str = "text", capacity:
     again = again.join(small_or_not(by_hash.where("n > 1").select("h"), BROADCAST_ROWS), "h", "left_semi").select("h", "norm", "doc_id")
     again = again.mapInArrow(combined, f"h long, norm string, keep_id {kind}, n long").withColumn("sha", F.lit(None).cast("string"))
     owners = bucket_count(by_hash.count(), OWNER_ENTRIES)
-    placed = looked_up(alone.unionByName(again), found, least).withColumn("owner", prefix("h", min(least, owners.bit_length())))
+    placed = looked_up(alone.unionByName(again), found, least).withColumn("owner", prefix("h", least))  # an owner takes many small ranges
     ordered = placed.repartition(owners, "owner").sortWithinPartitions("h").select("prefix", "depth", "h", "norm", "sha", "keep_id", "n")
     return staged(ordered.mapInArrow(owned, f"prefix long, depth int, h long, chain int, sha string, keep_id {kind}, group_size long"), "extendible"), found
 
