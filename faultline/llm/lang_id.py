@@ -1,52 +1,54 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Training. Rows with a label are drawn into a sample of at most TRAIN_ROWS rows a language by a keyed hash of their
-id (the bound is a parameter; a language with fewer rows gives all), for the MOST_LANGS labels with the most rows. Spark counts the character n-grams of
-orders 1 to ORDER of the whole sampled texts. The highest order keeps its counts; lower orders count the
+Training. Every label that occurs is learned. Rows with a label are drawn into a sample by a keyed hash of their
+id, whole texts of at most TRAIN_ROWS rows a language and, over all languages, about TRAIN_CHARS characters, but one text of each language at least (both bounds are
+parameters; a language with fewer rows gives all). Spark counts the character n-grams of
+orders 1 to ORDER. The highest order keeps its counts; lower orders count the
 different characters seen before the n-gram (continuation counts), by which interpolated Kneser-Ney smooths:
 
     p(c | h) = max(count(hc) - D, 0) / count(h) + D * types(h) / count(h) * p(c | h without its first)
 
-with D = n1 / (n1 + 2 n2) for each language and order, and the uniform distribution below order 1.
+with D = n1 / (n1 + 2 n2) for each language and order, and the uniform distribution below order 1. Spark computes these by joins and sums, order by order.
 
-Model. For each order one array of sorted 64-bit n-gram hashes, with a row of log-probabilities over the
-languages, each already interpolated; and one of sorted context hashes with the languages' log back-off weights.
-Looking up a character is a binary search in each order until its n-gram is found.
+Model. For each order an array of sorted 64-bit n-gram hashes with the languages that have the n-gram and their log-probabilities, each already
+interpolated; and one of sorted context hashes with the languages that have the context and their log back-off weights. No n-gram of the sample is left out, so that a
+language's probabilities after any context sum to 1. Each different n-gram of a batch of texts is looked up once, by binary search in
+each order until every language has it. Spark sorts the arrays; they are bounded by the sample, collected and broadcast.
 
-Decision. The language of the lowest cross-entropy per character. Rejection is calibrated: on one in five of the sampled rows, which the
+Decision. The language of the lowest cross-entropy per character, the first by name of equal ones. Rejection is calibrated: on one in five of the sampled rows, which the
 models have not seen, the cross-entropies of each language's own texts give a mean, a variance between texts and one that falls with a text's length;
 a text is accepted unless it lies more than the calibrated REJECT quantile above its language's mean.
 
-Text is lower-cased; each run of characters that are no letters is one boundary. Whole texts are scored, in slices of
+Text is lower-cased; each run of characters that are no letters is one boundary. Whole texts are scored, however long, in slices of
 bounded size. Defined results: null text or text without a letter: und, score 0, not accepted; repeated rows
-get the same row; null labels are not learned from; without any labelled row every text is und; other columns of the input don't matter.
+get the same row; null labels are not learned from; without any labelled row every text is und; an empty table gives an empty result; other columns of the input don't matter.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import small_or_not, staged
 
 ORDER = 4
 TRAIN_ROWS = 1500
-#: Languages that are learned, those with the most labelled rows.
-MOST_LANGS = 256
-#: Characters scored at once.
-SLICE = 1 << 20
+#: Characters of the sample over all languages, about.
+TRAIN_CHARS = 24_000_000
+#: Numbers (characters by languages) scored at once.
+SLICE = 1 << 22
+#: Rows of (language, count) that may be broadcast.
+BROADCAST_ROWS = 100_000
 REJECT = 0.999
 #: Between texts of a language the cross-entropy varies by this share of its mean at least.
 LEAST_SPREAD = 0.03
-#: N-grams kept by the model for each order, those with the most counts: 2 million, about 100 MB with 4 languages.
-MOST_NGRAMS = 2_000_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,74 +119,75 @@ def counted(sample: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.groupBy("lang", "k", "h").agg(F.first("ctx").alias("ctx"), F.first("suf").alias("suf"), F.sum("n").alias("n"))
 
 
+def probabilities(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame, int]:
+    """((k, h, lang, logp) of the n-grams, (k, h, lang, back) of the contexts, the number of symbols that the uniform distribution has), for staged counted()."""
+    size = max(256, 2 * counts.where("k = 1").select("h").distinct().count())
+    lower, grams, contexts = None, [], []
+    for k in range(1, order + 1):
+        own = counts.where(F.col("k") == k).select("lang", "h", "ctx", "suf", "n")
+        if k < order:  # different symbols seen in front: one for each n-gram of the next order
+            before = counts.where(F.col("k") == k + 1).groupBy("lang", F.col("suf").alias("h")).agg(F.count("*").alias("n"))
+            own = own.drop("n").join(before, ["lang", "h"])
+        own = staged(own, "ngrams")
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        d = own.groupBy("lang").agg(F.least(F.greatest(F.when(ones > 0, ones / (ones + 2 * twos)).otherwise(F.lit(0.5)), F.lit(0.05)), F.lit(0.95)).alias("d"))
+        of = own.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("types"))
+        of = staged(of.join(small_or_not(staged(d, "discounts"), BROADCAST_ROWS), "lang").withColumn("gamma", F.col("d") * F.col("types") / F.col("total")), "contexts")
+        own = own.join(of, ["lang", "ctx"])
+        if lower is None:
+            own = own.withColumn("below", F.lit(1.0 / size))
+        else:
+            own = own.join(lower.select("lang", F.col("h").alias("suf"), F.col("p").alias("below")), ["lang", "suf"])
+        lower = staged(own.select("lang", "h", (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("below")).alias("p")), "probabilities")
+        grams.append(lower.select(F.lit(k).alias("k"), "h", "lang", F.log("p").cast("float").alias("value")))
+        contexts.append(of.select(F.lit(k).alias("k"), F.col("ctx").alias("h"), "lang", F.log("gamma").cast("float").alias("value")))
+    return reduce(DataFrame.unionByName, grams), reduce(DataFrame.unionByName, contexts), size
+
+
+class Rows:
+    """Sorted hashes, each with the languages that have it and their values."""
+
+    def __init__(self, h: np.ndarray, lang: np.ndarray, value: np.ndarray):
+        self.keys, first = np.unique(h, return_index=True)
+        self.first, self.lang, self.value = np.append(first, len(h)), lang, value
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into h, language, value) of each entry of the given hashes."""
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hit = np.nonzero(self.keys[at] == h)[0]
+        lo, n = self.first[at[hit]], self.first[at[hit] + 1] - self.first[at[hit]]
+        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(hit, n), self.lang[entry], self.value[entry]
+
+
 class Model:
-    """The languages' models, in sorted hash arrays: for each order keys and log-probabilities, contexts and log back-off weights."""
+    """The languages' models: for each order the rows of n-grams with log-probabilities and of contexts with log back-off weights."""
 
-    def __init__(self, counts: pd.DataFrame, order: int = ORDER):
-        self.order, self.langs = order, sorted(counts["lang"].unique())
-        self.keys, self.logp, self.contexts, self.back = [], [], [], []
+    def __init__(self, langs: list[str], grams: list[Rows], contexts: list[Rows], size: int):
+        self.langs, self.order, self.grams, self.contexts = langs, len(grams), grams, contexts
         self.calibration: tuple[np.ndarray, np.ndarray, np.ndarray, float] | None = None
-        at = {name: i for i, name in enumerate(self.langs)}
-        width, lower = len(self.langs), None
-        counts = counts.assign(lang=counts["lang"].map(at), h=counts["h"].to_numpy().view(np.uint64), ctx=counts["ctx"].to_numpy().view(np.uint64), suf=counts["suf"].to_numpy().view(np.uint64))
-        by_order = {k: part for k, part in counts.groupby("k")}
-        for k in range(1, order + 1):
-            part = by_order[k]
-            keys, first, own = np.unique(part["h"].to_numpy(), return_index=True, return_inverse=True)
-            c = np.zeros((len(keys), width))
-            if k == order:
-                c[own, part["lang"]] = part["n"]
-            else:  # different symbols seen in front: one for each n-gram of the next order
-                above = by_order[k + 1]
-                where = np.searchsorted(keys, above["suf"].to_numpy())
-                hit = keys[np.minimum(where, len(keys) - 1)] == above["suf"].to_numpy()
-                np.add.at(c, (where[hit], above["lang"].to_numpy()[hit]), 1)
-            ctx, suf = part["ctx"].to_numpy()[first], part["suf"].to_numpy()[first]
-            contexts, of = np.unique(ctx, return_inverse=True)
-            total, types = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
-            np.add.at(total, of, c)
-            np.add.at(types, of, c > 0)
-            ones, twos = (c == 1).sum(axis=0), (c == 2).sum(axis=0)
-            d = np.where(ones > 0, ones / np.maximum(ones + 2 * twos, 1), 0.5)
-            d = np.clip(d, 0.05, 0.95)
-            gamma = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
-            if lower is None:
-                below = np.full((len(keys), width), 1.0 / max(256, 2 * len(keys)))
-            else:
-                where = np.minimum(np.searchsorted(self.keys[-1], suf), len(self.keys[-1]) - 1)
-                below = lower[where]
-            lower = np.maximum(c - d, 0) / np.maximum(total[of], 1) + gamma[of] * below
-            if len(keys) > MOST_NGRAMS:  # the rarest are left to the lower orders
-                often = np.sort(np.argsort(-c.sum(axis=1), kind="stable")[:MOST_NGRAMS])
-                keys, lower = keys[often], lower[often]
-            self.keys.append(keys)
-            self.logp.append(np.log(lower).astype(np.float32))
-            self.contexts.append(contexts)
-            self.back.append(np.log(gamma).astype(np.float32))
-        self.unseen = (self.back[0][0] - np.log(max(256, 2 * len(self.keys[0])))).astype(np.float32)
+        self.unseen = np.zeros(len(langs), np.float32)
+        _, lang, back = contexts[0].of(contexts[0].keys)
+        self.unseen[lang] = back - np.float32(np.log(size))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Log-probability of each symbol of x after the first order - 1, in each language."""
-        n = len(x) - self.order + 1
-        out = np.zeros((n, len(self.langs)), np.float32)
-        todo = np.arange(n)
+        _, first, inverse = np.unique(hashes(x, self.order), return_index=True, return_inverse=True)
+        out = np.zeros((len(first), len(self.langs)), np.float32)
+        todo = np.ones(out.shape, bool)
         for k in range(self.order, 0, -1):
             own, ctx, _ = ngrams(x[self.order - k :], k)
-            keys = self.keys[k - 1]
-            h = own[todo]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[at] == h
-            out[todo[hit]] += self.logp[k - 1][at[hit]]
-            todo = todo[~hit]
-            if not todo.size:
-                return out
+            at, lang, value = self.grams[k - 1].of(own[first])
+            some = todo[at, lang]
+            at, lang = at[some], lang[some]
+            out[at, lang] += value[some]
+            todo[at, lang] = False
             if k > 1:
-                c, contexts = ctx[todo], self.contexts[k - 1]
-                at = np.minimum(np.searchsorted(contexts, c), len(contexts) - 1)
-                known = contexts[at] == c
-                out[todo[known]] += self.back[k - 1][at[known]]
-        out[todo] += self.unseen
-        return out
+                at, lang, value = self.contexts[k - 1].of(ctx[first])
+                some = todo[at, lang]
+                out[at[some], lang[some]] += value[some]
+        out += np.where(todo, self.unseen, np.float32(0))
+        return out[inverse]
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(nats per symbol of each text in each language, number of symbols, 0 without a letter); whole texts, slice by slice."""
@@ -200,27 +203,27 @@ class Model:
                     at += len(x)
                 held.clear()
 
-        size = 0
+        size, most = 0, max(1000, SLICE // max(4, len(self.langs)))
         for i, text in enumerate(texts):
             x = symbols(text, self.order) if text else np.empty(0, np.uint32)
             sizes[i] = max(0, len(x) - self.order + 1)
-            for at in range(0, int(sizes[i]), SLICE):
-                held.append((i, x[at : at + SLICE + self.order - 1]))
+            for at in range(0, int(sizes[i]), most):
+                held.append((i, x[at : at + most + self.order - 1]))
                 size += len(held[-1][1])
-                if size >= SLICE // 2:
+                if size >= most // 2:
                     flush()
                     size = 0
         flush()
         return -sums / np.maximum(sizes, 1)[:, None], sizes
 
     def calibrate(self, entropy: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> None:
-        """From unseen texts of known language: each language's mean, its variance between texts and within them (by length), and the limit."""
+        """From unseen texts of known language, with their cross-entropy in it: each language's mean, its variance between texts and within them (by length), and the limit."""
         mean, between, within = np.full(len(self.langs), np.inf), np.zeros(len(self.langs)), np.zeros(len(self.langs))
         z = [np.zeros(0)]
         for lang in range(len(self.langs)):
             who = (own == lang) & (sizes > 0)
             if who.sum() >= 5:
-                e, n = entropy[who, lang], sizes[who]
+                e, n = entropy[who], sizes[who]
                 mean[lang] = (e * n).sum() / n.sum()
                 long = n >= np.median(n)
                 between[lang] = max(((e - mean[lang])[long] ** 2).mean(), (LEAST_SPREAD * mean[lang]) ** 2)
@@ -244,37 +247,64 @@ class Model:
         return [self.langs[b] if n else "und" for b, n in zip(best, sizes, strict=True)], score, accepted, np.where(sizes > 0, entropy[row, best], np.nan)
 
 
-def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """text, lang and part (1 in 5 calibrates) of at most rows labelled rows a language, drawn by a keyed hash of doc_id."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id", F.lit("lang-sample")), F.lit(1 << 30)).alias("draw"))
-    counts = staged(labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS), "language-counts")
-    share = F.least(F.lit(1.0), F.lit(1.2 * rows) / F.col("n")) * (1 << 30)
-    near = labelled.join(F.broadcast(counts), "lang").where(F.col("draw") < share)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= rows).select("text", "lang", (F.col("rank") % 5 == 4).alias("calibrates"))
+def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """text, lang and part (1 in 5 calibrates) of labelled rows, drawn by a keyed hash of doc_id: at most rows a language, and its share of chars, but one at least."""
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("lang-sample")), F.lit(1 << 30))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang", draw.alias("draw"))
+    counts = staged(labelled.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    langs = counts.count()
+    each = chars // max(1, langs)
+    share = F.least(F.lit(1.0), F.lit(1.2 * rows + 50) / F.col("n")) * (1 << 30)
+    near = labelled.join(small_or_not(counts, BROADCAST_ROWS), "lang").where(F.col("draw") < share).withColumn("chars", F.length("text").cast("long"))
+    order = Window.partitionBy("lang").orderBy(F.col("chars") > each, "draw", "doc_id")  # texts over the share of a language come last
+    placed = near.withColumn("rank", F.row_number().over(order)).withColumn("held", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.where((F.col("rank") <= rows) & ((F.col("held") <= each) | (F.col("rank") == 1))).select("text", "lang", (F.col("rank") % 5 == 4).alias("calibrates"))
+
+
+def fitted(counts: DataFrame, order: int = ORDER) -> Model | None:
+    """The model of staged counted(), or None if it has no row. What is collected is bounded by the sample."""
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return None
+    grams, contexts, size = probabilities(counts, order)
+
+    def rows(of: DataFrame) -> list[Rows]:
+        found = of.select("k", "h", "lang", "value").orderBy("k", "h", "lang").toArrow()
+        k, h, value = (found.column(c).to_numpy() for c in ("k", "h", "value"))
+        coded = found.column("lang").combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        at = np.array([langs.index(x) for x in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
+        cuts = np.searchsorted(k, np.arange(1, order + 2))
+        return [_by_unsigned(h[a:b].view(np.uint64), at[a:b], value[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    return Model(langs, rows(grams), rows(contexts), size)
+
 
+def _by_unsigned(h: np.ndarray, lang: np.ndarray, value: np.ndarray) -> Rows:
+    """Rows from entries sorted by signed hash: the negative ones are the larger unsigned ones."""
+    cut = int(np.searchsorted(h.view(np.int64), 0))
+    return Rows(*(np.concatenate([x[cut:], x[:cut]]) for x in (h, lang, value)))
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, order: int = ORDER) -> Model | None:
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, order: int = ORDER, chars: int = TRAIN_CHARS) -> Model | None:
     """A calibrated model of the labelled rows of docs, or None if there are none."""
-    sample = staged(training_sample(docs, rows), "language-sample")
-    counts = counted(sample.where("not calibrates"), order).toPandas()  # bounded by the sample
-    if counts.empty:
+    sample = staged(training_sample(docs, rows, chars), "language-sample")
+    model = fitted(staged(counted(sample.where("not calibrates"), order), "ngram-counts"), order)
+    if model is None:
         return None
-    model = Model(counts, order)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(1).to_pylist()
             entropy, sizes = shared.value.entropies(batch.column(0).to_pylist())
-            own = np.array([shared.value.langs.index(x) if x in shared.value.langs else -1 for x in langs], np.int64)
+            known = {x: i for i, x in enumerate(shared.value.langs)}
+            own = np.array([known.get(x, -1) for x in langs], np.int64)
             value = np.where(own >= 0, entropy[np.arange(len(own)), own], np.nan)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(value), pa.array(sizes)], names=["own", "entropy", "n"])
 
     found = sample.where("calibrates").select("text", "lang").mapInArrow(unseen, "own long, entropy double, n long").where("own >= 0").toPandas()
-    entropy = np.full((len(found), len(model.langs)), np.nan)
-    entropy[np.arange(len(found)), found["own"]] = found["entropy"]
-    model.calibrate(entropy, found["n"].to_numpy(), found["own"].to_numpy())
+    model.calibrate(found["entropy"].to_numpy(), found["n"].to_numpy(), found["own"].to_numpy())
     return model
 
 

@@ -76,7 +76,7 @@ def brute_kneser_ney(texts, order):
 def test_model_is_kneser_ney(spark):
     texts = ["banana bandana", "ananas ban", "nab"]
     docs = spark.createDataFrame([(t, "q") for t in texts], "text string, lang string")
-    model = lang_id.Model(lang_id.counted(docs, 3).toPandas(), 3)
+    model = lang_id.fitted(lang_id.counted(docs, 3), 3)
     p = brute_kneser_ney(texts, 3)
     for text in ["banana", "nab xyz", "bandanas"]:
         x = lang_id.symbols(text, 3)
@@ -84,9 +84,30 @@ def test_model_is_kneser_ney(spark):
         assert model.scores(x)[:, 0].tolist() == pytest.approx(want, abs=1e-4)
 
 
+def test_probabilities_sum_to_one_for_many_languages(spark):
+    texts = {f"l{i:03}": "".join(random.Random(i).choices("abcdefghij ", k=120)) for i in range(300)}
+    rows = [(i, t, lang, None, None) for i, (lang, t) in enumerate(texts.items())] + [(1000, texts["l000"], "l000", None, None)] * 2
+    model = lang_id.train(spark.createDataFrame(rows, DOCS), order=3)
+    assert model.langs == sorted(texts)
+    x = [0, *map(ord, "abcdefghij")]
+    for context in ([0, 0], [ord("a"), 0], [ord("c"), ord("d")], [ord("z"), ord("j")], [0x4E00, 0x4E01]):
+        seen = sum(np.exp(model.scores(np.array([*context, c], np.uint32))[0].astype(float)) for c in x)
+        other = np.exp(model.scores(np.array([*context, 0x3A9], np.uint32))[0].astype(float))  # one of the symbols that no text has
+        assert np.allclose(seen + other * (256 - len(x)), 1, atol=1e-4)
+    own = [lang for lang in ("l001", "l150", "l299") if model.decide([texts[lang]])[0] == [lang]]
+    assert own == ["l001", "l150", "l299"]
+
+
+def test_sample_is_bounded_but_has_every_language(spark):
+    rows = [(i, "word " * (1 + i % 9), "en", None, None) for i in range(200)] + [(900, "lang " * 5000, "xx", None, None), (901, None, "yy", None, None), (902, "zz", None, None, None)]
+    got = lang_id.training_sample(spark.createDataFrame(rows, DOCS), 50, 2000).collect()
+    assert {r["lang"] for r in got} == {"en", "xx"} and len([r for r in got if r["lang"] == "en"]) <= 50
+    assert sum(len(r["text"]) for r in got if r["lang"] == "en") <= 1000 and {r["text"] for r in got} <= {r[1] for r in rows}
+
+
 def test_slices_do_not_change_scores(monkeypatch, spark):
     docs = spark.createDataFrame([(invented("xx", 50, i), "xx") for i in range(5)], "text string, lang string")
-    model = lang_id.Model(lang_id.counted(docs).toPandas())
+    model = lang_id.fitted(lang_id.counted(docs))
     whole = model.entropies([LONG, "ka ro", None])
     monkeypatch.setattr(lang_id, "SLICE", 1000)
     parts = model.entropies([LONG, "ka ro", None])
