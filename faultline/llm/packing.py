@@ -1,14 +1,15 @@
 """Best-fit packing of token pieces into sequences, finished by a swap-based local search.
 
 Each text becomes its token ids and an end id; only longer ones are cut, so that all pieces but the first
-are whole sequences. Pieces are dealt by a hash into groups of about GROUP_PIECES (the number of groups
+are whole sequences. Pieces are dealt by their row numbers into groups of about GROUP_PIECES (the number of groups
 grows with the input), and each group is packed in one task: best fit, longest first, then local search.
 The search takes the emptiest bin and gives its pieces away: it moves a piece into another underfull bin,
 or exchanges it for one or two shorter ones of that bin. Each step raises the sum of squared fills, so the
-search ends; bins that lost all their pieces are gone. It stops early at the bound sum / capacity.
+search ends; bins that lost all their pieces are gone. It goes over all underfull bins, emptiest first, again and again until it can
+empty none of them, or the bound sum / capacity is met. Tables of each bin's piece lengths and pair sums make a step a look along one row.
 
 Defined results: null text is empty and one piece of one token, the end id; a text with the string of a
-special token gets that token, as the tokenizer itself does; repeated rows are packed each; null doc_ids are carried;
+special token gets that token, as the tokenizer itself does; long texts are cut into as many pieces as they need; pieces of equal length go in any order; repeated rows are packed each; null doc_ids are carried;
 an empty table gives an empty result; other columns of the input don't matter.
 """
 
@@ -33,8 +34,6 @@ GROUP_PIECES = 40_000
 #: Token ids of that many words are kept by each Python worker, about 100 MB.
 CACHE_WORDS = 300_000
 SPECIAL = "<|endoftext|>"
-#: The search ends after so many bins in a row, emptiest first, that it couldn't empty.
-PATIENCE = 40
 
 
 def vocabulary() -> dict[str, str]:
@@ -149,83 +148,105 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class Bins:
+    """Underfull bins for the local search: their rooms, and for each length a the smallest piece, and sum of two pieces, of a or more of each bin (beyond the capacity if there is none)."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths, self.capacity = bins, lengths, capacity
+        self.none = 2 * capacity
+        self.at = np.arange(len(bins))
+        self.room = np.array([capacity - sum(lengths[i] for i in b) for b in bins], np.int32)
+        self.one, self.two = np.zeros((capacity + 1, len(bins)), np.int32), np.zeros((capacity + 1, len(bins)), np.int32)
+        for b in range(len(bins)):
+            self.noted(b)
+
+    def noted(self, b: int) -> None:
+        """Brings the tables of a bin up to date."""
+        single, pairs, seen = 0, 0, set()
+        for i in self.bins[b]:
+            n = self.lengths[i]
+            if n not in seen:
+                pairs |= single << n
+                single |= 1 << n
+                seen.add(n)
+            else:
+                pairs |= 1 << 2 * n
+        for table, bits in ((self.one, single), (self.two, pairs)):
+            held = np.frombuffer((bits & ((1 << self.capacity) - 1)).to_bytes(self.capacity // 8 + 1, "little"), np.uint8)
+            at = np.nonzero(np.unpackbits(held, bitorder="little"))[0]
+            table[:, b] = np.append(at, self.none)[np.searchsorted(at, np.arange(self.capacity + 1))]
+
+    def exchanged(self, a: int, out: int, b: int, back: list[int]) -> None:
+        """Piece out goes from bin a to bin b, pieces back from b to a."""
+        self.bins[a].remove(out)
+        self.bins[b].append(out)
+        for j in back:
+            self.bins[b].remove(j)
+            self.bins[a].append(j)
+        gain = self.lengths[out] - sum(self.lengths[j] for j in back)
+        self.room[a] += gain
+        self.room[b] -= gain
+        self.noted(a)
+        self.noted(b)
+
+    def step(self, e: int) -> bool:
+        """One move or exchange that makes bin e emptier and raises the sum of squares, if there is one; the bin that it fills most is taken."""
+        full = self.capacity + 1
+        for i in sorted(self.bins[e], key=lambda i: -self.lengths[i]):
+            a = self.lengths[i]
+            need = np.maximum(a - self.room, 1)  # what a bin must give back
+            for parts in (0, 1, 2):
+                gain = a - (self.one, self.two)[parts - 1][need, self.at].astype(np.int32) if parts else np.full(len(self.room), a, np.int32)
+                left = self.room - gain
+                left[(left < 0) | (gain <= 0) | (self.room == self.capacity)] = full
+                left[gain <= self.room - self.room[e]] = full  # the other bin would be the emptier one
+                left[e] = full
+                b = int(left.argmin())
+                if left[b] < full:
+                    self.exchanged(e, i, b, self.found(b, a - int(gain[b]), parts))
+                    return True
+        return False
+
+    def found(self, b: int, total: int, parts: int) -> list[int]:
+        """parts pieces of a bin whose lengths sum to total."""
+        by_length: dict[int, int] = {}
+        for j in self.bins[b] if parts else ():
+            n = self.lengths[j]
+            if parts == 1 and n == total:
+                return [j]
+            if parts == 2 and total - n in by_length:
+                return [by_length[total - n], j]
+            by_length[n] = j
+        return []
+
+
 def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """The local search over underfull bins; full bins stay as they are."""
-    size = np.array(lengths, np.int64)
-    least = -(-int(size.sum()) // capacity)
-    room = np.array([capacity - sum(lengths[i] for i in b) for b in bins], np.int64)
-    open_bins = [b for b in range(len(bins)) if room[b] > 0]
-    home = np.full(len(lengths), -1, np.int64)
-    for b in open_bins:
-        home[bins[b]] = b
-    count, failed = len(bins), 0
-    pool = np.nonzero(home >= 0)[0]  # the pieces in underfull bins
-    for emptiest in sorted(open_bins, key=lambda b: -room[b]):
-        if count <= least or failed >= PATIENCE:
-            break
-        going = True
-        while going and bins[emptiest]:
-            going = False
-            fill = capacity - room[emptiest]
-            others = np.array([b for b in open_bins if b != emptiest and room[b] > 0 and bins[b]], np.int64)
-            if not others.size:
+    least = -(-sum(lengths) // capacity)
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    full = [b for b, n in zip(bins, fill, strict=True) if n == capacity]
+    if len(bins) <= least:
+        return bins
+    held = Bins([b for b, n in zip(bins, fill, strict=True) if n < capacity], lengths, capacity)
+    count, before = len(bins), None
+    while count != before and count > least:  # a pass that empties no bin is the last
+        before = count
+        for e in np.argsort(-held.room, kind="stable").tolist():
+            if not held.bins[e] or held.room[e] == 0:
+                continue
+            while held.bins[e] and held.step(e):
+                pass
+            count -= not held.bins[e]
+            if count <= least:
                 break
-            for i in sorted(bins[emptiest], key=lambda i: -lengths[i]):
-                a = lengths[i]
-                fits = others[(room[others] >= a) & (capacity - room[others] + a > fill)]
-                if fits.size:  # move: into the fullest bin with room
-                    b = int(fits[np.argmin(room[fits])])
-                    _exchange(bins, room, home, lengths, emptiest, [i], b, [])
-                    going = True
-                    break
-                near = pool[(home[pool] != emptiest) & (size[pool] < a)]
-                near = near[room[home[near]] > 0]
-                gain = a - size[near]
-                ok = (gain <= room[home[near]]) & (capacity - room[home[near]] + gain > fill)
-                if ok.any():  # one for one: the exchange that fills a bin most
-                    near, gain = near[ok], gain[ok]
-                    j = int(near[np.argmin(room[home[near]] - gain)])
-                    _exchange(bins, room, home, lengths, emptiest, [i], int(home[j]), [j])
-                    going = True
-                    break
-                if found := _two_for_one(bins, room, lengths, others, a, fill, capacity):
-                    b, pair = found
-                    _exchange(bins, room, home, lengths, emptiest, [i], b, pair)
-                    going = True
-                    break
-        count, failed = (count, failed + 1) if bins[emptiest] else (count - 1, 0)
-    return [b for b in bins if b]
-
-
-def _exchange(bins, room, home, lengths, a: int, out: list[int], b: int, back: list[int]) -> None:
-    """Pieces out go from bin a to bin b, pieces back from b to a."""
-    for x, src, dst in [(i, a, b) for i in out] + [(j, b, a) for j in back]:
-        bins[src].remove(x)
-        bins[dst].append(x)
-        home[x] = dst
-        room[src] += lengths[x]
-        room[dst] -= lengths[x]
-
-
-def _two_for_one(bins, room, lengths, others, a: int, fill: int, capacity: int, tries: int = 64):
-    """A bin among the roomiest and two of its pieces, shorter than a together, that a can stand in for, filling the bin."""
-    for b in others[np.argsort(-room[others], kind="stable")[:tries]].tolist():
-        own = sorted(bins[b], key=lambda j: lengths[j])
-        for x in range(len(own) - 1):
-            for y in range(x + 1, len(own)):
-                gain = a - lengths[own[x]] - lengths[own[y]]
-                if gain <= 0:
-                    break
-                if gain <= room[b] and capacity - room[b] + gain > fill:
-                    return b, [own[x], own[y]]
-    return None
+    return full + [b for b in held.bins if b]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """The staged pieces with sequence_id and offset."""
     short, every = pieces.agg(F.count_if(F.col("length") < capacity), F.count("*")).first()
     groups = max(bucket_count(short, group_pieces), bucket_count(every, 10 * group_pieces))  # whole pieces only need numbers
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))  # copies of a row are dealt like any others
 
     def packed(key: tuple, table: pa.Table) -> pa.Table:
         length = table.column("length").to_numpy()

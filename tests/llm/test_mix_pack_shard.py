@@ -164,6 +164,33 @@ def test_local_search_empties_a_bin():
     assert len(packing.improve([[0, 4], [1, 3], [2]], lengths, 100)) == 2
 
 
+def fewest(lengths, capacity):
+    """The exact optimum: bins as a sorted tuple of fills, piece by piece."""
+    states = {()}
+    for n in sorted(lengths, reverse=True):
+        states = {tuple(sorted([*s[:k], s[k] + n, *s[k + 1 :]])) for s in states for k in range(len(s)) if s[k] + n <= capacity} | {tuple(sorted([*s, n])) for s in states}
+    return min(map(len, states))
+
+
+def test_local_search_against_the_optimum():
+    rnd, over = random.Random(11), []
+    for _ in range(150):
+        lengths = [rnd.randint(1, 20) for _ in range(rnd.randint(1, 8))]
+        worst = [[i] for i in range(len(lengths))]
+        found = [len(packing.improve(b, lengths, 20)) for b in (packing.best_fit(lengths, 20), worst)]
+        over.append([n - fewest(lengths, 20) for n in found])
+    assert all(0 <= x <= 1 for both in over for x in both) and sum(x for x, _ in over) <= 3
+
+
+def test_local_search_beats_best_fit_on_many_pieces():
+    rnd = random.Random(2)
+    lengths = [rnd.randint(250, 700) for _ in range(2000)]
+    bins = packing.best_fit(lengths, 1024)
+    before = len(bins)
+    after = packing.improve(bins, lengths, 1024)
+    assert len(after) < before and sorted(i for b in after for i in b) == list(range(2000)) and all(sum(lengths[i] for i in b) <= 1024 for b in after)
+
+
 def brute_capacity(sizes, shards):
     c = max(max(sizes, default=0), -(-sum(sizes) // shards))
     while True:
