@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .quality_rules import MEASURES, MIN_ROWS, SPREADS, TOP_BUCKET, quality_report
+from .quality_rules import MEASURES, PRIOR_ROWS, SIGNIFICANT, SPREADS, quality_report
 
 NAME = "op5_quality_rules"
 
@@ -13,8 +13,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    units = {k: f"least(({a} * {u}) // greatest({b}, 1), {TOP_BUCKET})" for k, (a, b, u, _, _) in MEASURES.items()}
-    tall = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {v} AS bucket FROM base WHERE NOT base_failed" for k, v in units.items())
+    units = {k: f"(({a} * {u}) // greatest({b}, 1))" for k, (a, b, u, _, _) in MEASURES.items()}
+    tall = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {v} - {v} % (1::BIGINT << greatest(length(bin({v}::BIGINT)) - {SIGNIFICANT}, 0)) AS bucket FROM base WHERE NOT base_failed" for k, v in units.items())
     floor = " ".join(f"WHEN '{k}' THEN {v[3]}" for k, v in MEASURES.items())
 
     def fences(name: str, keys: str) -> str:
@@ -24,6 +24,10 @@ def _sql() -> str:
         {name}_q AS (SELECT {keys}measure, max(n_rows) AS n_rows, min(bucket) FILTER (WHERE upto * 4 >= n_rows) AS q25, min(bucket) FILTER (WHERE upto * 4 >= 3 * n_rows) AS q75 FROM {name}_placed GROUP BY ALL),
         {name} AS (SELECT {keys}measure, n_rows, q25 - {SPREADS} * greatest(q75 - q25, CASE measure {floor} END) AS low, q75 + {SPREADS} * greatest(q75 - q25, CASE measure {floor} END) AS high FROM {name}_q)"""
 
+    def blend(x: str) -> str:
+        mid = f"((mid.n_rows * mid.{x} + {PRIOR_ROWS} * whole.{x})::DOUBLE / (mid.n_rows + {PRIOR_ROWS})::DOUBLE)"
+        return f"((fine.n_rows * fine.{x} + {PRIOR_ROWS} * {mid}) / (fine.n_rows + {PRIOR_ROWS})::DOUBLE)"
+
     outside = " OR ".join(f"(f.measure = '{k}' AND ({units[k]} > f.high" + (f" OR {units[k]} < f.low" if v[4] else "") + "))" for k, v in MEASURES.items())
     return f"""
     WITH texts AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -37,9 +41,7 @@ def _sql() -> str:
         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM texts JOIN stats ON texts.r = stats.r),
     tall AS ({tall}),
     {fences("fine", "lang, source, ")}, {fences("mid", "lang, ")}, {fences("whole", "")},
-    f AS (SELECT fine.lang, fine.source, fine.measure,
-        CASE WHEN fine.n_rows >= {MIN_ROWS} THEN fine.low WHEN mid.n_rows >= {MIN_ROWS} THEN mid.low ELSE whole.low END AS low,
-        CASE WHEN fine.n_rows >= {MIN_ROWS} THEN fine.high WHEN mid.n_rows >= {MIN_ROWS} THEN mid.high ELSE whole.high END AS high
+    f AS (SELECT fine.lang, fine.source, fine.measure, {blend("low")} AS low, {blend("high")} AS high
         FROM fine LEFT JOIN mid ON fine.lang IS NOT DISTINCT FROM mid.lang AND fine.measure = mid.measure LEFT JOIN whole ON fine.measure = whole.measure),
     bad AS (SELECT DISTINCT base.r FROM base JOIN f ON base.lang IS NOT DISTINCT FROM f.lang AND base.source IS NOT DISTINCT FROM f.source WHERE {outside})
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM base LEFT JOIN bad ON base.r = bad.r"""

@@ -1,15 +1,17 @@
 """Quality rules: adaptive thresholds from mergeable quantile sketches, then a joined filter.
 
-Base measures come from each whole text. A sketch is a histogram of an integer measure at a fixed
-resolution, keyed by (lang, source): sums of counts merge it, in any order, along any tree, and over
+Base measures come from each whole text. A sketch is a histogram of an integer measure, keyed by (lang, source), whose buckets keep the
+SIGNIFICANT leading bits of a value: values under 2 ** SIGNIFICANT are exact, larger ones are known to 2 ** (1 - SIGNIFICANT) of themselves, there is
+no largest bucket, and a sketch has at most 2 ** (SIGNIFICANT - 1) buckets for each further bit. Ranks are exact. Sums of counts merge sketches, in any order, along any tree, and over
 sources into languages and into the whole corpus. Quartiles of the sketches give the fences
 
     high = q75 + SPREADS * max(q75 - q25, floor)      low = q25 - SPREADS * max(q75 - q25, floor)
 
-A group with fewer than min_rows rows takes its language's sketch, a small language the whole one.
+A group of n rows weighs its own fences by n and its language's by PRIOR_ROWS, and a language its own and the corpus's likewise, so that
+small groups lean on larger ones without a limit where that changes.
 Only texts that pass the base rules enter the sketches.
 
-Defined results: null or empty text: zero counts, base_failed; null lang or source is a group of its
+Defined results: null or empty text: zero counts, base_failed; long texts are measured whole; a value at a fence is kept; null lang or source is a group of its
 own; repeated rows each get their row; an empty table gives an empty result; other columns of the
 input don't matter.
 """
@@ -30,8 +32,8 @@ MEASURES = {
     "word_length": ("word_chars", "n_words", 100, 50, True),
 }
 SPREADS = 4
-TOP_BUCKET = 100_000
-MIN_ROWS = 50
+SIGNIFICANT = 10
+PRIOR_ROWS = 50
 
 
 def repeat_words(w: Column) -> Column:
@@ -89,12 +91,18 @@ def base_failed(m: Column) -> Column:
 
 def _units(m: Column, name: str) -> Column:
     over, under, units, _, _ = MEASURES[name]
-    return F.least(F.expr("0L") + F.floor(m[over] * units / F.greatest(m[under], F.lit(1))), F.lit(TOP_BUCKET)).cast("long")
+    return F.floor(m[over] * units / F.greatest(m[under], F.lit(1))).cast("long")
+
+
+def bucket(value: Column) -> Column:
+    """The value with its SIGNIFICANT leading bits only."""
+    dropped = F.greatest(F.length(F.bin(value)) - SIGNIFICANT, F.lit(0))
+    return value - value % F.pow(F.lit(2), dropped).cast("long")
 
 
 def sketches(rows: DataFrame, m: str, group: list[str]) -> DataFrame:
     """(group columns, measure, bucket, n): the mergeable sketches of the rows that pass the base rules."""
-    each = F.array(*[F.struct(F.lit(k).alias("measure"), _units(F.col(m), k).alias("bucket")) for k in MEASURES])
+    each = F.array(*[F.struct(F.lit(k).alias("measure"), bucket(_units(F.col(m), k)).alias("bucket")) for k in MEASURES])
     return rows.where(~base_failed(F.col(m))).select(*group, F.inline(each)).groupBy(*group, "measure", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -113,7 +121,7 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return quartiles.select(*keys, "measure", "rows", (F.col("q25") - reach).alias("low"), (F.col("q75") + reach).alias("high"))
 
 
-def thresholds(sketch: DataFrame, lang: str, source: str, min_rows: int = MIN_ROWS) -> DataFrame:
+def thresholds(sketch: DataFrame, lang: str, source: str, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """One row per (lang, source) of the sketch: an array of (measure, low, high)."""
     fine = _fences(sketch, [lang, source]).select(F.col(lang).alias("g1"), F.col(source).alias("g2"), "measure", "rows", "low", "high")
     mid = _fences(sketch, [lang]).select(F.col(lang).alias("m1"), F.col("measure").alias("m2"), F.col("rows").alias("mid_rows"), F.col("low").alias("mid_low"), F.col("high").alias("mid_high"))
@@ -121,21 +129,21 @@ def thresholds(sketch: DataFrame, lang: str, source: str, min_rows: int = MIN_RO
     joined = fine.join(mid, F.col("g1").eqNullSafe(F.col("m1")) & (F.col("measure") == F.col("m2")), "left").join(F.broadcast(top), F.col("measure") == F.col("t1"), "left")
 
     def pick(x: str) -> Column:
-        return F.when(F.col("rows") >= min_rows, F.col(x)).when(F.col("mid_rows") >= min_rows, F.col(f"mid_{x}")).otherwise(F.col(f"top_{x}")).alias(x)
+        mid = (F.col("mid_rows") * F.col(f"mid_{x}") + prior_rows * F.col(f"top_{x}")) / (F.col("mid_rows") + prior_rows)
+        return ((F.col("rows") * F.col(x) + prior_rows * mid) / (F.col("rows") + prior_rows)).alias(x)
 
     return joined.select("g1", "g2", F.struct("measure", pick("low"), pick("high")).alias("f")).groupBy("g1", "g2").agg(F.collect_list("f").alias("fences"))
 
 
-def judge(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS) -> tuple[DataFrame, str, str]:
+def judge(docs: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", source: str = "source", prior_rows: int = PRIOR_ROWS) -> tuple[DataFrame, str, str]:
     """(rows with carry's columns, a struct of measures and a verdict; the names of those two columns)."""
     m, kept = fresh(docs, "measures"), fresh(docs, "verdict")
     g = [fresh(docs, "group_lang"), fresh(docs, "group_source")]
     rows = staged(docs.select(*carry, F.col(lang).alias(g[0]), F.col(source).alias(g[1]), measured(F.col(text)).alias(m)), "quality")
-    limits = apart(staged(thresholds(staged(sketches(rows, m, g), "sketches"), *g, min_rows), "fences"), rows)
+    limits = apart(staged(thresholds(staged(sketches(rows, m, g), "sketches"), *g, prior_rows), "fences"), rows)
     g1, g2, fences = limits.columns
     joined = rows.join(small_or_not(limits, 20_000), F.col(g[0]).eqNullSafe(F.col(g1)) & F.col(g[1]).eqNullSafe(F.col(g2)), "left")
 
-
     def outside(k: str):
         v = _units(F.col(m), k)
         return F.exists(fences, lambda f: (f["measure"] == k) & ((v > f["high"]) | (F.lit(MEASURES[k][4]) & (v < f["low"]))))

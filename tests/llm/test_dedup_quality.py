@@ -64,6 +64,29 @@ def test_sketches_merge_in_any_order(spark):
     assert rows_of(merged) == whole
 
 
+def test_buckets_keep_leading_bits(spark):
+    values = [0, 1, 999, 1023, 1024, 1025, 1026, 5000, 123_457, 10**9, 10**15 + 7]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality_rules.bucket(F.col("v"))).collect()]
+    assert got == [v if v < 1024 else v >> (v.bit_length() - 10) << (v.bit_length() - 10) for v in values]
+
+
+def test_report_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from faultline.llm import op5_quality
+
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+    rows = odd_documents()[:6] + [(500 + i, "\n".join(" ".join(rnd.choices(words, k=30)) for _ in range(4)) + " #" * int(rnd.expovariate(0.2)), rnd.choice(["en", "de", None]), rnd.choice("abcdefg"), 0) for i in range(150)]
+    rows += [(800, " ".join(f"u{i}" for i in range(60)) + "$" * 300_000, "en", "a", 0)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = op5_quality.query(spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({op5_quality.SQL})").fetchall()
+    assert rows_of(got) == sorted(want, key=repr) and {r["kept"] for r in got.collect()} == {True, False}
+
+
 def test_filters_keep_columns_and_stand_empty_tables(spark):
     docs = with_clashes(odd_frame(spark))
     for f in (quality_rules.quality_filter, exact_dedup.dedup_filter, simhash.near_dup_filter):
