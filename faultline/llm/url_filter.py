@@ -3,7 +3,7 @@
 Host edges come from the pages' absolute links, counted before they are shuffled. Two personalised PageRanks run
 over them as joins and sums: trust starts at hosts with allowed pages and follows links; distrust starts at
 hosts with blocked pages and follows links backwards, to the hosts that link there. Mass at hosts without
-a way on returns to the seeds. After the last round both masses are counted in whole seeds (ranks times the sum of all seeds' strengths, so that
+a way on returns to the seeds. The rounds go on until no more than TOLERANCE of the mass can still move. Then both masses are counted in whole seeds (ranks times the sum of all seeds' strengths, so that
 neither shrinks as more hosts are good or bad); a host is blocked if its distrust is over MARGIN times its trust and over LEAST; its pages that no rule fits get
 that verdict. A seed's strength is the share of the host's own pages that a rule blocks or allows, so that a rule for one path
 of a host doesn't condemn the rest of it.
@@ -12,13 +12,13 @@ Rules are (host, path prefix, verdict); a rule fits its host and all subdomains
 the longest (host and path) wins, then the longest host.
 
 Defined results: a null url, or one without ://, has host and path empty and is allowed unless a rule says otherwise (none fits an empty host);
-null html has no links; repeated rows are judged each, and count each as a seed; hosts without links are judged by
+null html has no links; long urls and pages are read whole; of rules of equal length the one with the longer host wins; repeated rows are judged each, and count each as a seed; hosts without links are judged by
 their own pages only; an empty table gives an empty result; other columns of the input don't matter.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+#: Share of the mass that may be left where another round would move it.
+TOLERANCE = 0.01
 MARGIN = 2.0
 LEAST = 0.1
 BROADCAST_HOSTS = 100_000
@@ -67,19 +68,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, rank) of a personalised PageRank from staged seeds (host, seed), which sum to 1, over staged edges (src, dst, share), whose shares sum to 1 for each src."""
-    ways = staged(edges.select("src").distinct(), "ways")
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
     if edges.isEmpty():
-        return ranks
-    for k in range(rounds):
-        on = ranks.join(edges, ranks["host"] == edges["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        moved = ranks.join(ways, ranks["host"] == ways["src"], "left_semi").agg(F.sum("rank")).first()[0] or 0.0  # one number
-        back = seeds.select("host", (F.col("seed") * (1 - damping * moved)).alias("rank"))
-        ranks = on.unionByName(back).groupBy("host").agg(F.sum("rank").alias("rank"))
-        ranks = staged(ranks, f"ranks-{k}")
-    return ranks
+        return seeds.select("host", F.col("seed").alias("rank"))
+    none = F.lit(0.0)
+    ways = staged(edges.select(F.col("src").alias("host"), none.alias("rank"), none.alias("before"), F.lit(1).alias("way")).distinct(), "ways")
+    ranks = staged(_added(seeds.select("host", F.col("seed").alias("rank"), none.alias("before"), F.lit(0).alias("way")).unionByName(ways)), "ranks")
+    moved = ranks.agg(F.sum(F.when(F.col("way") > 0, F.col("rank")))).first()[0] or 0.0  # one number
+    for k in count():
+        on = ranks.where("rank > 0").join(edges, ranks["host"] == edges["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share") * damping).alias("rank"))
+        on = on.select(F.col("dst").alias("host"), "rank", none.alias("before"), F.lit(0).alias("way"))
+        back = seeds.select("host", (F.col("seed") * (1 - damping * moved)).alias("rank"), none.alias("before"), F.lit(0).alias("way"))
+        old = ranks.select("host", none.alias("rank"), F.col("rank").alias("before"), "way")
+        ranks = staged(_added(on.unionByName(back).unionByName(old)), f"ranks-{k}")
+        moved, change = ranks.agg(F.coalesce(F.sum(F.when(F.col("way") > 0, F.col("rank"))), none), F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), none)).first()
+        if change * damping / (1 - damping) <= tolerance:
+            return ranks.where("rank > 0").select("host", "rank")
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"), F.max("way").alias("way"))
 
 
 def _shares(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -87,7 +96,7 @@ def _shares(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return edges.join(out, F.col(src) == F.col("of")).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("weight") / F.col("all")).alias("share"))
 
 
-def host_verdicts(judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def host_verdicts(judged: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust and blocked for staged pages (host, ruled) and staged edges (src, dst, weight)."""
     hosts = judged.where("host <> ''").groupBy("host").agg(*[F.avg(F.coalesce((F.col("ruled") == v).cast("double"), F.lit(0.0))).alias(v) for v in ("allow", "block")])
     hosts = staged(hosts, "hosts")
@@ -97,7 +106,7 @@ def host_verdicts(judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS) ->
         if not total:
             return hosts.limit(0).select("host", F.lit(0.0).alias(v))
         seeds = staged(hosts.where(F.col(v) > 0).select("host", (F.col(v) / total).alias("seed")), "seeds")
-        return spread(seeds, staged(_shares(edges, src, dst), "shares"), rounds).withColumnRenamed("rank", v)
+        return spread(seeds, staged(_shares(edges, src, dst), "shares"), tolerance).withColumnRenamed("rank", v)
 
     trust = rank("allow", sums["a"], "src", "dst").select("host", F.col("allow").alias("trust"))
     distrust = rank("block", sums["b"], "dst", "src").select("host", F.col("block").alias("distrust"))
@@ -107,13 +116,13 @@ def host_verdicts(judged: DataFrame, edges: DataFrame, rounds: int = ROUNDS) ->
     return out.select("host", "trust", "distrust", blocked.alias("blocked"))
 
 
-def url_report(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def url_report(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict of each row."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     placed = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     edges = staged(host_edges(placed), "edges")
     judged = staged(placed.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled")), "judged")
-    blocked = staged(host_verdicts(judged, edges, rounds).where("blocked").select(F.col("host").alias("bad_host")), "blocked")
+    blocked = staged(host_verdicts(judged, edges, tolerance).where("blocked").select(F.col("host").alias("bad_host")), "blocked")
     rest = F.when(F.col("bad_host").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.join(small_or_not(blocked, BROADCAST_HOSTS), F.col("host") == F.col("bad_host"), "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", rest).alias("verdict"))
