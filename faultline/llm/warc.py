@@ -2,7 +2,8 @@
 
 A bundle is a file of independent Zstandard frames, each of whole records up to about FRAME_BYTES, and a seek
 table in a skippable frame at its end (the public seekable format: compressed and plain size of each frame, their number, a magic number). Any
-Zstandard reader reads the whole; a record is read by its frame and its place in it. Spark deals the pages,
+Zstandard reader reads the whole. The index maps a record to its bundle, the number of its frame and its place in that; the footer of the bundle says where
+the frame lies, and only that frame is opened. Spark deals the pages,
 each task writes one bundle, and its records' places come back as rows of the index.
 
 A file has a name of its own for each attempt, and the index names only files of attempts whose rows were committed, so lost or doubled
@@ -10,10 +11,11 @@ tasks leave at most files that nothing names. Files go through the file system o
 
 Payloads with equal bytes are told by SHA-1 and length. The response is the row with the smallest page_id, and the others
 revisit it without storing the payload again; counts are combined before the shuffle, so a payload of a
-third of all rows is one row for each task.
+third of all rows is one row for each task. Digests that occur again are broadcast up to BROADCAST_DIGESTS of them; beyond that
+digests meet without payloads, the hot ones apart, and a payload meets only the rows of its own page_id.
 
 Defined results: null html is an empty payload; null url gets an empty target; repeated rows of the smallest page_id
-are all responses; null page_ids never revisit nor are revisited while another row has an id; payloads under
+are all responses; long payloads are frames of their own; null page_ids never revisit nor are revisited while another row has an id; payloads under
 the least size for revisits are all responses; an empty table gives an empty result; other columns of the input don't matter.
 """
 
@@ -30,14 +32,18 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import bucket_count, join_hot, shared_dir, staged
 
 FRAME_BYTES = 1 << 18
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 #: The skippable frame and the seek table of the seekable format. Fixed values.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-INDEX = "page_id long, bundle string, frame int, frame_at long, frame_size int, offset int, length int"
+INDEX = "page_id long, bundle string, frame int, offset long, length long"
+#: Bytes of records that a task reads back, about.
+READ_BYTES = 1 << 24
+#: Digests that may be broadcast: about 70 bytes each.
+BROADCAST_DIGESTS = 200_000
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
@@ -79,12 +85,12 @@ class BundleWriter:
     def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = LEVEL):
         self.out, self.frame_bytes = out, frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True)
-        self.held, self.size, self.at = [], 0, 0
+        self.held, self.size = [], 0
         self.frames: list[tuple[int, int]] = []
-        self.places: list[list[int]] = []  # frame, its place and size in the file, the record's place and length in the frame
+        self.places: list[tuple[int, int, int]] = []  # frame, the record's place and length in it
 
     def add(self, raw: bytes) -> None:
-        self.places.append([len(self.frames), self.at, 0, self.size, len(raw)])
+        self.places.append((len(self.frames), self.size, len(raw)))
         self.held.append(raw)
         self.size += len(raw)
         if self.size >= self.frame_bytes:
@@ -94,10 +100,7 @@ class BundleWriter:
         if self.held:
             data = self.zstd.compress(b"".join(self.held))
             self.out.write(data)
-            for place in self.places[-len(self.held) :]:
-                place[2] = len(data)
             self.frames.append((len(data), self.size))
-            self.at += len(data)
             self.held, self.size = [], 0
 
     def close(self) -> None:
@@ -126,13 +129,25 @@ def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def read_record(bundle: str, frame_at: int, frame_size: int, offset: int, length: int) -> tuple[dict[str, str], bytes]:
-    """One record by its place: reads and opens one frame."""
-    system, path = _file_system(bundle)
-    with system.open_input_file(path) as f:
-        f.seek(frame_at)
-        plain = zstandard.ZstdDecompressor().decompress(f.read(frame_size))
-    return parsed(plain[offset : offset + length])
+class BundleReader:
+    """Opens a bundle's frames by its seek table, one at a time."""
+
+    def __init__(self, bundle: str):
+        system, path = _file_system(bundle)
+        self.file, self.zstd, self.frame, self.plain = system.open_input_file(path), zstandard.ZstdDecompressor(), -1, b""
+        self.frames = seek_table(self.file, self.file.size())
+
+    def record(self, frame: int, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+        if frame != self.frame:
+            at, packed, _ = self.frames[frame]
+            self.file.seek(at)
+            self.plain, self.frame = self.zstd.decompress(self.file.read(packed)), frame
+        return parsed(self.plain[offset : offset + length])
+
+
+def read_record(bundle: str, frame: int, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """One record by its entry in the index: reads the footer and one frame."""
+    return BundleReader(bundle).record(frame, offset, length)
 
 
 def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -155,7 +170,7 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES)
             writer.close()
             out.close()
             places = zip(*writer.places, strict=True)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            kinds = (pa.int32(), pa.int64(), pa.int64())
             columns = [pa.array(ids, pa.int64()), pa.array([f"{folder}/{name}"] * len(ids)), *(pa.array(x, k) for x, k in zip(places, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in INDEX.split(", ")])
 
@@ -166,18 +181,13 @@ def read_bundles(index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url and payload of each record of the index, read from the bundles, each frame once."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd, bundle, file, frame, plain = zstandard.ZstdDecompressor(), None, None, None, b""
+        bundle, reader = None, None
         for batch in batches:
-            names = ("bundle", "frame_at", "frame_size", "offset", "length")
             out: list[list] = [[] for _ in range(7)]
-            for own, at, size, offset, length in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+            for own, frame, offset, length in zip(*(batch.column(x).to_pylist() for x in ("bundle", "frame", "offset", "length")), strict=True):
                 if own != bundle:
-                    system, path = _file_system(own)
-                    file, bundle, frame = system.open_input_file(path), own, None
-                if at != frame:
-                    file.seek(at)
-                    plain, frame = zstd.decompress(file.read(size)), at
-                headers, payload = parsed(plain[offset : offset + length])
+                    bundle, reader = own, BundleReader(own)
+                headers, payload = reader.record(frame, offset, length)
                 number = [headers.get(x, "").removeprefix("<urn:page:").removesuffix(">") for x in ("warc-record-id", "warc-refers-to")]
                 values = (int(number[0]) if number[0] else None, int(headers["x-payload-length"]), headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"])
                 values += (int(number[1]) if number[1] else None, headers["warc-target-uri"], payload if headers["warc-type"] == "response" else None)
@@ -187,20 +197,25 @@ def read_bundles(index: DataFrame) -> DataFrame:
             keys = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload")
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=list(keys))
 
-    sorted_frames = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame_at", "offset")
+    tasks = bucket_count(index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0], READ_BYTES)
+    sorted_frames = index.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return sorted_frames.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (null for revisits), size, sha1, refers_to of each row: the shuffle carries each payload once for each row, or not at all."""
+    """page_id, url, payload (null for revisits), size, sha1, refers_to of each row."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"), F.octet_length(html).cast("long").alias("size"), F.sha1(html).alias("sha1"))
-    first = rows.select("page_id", "size", "sha1").groupBy("size", "sha1").agg(F.min("page_id").alias("first_id"))
-    first = first.select(F.col("size").alias("s"), F.col("sha1").alias("d"), "first_id")
-    joined = rows.join(first, (F.col("size") == F.col("s")) & (F.col("sha1") == F.col("d")))
-    again = (F.col("page_id") > F.col("first_id")) & (F.col("size") >= least_bytes)
-    refers_to = F.when(F.coalesce(again, F.lit(False)), F.col("first_id"))
-    return joined.select("page_id", "url", F.when(refers_to.isNull(), F.col("payload")).alias("payload"), "size", "sha1", refers_to.alias("refers_to"))
+    digests = staged(rows.select("page_id", "size", "sha1", F.concat_ws(":", "sha1", "size").alias("digest")), "digests")
+    first = digests.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    first = staged(first.where("n > 1 and first_id is not null").select("digest", "first_id"), "repeated-digests")
+    again = F.coalesce(F.col("page_id") > F.col("first_id"), F.lit(False))
+    if first.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        joined = rows.withColumn("digest", F.concat_ws(":", "sha1", "size")).join(F.broadcast(first), "digest", "left").withColumn("refers_to", F.when(again, F.col("first_id")))
+    else:
+        revisits = join_hot(digests, first, "digest", BROADCAST_DIGESTS).where(again).select("page_id", "sha1", F.col("first_id").alias("refers_to")).distinct()
+        joined = rows.join(revisits, ["page_id", "sha1"], "left")
+    return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "sha1", "refers_to")
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
