@@ -11,7 +11,7 @@ groups; then a pass over ranges is a pass over groups. A level brings about 2 **
 the input; the groups stay in Spark.
 
 Defined results: null text is empty, with size 1 as an empty one, and equal to it; texts of equal hash are one
-group; repeated rows are rows of their own with slots of their own; fewer groups than shards leave the last
+group; long texts count their bytes whole; groups of equal size have the order of their hashes; repeated rows are rows of their own with slots of their own, dealt by row number; fewer groups than shards leave the last
 shards empty; an empty table gives an empty result.
 """
 
@@ -141,7 +141,7 @@ def shard_rows(docs: DataFrame, shards: int, carry: list[str]) -> DataFrame:
     """carry's columns, key, size, text_crc32, shard and slot of each row; texts of equal hash share a shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = staged(
-        docs.select(*carry, F.xxhash64(text).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")), "sizes"
+        docs.select(*carry, F.xxhash64(text).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("row")), "sizes"
     )
     groups = staged(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
     cuts, _ = find_cuts(groups, shards)
@@ -149,7 +149,7 @@ def shard_rows(docs: DataFrame, shards: int, carry: list[str]) -> DataFrame:
     for first in cuts:
         shard = shard + (F.col("key") >= F.lit(first).cast("long")).cast("int")
     buckets = bucket_count(rows.count(), SLOT_ROWS)
-    rows = rows.withColumn("shard", shard).withColumn("bucket", F.pmod(F.xxhash64("key", *carry), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("shard", shard).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = staged(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
