@@ -40,6 +40,18 @@ def apfd_unsorted(df: DataFrame, before: Column, keys: list[str] = KEYS, label:
     return counts.select(*keys, apfd_of(first, F.col("n_tests")).alias("apfd"), "n_tests", F.coalesce("_positives", F.lit(0)).cast("long").alias("n_trigger_tests"))
 
 
+def apfd_by_scores(df: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    """strategy, project, bug, apfd, n_tests, n_trigger_tests of the orders by several scores (down, then test_method, test_class): two hash aggregations for all of them, no sort."""
+    keys = {f"_k{i}": score_key(s) for i, s in enumerate(scores.values())}
+    best = df.where("label = 1").groupBy(*KEYS).agg(*[F.min(k).alias(f"_b{i}") for i, k in enumerate(keys.values())])
+    joined = df.join(best, KEYS, "left")
+    ahead = [F.count_if(k < F.col(f"_b{i}")).alias(f"_a{i}") for i, k in enumerate(keys.values())]
+    counts = joined.groupBy(*KEYS).agg(*ahead, F.count("*").alias("n_tests"), F.sum("label").cast("long").alias("n_trigger_tests"))
+    first = [F.when(F.col("n_trigger_tests") > 0, F.col(f"_a{i}") + 1) for i in range(len(keys))]
+    each = F.array(*[F.struct(F.lit(name).alias("strategy"), apfd_of(f, F.col("n_tests")).alias("apfd")) for name, f in zip(scores, first, strict=True)])
+    return counts.select(F.inline(each), *KEYS, "n_tests", "n_trigger_tests").select("strategy", *KEYS, "apfd", "n_tests", "n_trigger_tests")
+
+
 def score_key(score: Column) -> Column:
     """The key of priority_rank's order, for apfd_unsorted."""
     return F.struct((-score).alias("s"), F.col("test_method"), F.col("test_class"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from faultline.functions.text import best_label, exact
+from faultline.sources.shared import staged
 
 OVERALL = "Overall"
 SIGNIFICANT = 0.05
@@ -114,8 +115,12 @@ def two_sided_p(z: pd.Series) -> pd.Series:
 
 
 def wilcoxon(long: DataFrame, strategies: list[str]) -> DataFrame:
-    """One row for each pair: wins, ties, means, w, z, p_value, significant, identical. Identical series aren't tested."""
-    paired = pairs(long, strategies)
+    """tested() of each two strategies of long results, whose pairs are staged once."""
+    return tested(staged(pairs(long, strategies), "pairs"))
+
+
+def tested(paired: DataFrame) -> DataFrame:
+    """One row for each pair of strategies of staged pairs: wins, ties, means, w, z, p_value, significant, identical. Identical series aren't tested."""
     tested = wins(paired).join(signed_ranks(paired), ["strategy_a", "strategy_b"], "left").withColumn("p_value", two_sided_p("z"))
     return tested.withColumn("significant", F.coalesce(F.col("p_value") < SIGNIFICANT, F.lit(False)))
 

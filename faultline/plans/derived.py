@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.features import build_features
+from faultline.sources.shared import staged
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,16 +53,22 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("project", "bug", "fixed_commit_date").distinct()
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project, bug, test_class, test_method, history, same_package, modified_classes_count, label.
+def dated_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the feature table, project, bug, fixed_commit_date of each change).
 
-    The four-way join runs once: tests and changes come from one aggregation by test, which is kept (and spills to disk) while both read it.
+    The four-way join runs once: tests, changes and dates come from one aggregation by test, which is staged while they read it.
     """
     each = lines(spark, sf_dir).groupBy("project", "bug", "fixed_commit_date", "test_class", "test_method")
-    each = each.agg(F.max(F.col("hit").cast("int")).alias("is_trigger"), F.max("touched").alias("touched")).persist(StorageLevel.MEMORY_AND_DISK)
+    each = staged(each.agg(F.max(F.col("hit").cast("int")).alias("is_trigger"), F.max("touched").alias("touched")), "tests")
     touched = F.sort_array(F.collect_set(F.when(F.col("touched"), F.col("test_class"))))
-    base = each.groupBy("project", "bug", "fixed_commit_date").agg(touched.alias("modified_classes"))
-    return build_features(each.drop("touched", "fixed_commit_date"), base.select("project", "bug", "modified_classes"), base.select("project", "bug", "fixed_commit_date"))
+    base = staged(each.groupBy("project", "bug", "fixed_commit_date").agg(touched.alias("modified_classes")), "changes")
+    dates = base.select("project", "bug", "fixed_commit_date")
+    return build_features(each.drop("touched", "fixed_commit_date"), base.select("project", "bug", "modified_classes"), dates), dates
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project, bug, test_class, test_method, history, same_package, modified_classes_count, label."""
+    return dated_features(spark, sf_dir)[0]
 
 
 #: The same tables in SQL, as the head of each query's SQL: li, t, ch, modi, f.

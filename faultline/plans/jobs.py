@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions.text import best_label
+from faultline.operators import stats
 from faultline.operators.features import build_features, modified_array
-from faultline.sources.files import read_parts
-from faultline.streaming.incremental import recompute_late
+from faultline.sources.files import overwrite, read_parts
+from faultline.sources.shared import new_path, staged
+from faultline.streaming.incremental import no_project_lost, recompute_late
 
 KEYS = ["project", "bug"]
 
@@ -27,6 +30,29 @@ def merge_parts(spark: SparkSession, pattern: str, dates: DataFrame) -> DataFram
 def add_missing(existing: DataFrame, new: DataFrame) -> DataFrame:
     """existing dated rows with new changes put in (rows of the same changes are replaced), history computed again where it can differ.
 
-    Both have fixed_commit_date, is_trigger and history.
+    Both have fixed_commit_date, is_trigger and history. A project that the result would lack is an error before anything is written.
     """
-    return recompute_late(existing.join(new.select(*KEYS).distinct(), KEYS, "left_anti"), new)
+    out = staged(recompute_late(existing.join(new.select(*KEYS).distinct(), KEYS, "left_anti"), new), "with-missing")
+    return no_project_lost(existing, out)
+
+
+def consolidate(long: DataFrame, strategies: list[str], folder: str | None = None) -> dict[str, DataFrame]:
+    """The tables long, wide (with best and worst), descriptive, best and pairwise of strategies' results, written under folder and read again.
+
+    The results and their pairs are staged once and read by all tables.
+    """
+    spark = long.sparkSession
+    folder = folder or new_path(spark, "consolidated")
+    long = staged(long, "long-results")
+    paired = staged(stats.pairs(long, strategies), "pairs")
+    wide = stats.wide(long, strategies)
+    tables = {
+        "long": long,
+        "wide": stats.best_and_worst(wide, strategies),
+        "descriptive": stats.describe_by_scope(long),
+        "best": wide.groupBy(best_label(strategies).alias("best")).agg(F.count("*").alias("n")),
+        "pairwise": stats.tested(paired),
+    }
+    for name, table in tables.items():
+        overwrite(table, f"{folder}/{name}")
+    return {name: spark.read.schema(table.schema).parquet(f"{folder}/{name}") for name, table in tables.items()}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from faultline.functions.text import best_label, exact
 from faultline.operators import classify, order, split, stats
-from faultline.plans import derived
+from faultline.plans import derived, jobs
 from faultline.plans.derived import sql
+from faultline.sources.shared import staged
 
 from . import query
 
@@ -19,8 +20,8 @@ KEYS = ["project", "bug"]
 
 
 def kept(df):
-    """df, kept while a query uses it more than once; spilled to disk where memory is short."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """df, written to the shared folder while a query uses it more than once."""
+    return staged(df, "kept")
 
 
 def ranked_sql(name: str, score: str) -> str:
@@ -103,7 +104,7 @@ SPLIT = """, sp0 AS (SELECT project, bug, q, max(is_trigger) = 1 AS has_trigger
 
 @query("W4_tail_split", sql(SPLIT + " SELECT project, bug, fixed_commit_date, has_trigger, side FROM sp"))
 def w4(spark, d):
-    return split.tail_split(derived.features(spark, d), derived.dates(spark, d))
+    return split.tail_split(*derived.dated_features(spark, d))
 
 
 @query("Q8_split_summary", sql(SPLIT + " SELECT project, count(*) AS total, count(*) FILTER (WHERE NOT has_trigger) AS no_trigger, count(*) FILTER (WHERE side = 'train') AS train, count(*) FILTER (WHERE side = 'test') AS test FROM sp GROUP BY ROLLUP (project)"))
@@ -113,8 +114,9 @@ def q8(spark, d):
 
 @query("P5_test_side_rows", sql(SPLIT + " SELECT f.project, f.bug, count(*) AS n, sum(label)::BIGINT AS positives FROM f JOIN sp ON f.project = sp.project AND f.bug = sp.bug WHERE side = 'test' GROUP BY ALL"))
 def p5(spark, d):
-    f = kept(derived.features(spark, d))
-    rows = split.on_side(f, split.tail_split(f, derived.dates(spark, d)), "test")
+    f, dates = derived.dated_features(spark, d)
+    f = kept(f)
+    rows = split.on_side(f, split.tail_split(f, dates), "test")
     return rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
 
 
@@ -136,15 +138,12 @@ LONG = (
 
 def long_results(spark, d):
     """strategy, project, bug, apfd (10 places), n_tests, n_trigger_tests of the test side's changes."""
-    f = kept(derived.features(spark, d))
-    sides = split.tail_split(f, derived.dates(spark, d))
-    test = kept(split.on_side(f, sides, "test"))
-    random = order.seed_summary(order.random_apfd(test, SEEDS)).withColumnRenamed("apfd_mean", "apfd").drop("apfd_std")
-    parts = [random.withColumn("strategy", F.lit("Random"))] + [apfd_of(test, s).withColumn("strategy", F.lit(k)) for k, s in SCORES.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("strategy", *KEYS, exact(F.col("apfd")).alias("apfd"), "n_tests", "n_trigger_tests")
+    f, dates = derived.dated_features(spark, d)
+    f = kept(f)
+    test = kept(split.on_side(f, split.tail_split(f, dates), "test"))
+    random = order.seed_summary(order.random_apfd(test, SEEDS)).withColumnRenamed("apfd_mean", "apfd").withColumn("strategy", F.lit("Random"))
+    scored = order.apfd_by_scores(test, {k: F.expr(s) for k, s in SCORES.items()})
+    return random.select(*scored.columns).unionByName(scored).select("strategy", *KEYS, exact(F.col("apfd")).alias("apfd"), "n_tests", "n_trigger_tests")
 
 
 @query("U1_long_results", sql(LONG + " SELECT strategy, project, bug, apfd FROM lg"))
@@ -154,9 +153,9 @@ def u1(spark, d):
 
 @query("J1_test_side_results", sql(ranked_sql("r", "history") + SPLIT + " SELECT r.project, r.bug, round_even(apfd, 10) AS apfd FROM r SEMI JOIN (SELECT * FROM sp WHERE side = 'test') x ON r.project = x.project AND r.bug = x.bug"))
 def j1(spark, d):
-    f = kept(derived.features(spark, d))
-    results = apfd_of(f, "history")
-    return split.on_side(results, split.tail_split(f, derived.dates(spark, d)), "test").select(*KEYS, exact(F.col("apfd")).alias("apfd"))
+    f, dates = derived.dated_features(spark, d)
+    f = kept(f)
+    return split.on_side(apfd_of(f, "history"), split.tail_split(f, dates), "test").select(*KEYS, exact(F.col("apfd")).alias("apfd"))
 
 
 @query("P7_undefined_results", sql(ranked_sql("r", "history") + " SELECT project, bug FROM r WHERE apfd IS NULL"))
@@ -239,14 +238,58 @@ def a8(spark, d):
     return out.select("strategy_a", "strategy_b", "n", *[F.col(c).cast("double").alias(c) for c in ("w_plus", "w_minus", "w")], exact(F.col("z"), 8).alias("z"))
 
 
-@query("A9_identical_series", sql(PAIRS + " SELECT strategy_a, strategy_b, bool_and(a IS NOT DISTINCT FROM b) AS identical, count(*) AS n FROM pr WHERE strategy_b = 'Combined' GROUP BY ALL"))
+@query("A9_identical_series", sql(PAIRS + ", again AS (SELECT * FROM pr UNION ALL SELECT strategy, 'Again', project, bug, lg.apfd, g.apfd FROM lg JOIN (SELECT project, bug, apfd FROM lg WHERE strategy = 'Combined') g USING (project, bug)) SELECT strategy_a, strategy_b, bool_and(a IS NOT DISTINCT FROM b) AS identical, count(*) AS n FROM again GROUP BY ALL"))
 def a9(spark, d):
-    return stats.wins(stats.pairs(kept(long_results(spark, d)), STRATEGIES)).where("strategy_b = 'Combined'").select("strategy_a", "strategy_b", "identical", F.col("n_pairs").alias("n"))
+    """Each two strategies, and each with a copy of the last one, which is identical to that."""
+    long = kept(long_results(spark, d))
+    both = long.unionByName(long.where("strategy = 'Combined'").withColumn("strategy", F.lit("Again")))
+    return stats.wins(stats.pairs(both, [*STRATEGIES, "Again"])).select("strategy_a", "strategy_b", "identical", F.col("n_pairs").alias("n"))
+
+
+#: The two-sided normal tail 1 - erf(|z| / sqrt 2), by the series of positive terms x ** (2 n + 1) 2 ** n / (2 n + 1)!!, and z of the signed ranks.
+Z = "(least(w_plus, w_minus) - n::DOUBLE * (n + 1) / 4) / sqrt((n::DOUBLE * (n + 1) * (2 * n + 1) - ties / 2) / 24)"
+TAIL = "(CASE WHEN z IS NULL THEN NULL ELSE 1 - coalesce(2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(0, 400), lambda i: exp((2 * i + 1) * ln(greatest(abs(z), 1e-300) / sqrt(2.0)) + (2 * i + 1) * ln(2) - lgamma(2 * i + 3) + lgamma(i + 2)))), 0) END)"
+TESTED = RANKS + f""", w AS (SELECT strategy_a, strategy_b, sum(n)::BIGINT AS n, sum(rank * n_plus) AS w_plus, sum(rank * (n - n_plus)) AS w_minus, sum(n::DOUBLE * n * n - n) AS ties FROM rk GROUP BY ALL),
+    zz AS (SELECT strategy_a, strategy_b, least(w_plus, w_minus)::DOUBLE AS w, {Z} AS z FROM w), pv AS (SELECT *, {TAIL} AS p_value FROM zz)"""
+PLACES = 8
+
+
+def tall_sql(table: str, keys: str, columns: dict[str, str], source: str) -> str:
+    each = ", ".join(f"struct_pack(measure := '{k}', value := ({v})::DOUBLE)" for k, v in columns.items())
+    return f"SELECT '{table}' AS tab, k AS key, m.measure AS measure, round_even(m.value, {PLACES}) AS value FROM (SELECT {keys} AS k, unnest([{each}]) AS m FROM {source})"
+
+
+DESCRIBED = ("mean", "median", "std", "min", "q25", "q75", "max", "count")
+PAIRED = ("wins_a", "wins_b", "ties", "n_pairs", "mean_a", "mean_b", "w", "z", "p_value")
+CONSOLIDATED = sql(
+    TESTED
+    + ", wd AS (" + WIDE.rsplit("wd AS (", 1)[1][:-1] + "), ds AS (SELECT coalesce(project, 'Overall') AS scope, strategy, " + STATS + " FROM lg GROUP BY GROUPING SETS ((strategy), (project, strategy)))"
+    + ", wn AS (SELECT strategy_a, strategy_b, count(*) FILTER (WHERE a > b) AS wins_a, count(*) FILTER (WHERE a < b) AS wins_b, count(*) FILTER (WHERE a = b) AS ties, count(*) AS n_pairs, round_even(avg(a), 4) AS mean_a, round_even(avg(b), 4) AS mean_b FROM pr GROUP BY ALL)"
+    + ", te AS (SELECT wn.*, w, z, p_value FROM wn LEFT JOIN pv USING (strategy_a, strategy_b))"
+    + ", bw AS (SELECT " + _label("greatest") + " AS best, count(*) AS n FROM wd GROUP BY ALL) "
+    + " UNION ALL ".join([
+        tall_sql("long", "strategy || '/' || project || '/' || bug", {"apfd": "apfd"}, "lg"),
+        tall_sql("wide", "project || '/' || bug", {s: f'"{s}"' for s in STRATEGIES}, "wd"),
+        tall_sql("descriptive", "scope || '/' || strategy", {c: c for c in DESCRIBED}, "ds"),
+        tall_sql("best", "best", {"n": "n"}, "bw"),
+        tall_sql("pairwise", "strategy_a || '/' || strategy_b", {c: c for c in PAIRED} | {"significant": "coalesce(p_value < 0.05, false)"}, "te"),
+    ])
+)
 
 
-@query("Q10_consolidate")
+@query("Q10_consolidate", CONSOLIDATED)
 def q10(spark, d):
-    return stats.wilcoxon(kept(long_results(spark, d)), STRATEGIES)
+    """All tables of the consolidation, as written and read again, one row for each value."""
+    found = jobs.consolidate(long_results(spark, d), STRATEGIES)
+
+    def tall(name: str, keys: list[str], columns: list[str]):
+        each = F.array(*[F.struct(F.lit(c).alias("measure"), F.bround(F.col(f"`{c}`").cast("double"), PLACES).alias("value")) for c in columns])
+        return found[name].select(F.lit(name).alias("tab"), F.concat_ws("/", *keys).alias("key"), F.inline(each))
+
+    out = tall("long", ["strategy", *KEYS], ["apfd"])
+    for part in (tall("wide", KEYS, STRATEGIES), tall("descriptive", ["scope", "strategy"], list(DESCRIBED)), tall("best", ["best"], ["n"]), tall("pairwise", ["strategy_a", "strategy_b"], [*PAIRED, "significant"])):
+        out = out.unionByName(part)
+    return out
 
 
 @query("A24_coverage", sql(LONG + ", e AS (SELECT project, bug, count(DISTINCT strategy) AS n FROM lg GROUP BY ALL), kk AS (SELECT count(DISTINCT strategy) AS s FROM lg) SELECT max(s) AS strategies, count(*) AS changes, count(*) FILTER (WHERE n = s) AS covered_by_all, count(*) = count(*) FILTER (WHERE n = s) AS complete FROM e, kk"))
@@ -272,8 +315,6 @@ def q14(spark, d):
 def o2(spark, d):
     means = long_results(spark, d).groupBy("strategy").agg(exact(F.avg("apfd"), 4).alias("mean"))
     index = F.array_position(F.array(*map(F.lit, STRATEGIES)), F.col("strategy"))
-    from pyspark.sql.window import Window
-
     return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean"), index)).cast("long"))  # one row for each strategy
 
 
@@ -380,10 +421,10 @@ def o1(spark, d):
     return apfd_of(derived.features(spark, d), "history").select(*KEYS, "n_tests", "n_trigger_tests").orderBy(*KEYS)
 
 
-@query("X2_two_sided_p")
+@query("X2_two_sided_p", sql(TESTED + f" SELECT strategy_a, strategy_b, round_even(z, {PLACES}) AS z, round_even(p_value, {PLACES}) AS p_value FROM pv"))
 def x2(spark, d):
     ranks = stats.signed_ranks(stats.pairs(kept(long_results(spark, d)), STRATEGIES))
-    return ranks.select("strategy_a", "strategy_b", "z", stats.two_sided_p("z").alias("p_value"))
+    return ranks.select("strategy_a", "strategy_b", exact(F.col("z"), PLACES).alias("z"), exact(stats.two_sided_p("z"), PLACES).alias("p_value"))
 
 
 @query("A23_outliers", sql(BOX.split("SELECT scope, strategy, n, round_even")[0] + " SELECT scope, strategy, project, bug, apfd FROM (SELECT 'Overall' AS scope, strategy, project, bug, apfd FROM lg UNION ALL SELECT project, strategy, project, bug, apfd FROM lg) x JOIN qt USING (scope, strategy) WHERE NOT (apfd >= q1 - 1.5 * (q3 - q1) AND apfd <= q3 + 1.5 * (q3 - q1))"))

@@ -8,6 +8,8 @@ from faultline.functions import text as X
 from faultline.operators import classify, enumerate_tests, features, labels
 from faultline.plans import derived
 from faultline.plans.derived import sql
+from faultline.sources import files
+from faultline.sources.shared import new_path, staged
 
 from . import query
 
@@ -249,20 +251,23 @@ def p10(spark, d):
 
 
 def listings_of(spark, d):
-    """Listing dumps of the parts' classes, fifty in a dump."""
+    """Listing dumps of the parts' classes, fifty files of them, written and read back. Odd sizes extend the class of the part before."""
     p = spark.read.parquet(f"{d}/part.parquet").where("p_name is not null")
-    block = F.concat(
-        F.lit("Classfile /x/C"), F.col("p_partkey"), F.lit(".class\npublic class\n  flags: (0x0021) ACC_PUBLIC"), F.when(F.col("p_size") % 5 == 0, ", ACC_ABSTRACT").otherwise(""),
-        F.lit("\n  this_class: #2   // org/foo/C"), F.col("p_partkey"), F.lit("\n  super_class: #3   // "), F.when(F.col("p_size") % 2 == 0, "java/lang/Object").otherwise(F.concat(F.lit("org/foo/C"), F.col("p_partkey") - 1)),
-        F.lit("\nConstant pool:\n{\n  public org.foo.C"), F.col("p_partkey"), F.lit("();\n    descriptor: ()V\n  public void run"), F.col("p_size"),
-        F.lit("() throws java.lang.Exception;\n    Code:\n         0: aload_0\n    RuntimeVisibleAnnotations:\n      0: #119(#158=c#142)\n        org.junit.Test(\n          expected=class Ljava/io/IOException;\n        )\n    Exceptions:\n      throws x\n  public static void helper(int);\n    Code:\n}\n"),
-    )
-    return p.groupBy((F.col("p_partkey") % 50).alias("dump")).agg(F.array_join(F.sort_array(F.collect_list(block)), "").alias("value")).select("value")
+    name = F.concat(F.lit("shop/items/Part"), F.col("p_partkey"))
+    over = F.when(F.col("p_size") % 2 == 0, "java/lang/Object").otherwise(F.concat(F.lit("shop/items/Part"), F.col("p_partkey") - 1))
+    head = F.concat(F.lit("Classfile /shop/"), name, F.lit(".class\npublic class\n  flags: (0x0021) ACC_PUBLIC"), F.when(F.col("p_size") % 5 == 0, ", ACC_ABSTRACT").otherwise(""), F.lit("\n  this_class: #7   // "), name, F.lit("\n  super_class: #8   // "), over)
+    own = F.concat(F.lit("\nConstant pool:\n{\n  public "), F.replace(name, F.lit("/"), F.lit(".")), F.lit("();\n    descriptor: ()V\n  public void run"), F.col("p_size"))
+    marked = F.lit("() throws shop.items.Sold;\n    Code:\n         0: return\n    RuntimeVisibleAnnotations:\n      0: #21(#22=I#23)\n        org.junit.Test(\n          timeout=90\n        )\n    Exceptions:\n      throws shop.items.Sold\n")
+    block = F.concat(head, own, marked, F.lit("  public static void helper(int);\n    Code:\n}\n"))
+    dumps = p.groupBy((F.col("p_partkey") % 50).alias("dump")).agg(F.array_join(F.sort_array(F.collect_list(block)), "").alias("content"))
+    base = new_path(spark, "listings")
+    files.write_texts(dumps.select(F.concat(F.lit("dump-"), F.col("dump"), F.lit(".txt")).alias("path"), "content"), base)
+    return files.read_listings(spark, f"{base}/*.txt")
 
 
 @query(
     "S8_class_listings",
-    "SELECT 'org.foo.C' || p_partkey AS class_name, CASE WHEN p_size % 2 = 1 THEN 'org.foo.C' || (p_partkey - 1) END AS superclass, p_size % 5 = 0 AS is_abstract FROM part WHERE p_name IS NOT NULL",
+    "SELECT 'shop.items.Part' || p_partkey AS class_name, CASE WHEN p_size % 2 = 1 THEN 'shop.items.Part' || (p_partkey - 1) END AS superclass, p_size % 5 = 0 AS is_abstract FROM part WHERE p_name IS NOT NULL",
 )
 def s8(spark, d):
     return enumerate_tests.class_info(enumerate_tests.block_lines(enumerate_tests.class_blocks(listings_of(spark, d))))
@@ -270,7 +275,7 @@ def s8(spark, d):
 
 @query(
     "F12_listing_methods",
-    """SELECT 'org.foo.C' || p_partkey AS class_name, m.name, true AS is_public, m.name = 'helper' AS is_static, m.name = 'helper' AS has_params, CASE WHEN m.name = 'helper' THEN '' ELSE 'org.junit.Test' END AS annotations
+    """SELECT 'shop.items.Part' || p_partkey AS class_name, m.name, true AS is_public, m.name = 'helper' AS is_static, m.name = 'helper' AS has_params, CASE WHEN m.name = 'helper' THEN '' ELSE 'org.junit.Test' END AS annotations
     FROM part, LATERAL (SELECT unnest(['run' || p_size, 'helper']) AS name) m WHERE p_name IS NOT NULL""",
 )
 def f12(spark, d):
@@ -278,12 +283,16 @@ def f12(spark, d):
     return found.withColumn("annotations", F.array_join("annotations", ","))
 
 
-@query("Q3_enumerate_tests", """SELECT 'org.foo.C' || p_partkey AS test_class, 'run' || p_size AS test_method FROM part WHERE p_name IS NOT NULL AND p_size % 5 <> 0 AND p_size % 2 = 0""")
+@query(
+    "Q3_enumerate_tests",
+    """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size AS s FROM part WHERE p_name IS NOT NULL), up AS (SELECT k, k AS a, s AS size, 0 AS depth FROM p UNION ALL SELECT up.k, p.k, p.s, depth + 1 FROM up JOIN p ON p.k = up.a - 1 WHERE up.size % 2 = 1 AND depth < 19)
+    SELECT DISTINCT 'shop.items.Part' || up.k AS test_class, 'run' || up.size AS test_method FROM up JOIN p ON p.k = up.k WHERE p.s % 5 <> 0""",
+)
 def q3(spark, d):
-    lines = enumerate_tests.block_lines(enumerate_tests.class_blocks(listings_of(spark, d)))
-    classes = enumerate_tests.class_info(lines)
-    found = enumerate_tests.inherited_tests(classes, enumerate_tests.method_info(lines), enumerate_tests.superclass_closure(classes))
-    return found.join(classes.where("superclass is null").select(F.col("class_name").alias("test_class")), "test_class", "left_semi")
+    """Listing files to the tests of each class, its own and inherited ones."""
+    lines = staged(enumerate_tests.block_lines(enumerate_tests.class_blocks(listings_of(spark, d))), "listing-lines")
+    classes = staged(enumerate_tests.class_info(lines), "classes")
+    return enumerate_tests.inherited_tests(classes, enumerate_tests.method_info(lines), enumerate_tests.superclass_closure(classes))
 
 
 @query("Q2_report_last_attempt", sql(REPORT.replace("SELECT project, bug, CASE", "SELECT project, bug, 1::BIGINT AS attempt, CASE", 1).replace(" AS missing FROM n", " AS missing FROM n")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from faultline.operators import features
 from faultline.plans import derived, jobs
 from faultline.plans.derived import sql
-from faultline.sources import files
+from faultline.sources.files import append, done_keys
+from faultline.sources.shared import new_path, staged
 from faultline.streaming import incremental
 
 from . import query
@@ -20,7 +21,7 @@ def dated(spark, d):
 
 
 def stored(spark, df, name):
-    path = files.scratch(spark, name)
+    path = new_path(spark, name)
     df.write.parquet(path)
     return path
 
@@ -33,15 +34,12 @@ def p9(spark, d):
 
 @query("P9_id_range", sql(" SELECT project, bug FROM ch WHERE bug BETWEEN 7970 AND 7980"))
 def p9_range(spark, d):
-    return derived.dates(spark, d).where(F.col("bug").between(7970, 7980)).select("project", "bug")
+    return incremental.id_range(derived.dates(spark, d).select("project", "bug"), "7970-7980")
 
 
 @query("W9_first_changes", sql(", x AS (SELECT project, bug, row_number() OVER (PARTITION BY project ORDER BY bug) AS k FROM ch) SELECT project, bug FROM x WHERE k <= 3"))
 def w9(spark, d):
-    from pyspark.sql.window import Window
-
-    first = F.row_number().over(Window.partitionBy("project").orderBy("bug"))
-    return derived.dates(spark, d).withColumn("k", first).where("k <= 3").select("project", "bug")
+    return incremental.first_changes(derived.dates(spark, d).select("project", "bug"), 3)
 
 
 @query("J2_drop_changes", sql(" SELECT project, bug, count(*) AS n FROM t WHERE bug % 3 <> 0 GROUP BY ALL"))
@@ -65,16 +63,16 @@ def j3_present(spark, d):
 
 @query("J4_resume", sql(" SELECT project, bug, count(*) AS n FROM t GROUP BY ALL"))
 def j4(spark, d):
-    path = files.scratch(spark, "resume")
+    path = new_path(spark, "resume")
     t = derived.tests(spark, d)
-    files.append(t.where("bug % 3 <> 0"), path)
-    files.append(incremental.not_done(t, files.done_keys(spark, path)), path)
+    append(t.where("bug % 3 <> 0"), path)
+    append(incremental.not_done(t, done_keys(spark, path)), path)
     return spark.read.parquet(path).groupBy("project", "bug").agg(F.count("*").alias("n"))
 
 
 @query("T1_stream_ingest", sql(" SELECT project, bug, test_class, test_method, is_trigger FROM t"))
 def t1(spark, d):
-    source, sink, check = stored(spark, derived.tests(spark, d).repartition(4, "project", "bug"), "stream"), files.scratch(spark, "sink"), files.scratch(spark, "check")
+    source, sink, check = stored(spark, derived.tests(spark, d).repartition(4, "project", "bug"), "stream"), new_path(spark, "sink"), new_path(spark, "check")
     stream = incremental.replay(spark, source, "project string, bug long, test_class string, test_method string, is_trigger int", 2)
     incremental.ingest(stream, sink, check).awaitTermination()
     incremental.ingest(incremental.replay(spark, source, "project string, bug long, test_class string, test_method string, is_trigger int", 4), sink, check + "-2").awaitTermination()  # a second run adds nothing
@@ -83,18 +81,19 @@ def t1(spark, d):
 
 @query("T2_running_history", sql(HISTORY))
 def t2(spark, d):
-    source, sink, check = files.scratch(spark, "stream"), files.scratch(spark, "sink"), files.scratch(spark, "check")
-    rows = dated(spark, d).select("project", "bug", "test_class", "test_method", "fixed_commit_date", F.col("is_trigger").cast("long").alias("is_trigger")).persist()
-    for k in range(3):  # three arrivals in date order
-        low, high = 7900 + 60 * k, 7900 + 60 * (k + 1)
-        rows.where((F.col("fixed_commit_date") - 60 >= low) & (F.col("fixed_commit_date") - 60 < high) if k else F.col("fixed_commit_date") < 8020).coalesce(1).write.mode("append").parquet(source)
+    source, sink, check = new_path(spark, "stream"), new_path(spark, "sink"), new_path(spark, "check")
+    rows = staged(dated(spark, d).select("project", "bug", "test_class", "test_method", "fixed_commit_date", F.col("is_trigger").cast("long").alias("is_trigger")), "dated")
+    third = F.percentile("fixed_commit_date", F.array(F.lit(1 / 3), F.lit(2 / 3)))
+    low, high = rows.select("fixed_commit_date").distinct().agg(third).first()[0] or (0, 0)  # two numbers
+    arrivals = [F.col("fixed_commit_date") <= low, (F.col("fixed_commit_date") > low) & (F.col("fixed_commit_date") <= high), F.col("fixed_commit_date") > high]
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = incremental.replay(spark, source, "project string, bug long, test_class string, test_method string, fixed_commit_date long, is_trigger long", 1)
-        running = incremental.running_history(stream)
-        running.writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        for arrived in arrivals:  # in date order; each is a batch, and its state goes on to the next
+            rows.where(arrived).write.mode("append").parquet(source)
+            stream = incremental.replay(spark, source, "project string, bug long, test_class string, test_method string, fixed_commit_date long, is_trigger long", 1_000_000)
+            incremental.running_history(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     return spark.read.parquet(sink).select("project", "bug", "test_class", "test_method", "history")
@@ -102,7 +101,7 @@ def t2(spark, d):
 
 @query("T3_late_changes", sql(HISTORY))
 def t3(spark, d):
-    rows = dated(spark, d).persist()
+    rows = staged(dated(spark, d), "dated")
     early = features.history(rows.where("not (project = 'MACHINERY' and fixed_commit_date % 4 = 1)"))
     return incremental.recompute_late(early, rows.where("project = 'MACHINERY' and fixed_commit_date % 4 = 1").withColumn("history", F.lit(0))).select("project", "bug", "test_class", "test_method", "history")
 
@@ -116,7 +115,7 @@ def t4(spark, d):
 
 @query("T5_partition_overwrite", sql(" SELECT project, sum(is_trigger + CASE WHEN project = 'BUILDING' THEN 1 ELSE 0 END)::BIGINT AS total FROM t GROUP BY ALL"))
 def t5(spark, d):
-    path = files.scratch(spark, "projects")
+    path = new_path(spark, "projects")
     t = derived.tests(spark, d)
     incremental.write_projects(t, path)
     incremental.write_projects(t.where("project = 'BUILDING'").withColumn("is_trigger", F.col("is_trigger") + 1), path)
@@ -125,13 +124,17 @@ def t5(spark, d):
 
 @query("Q6_add_missing_changes", sql(HISTORY))
 def q6(spark, d):
-    rows = features.history(dated(spark, d)).persist()
+    rows = staged(features.history(dated(spark, d)), "with-history")
     first = features.history(rows.where("bug % 6 <> 0").drop("history"))
     return jobs.add_missing(first, rows.where("bug % 6 = 0").withColumn("history", F.lit(-1).cast("long"))).select("project", "bug", "test_class", "test_method", "history")
 
 
 @query("T1_event_counts", "SELECT event_type AS project, (epoch_ms(ts) // 86400000)::BIGINT AS bug, count(*) AS n FROM events GROUP BY ALL")
 def t1_events(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
+    """The events as a stream of files, counted over its batches."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_type", "ts")
+    source, sink, check = stored(spark, events.repartition(4), "events"), new_path(spark, "counts"), new_path(spark, "check")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
     day = F.expr("unix_millis(cast(ts as timestamp)) div 86400000").alias("bug")
-    return e.groupBy(F.col("event_type").alias("project"), day).agg(F.count("*").alias("n"))
+    incremental.counted(stream, [F.col("event_type").alias("project"), day], sink, check).awaitTermination()
+    return spark.read.parquet(sink)

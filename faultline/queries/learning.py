@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from faultline.ml import forest
 from faultline.operators import classify, order, split, stats
 from faultline.plans import derived
 from faultline.plans.derived import sql
+from faultline.sources.shared import new_path, staged
 
-from . import query
+from . import evaluation, query
 
 TREES = {"numTrees": 20, "maxDepth": 5}
 #: A small grid for the registered query; forest.GRID is the full one.
@@ -18,9 +19,10 @@ SMALL_GRID = {"numTrees": [10], "maxDepth": [3, 5], "minInstancesPerNode": [1]}
 
 
 def sides(spark, d):
-    f = derived.features(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    s = split.tail_split(f, derived.dates(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)
-    return split.on_side(f, s, "train"), split.on_side(f, s, "test")
+    f, dates = derived.dated_features(spark, d)
+    f = staged(f, "features")
+    s = staged(split.tail_split(f, dates), "split")
+    return staged(split.on_side(f, s, "train"), "train"), staged(split.on_side(f, s, "test"), "test")
 
 
 @query("Q9_forest_apfd")
@@ -54,7 +56,7 @@ def m4(spark, d):
 @query("Q11_classification")
 def q11(spark, d):
     train, test = sides(spark, d)
-    scored = forest.score(forest.fit(train, **TREES), test).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = staged(forest.score(forest.fit(train, **TREES), test), "scored")
     mean, std = classify.fold_summary(forest.fold_auc(train, 3, **TREES)).first()  # one row
     return classify.auc(scored).select(F.bround("auc", 4).alias("test_auc"), F.lit(mean).alias("cv_auc_mean"), F.lit(std).alias("cv_auc_std"))
 
@@ -68,10 +70,9 @@ def m6(spark, d):
 @query("Q12_ablation_summary")
 def q12(spark, d):
     train, test = sides(spark, d)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
     variants = forest.ablation(train, test, **TREES)
     baseline = order.apfd(order.priority_rank(test, F.col("same_package"))).withColumn("strategy", F.lit("Same-Package"))
-    both = variants.unionByName(baseline).persist(StorageLevel.MEMORY_AND_DISK)
+    both = staged(variants.unionByName(baseline), "variants")
     return stats.wilcoxon(both, [*forest.VARIANTS, "Same-Package"])
 
 
@@ -83,10 +84,8 @@ def m7(spark, d):
 
 @query("S14_saved_model")
 def s14(spark, d):
-    from faultline.sources.files import scratch
-
     train, test = sides(spark, d)
-    path = scratch(spark, "model")
+    path = new_path(spark, "model")
     forest.save(forest.fit(train, **TREES, minInstancesPerNode=1), {"params": TREES | {"minInstancesPerNode": 1}}, path)
     model, report = forest.load(spark, path)
     return forest.score(model, test).groupBy("project", "bug").agg(F.sum("predicted").alias("predicted"), F.count("*").alias("n"))
@@ -96,3 +95,15 @@ def s14(spark, d):
 def m1(spark, d):
     train, _ = sides(spark, d)
     return classify.balanced_weights(train).groupBy("label", "weight").agg(F.count("*").alias("n"))
+
+
+@query("M3_fold_scores", evaluation.sql(evaluation.SCORED + ", x AS (SELECT project, score, predicted, label FROM sf), s AS (SELECT project, 2.0::DOUBLE * sum(predicted * label) / nullif(sum(predicted) + sum(label), 0) AS f1 FROM x GROUP BY ALL), sc AS (SELECT project, score, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM x GROUP BY ALL), cm AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY project ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below FROM sc), au AS (SELECT project, " + evaluation.AUC + " AS auc FROM cm GROUP BY project) SELECT project, round_even(f1, 8) AS f1, round_even(auc, 8) AS roc_auc FROM s JOIN au USING (project)"))
+def m3(spark, d):
+    """What the search's evaluators say of stored scores, for each project as a fold."""
+    rows = staged(evaluation.scored(spark, d), "scored")
+    rows = rows.withColumn("prediction", F.col("predicted").cast("double")).withColumn("probability", array_to_vector(F.array(F.lit(0.0), F.col("score").cast("double")))).withColumn("label", F.col("label").cast("double"))
+    out = []
+    for (project,) in sorted(rows.select("project").distinct().collect()):  # a row for each fold
+        fold = rows.where(F.col("project") == project)
+        out.append((project, *[round(forest.evaluator(s).evaluate(fold), 8) for s in ("f1", "roc_auc")]))
+    return spark.createDataFrame(out, "project string, f1 double, roc_auc double")

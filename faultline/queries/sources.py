@@ -8,8 +8,10 @@ from faultline.functions.text import semicolon_list
 from faultline.operators import labels, split
 from faultline.plans import derived
 from faultline.plans.derived import sql
+from faultline.plans.jobs import merge_parts
 from faultline.schema import FEATURES
 from faultline.sources import files
+from faultline.sources.shared import new_path, staged
 
 from . import query
 from .evaluation import SPLIT
@@ -20,21 +22,21 @@ F_COLUMNS = "project, bug, test_class, test_method, history, same_package, modif
 
 @query("S1_feature_csv", sql(f" SELECT {F_COLUMNS} FROM f"))
 def s1(spark, d):
-    path = files.scratch(spark, "features") + ".csv"
+    path = new_path(spark, "features") + ".csv"
     files.overwrite(derived.features(spark, d), path, "csv")
     return files.read_features(spark, path)
 
 
 @query("S9_feature_parquet", sql(f" SELECT {F_COLUMNS} FROM f WHERE same_package = 1"))
 def s9(spark, d):
-    path = files.scratch(spark, "features")
+    path = new_path(spark, "features")
     files.overwrite(derived.features(spark, d), path)
     return files.read_features(spark, path).where("same_package = 1")
 
 
 @query("S2_done_keys", sql(" SELECT DISTINCT project, bug FROM t"))
 def s2(spark, d):
-    path = files.scratch(spark, "done")
+    path = new_path(spark, "done")
     files.append(derived.tests(spark, d), path)
     return files.done_keys(spark, path)
 
@@ -47,8 +49,8 @@ def intermediate(spark, d):
 
 @query("S3_part_files", sql(" SELECT 'intermediate_' || project || '.csv' AS part, count(*) AS rows FROM t GROUP BY ALL"))
 def s3(spark, d):
-    base = files.scratch(spark, "parts")
-    rows = intermediate(spark, d).persist()
+    base = new_path(spark, "parts")
+    rows = staged(intermediate(spark, d), "intermediate")
     for (project,) in rows.select("project").distinct().collect():  # one part for each project
         files.overwrite(rows.where(F.col("project") == project), f"{base}/intermediate_{project}.csv", "csv")
     return files.part_counts(files.read_parts(spark, f"{base}/intermediate_*.csv"))
@@ -56,7 +58,7 @@ def s3(spark, d):
 
 @query("S3_parts_modified_lists", sql(" SELECT t.project, t.bug, modified_classes_count AS listed, count(*) AS n FROM t JOIN ch ON t.project = ch.project AND t.bug = ch.bug GROUP BY ALL"))
 def s3_lists(spark, d):
-    path = files.scratch(spark, "parts") + "/intermediate_all.csv"
+    path = new_path(spark, "parts") + "/intermediate_all.csv"
     files.overwrite(intermediate(spark, d), path, "csv")
     rows = files.read_parts(spark, path)
     return rows.groupBy("project", "bug", F.size(semicolon_list(F.col("modified_classes"))).alias("listed")).agg(F.count("*").alias("n"))
@@ -73,14 +75,14 @@ def w5(spark, d):
 
 @query("S4_split_file", sql(SPLIT + " SELECT side, project, bug FROM sp"))
 def s4(spark, d):
-    path = files.scratch(spark, "split")
-    files.write_split(split.tail_split(derived.features(spark, d), derived.dates(spark, d)), path)
+    path = new_path(spark, "split")
+    files.write_split(split.tail_split(*derived.dated_features(spark, d)), path)
     return files.read_split(spark, path)
 
 
 @query("S13_split_json", sql(SPLIT + " SELECT side, project, count(*) AS n, min(bug) AS first_id, max(bug) AS last_id FROM sp GROUP BY ALL"))
 def s13(spark, d):
-    value = files.split_json(split.tail_split(derived.features(spark, d), derived.dates(spark, d)))
+    value = files.split_json(split.tail_split(*derived.dated_features(spark, d)))
     parsed = value.select(F.from_json("value", "train map<string,array<long>>, test map<string,array<long>>").alias("s"))
     sides = parsed.select(F.explode(F.create_map(F.lit("train"), F.col("s.train"), F.lit("test"), F.col("s.test"))).alias("side", "m")).select("side", F.explode("m").alias("project", "ids"))
     return sides.select("side", "project", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
@@ -88,7 +90,7 @@ def s13(spark, d):
 
 @query("S5_commit_dates", sql(" SELECT project, bug, fixed_commit_date, 'r' || bug AS fixed_revision FROM ch"))
 def s5(spark, d):
-    path = files.scratch(spark, "dates")
+    path = new_path(spark, "dates")
     dates = derived.dates(spark, d).withColumn("fixed_revision", F.concat(F.lit("r"), F.col("bug")))
     files.export_sorted(dates, path, ["project", "bug", "fixed_commit_date", "fixed_revision"], ["project", "bug"])
     return files.read_dates(spark, path)
@@ -96,28 +98,27 @@ def s5(spark, d):
 
 @query("S6_active_changes", sql(" SELECT project, bug, 'r' || bug AS revision FROM ch"))
 def s6(spark, d):
-    base = files.scratch(spark, "active")
-    rows = derived.dates(spark, d).select("project", F.col("bug").alias("bug.id"), F.concat(F.lit("r"), F.col("bug")).alias("revision.id.fixed")).persist()
+    base = new_path(spark, "active")
+    rows = derived.dates(spark, d).select("project", F.col("bug").alias("bug.id"), F.concat(F.lit("r"), F.col("bug")).alias("revision_id_fixed"))
+    rows = staged(rows.withColumnRenamed("bug.id", "id"), "active")
     for (project,) in rows.select("project").distinct().collect():  # one list for each project
-        rows.where(F.col("project") == project).drop("project").coalesce(1).write.option("header", True).csv(f"{base}/{project}/active-bugs.csv")
+        rows.where(F.col("project") == project).select(F.col("id").alias("bug.id"), F.col("revision_id_fixed").alias("revision.id.fixed")).coalesce(1).write.option("header", True).csv(f"{base}/{project}/active-bugs.csv")
     return files.active_changes(spark, f"{base}/*/active-bugs.csv")
 
 
-@query("S7_property_files", sql(", n AS (SELECT project, bug, sum(is_trigger * CASE WHEN bug % 4 = 0 THEN 2 ELSE 1 END)::INT AS n FROM t WHERE project = 'MACHINERY' GROUP BY ALL) SELECT n.project, n.bug, n.n AS triggers, ch.modified_classes_count AS modified FROM n JOIN ch ON n.project = ch.project AND n.bug = ch.bug"))
+@query("S7_property_files", sql(", n AS (SELECT project, bug, sum(is_trigger * CASE WHEN bug % 4 = 0 THEN 2 ELSE 1 END)::INT AS n FROM t GROUP BY ALL) SELECT n.project, n.bug, n.n AS triggers, ch.modified_classes_count AS modified FROM n JOIN ch ON n.project = ch.project AND n.bug = ch.bug"))
 def s7(spark, d):
-    base = files.scratch(spark, "properties")
-    meta = meta_of(spark, d).where("project = 'MACHINERY'")
-    for p, c in labels.PROPERTIES.items():
-        lines = meta.select(F.concat_ws("/", F.lit(base), "project", "bug", F.lit(p)).alias("at"), F.concat("project", F.lit("|"), "bug", F.lit(f"|{p}|"), F.array_join(c, "\n")).alias("value"))
-        lines.select("value").write.option("lineSep", "\x01").text(f"{base}/{p}")
-    raw = spark.read.option("lineSep", "\x01").text([f"{base}/{p}" for p in labels.PROPERTIES])
-    found = raw.select(*[F.regexp_extract("value", r"(?s)^([^|]*)\|([^|]*)\|([^|]*)\|(.*)$", i).alias(n) for i, n in enumerate(("project", "bug", "property", "content"), 1)]).withColumn("bug", F.col("bug").cast("long"))
+    """Each change's properties as files at project/bug/property, read back."""
+    base, meta = new_path(spark, "properties"), meta_of(spark, d)
+    each = F.inline(F.array(*[F.struct(F.lit(p).alias("property"), F.concat(F.array_join(c, "\n"), F.lit("\n")).alias("content")) for p, c in labels.PROPERTIES.items()]))
+    files.write_texts(meta.select("project", "bug", each).select(F.concat_ws("/", "project", "bug", "property").alias("path"), "content"), base)
+    found = files.read_properties(spark, f"{base}/*/*/*")
     return labels.metadata(found).select("project", "bug", F.size("trigger_tests").alias("triggers"), F.size("modified_classes").alias("modified"))
 
 
 @query("S10_append", sql(" SELECT project, count(*) AS n FROM t GROUP BY ALL"))
 def s10(spark, d):
-    path = files.scratch(spark, "sink")
+    path = new_path(spark, "sink")
     t = derived.tests(spark, d)
     files.append(t.where("bug % 2 = 0"), path)
     files.append(t.where("bug % 2 = 1"), path)
@@ -126,7 +127,7 @@ def s10(spark, d):
 
 @query("S11_append_report", sql(" SELECT project, bug, 'ok' AS status, 1::BIGINT AS attempt FROM ch WHERE fixed_commit_date % 2 = 0 UNION ALL SELECT project, bug, 'falhou', 0 FROM ch WHERE fixed_commit_date % 2 = 1"))
 def s11(spark, d):
-    path = files.scratch(spark, "report")
+    path = new_path(spark, "report")
     ch = derived.dates(spark, d)
     row = [F.lit("").alias("reason"), *[F.lit(0).cast("long").alias(c) for c in ("n_tests", "n_triggers_expected", "n_triggers_labeled")]]
     files.append_report(ch.select("project", "bug", F.lit("falhou").alias("status"), *row), path)
@@ -136,7 +137,7 @@ def s11(spark, d):
 
 @query("S12_sorted_export", sql(" SELECT row_number() OVER (ORDER BY project, bug) - 1 AS line, project, bug FROM ch"))
 def s12(spark, d):
-    path = files.scratch(spark, "export")
+    path = new_path(spark, "export")
     files.export_sorted(derived.dates(spark, d), path, ["project", "bug"], ["project", "bug"])
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.btrim("value", F.lit("\n")), "\n")).alias("line", "v")).where("line > 0")
     return lines.select((F.col("line") - 1).cast("long").alias("line"), F.get(F.split("v", ","), F.lit(0)).alias("project"), F.get(F.split("v", ","), F.lit(1)).cast("long").alias("bug"))
@@ -144,10 +145,8 @@ def s12(spark, d):
 
 @query("Q5_merge_parts", sql(f" SELECT {F_COLUMNS} FROM f"))
 def q5(spark, d):
-    from faultline.plans.jobs import merge_parts
-
-    base = files.scratch(spark, "merge")
-    rows = intermediate(spark, d).persist()
+    base = new_path(spark, "merge")
+    rows = staged(intermediate(spark, d), "intermediate")
     files.overwrite(rows.where("bug % 2 = 0"), f"{base}/intermediate_a.csv", "csv")
     files.overwrite(rows, f"{base}/intermediate_b.csv", "csv")
     return merge_parts(spark, f"{base}/intermediate_*.csv", derived.dates(spark, d)).select(*FEATURES.names)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,14 +75,14 @@ def active_changes(spark: SparkSession, pattern: str) -> DataFrame:
 
 def read_properties(spark: SparkSession, pattern: str) -> DataFrame:
     """project, bug, property, content of text files at <project>/<bug>/<property>."""
-    raw = spark.read.option("wholetext", True).text(pattern)
+    raw = spark.read.text(pattern, wholetext=True)
     at = F.col("_metadata.file_path")
     return raw.select(*[F.regexp_extract(at, r"([^/]+)/(\d+)/([^/]+)$", i).alias(n) for i, n in ((1, "project"), (2, "bug"), (3, "property"))], F.col("value").alias("content")).withColumn("bug", F.col("bug").cast("long"))
 
 
 def read_listings(spark: SparkSession, pattern: str) -> DataFrame:
     """Class-listing dumps, a file a row."""
-    return spark.read.option("wholetext", True).text(pattern)
+    return spark.read.text(pattern, wholetext=True)
 
 
 def overwrite(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -99,7 +103,7 @@ def append_report(df: DataFrame, path: str) -> None:
 
 
 def export_sorted(df: DataFrame, path: str, columns: list[str], by: list[str]) -> None:
-    """One CSV file of a small table with fixed columns, sorted."""
+    """One CSV file of a table with a row for each change, with fixed columns, sorted: one task, which spills where they are many."""
     df.select(*columns).coalesce(1).sortWithinPartitions(*by).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -108,9 +112,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the session's shared folder."""
-    import uuid
+def write_texts(df: DataFrame, folder: str) -> None:
+    """A file for each row (path, content), at path under folder, written by the tasks that hold the rows; a row written twice is the same file."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}", compression=None) as f:
+                    f.write((content or "").encode())
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["path"])
 
-    base = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.window import Window
 
 from faultline.operators.features import history
 from faultline.schema import L, S, struct
 from faultline.sources.files import append, done_keys
+from faultline.sources.shared import staged
 
 KEYS = ["project", "bug"]
 
@@ -24,7 +26,23 @@ def parse_specs(specs: DataFrame, column: str = "spec") -> DataFrame:
     parts = specs.select(checked.alias("s")).select(F.btrim(F.regexp_extract("s", "^([^:]+):", 1)).alias("project"), F.explode(F.split(F.regexp_extract("s", ":(.*)$", 1), ",")).alias("range"))
     lo = F.regexp_extract("range", r"(\d+)", 1).cast("long")
     hi = F.coalesce(F.nullif(F.regexp_extract("range", r"-\s*(\d+)", 1), F.lit("")), F.regexp_extract("range", r"(\d+)", 1)).cast("long")
-    return parts.select("project", F.explode(F.sequence(lo, F.greatest(hi, lo))).alias("bug")).distinct()
+    upto = F.when(hi >= lo, hi).otherwise(F.raise_error(F.concat(F.lit("a range that runs backwards: "), F.col("range"))).cast("long"))
+    return parts.select("project", F.explode(F.sequence(lo, upto)).alias("bug")).distinct()
+
+
+def id_range(changes: DataFrame, text: str) -> DataFrame:
+    """The changes with ids in a range lo-hi, both included; a single id is both."""
+    lo, _, hi = text.partition("-")
+    first, last = int(lo), int(hi or lo)
+    if last < first:
+        raise ValueError(f"a range that runs backwards: {text}")
+    return changes.where(F.col("bug").between(first, last))
+
+
+def first_changes(changes: DataFrame, n: int) -> DataFrame:
+    """The n changes with the smallest ids of each project."""
+    k = F.row_number().over(Window.partitionBy("project").orderBy("bug"))
+    return changes.withColumn("_k", k).where(F.col("_k") <= n).drop("_k")
 
 
 def not_done(requested: DataFrame, done: DataFrame) -> DataFrame:
@@ -44,9 +62,26 @@ def lost_projects(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("project").subtract(after.select("project"))
 
 
+def no_project_lost(before: DataFrame, after: DataFrame) -> DataFrame:
+    """after, which should be staged; a project of before that it lacks is an error."""
+    if lost := sorted(str(r[0]) for r in lost_projects(before, after).collect()):  # at most a row for each project
+        raise ValueError(f"projects would be lost: {', '.join(lost)}")
+    return after
+
+
 def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """existing with the rows of new's changes replaced by new's. No project can be lost by it: a guard for jobs that filter more is lost_projects()."""
-    return drop_changes(existing, new).unionByName(new)
+    """existing with the rows of new's changes replaced by new's, staged; a project that would be lost is an error before anything else is written."""
+    return no_project_lost(existing, staged(drop_changes(existing, new).unionByName(new), "upserted"))
+
+
+def counted(stream: DataFrame, keys: list[Column], sink: str, checkpoint: str) -> StreamingQuery:
+    """Counts a stream's rows by keys over all batches; after each the sink holds the counts so far."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(sink)
+
+    counts = stream.groupBy(*keys).agg(F.count("*").alias("n"))
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ingest(stream: DataFrame, sink: str, checkpoint: str, build: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:

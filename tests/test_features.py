@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from faultline.functions import text as X
 from faultline.operators import enumerate_tests, features, labels, split
 from faultline.plans import derived
+from faultline.sources import files
+from faultline.sources.shared import new_path, scratch, staged
 
 
 def test_history_goes_by_date_not_id(spark):
@@ -63,22 +65,26 @@ def listing(spark, *blocks):
 
 
 def block(name, over, members, abstract=False):
-    return "\n".join([f"Classfile /x/{name}.class", "public class x", f"  flags: (0x0021) ACC_PUBLIC{', ACC_ABSTRACT' * abstract}", f"  this_class: #2   // org/foo/{name}", f"  super_class: #9   // {over}", "Constant pool:", "{", *members, "}"])
+    head = [f"Classfile /shop/{name}.class", "public class y", f"  flags: (0x0021) ACC_PUBLIC{', ACC_ABSTRACT' * abstract}", f"  this_class: #7   // shop/tests/{name}", f"  super_class: #8   // {over}"]
+    return "\n".join([*head, "Constant pool:", "{", *members, "}"])
 
 
-def member(decl, lines=2, note=None):
-    body = [f"  {decl};", "    descriptor: ()V", "    Code:", *["         0: aload_0"] * lines]
-    return "\n".join(body + (["    RuntimeVisibleAnnotations:", "      0: #1()", f"        {note}"] if note else []))
+def member(decl, lines=2, *notes):
+    body = [f"  {decl};", "    descriptor: ()V", "    Code:", *[f"         {i}: nop" for i in range(lines)]]
+    return "\n".join(body + (["    RuntimeVisibleAnnotations:", "      0: #21()", *[f"        {n}" for n in notes]] if notes else []))
 
 
 def test_inherited_tests(spark):
-    sub = block("Sub", "org/foo/Base", [member("public org.foo.Sub()"), member("public void testDensity()", 3, "org.junit.Test"), member("public void helper(int)"), member("public static void setUpClass()", 1, "org.junit.BeforeClass")])
-    base = block("Base", "java/lang/Object", [member("public void testClone()", 300, "org.junit.Test"), member("public void shouldRun()", 250, "org.junit.Test"), member("public void testSkipped()", 5, "org.junit.Ignore")], True)
-    arguments = block("Args", "org/gone/Missing", [member("public void shouldThrow() throws java.lang.Exception", 1, "org.junit.Test(\n          expected=class Ljava/io/IOException;\n        )"), member("public void TestLang747()")])
-    classes, methods = listing(spark, sub, base, arguments, "Classfile /x/none.class\n{\n}")
-    assert {(r["class_name"], r["superclass"], r["is_abstract"]) for r in classes.collect()} == {("org.foo.Sub", "org.foo.Base", False), ("org.foo.Base", None, True), ("org.foo.Args", "org.gone.Missing", False)}
+    till = block("TillTest", "shop/tests/CounterTest", [member("public shop.tests.TillTest()"), member("public void testOpens()", 3, "org.junit.Test"), member("public void fill(int)"), member("public static void clean()", 1, "org.junit.AfterClass"), member("void testHidden()")])
+    counter = block("CounterTest", "java/lang/Object", [member("public void testCounts()", 90, "org.junit.Test"), member("public void sums()", 120, "org.junit.jupiter.api.Test"), member("public void testBroken()", 5, "org.junit.Ignore")], True)
+    sale = block("SaleTest", "shop/gone/Nothing", [member("public void refuses() throws shop.Closed", 1, "org.junit.Test(", "  timeout=5", ")"), member("public void TESTRefund()"), member("public void lists(java.util.Map<K, V>)", 1, "org.testng.annotations.Test"), member("public void nested()", 1, "shop.Outer$Note")])
+    classes, methods = listing(spark, till, counter, sale, "Classfile /shop/unnamed.class\n{\n}")
+    assert {(r["class_name"], r["superclass"], r["is_abstract"]) for r in classes.collect()} == {("shop.tests.TillTest", "shop.tests.CounterTest", False), ("shop.tests.CounterTest", None, True), ("shop.tests.SaleTest", "shop.gone.Nothing", False)}
+    seen = {(r["class_name"], r["name"]): r for r in methods.collect()}
+    assert seen["shop.tests.SaleTest", "lists"]["has_params"] and seen["shop.tests.SaleTest", "nested"]["annotations"] == ["shop.Outer.Note"] and ("shop.tests.TillTest", "TillTest") not in seen
+    assert seen["shop.tests.SaleTest", "refuses"]["annotations"] == ["org.junit.Test"] and not seen["shop.tests.TillTest", "testHidden"]["is_public"]
     found = enumerate_tests.inherited_tests(classes, methods, enumerate_tests.superclass_closure(classes))
-    assert {(r[0], r[1]) for r in found.collect()} == {("org.foo.Sub", m) for m in ("testDensity", "testClone", "shouldRun")} | {("org.foo.Args", m) for m in ("shouldThrow", "TestLang747")}
+    assert {(r[0], r[1]) for r in found.collect()} == {("shop.tests.TillTest", m) for m in ("testOpens", "testCounts", "sums")} | {("shop.tests.SaleTest", m) for m in ("refuses", "TESTRefund")}
 
 
 def test_override_without_annotation_hides(spark):
@@ -88,6 +94,26 @@ def test_override_without_annotation_hides(spark):
     assert [tuple(r) for r in enumerate_tests.inherited_tests(classes, methods, enumerate_tests.superclass_closure(classes)).collect()] == [("S", "testA")]
 
 
+def test_text_files_and_properties(spark):
+    rows = [("P/1/tests.trigger", "a.T::x\na.T::gone\n"), ("P/1/classes.modified", "a.A\n"), ("Q/2/tests.trigger", "\n")]
+    base = new_path(spark, "texts")
+    files.write_texts(spark.createDataFrame(rows, "path string, content string"), base)
+    meta = {(r["project"], r["bug"]): r for r in labels.metadata(files.read_properties(spark, f"{base}/*/*/*")).collect()}
+    assert meta["P", 1]["trigger_tests"] == ["a.T::x", "a.T::gone"] and meta["P", 1]["modified_classes"] == ["a.A"] and meta["Q", 2]["trigger_tests"] == []
+    assert [r["value"] for r in files.read_listings(spark, f"{base}/P/1/tests.trigger").collect()] == [rows[0][1]]
+
+
+def test_scratch_tables_go(spark):
+    df = spark.range(3)
+    with scratch(spark):
+        inner = staged(df, "inner")
+        kept = staged(inner, "inner-2")
+        assert kept.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        inner.count()
+    assert staged(df, "outer").count() == 3
+
+
 def test_labels_and_report(spark):
     props = spark.createDataFrame([("P", 1, "tests.trigger", "a.T::x\n\na.T::gone\nbad\n"), ("P", 1, "classes.modified", "a.A\nb.B")], "project string, bug long, property string, content string")
     meta = labels.metadata(props)

@@ -37,6 +37,9 @@ def test_forms_agree_and_stay_in_bounds(spark, changes):
     a = {r["bug"]: r["apfd"] for r in order.apfd(order.priority_rank(df, F.col("history"))).collect()}
     b = {r["bug"]: r["apfd"] for r in order.apfd_unsorted(df, order.score_key(F.col("history"))).collect()}
     assert a == b
+    both = order.apfd_by_scores(df, {"up": F.col("history"), "down": -F.col("history")})
+    assert {r["bug"]: r["apfd"] for r in both.where("strategy = 'up'").collect()} == a
+    assert {r["bug"]: r["apfd"] for r in both.where("strategy = 'down'").collect()} == {r["bug"]: r["apfd"] for r in order.apfd(order.priority_rank(df, -F.col("history"))).collect()}
     for bug, tests in enumerate(changes):
         n = len(tests)
         ranked = sorted(range(n), key=lambda i: (-tests[i][0], i))

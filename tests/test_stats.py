@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from faultline.ml import forest
 from faultline.operators import classify, features, quality, stats
+from faultline.plans import jobs
 from faultline.schema import FEATURES
 from faultline.sources import files
 from faultline.streaming import incremental
@@ -81,6 +82,13 @@ def test_specs(spark):
     assert sorted(r["bug"] for r in incremental.parse_specs(df).collect()) == [3, 28, 29, 30]
     with pytest.raises(Exception, match="malformed"):
         incremental.parse_specs(spark.createDataFrame([("Lang 3",)], "spec string")).collect()
+    with pytest.raises(Exception, match="backwards"):
+        incremental.parse_specs(spark.createDataFrame([("Lang:5-3",)], "spec string")).collect()
+    changes = spark.createDataFrame([("P", i) for i in range(9)] + [("Q", 7)], "project string, bug long")
+    assert sorted(map(tuple, incremental.id_range(changes, "6-7").collect())) == [("P", 6), ("P", 7), ("Q", 7)] and incremental.id_range(changes, "7").count() == 2
+    with pytest.raises(ValueError, match="backwards"):
+        incremental.id_range(changes, "5-3")
+    assert sorted(map(tuple, incremental.first_changes(changes, 2).collect())) == [("P", 0), ("P", 1), ("Q", 7)]
 
 
 TESTS = "project string, bug long, test_class string, test_method string, fixed_commit_date long, is_trigger long"
@@ -109,6 +117,19 @@ def test_upsert_and_lost_projects(spark):
     new = spark.createDataFrame([("P", 2, 9)], "project string, bug long, x int")
     assert sorted(map(tuple, incremental.upsert(old, new).collect())) == [("P", 1, 0), ("P", 2, 9), ("Q", 1, 0)]
     assert [r[0] for r in incremental.lost_projects(old, new).collect()] == ["Q"]
+    assert incremental.no_project_lost(new, old) is old
+    with pytest.raises(ValueError, match="lost: Q"):
+        incremental.no_project_lost(old, new)
+
+
+def test_consolidation_writes_all_tables(spark, tmp_path):
+    rows = [(s, p, b, x) for s, d in (("A", 0.0), ("B", 0.1)) for p in "PQ" for b in range(4) for x in [0.1 * b + d * (b > 1)]]
+    long = spark.createDataFrame(rows, LONG)
+    found = jobs.consolidate(long, ["A", "B"], f"{tmp_path}/out")
+    assert {k: spark.read.parquet(f"{tmp_path}/out/{k}").count() for k in found} == {"long": 16, "wide": 8, "descriptive": 6, "best": 2, "pairwise": 1}
+    assert {r["best"]: r["n"] for r in found["best"].collect()} == {"A / B": 4, "B": 4}
+    one = found["pairwise"].first()
+    assert (one["wins_a"], one["wins_b"], one["ties"]) == (0, 4, 4) and one["p_value"] == stats.wilcoxon(long, ["A", "B"]).first()["p_value"]
 
 
 def test_sources(spark, tmp_path):
