@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.sources.shared import new_path, staged  # noqa: F401
+
 #: The white space of the word contract, [\x20\x09-\x0D].
 WS = " \t\n\x0b\f\r"
 WS_RE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file:///tmp/checkpoints/{os.getuid()}-{os.getpid()}"
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(found)
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)  # with its scheme, for readers other than Spark
-    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()).rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_or_not(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if a count proves that it has at most max_rows rows, else df, which then joins by a shuffle. df should be staged: it is counted. At most max_rows rows of a few fixed-width columns are ever broadcast."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -10,7 +10,8 @@ A shard of over CELL texts is dealt to cells, each with the shard's smallest nod
 isn't in the shard's largest component meets every cell. So no pair
 that shares a band is lost. A large group that the first links join costs no square; one that falls into many components does.
 
-Defined results: texts without words are copies of each other, null too; fewer words than a shingle: the whole sequence is one.
+Defined results: texts without words are copies of each other, null too; fewer words than a shingle: the whole sequence is one; long texts are read whole;
+a similarity of just SIMILAR links; of equal smallest doc_ids the text with the smallest hash stays, and of repeated rows one; an empty table gives an empty result.
 """
 
 from __future__ import annotations

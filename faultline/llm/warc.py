@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, join_hot, shared_dir, staged
+from .common import bucket_count, join_hot, new_path, staged
 
 FRAME_BYTES = 1 << 18
 LEVEL = 3
@@ -220,7 +220,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes pages as bundles under the shared folder and returns the index of their records."""
-    return write_bundles(with_revisits(pages, least_bytes), f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
+    return write_bundles(with_revisits(pages, least_bytes), new_path(pages.sparkSession, "warc"))
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
