@@ -15,7 +15,8 @@ from tokenizers import Tokenizer
 from faultline.llm import mixing, packing, sharding
 
 from .cases import DOCS, odd_documents, odd_frame, rows_of, with_clashes
-from .test_dedup_quality import WORD
+from .test_dedup_quality import LOWER, WORD
+from .test_near_copies import brute_kept
 
 
 def brute_targets(sizes, weights=(3, 1, 2)):
@@ -256,7 +257,27 @@ def test_pipeline(spark, tmp_path):
     stages = [spark.read.parquet(f"{tmp_path}/{k}") for k in range(5)]
     ids = [{r[0] for r in s.select("doc_id").collect()} for s in stages]
     assert ids[1] < ids[0] and 400 not in ids[1] and 401 in ids[1] and ids[2] <= ids[1] and ids[3] <= ids[2] and ids[4] == ids[3]
+    frames = [sorted(map(tuple, s.select("doc_id", "text", "lang", "source").collect()), key=repr) for s in stages[:4]]
+    groups = defaultdict(list)
+    for doc_id, text, *_ in frames[0]:
+        groups[(text or "").translate(LOWER)].append(doc_id)
+    assert sorted(r[0] for r in frames[1]) == sorted(max(g) for g in groups.values())
+    assert sorted(r[0] for r in frames[2]) == brute_kept(frames[1])
+    sizes, mixed = defaultdict(int), defaultdict(int)
+    for rows, out in ((frames[2], sizes), (frames[3], mixed)):
+        for _, text, _, source in rows:
+            out[source] += len(WORD.findall(text))
+    names = sorted(sizes, key=lambda x: (x is None, (x or "").encode()))
+    assert all(abs(mixed[n] - want) <= 1 for n, want in zip(names, brute_targets([sizes[n] for n in names]), strict=True))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = defaultdict(int)
+    for doc_id, text, *_ in frames[3]:
+        tokens[doc_id] += len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+    assert {r[0]: r[1] for r in stages[4].groupBy("doc_id").agg(F.sum("length")).collect()} == tokens
     words = stages[3].select(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))).first()[0]
     kept = stages[2].select(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))).first()[0]
     assert words == pytest.approx(1.5 * kept, rel=0.01)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == stages[4].count()
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], DOCS).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0

@@ -98,6 +98,15 @@ def test_probabilities_sum_to_one_for_many_languages(spark):
     assert own == ["l001", "l150", "l299"]
 
 
+def test_ties_and_repeated_rows_of_languages(spark):
+    rows = [(i, invented(lang, 30, i % 20), lang, None, None) for i, lang in enumerate(["yy", "xx"] * 20)]
+    twins = [(i, t, "a" + lang if lang == "xx" else lang, s, n) for i, t, lang, s, n in rows if lang == "xx"]
+    model = lang_id.train(spark.createDataFrame(rows + twins, DOCS))
+    text = invented("xx", 40, 77)
+    got = lang_id.identify(spark.createDataFrame([(1, text), (1, text), (2, text.upper())], "doc_id long, text string"), model, ["doc_id"]).collect()
+    assert {r["lang_pred"] for r in got} == {"axx"} and len({tuple(r)[1:] for r in got}) == 1 and len(got) == 3 and got[0]["score"] == pytest.approx(0.5, abs=0.01)
+
+
 def test_sample_is_bounded_but_has_every_language(spark):
     rows = [(i, "word " * (1 + i % 9), "en", None, None) for i in range(200)] + [(900, "lang " * 5000, "xx", None, None), (901, None, "yy", None, None), (902, "zz", None, None, None)]
     got = lang_id.training_sample(spark.createDataFrame(rows, DOCS), 50, 2000).collect()
