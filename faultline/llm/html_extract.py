@@ -12,8 +12,8 @@ varies, and adverts that rotate look as important to the tree as an article does
 Blocks are the texts between block-level tags; character references are decoded, white space in a block becomes
 one space, and blocks join by two line ends, all in page order.
 
-What pages need of the tree are the nodes it judges unlike the pages themselves: numbers of 8 bytes, that are broadcast
-up to BROADCAST_NODES of them. Beyond that the blocks of all pages, not the pages, meet the tree by a join on the node, which AQE can split, and come together again by row.
+Each page is parsed once; its blocks and the hashes of its nodes are staged and serve the tree and the texts. What pages need of the tree are the nodes it judges unlike the pages themselves: numbers of 8 bytes, that are broadcast
+up to BROADCAST_NODES of them. Beyond that the staged blocks meet the tree by a join on the node, which AQE can split, and come together again by row.
 
 Defined results: null html is empty and gives an empty text; null url: a host of its own; tags that don't close end
 with their parent, and a tag without an end at the end of the page is text that is dropped; long pages are read whole; nodes of equal importance are judged alike, and one of just
@@ -187,57 +187,72 @@ def node(host: str, path: str) -> int:
     return xxhash.xxh64_intdigest(f"{host}\0{path}") - (1 << 63)
 
 
-def main_text(page: str | None, host: str = "", tree: tuple[np.ndarray, np.ndarray] | None = None) -> str:
-    """The page's blocks outside noise: those of its articles if it has any, else all, but for the nodes that go or stay by the tree (two sorted arrays)."""
-    found = blocks(page)
-    keep = np.array([not beside for _, _, beside, _ in found], bool)
-    if found and tree is not None:
-        numbers = np.array([node(host, path) for path, *_ in found], np.int64)
+def kept(numbers: list[int], beside: list[bool], tree: tuple[np.ndarray, np.ndarray] | None) -> list[bool]:
+    """Which blocks stay: those beside no article, but for the nodes that go or stay by the tree (two sorted arrays)."""
+    keep = ~np.array(beside, bool)
+    if numbers and tree is not None:
+        at = np.array(numbers, np.int64)
         for stays, some in enumerate(tree):
             if len(some):
-                keep[some[np.minimum(np.searchsorted(some, numbers), len(some) - 1)] == numbers] = bool(stays)
-    return "\n\n".join(text for (*_, text), k in zip(found, keep.tolist(), strict=True) if k)
+                keep[some[np.minimum(np.searchsorted(some, at), len(some) - 1)] == at] = bool(stays)
+    return keep.tolist()
+
+
+def main_text(page: str | None, host: str = "", tree: tuple[np.ndarray, np.ndarray] | None = None) -> str:
+    """The page's blocks outside noise: those of its articles if it has any, else all, but for the nodes that the tree judges otherwise."""
+    found = blocks(page)
+    stay = kept([node(host, path) for path, *_ in found], [beside for *_, beside, _ in found], tree)
+    return "\n\n".join(text for (*_, text), k in zip(found, stay, strict=True) if k)
 
 
-def nodes_of(host: str, page: str | None) -> Iterator[tuple[int, int, int, int]]:
-    """(node, style, content, 1 beside an article) of each node with text of its own on a page: hashes over all its elements there."""
+def nodes_of(host: str, found: list[tuple[str, str, bool, str]]) -> list[tuple[int, int, int, bool]]:
+    """(node, style, content, beside an article) of each node with text of its own among a page's blocks: hashes over all its elements there."""
     here: dict[str, tuple[list[str], list[str], bool]] = {}
-    for path, style, beside, text in blocks(page):
+    for path, style, beside, text in found:
         styles, texts, _ = here.setdefault(path, ([], [], beside))
         styles.append(style)
         texts.append(text)
-    for path, (styles, texts, beside) in here.items():
-        style, content = (xxhash.xxh64_intdigest("\n".join(x)) - (1 << 63) for x in (styles, texts))
-        yield node(host, path), style, content, int(beside)
+    hashed = lambda x: xxhash.xxh64_intdigest("\n".join(x)) - (1 << 63)
+    return [(node(host, path), hashed(styles), hashed(texts), beside) for path, (styles, texts, beside) in here.items()]
 
 
-def _different_pages(pages: DataFrame) -> DataFrame:
-    """host, html and weight, 1 over the number of the host's rows with the same html."""
-    copy = F.xxhash64("host", F.coalesce("html", F.lit("")))
-    copies = staged(pages.select(copy.alias("same")).groupBy("same").agg(F.count("*").alias("n")).where("n > 1"), "page-copies")
-    joined = pages.select("host", "html", copy.alias("copy")).join(small_or_not(copies, BROADCAST_COPIES), F.col("copy") == F.col("same"), "left")
-    return joined.select("host", "html", (1 / F.coalesce("n", F.lit(1))).alias("weight"))
+def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x for row in rows for x in row], kind))
 
 
-def site_tree(pages: DataFrame) -> DataFrame:
-    """node, pages, importance and beside (the share of its pages where it is beside an article) of each node, for pages of (host, html)."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, copy (equal for equal pages of a host), the page's blocks (at: nodes, beside, block) and its nodes (node, style, content, near: beside an article), for pages (page_id, url, host, html)."""
+    kinds = {"at": pa.int64(), "beside": pa.bool_(), "block": pa.string(), "node": pa.int64(), "style": pa.int64(), "content": pa.int64(), "near": pa.bool_()}
 
-    def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list[list] = [[], [], [], [], []]
-                for host, page, weight in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True):
-                    for number, style, content, beside in nodes_of(host, page):
-                        for kind, value in enumerate((style, content)):
-                            for column, x in zip(out, (number, kind, value, beside, weight), strict=True):
-                                column.append(x)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["node", "kind", "value", "beside", "weight"])
-
-    seen = _different_pages(pages).mapInArrow(tree, "node long, kind int, value long, beside int, weight double")
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                out: list[list[list]] = [[] for _ in kinds]
+                for host, page in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    found = blocks(page)
+                    number = {path: node(host, path) for path in {b[0] for b in found}}
+                    own = nodes_of(host, found)
+                    columns = ([number[b[0]] for b in found], [b[2] for b in found], [b[3] for b in found], *([x[k] for x in own] for k in range(4)))
+                    for held, column in zip(out, columns, strict=True):
+                        held.append(column)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(_lists(x, k) for x, k in zip(out, kinds.values(), strict=True))], names=["page_id", "url", "copy", *kinds])
+
+    copy = F.xxhash64("host", F.coalesce("html", F.lit(""))).alias("copy")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", copy, "host", "html").mapInArrow(run, f"page_id {kind}, url string, copy long, at array<long>, beside array<boolean>, block array<string>, node array<long>, style array<long>, content array<long>, near array<boolean>")
+
+
+def site_tree(rows: DataFrame) -> DataFrame:
+    """node, pages, importance and beside (the share of its pages where it is beside an article) of each node of staged parsed pages."""
+    copies = staged(rows.groupBy(F.col("copy").alias("same")).agg(F.count("*").alias("n")).where("n > 1"), "page-copies")
+    seen = rows.join(small_or_not(copies, BROADCAST_COPIES), F.col("copy") == F.col("same"), "left")
+    seen = seen.select((1 / F.coalesce("n", F.lit(1))).alias("weight"), F.inline(F.arrays_zip("node", "style", "content", "near")))
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("style", "content"))]))
+    seen = seen.select("node", (F.col("weight") * F.col("near").cast("int")).alias("b"), "weight", each)
     # The weights of a page's copies sum to 1, so that these sums are whole numbers but for the last bits.
-    counts = seen.groupBy("node", "kind", "value").agg(F.greatest(F.round(F.sum("weight")), F.lit(1.0)).alias("c"), F.sum(F.col("weight") * F.col("beside")).alias("b"))
+    counts = seen.groupBy("node", "kind", "value").agg(F.greatest(F.round(F.sum("weight")), F.lit(1.0)).alias("c"), F.sum("b").alias("b"))
     both = counts.groupBy("node", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum("b").alias("b"))
     entropy = F.when(F.col("pages") > 1, 1 - F.col("clogc") / (F.col("pages") * F.log("pages"))).otherwise(F.lit(1.0))
     return both.groupBy("node").agg(F.max("pages").alias("pages"), F.max(entropy).alias("importance"), F.least(F.max(F.col("b") / F.col("pages")), F.lit(1.0)).alias("beside"))
@@ -252,50 +267,31 @@ def judged(tree: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row."""
-    placed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    tree = staged(site_tree(placed.select("host", "html")), "site-tree")
-    verdicts = judged(tree)
+    rows = staged(parsed(pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))), "parsed-pages")
+    verdicts = judged(staged(site_tree(rows), "site-tree"))
     # Nodes that some pages would judge otherwise.
     unlike = staged(verdicts.where((F.col("stays") & (F.col("beside") > 0)) | (~F.col("stays") & (F.col("beside") < 1))).select("node", "stays"), "unlike-nodes")
     if unlike.limit(BROADCAST_NODES + 1).count() > BROADCAST_NODES:
-        return _by_blocks(placed, unlike)
+        return _by_join(rows, unlike)
     found = unlike.toPandas()  # at most BROADCAST_NODES numbers
     shared = pages.sparkSession.sparkContext.broadcast(tuple(np.sort(found["node"].to_numpy(np.int64)[found["stays"].to_numpy(bool) == stays]) for stays in (False, True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [main_text(page, host, shared.value) for page, host in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return placed.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
-
-
-def _by_blocks(placed: DataFrame, unlike: DataFrame) -> DataFrame:
-    """extract() for more nodes than may be broadcast: blocks meet the tree by node, and each row's blocks come together again."""
-    kind = placed.schema["page_id"].dataType.simpleString()
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                of, pos, number, beside, texts = [], [], [], [], []
-                for i, (page, host) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    found = blocks(page)
-                    of += [i] * (len(found) + 1)
-                    pos += range(-1, len(found))
-                    number += [None, *(node(host, path) for path, *_ in found)]
-                    beside += [True, *(x[2] for x in found)]
-                    texts += [None, *(x[3] for x in found)]
-                rows = part.column(4).take(pa.array(of, pa.int64()))
-                first = [pa.array([x if p < 0 else None for x, p in zip(part.column(c).take(pa.array(of, pa.int64())).to_pylist(), pos, strict=True)], part.column(c).type) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([rows, *first, pa.array(pos, pa.int32()), pa.array(number, pa.int64()), pa.array(beside, pa.bool_()), pa.array(texts, pa.string())], names=["row", "page_id", "url", "pos", "at", "beside", "block"])
-
-    numbered = placed.withColumn("row", F.monotonically_increasing_id())
-    rows = staged(numbered.mapInArrow(split, f"row long, page_id {kind}, url string, pos int, at long, beside boolean, block string"), "page-blocks")
-    kept = rows.join(unlike, F.col("at") == F.col("node"), "left").withColumn("keep", F.when(F.col("stays").isNull(), ~F.col("beside")).otherwise(F.col("stays")) & F.col("block").isNotNull())
-    parts = F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("pos", "block"))))  # of one page
-    own = [F.max_by(c, F.col("pos") < 0).alias(c) for c in ("page_id", "url")]
-    joined = kept.groupBy("row").agg(*own, F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n").alias("text"))
+        for part in (batch.slice(begin, 256) for batch in batches for begin in range(0, batch.num_rows, 256)):
+            texts = []
+            for at, beside, block in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                texts.append("\n\n".join(text for text, k in zip(block, kept(at, beside, shared.value), strict=True) if k))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return rows.select("page_id", "url", "at", "beside", "block").mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+
+
+def _by_join(rows: DataFrame, unlike: DataFrame) -> DataFrame:
+    """The texts of staged parsed pages for more nodes than may be broadcast: blocks meet the tree by node, and each row's blocks come together again."""
+    numbered = staged(rows.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "at", "beside", "block"), "numbered-pages")
+    each = numbered.select("row", F.posexplode(F.arrays_zip("at", "beside", "block")).alias("pos", "b")).select("row", "pos", "b.at", "b.beside", "b.block")
+    stays = each.join(unlike, F.col("at") == F.col("node"), "left").where(F.coalesce("stays", ~F.col("beside")))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "block")))  # of one page
+    texts = stays.groupBy("row").agg(F.array_join(F.transform(parts, lambda p: p["block"]), "\n\n").alias("text"))
+    joined = numbered.select("row", "page_id", "url").join(texts, "row", "left").withColumn("text", F.coalesce("text", F.lit("")))
     return joined.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -326,8 +326,8 @@ def test_site_tree_is_the_brute_force_one(spark, monkeypatch):
     rnd = random.Random(4)
     rows = [(k, *x) for k, x in enumerate(x for host, n in (("a.net", 40), ("b.net", 7), ("c.net", 1), ("d.net", 2)) for x in site(rnd, host, n))]
     pages = spark.createDataFrame(rows, PAGES)
-    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host"), "html")
-    got = {r["node"]: (r["pages"], pytest.approx(r["importance"])) for r in html_extract.site_tree(hosts).collect()}
+    found = html_extract.parsed(pages.withColumn("host", url_filter.host_of(F.col("url"))))
+    got = {r["node"]: (r["pages"], pytest.approx(r["importance"])) for r in html_extract.site_tree(found).collect()}
     want = brute_tree([(u.split("/")[2], h) for _, u, h in rows])
     assert want == got and len(want) > 20
 
