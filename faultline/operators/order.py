@@ -73,7 +73,9 @@ def random_apfd(df: DataFrame, seeds: int = 30) -> DataFrame:
     best = positives.groupBy(*KEYS, "seed").agg(F.min(random_key()).alias("best"))
     bests = best.groupBy(*KEYS).agg(F.collect_list(F.struct("seed", "best")).alias("bests"))
     # One row for each test and change with all seeds' bests beside it: an array of 30, not 30 rows.
-    joined = df.select(*KEYS, "test_class", "test_method").join(bests, KEYS)
+    # A row costs 30 hashes: the tests are dealt evenly before, whatever files or large changes they come in.
+    spread = df.select(*KEYS, "test_class", "test_method").repartition(*KEYS, "test_class", "test_method")
+    joined = spread.join(bests, KEYS)
     ahead = joined.select(*KEYS, "test_class", "test_method", F.explode("bests").alias("b")).select(
         *KEYS, F.col("b.seed").alias("seed"), (random_key(F.col("b.seed")) < F.col("b.best")).alias("ahead")
     )
