@@ -62,7 +62,7 @@ class Counts:
         for parts in old.values():
             rows, n, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = _order(rows[:, :1], rows[:, 1:])
-            rows, at = rows[order], None
+            rows = rows[order]
             at = terms.runs(rows)
             self.add(rows[at], np.add.reduceat(n[order], at), np.add.reduceat(docs[order], at))
 

@@ -87,11 +87,10 @@ def buckets(data: np.ndarray, ends: np.ndarray, table: np.ndarray) -> Iterator[B
         mine = (lengths > low) & (lengths <= 8 * words)
         if mine.any():
             # a class of wide terms is packed in runs that hold PIECE bytes at most, or one term
-            step = max(1, PIECE // (8 * words))
-            where = np.flatnonzero(mine)
-            for k in range(0, len(where), step):
-                part = where[k : k + step]
-                yield Bucket(pack(data, starts[part], lengths[part], words), docs[part])
+            # packed in runs, as packing takes 8 times the bytes; one bucket, so that a document's terms stay together
+            step, where = max(1, PIECE // (8 * words)), np.flatnonzero(mine)
+            keys = [pack(data, starts[part], lengths[part], words) for part in (where[k : k + step] for k in range(0, len(where), step))]
+            yield Bucket(np.concatenate(keys), docs[where])
         rest = lengths > 8 * words
         starts, lengths, docs = starts[rest], lengths[rest], docs[rest]
         low, words = 8 * words, 2 * words
