@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from faultline.functions.text import best_label
 from faultline.operators import stats
 from faultline.operators.features import build_features, modified_array
+from faultline.sources import versions
 from faultline.sources.files import overwrite, read_parts
 from faultline.sources.shared import new_path, staged
-from faultline.streaming.incremental import no_project_lost, recompute_late
+from faultline.streaming.incremental import put_late
 
 KEYS = ["project", "bug"]
 
@@ -27,13 +28,12 @@ def merge_parts(spark: SparkSession, pattern: str, dates: DataFrame) -> DataFram
     return build_features(rows.drop("modified_classes", "modified_classes_count", "part"), one, dates)
 
 
-def add_missing(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """existing dated rows with new changes put in (rows of the same changes are replaced), history computed again where it can differ.
+def add_missing(path: str, new: DataFrame) -> versions.Version:
+    """A dated table with new changes put in (rows of the same changes are replaced), history computed again where it can differ, as the table's next version.
 
-    Both have fixed_commit_date, is_trigger and history. A project that the result would lack is an error before anything is written.
+    Readers see the table before or after, never between; the version before stays. A project that the result would lack is an error before the switch.
     """
-    out = staged(recompute_late(existing.join(new.select(*KEYS).distinct(), KEYS, "left_anti"), new), "with-missing")
-    return no_project_lost(existing, out)
+    return put_late(path, new, on=KEYS)
 
 
 def consolidate(long: DataFrame, strategies: list[str], folder: str | None = None) -> dict[str, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultline.operators import features
 from faultline.plans import derived, jobs
 from faultline.plans.derived import sql
-from faultline.sources.files import append, done_keys
+from faultline.sources import versions
 from faultline.sources.shared import new_path, staged
 from faultline.streaming import incremental
 
@@ -64,19 +64,31 @@ def j3_present(spark, d):
 @query("J4_resume", sql(" SELECT project, bug, count(*) AS n FROM t GROUP BY ALL"))
 def j4(spark, d):
     path = new_path(spark, "resume")
-    t = derived.tests(spark, d)
-    append(t.where("bug % 3 <> 0"), path)
-    append(incremental.not_done(t, done_keys(spark, path)), path)
-    return spark.read.parquet(path).groupBy("project", "bug").agg(F.count("*").alias("n"))
+    t = staged(derived.tests(spark, d), "tests")
+    versions.append(t.where("bug % 3 <> 0"), path)
+    versions.append(incremental.not_done(t, versions.done_keys(spark, path)), path)
+    return versions.read(spark, path).groupBy("project", "bug").agg(F.count("*").alias("n"))
+
+
+INTERMEDIATE = "project string, bug long, test_class string, test_method string, is_trigger int"
 
 
 @query("T1_stream_ingest", sql(" SELECT project, bug, test_class, test_method, is_trigger FROM t"))
 def t1(spark, d):
-    source, sink, check = stored(spark, derived.tests(spark, d).repartition(4, "project", "bug"), "stream"), new_path(spark, "sink"), new_path(spark, "check")
-    stream = incremental.replay(spark, source, "project string, bug long, test_class string, test_method string, is_trigger int", 2)
-    incremental.ingest(stream, sink, check).awaitTermination()
-    incremental.ingest(incremental.replay(spark, source, "project string, bug long, test_class string, test_method string, is_trigger int", 4), sink, check + "-2").awaitTermination()  # a second run adds nothing
-    return spark.read.parquet(sink).select("project", "bug", "test_class", "test_method", "is_trigger")
+    """Each change's rows lie in several files, of which a batch takes two: the parts come together in the sink. A second stream over all files adds nothing."""
+    source, sink, check = stored(spark, derived.tests(spark, d).repartition(4), "stream"), new_path(spark, "sink"), new_path(spark, "check")
+    incremental.ingest(incremental.replay(spark, source, INTERMEDIATE, 2), sink, check).awaitTermination()
+    incremental.ingest(incremental.replay(spark, source, INTERMEDIATE, 4), sink, f"{check}-2").awaitTermination()
+    return versions.read(spark, sink).select("project", "bug", "test_class", "test_method", "is_trigger")
+
+
+@query("T1_incomplete_changes", sql(" SELECT project, bug, count(*) AS expected, count(*) - max(fixed_commit_date % 2) AS rows FROM t JOIN ch USING (project, bug) GROUP BY ALL HAVING max(fixed_commit_date % 2) = 1"))
+def t1_incomplete(spark, d):
+    """Of every other change a test is missing in the sink."""
+    sink, t = new_path(spark, "sink"), staged(dated(spark, d), "dated")
+    lacking = t.where("fixed_commit_date % 2 = 1").groupBy("project", "bug").agg(F.min(F.struct("test_class", "test_method")).alias("x")).select("project", "bug", "x.*")
+    versions.append(t.join(lacking, ["project", "bug", "test_class", "test_method"], "left_anti"), sink)
+    return incremental.incomplete(spark, sink, t.groupBy("project", "bug").agg(F.count("*").alias("expected")))
 
 
 @query("T2_running_history", sql(HISTORY))
@@ -99,18 +111,40 @@ def t2(spark, d):
     return spark.read.parquet(sink).select("project", "bug", "test_class", "test_method", "history")
 
 
+DATED = f"{INTERMEDIATE}, fixed_commit_date long, history long"
+
+
 @query("T3_late_changes", sql(HISTORY))
 def t3(spark, d):
-    rows = staged(dated(spark, d), "dated")
-    early = features.history(rows.where("not (project = 'MACHINERY' and fixed_commit_date % 4 = 1)"))
-    return incremental.recompute_late(early, rows.where("project = 'MACHINERY' and fixed_commit_date % 4 = 1").withColumn("history", F.lit(0))).select("project", "bug", "test_class", "test_method", "history")
+    """A table of all but a project's changes of the first quarters; those come as a stream, in two batches that both hold parts of each change."""
+    rows, path, source, check = staged(dated(spark, d), "dated"), new_path(spark, "table"), new_path(spark, "late"), new_path(spark, "check")
+    late = "project = 'MACHINERY' and fixed_commit_date % 4 = 1"
+    versions.create(features.history(rows.where(f"not ({late})")), path)
+    rows.where(late).withColumn("history", F.lit(0).cast("long")).repartition(2).write.parquet(source)
+    incremental.late_changes(incremental.replay(spark, source, DATED, 1), path, check).awaitTermination()
+    return versions.read(spark, path).select("project", "bug", "test_class", "test_method", "history")
+
 
+UPSERTED = " SELECT project, bug, {} AS is_trigger, count(*) AS n FROM t GROUP BY ALL"
 
-@query("T4_upsert", sql(" SELECT project, bug, CASE WHEN bug % 5 = 0 THEN 1 - is_trigger ELSE is_trigger END AS is_trigger, count(*) AS n FROM t GROUP BY ALL"))
+
+def upserted(spark, d):
+    """A table whose changes of every fifth id are replaced in its second version."""
+    path, t = new_path(spark, "table"), staged(derived.tests(spark, d), "tests")
+    versions.create(t, path)
+    incremental.upsert_table(path, t.where("bug % 5 = 0").withColumn("is_trigger", 1 - F.col("is_trigger")))
+    return path
+
+
+@query("T4_upsert", sql(UPSERTED.format("CASE WHEN bug % 5 = 0 THEN 1 - is_trigger ELSE is_trigger END")))
 def t4(spark, d):
-    t = derived.tests(spark, d)
-    new = t.where("bug % 5 = 0").withColumn("is_trigger", 1 - F.col("is_trigger"))
-    return incremental.upsert(t, new).groupBy("project", "bug", "is_trigger").agg(F.count("*").alias("n"))
+    return versions.read(spark, upserted(spark, d)).groupBy("project", "bug", "is_trigger").agg(F.count("*").alias("n"))
+
+
+@query("T4_earlier_version", sql(UPSERTED.format("is_trigger")))
+def t4_earlier(spark, d):
+    path = upserted(spark, d)
+    return versions.read(spark, path, versions.current(spark, path, 0)).groupBy("project", "bug", "is_trigger").agg(F.count("*").alias("n"))
 
 
 @query("T5_partition_overwrite", sql(" SELECT project, sum(is_trigger + CASE WHEN project = 'BUILDING' THEN 1 ELSE 0 END)::BIGINT AS total FROM t GROUP BY ALL"))
@@ -124,9 +158,10 @@ def t5(spark, d):
 
 @query("Q6_add_missing_changes", sql(HISTORY))
 def q6(spark, d):
-    rows = staged(features.history(dated(spark, d)), "with-history")
-    first = features.history(rows.where("bug % 6 <> 0").drop("history"))
-    return jobs.add_missing(first, rows.where("bug % 6 = 0").withColumn("history", F.lit(-1).cast("long"))).select("project", "bug", "test_class", "test_method", "history")
+    rows, path = staged(dated(spark, d).withColumn("history", F.lit(-1).cast("long")), "dated"), new_path(spark, "table")
+    versions.create(features.history(rows.where("bug % 6 <> 0").drop("history")), path)
+    jobs.add_missing(path, rows.where("bug % 6 = 0"))
+    return versions.read(spark, path).select("project", "bug", "test_class", "test_method", "history")
 
 
 @query("T1_event_counts", "SELECT event_type AS project, (epoch_ms(ts) // 86400000)::BIGINT AS bug, count(*) AS n FROM events GROUP BY ALL")

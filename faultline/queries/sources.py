@@ -10,7 +10,7 @@ from faultline.plans import derived
 from faultline.plans.derived import sql
 from faultline.plans.jobs import merge_parts
 from faultline.schema import FEATURES
-from faultline.sources import files
+from faultline.sources import files, versions
 from faultline.sources.shared import new_path, staged
 
 from . import query
@@ -36,9 +36,10 @@ def s9(spark, d):
 
 @query("S2_done_keys", sql(" SELECT DISTINCT project, bug FROM t"))
 def s2(spark, d):
+    """The keys that each commit writes beside its rows: a row for each change, not the sink's rows."""
     path = new_path(spark, "done")
-    files.append(derived.tests(spark, d), path)
-    return files.done_keys(spark, path)
+    versions.append(derived.tests(spark, d), path)
+    return versions.done_keys(spark, path).select("project", "bug")
 
 
 def intermediate(spark, d):

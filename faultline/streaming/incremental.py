@@ -1,4 +1,4 @@
-"""Incremental builds: resumable ingest, running history, late changes, upserts."""
+"""Incremental builds: resumable ingest, running history, late changes, upserts. Stored tables are versioned ones (sources/versions.py)."""
 
 from __future__ import annotations
 
@@ -11,12 +11,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.window import Window
 
 from faultline.operators.features import history
-from faultline.schema import L, S, struct
-from faultline.sources.files import append, done_keys
+from faultline.schema import KEYS, TEST_KEYS, L, S, struct
+from faultline.sources import versions
 from faultline.sources.shared import staged
 
-KEYS = ["project", "bug"]
-
 
 def parse_specs(specs: DataFrame, column: str = "spec") -> DataFrame:
     """project, bug of specs like Project:1,3-5, without repeats; a malformed one is an error."""
@@ -84,15 +82,36 @@ def counted(stream: DataFrame, keys: list[Column], sink: str, checkpoint: str) -
     return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def not_stored(rows: DataFrame, sink: str) -> DataFrame:
+    """The rows that a versioned sink lacks. Rows are compared only for changes that the sink has some rows of, by its keys; tests have no null keys."""
+    spark, base = rows.sparkSession, versions.current(rows.sparkSession, sink)
+    if base is None:
+        return rows
+    begun = staged(rows.select(*KEYS).distinct().join(versions.done_keys(spark, sink, base, versions.parts_in(rows)), KEYS, "left_semi"), "begun")
+    parts = versions.parts_in(begun)
+    if not parts:
+        return rows
+    stored = versions.read(spark, sink, base, parts).join(begun, KEYS, "left_semi").select(*TEST_KEYS)
+    return rows.join(stored, TEST_KEYS, "left_anti")
+
+
+def incomplete(spark: SparkSession, sink: str, expected: DataFrame) -> DataFrame:
+    """project, bug, expected, rows of the changes that have fewer rows in the sink than expected (project, bug, expected); absent ones have 0."""
+    done = versions.done_keys(spark, sink)
+    return expected.join(done, KEYS, "left").select(*KEYS, "expected", F.coalesce("rows", F.lit(0)).alias("rows")).where("rows < expected")
+
+
 def ingest(stream: DataFrame, sink: str, checkpoint: str, build: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Appends a stream of intermediate rows to a Parquet sink by project, all that is available, then stops.
+    """Appends a stream of intermediate rows to a versioned sink, all that is available, then stops.
 
-    Each batch keeps only changes that the sink lacks, so a batch that is run again after a failure adds nothing twice.
+    A change may come in parts, in one batch or several: only rows that the sink holds already are left out. A batch that was
+    committed before a failure adds nothing when it is run again, as its number is in the version's manifest; one that wasn't has left nothing visible.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        rows = build(batch) if build else batch
-        append(not_done(rows, done_keys(batch.sparkSession, sink)), sink)
+    def write(batch: DataFrame, number: int) -> None:
+        if not versions.is_done(versions.current(batch.sparkSession, sink), checkpoint, number):
+            rows = staged(build(batch) if build else batch, "arrived")
+            versions.append(not_stored(rows, sink), sink, checkpoint, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -131,6 +150,57 @@ def recompute_late(existing: DataFrame, late: DataFrame) -> DataFrame:
     return existing.join(touched, "project", "left_anti").unionByName(again.select(*existing.columns))
 
 
+def rewrite(rows: DataFrame, path: str, keys: DataFrame, on: list[str], compute: Callable[[DataFrame], DataFrame] = lambda df: df, writer: str | None = None, batch: int = 0) -> versions.Version:
+    """The next version of a table: without the rows that have keys' values of the columns on, with rows, and with compute() applied to the projects that either touches.
+
+    Only those projects are read and written, and none of them may lose all its rows. rows and keys are staged.
+    """
+    spark = rows.sparkSession
+    base = versions.current(spark, path)
+    if versions.is_done(base, writer, batch):
+        return base
+    touched = sorted({*versions.parts_in(rows), *versions.parts_in(keys)})
+    kept = versions.read(spark, path, base, touched).join(keys.select(*on).distinct(), on, "left_anti")
+    return versions.put(compute(kept.unionByName(rows.select(*kept.columns))), path, base, touched, writer, batch)
+
+
+def replace_changes(path: str, keys: DataFrame, rows: DataFrame) -> versions.Version:
+    """The table without the changes of keys and with rows, as its next version; a project that would be lost is an error before the switch."""
+    return rewrite(staged(rows, "new-rows"), path, staged(keys.select(*KEYS).distinct(), "new-keys"), KEYS)
+
+
+def upsert_table(path: str, new: DataFrame) -> versions.Version:
+    """The table with the rows of new's changes replaced by new's, as its next version."""
+    new = staged(new, "new-rows")
+    return rewrite(new, path, new, KEYS)
+
+
+def with_history(df: DataFrame) -> DataFrame:
+    return history(df.drop("history")).select(*df.columns)
+
+
+def put_late(path: str, late: DataFrame, on: list[str] = TEST_KEYS, writer: str | None = None, batch: int = 0) -> versions.Version:
+    """The dated table with late rows put in, and history computed again for the projects they touch, as its next version.
+
+    A late row replaces the one with the same values of the columns on: a test's (the default), so that a change may come in parts, or those of the whole change.
+    """
+    late = staged(late.dropDuplicates(TEST_KEYS), "late")
+    return rewrite(late, path, late, on, with_history, writer, batch)
+
+
+def late_changes(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Puts a stream of dated rows into a versioned table with history, batch by batch, all that is available, then stops.
+
+    Of each batch only the projects it touches are read, computed and written; others keep their folders. A batch that is run again after a
+    failure finds its number in the manifest, or nothing of its own.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        put_late(path, batch, writer=checkpoint, batch=number)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_projects(df: DataFrame, path: str) -> None:
     """Overwrites only the partitions of the projects that df holds."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path)
