@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator
@@ -12,21 +15,25 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from faultline.operators.classify import auc, balanced_weights, group_folds
+from faultline.operators.classify import auc, balanced_weights, group_folds, ratio
 from faultline.operators.order import apfd, priority_rank
 from faultline.schema import FEATURE_COLUMNS, KEYS
 from faultline.sources.files import exists
+from faultline.sources.shared import new_path, staged
 
 SEED = 42
 #: No depth limit becomes 30, the deepest that Spark grows; Spark has no smallest split, its counterpart in the grid is left out.
 GRID = {"numTrees": [100, 200, 500], "maxDepth": [30, 5, 10, 20], "minInstancesPerNode": [1, 2, 5]}
+#: Copies of a distinct row that a search's trees draw from, at least the largest minInstancesPerNode.
+COPIES = 8
 VARIANTS = {"3 features": FEATURE_COLUMNS, "only same_package": ["same_package"], "only history": ["history"], "without same_package": ["history", "modified_classes_count"]}
 
 
 def pipeline(features: list[str] = FEATURE_COLUMNS, **params) -> Pipeline:
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=SEED)
-    for name, value in params.items():
+    for name, value in params.items():  # also a seed
         forest.set(forest.getParam(name), value)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest])
 
@@ -50,18 +57,108 @@ def folds_with_positives(train: DataFrame, folds: int) -> DataFrame:
     return rows
 
 
-def grid_search(train: DataFrame, scoring: str = "f1", folds: int = 5, grid: dict | None = None, parallelism: int = 4) -> tuple[PipelineModel, dict]:
-    """(the best model, fitted on all of train; its params and cross-validated score). All rows of a change are in one fold."""
+def distinct_rows(rows: DataFrame, features: list[str] = FEATURE_COLUMNS, by: list[str] | None = None) -> DataFrame:
+    """features, label, by columns, n: the instances that a forest can't tell apart, counted. As many rows as there are different values, whatever the instances are."""
+    return rows.groupBy(*features, "label", *(by or [])).agg(F.count("*").alias("n"))
+
+
+def weighted_copies(distinct: DataFrame) -> DataFrame:
+    """distinct rows as min(n, COPIES) copies each, with weights that sum to n balanced between the classes.
+
+    Trees draw copies, not instances, so a row's share of a tree varies more than if all instances were drawn; counts of under COPIES instances, which
+    the smallest leaf asks for, stay exact.
+    """
+    n_copies = F.least("n", F.lit(COPIES))
+    sizes = distinct.groupBy("label").agg(F.sum("n").alias("_size"))
+    total = F.sum("_size").over(Window.partitionBy())  # two rows
+    share = F.broadcast(sizes.select("label", (total / (2 * F.col("_size"))).alias("_share")))
+    out = distinct.join(share, "label").withColumn("weight", F.col("_share") * F.col("n") / n_copies)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), n_copies.cast("int")))).drop("_share", "_copy", "n")
+
+
+def grown(n_trees: list[int]) -> list[tuple[int, int]]:
+    """(trees, seed) of the forests that make up each size in turn: a larger forest is the smaller one and more trees."""
+    sizes = sorted(n_trees)
+    return [(k - before, SEED + i) for i, (before, k) in enumerate(zip([0, *sizes], sizes, strict=False)) if k > before]
+
+
+def search_scores(train: DataFrame, folds: int = 5, grid: dict | None = None, parallelism: int = 8, features: list[str] = FEATURE_COLUMNS) -> DataFrame:
+    """numTrees, maxDepth, minInstancesPerNode, fold, label, n, score: the scores of each fold's distinct rows by forests of the other folds, for every setting.
+
+    Forests are fitted on weighted distinct rows, parallelism at a time. Votes add up, so the sizes in the grid share their trees; and forests are fitted from the
+    deepest setting down, for a forest whose trees are no deeper than the next setting is one of that setting too. All objectives can be read from the scores.
+    """
+    grid = grid or GRID
+    spark, depths, sizes = train.sparkSession, sorted(set(grid["maxDepth"]), reverse=True), sorted(set(grid["numTrees"]))
+    rows = staged(distinct_rows(folds_with_positives(train, folds), features, ["fold"]), "distinct")
+    path = new_path(spark, "search-scores")
+    sides = [(staged(weighted_copies(rows.where(F.col("fold") != k).drop("fold")), "fold-train"), VectorAssembler(inputCols=features, outputCol="features").transform(rows.where(F.col("fold") == k))) for k in range(folds)]
+
+    def voted(leaf: int, depth: int, k: int) -> tuple[DataFrame, int]:
+        """The fold's rows with the votes of each size, and the depth of the deepest tree."""
+        fitting, scored = sides[k]
+        votes, deepest = [], 0
+        for i, (size, seed) in enumerate(grown(sizes)):
+            model = pipeline(features, numTrees=size, seed=seed, maxDepth=depth, minInstancesPerNode=leaf).fit(fitting).stages[-1]
+            deepest = max(deepest, *(t.depth() for t in model._java_obj.trees()))  # model.trees makes a Python model of each
+            scored = model.transform(scored).withColumn(f"_votes{i}", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
+            votes.append(F.col(f"_votes{i}") + votes[-1] if votes else F.col(f"_votes{i}"))
+        each = F.inline(F.array(*[F.struct(F.lit(t).alias("numTrees"), F.bround(v / t, 10).alias("score")) for t, v in zip(sizes, votes, strict=True)]))
+        return scored.select("fold", "label", "n", each), deepest
+
+    def one(task: tuple[str, int, int]) -> None:
+        own, leaf, k = task
+        todo = list(depths)
+        while todo:
+            scored, deepest = voted(leaf, todo[0], k)
+            same = [d for d in todo if d == todo[0] or d >= deepest]
+            scored.select("*", F.lit(leaf).alias("minInstancesPerNode"), F.explode(F.array(*map(F.lit, same))).alias("maxDepth")).write.parquet(f"{own}-{todo[0]}")
+            todo = [d for d in todo if d not in same]
+
+    tasks = [(f"{path}/{i}", leaf, k) for i, (leaf, k) in enumerate(itertools.product(sorted(set(grid["minInstancesPerNode"])), range(folds)))]
+    with ThreadPoolExecutor(parallelism) as pool:
+        list(pool.map(inheritable_thread_target(spark)(one), tasks))  # a task for each leaf size and fold
+    return spark.read.parquet(f"{path}/*")
+
+
+def setting_scores(scores: DataFrame, scoring: str = "f1") -> DataFrame:
+    """The grid's params, score and std (population) over folds, of f1 of the positive class at 0.5, or roc_auc."""
+    params = list(GRID)
+    if scoring == "roc_auc":
+        each = auc(scores, by=[*params, "fold"], count="n").select(*params, "fold", F.col("auc").alias("value"))
+    else:
+        hit, y = F.col("score") > 0.5, F.col("label") == 1
+        sums = scores.groupBy(*params, "fold").agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in {"tp": hit & y, "fp": hit & ~y, "fn": ~hit & y}.items()])
+        each = sums.select(*params, "fold", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("value"))
+    return each.groupBy(*params).agg(F.bround(F.avg("value"), 10).alias("score"), F.bround(F.stddev_pop("value"), 10).alias("std"))
+
+
+def best_of(settings: DataFrame, grid: dict) -> tuple[dict, float]:
+    """(params, score) of the best of a staged table of settings; of equal scores the one that comes first in the grid."""
+    held = {tuple(r[p] for p in grid): r["score"] for r in settings.collect()}  # a row for each setting
+    best = max(itertools.product(*grid.values()), key=lambda s: -1.0 if held[s] is None else held[s])
+    return dict(zip(grid, best, strict=True)), held[best]
+
+
+def grid_search(train: DataFrame, scoring: str = "f1", folds: int = 5, grid: dict | None = None, parallelism: int = 8) -> tuple[PipelineModel, dict, DataFrame]:
+    """(the best model, fitted on all of train; its params and cross-validated score; the scores of all settings). All rows of a change are in one fold."""
+    grid = grid or GRID
+    settings = staged(setting_scores(search_scores(train, folds, grid, parallelism), scoring), "settings")
+    params, score = best_of(settings, grid)
+    model = pipeline(**params).fit(weighted_copies(staged(distinct_rows(train), "distinct")))
+    return model, {"params": params, "score": score, "scoring": scoring, "folds": folds, "fixed": {"seed": SEED, "weights": "balanced"}}, settings
+
+
+def cross_validated(train: DataFrame, scoring: str, folds: int, grid: dict, parallelism: int = 4) -> list[tuple[dict, float]]:
+    """(params, score) of each setting with forests fitted on all instances: what grid_search() is held against, at its full price."""
     base = pipeline()
     forest = base.getStages()[1]
     builder = ParamGridBuilder()
-    for name, values in (grid or GRID).items():
+    for name, values in grid.items():
         builder = builder.addGrid(forest.getParam(name), values)
     rows = balanced_weights(folds_with_positives(train, folds))
     cv = CrossValidator(estimator=base, estimatorParamMaps=builder.build(), evaluator=evaluator(scoring), numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED).fit(rows)
-    best = max(range(len(cv.avgMetrics)), key=lambda i: cv.avgMetrics[i])
-    params = {p.name: v for p, v in cv.getEstimatorParamMaps()[best].items()}
-    return cv.bestModel, {"params": params, "score": cv.avgMetrics[best], "scoring": scoring, "folds": folds, "fixed": {"seed": SEED, "weights": "balanced"}}
+    return [({p.name: v for p, v in m.items()}, x) for m, x in zip(cv.getEstimatorParamMaps(), cv.avgMetrics, strict=True)]
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:

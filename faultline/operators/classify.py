@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from faultline.functions.text import exact
 
+from .rank import global_rank
 from .stats import _scoped
 
 
@@ -38,13 +39,13 @@ def sums_to_overall(counts: DataFrame, columns: list[str]) -> DataFrame:
     return tall.groupBy("measure").agg(total.alias("overall"), parts.alias("by_project"), (total == parts).alias("ok"))
 
 
-def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
-    """auc, positives and negatives (by columns): the rank statistic, ties counted half; null with one class.
+def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None, count: str | None = None) -> DataFrame:
+    """auc, positives and negatives (by columns): the rank statistic, ties counted half; null with one class. A row stands for count instances, if given.
 
     Rows meet as one row for each different score, so the ranking never sorts the input.
     """
-    by = by or []
-    each = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    by, n = by or [], F.col(count) if count else F.lit(1)
+    each = df.groupBy(*by, score).agg(*[F.sum(F.when(F.col(label) == y, n).otherwise(0)).alias(c) for y, c in ((1, "p"), (0, "n"))])
     below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = each.withColumn("won", F.col("p") * (below + F.col("n") / 2))
     pairs = F.col("positives").cast("double") * F.col("negatives")
@@ -55,9 +56,10 @@ def auc(df: DataFrame, score: str = "score", label: str = "label", by: list[str]
 def group_folds(df: DataFrame, folds: int = 5) -> DataFrame:
     """project, bug, size, fold: changes by size down, dealt to the folds back and forth, so that folds have about as many rows and each change one fold."""
     sizes = df.groupBy("project", "bug").agg(F.count("*").alias("size"))
-    rank = F.row_number().over(Window.orderBy(F.desc("size"), "project", "bug")) - 1  # one row for each change
+    rank = F.col("_rank")
     back = (F.floor(rank / folds) % 2) == 1
-    return sizes.withColumn("fold", F.when(back, folds - 1 - rank % folds).otherwise(rank % folds).cast("int"))
+    ranked = global_rank(sizes, [F.desc("size"), "project", "bug"], "_rank")
+    return ranked.withColumn("fold", F.when(back, folds - 1 - rank % folds).otherwise(rank % folds).cast("int")).drop("_rank")
 
 
 def fold_summary(by_fold: DataFrame, column: str = "auc") -> DataFrame:

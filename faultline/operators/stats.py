@@ -24,34 +24,65 @@ def _scoped(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     return out.withColumn("scope", F.when(F.col("_all") == 1, F.lit(OVERALL)).otherwise(F.col("project"))).drop("_all", "project")
 
 
+def spread(counts: DataFrame, by: list[str], value: str, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """by, count, mean, std (sample), min, max and exact quantiles (interpolated) of a value, from a row of n for each different value; nulls aren't counted.
+
+    The quantiles come from sums of n along the values, so that what is sorted, and spilled where it is much, are different values and not rows.
+    """
+    x, whole = F.col(value), Window.partitionBy(*by)
+    n = F.when(x.isNotNull(), F.col("n")).otherwise(0)
+    upto = F.sum(n).over(whole.orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select(*by, x.alias("_x"), n.alias("_n"), upto.alias("_upto"), F.sum(n).over(whole).alias("_total"), F.sum(n * x).over(whole).alias("_sum"))
+    x, n, total = F.col("_x"), F.col("_n"), F.col("_total")
+    mean = F.try_divide(F.col("_sum").cast("double"), total)
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > place, x))
+
+    aggs = {"count": F.coalesce(F.max(total), F.lit(0)).cast("long"), "mean": F.max(mean), "std": F.sqrt(F.try_divide(F.sum(n * F.pow(x - mean, F.lit(2))), F.nullif(F.max(total) - 1, F.lit(0)))), "min": F.min(x), "max": F.max(x)}
+    for name, q in (quantiles or {}).items():
+        place = F.lit(q) * (total - 1)
+        low = at(F.floor(place))
+        aggs[name] = low + (at(F.ceil(place)) - low) * F.max(place - F.floor(place))
+    return placed.groupBy(*by).agg(*[v.alias(k) for k, v in aggs.items()])
+
+
 def strategy_summary(results: DataFrame, by: list[str] | None = None, digits: int = 4) -> DataFrame:
     """mean, median, std (sample), min, max and count of apfd, for all or by columns; undefined ones are left out."""
-    x = F.col("apfd")
-    aggs = {"mean": F.avg(x), "median": F.median(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
-    return results.groupBy(*(by or [])).agg(*[exact(v, digits).alias(k) for k, v in aggs.items()], F.count(x).alias("count"))
+    by = by or []
+    out = spread(results.groupBy(*by, "apfd").agg(F.count("*").alias("n")), by, "apfd", {"median": 0.5})
+    return out.select(*by, *[exact(F.col(k), digits).alias(k) for k in ("mean", "median", "std", "min", "max")], "count")
 
 
 def describe_by_scope(long: DataFrame, digits: int = 4) -> DataFrame:
     """scope, strategy, mean, median, std, min, q25, q75, max, count."""
-    x = F.col("apfd")
-    aggs = {"mean": F.avg(x), "median": F.median(x), "std": F.stddev_samp(x), "min": F.min(x), "q25": F.percentile(x, F.lit(0.25)), "q75": F.percentile(x, F.lit(0.75)), "max": F.max(x)}
-    return _scoped(long, ["strategy"], *[exact(v, digits).alias(k) for k, v in aggs.items()], F.count(x).alias("count")).select("scope", "strategy", *aggs, "count")
+    counts = _scoped(long, ["strategy", "apfd"], F.count("*").alias("n"))
+    out = spread(counts, ["scope", "strategy"], "apfd", {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return out.select("scope", "strategy", *[exact(F.col(k), digits).alias(k) for k in ("mean", "median", "std", "min", "q25", "q75", "max")], "count")
 
 
-def boxplot(long: DataFrame) -> DataFrame:
-    """scope, strategy, n, mean, quartiles, whiskers (the last values within 1.5 IQR) and outliers (sorted)."""
-    x = F.col("apfd")
-    scopes = long.where(x.isNotNull()).select("strategy", "project", "bug", "apfd", F.explode(F.array(F.lit(OVERALL), F.col("project"))).alias("scope"))
-    quartiles = scopes.groupBy("scope", "strategy").agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), *[F.percentile(x, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
-    )
+def _fences(counts: DataFrame) -> DataFrame:
+    """scope, strategy, n, mean, q1, median, q3, low, high of counted results: values beyond low and high, 1.5 IQR off the quartiles, are outliers."""
+    out = spread(counts, ["scope", "strategy"], "apfd", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    low, high = F.col("q1") - reach, F.col("q3") + reach
-    inside = (x >= low) & (x <= high)
-    rest = scopes.join(quartiles, ["scope", "strategy"]).groupBy("scope", "strategy").agg(
-        F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"), F.sort_array(F.collect_list(F.when(~inside, x))).alias("outliers")
-    )
-    return quartiles.join(rest, ["scope", "strategy"])
+    return out.select("scope", "strategy", F.col("count").alias("n"), "mean", "q1", "median", "q3", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+
+
+def boxplot(long: DataFrame) -> DataFrame:
+    """scope, strategy, n, mean, quartiles, whiskers (the last values within 1.5 IQR) and n_outliers; outliers() has the outliers themselves."""
+    x, inside = F.col("apfd"), F.col("apfd").between(F.col("low"), F.col("high"))
+    counts = staged(_scoped(long.where(x.isNotNull()), ["strategy", "apfd"], F.count("*").alias("k")).withColumnRenamed("k", "n"), "counts")
+    fences = _fences(counts)
+    met = fences.join(counts.withColumnRenamed("n", "_n"), ["scope", "strategy"]).groupBy("scope", "strategy", "n", "mean", "q1", "median", "q3")
+    return met.agg(F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("n_outliers"))
+
+
+def outliers(long: DataFrame) -> DataFrame:
+    """scope and the results that lie beyond the fences of their scope and strategy, a row each."""
+    defined = long.where("apfd is not null")
+    fences = _fences(_scoped(defined, ["strategy", "apfd"], F.count("*").alias("n"))).select("scope", "strategy", "low", "high")  # one row for each strategy of a scope
+    scopes = defined.withColumn("scope", F.explode(F.array(F.lit(OVERALL), F.col("project"))))
+    return scopes.join(fences, ["scope", "strategy"]).where("apfd < low or apfd > high").select("scope", *long.columns)
 
 
 def duplicates(long: DataFrame) -> DataFrame:
@@ -146,8 +177,7 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, count, mean, std, min, q25, median, q75, max: one pass over all the columns."""
+    """feature, count, mean, std, min, q25, median, q75, max: one pass over all the columns, then over their different values."""
     tall = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])))
-    x = F.col("x")
-    q = [F.percentile(x, F.lit(p)).alias(n) for n, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
-    return tall.groupBy("feature").agg(F.count(x).alias("count"), exact(F.avg(x), 8).alias("mean"), exact(F.stddev_samp(x), 8).alias("std"), F.min(x).alias("min"), *q, F.max(x).alias("max"))
+    out = spread(tall.groupBy("feature", "x").agg(F.count("*").alias("n")), ["feature"], "x", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return out.select("feature", "count", exact(F.col("mean"), 8).alias("mean"), exact(F.col("std"), 8).alias("std"), "min", "q25", "median", "q75", "max")

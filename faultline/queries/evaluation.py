@@ -308,7 +308,7 @@ BOX = LONG + """, sc AS (SELECT 'Overall' AS scope, strategy, apfd FROM lg UNION
 @query("Q14_boxplot", sql(BOX))
 def q14(spark, d):
     box = stats.boxplot(kept(long_results(spark, d)))
-    return box.select("scope", "strategy", "n", *[exact(F.col(c), 8).alias(c) for c in ("mean", "q1", "median", "q3")], "whisker_low", "whisker_high", F.size("outliers").cast("long").alias("n_outliers"))
+    return box.select("scope", "strategy", "n", *[exact(F.col(c), 8).alias(c) for c in ("mean", "q1", "median", "q3")], "whisker_low", "whisker_high", "n_outliers")
 
 
 @query("O2_strategies_by_mean", sql(LONG + f" SELECT strategy, round_even(avg(apfd), 4) AS mean, row_number() OVER (ORDER BY round_even(avg(apfd), 4) DESC, {IDX}) AS place FROM lg GROUP BY strategy"))
@@ -388,7 +388,7 @@ def a15(spark, d):
 def a16(spark, d):
     w = stats.wide(long_results(spark, d), STRATEGIES)
     tall = w.unpivot(KEYS, [f"`{s}`" for s in STRATEGIES], "strategy", "apfd")
-    return tall.groupBy("strategy").agg(exact(F.avg("apfd"), 4).alias("mean"), exact(F.median("apfd"), 4).alias("median"), exact(F.stddev_samp("apfd"), 4).alias("std"), F.count("apfd").alias("n_bugs"))
+    return stats.strategy_summary(tall, ["strategy"]).select("strategy", "mean", "median", "std", F.col("count").alias("n_bugs"))
 
 
 @query("J10_variants_with_baselines", sql(ranked_sql("v", "same_package + history * 0.1") + ranked_sql("b", "history") + " SELECT v.project, v.bug, round_even(v.apfd, 10) AS variant, round_even(b.apfd, 10) AS baseline FROM v LEFT JOIN (SELECT * FROM b WHERE bug % 2 = 0) b ON v.project = b.project AND v.bug = b.bug"))
@@ -421,6 +421,12 @@ def o1(spark, d):
     return apfd_of(derived.features(spark, d), "history").select(*KEYS, "n_tests", "n_trigger_tests").orderBy(*KEYS)
 
 
+@query("X1_numpy_orders")
+def x1_numpy(spark, d):
+    """The random strategy with numpy's own permutations of each change's tests in their stored order."""
+    return order.numpy_random_apfd(derived.features(spark, d), SEEDS)
+
+
 @query("X2_two_sided_p", sql(TESTED + f" SELECT strategy_a, strategy_b, round_even(z, {PLACES}) AS z, round_even(p_value, {PLACES}) AS p_value FROM pv"))
 def x2(spark, d):
     ranks = stats.signed_ranks(stats.pairs(kept(long_results(spark, d)), STRATEGIES))
@@ -430,6 +436,4 @@ def x2(spark, d):
 @query("A23_outliers", sql(BOX.split("SELECT scope, strategy, n, round_even")[0] + " SELECT scope, strategy, project, bug, apfd FROM (SELECT 'Overall' AS scope, strategy, project, bug, apfd FROM lg UNION ALL SELECT project, strategy, project, bug, apfd FROM lg) x JOIN qt USING (scope, strategy) WHERE NOT (apfd >= q1 - 1.5 * (q3 - q1) AND apfd <= q3 + 1.5 * (q3 - q1))"))
 def a23(spark, d):
     long = kept(long_results(spark, d))
-    out = stats.boxplot(long).select("scope", "strategy", F.explode(F.array_distinct("outliers")).alias("apfd"))
-    scopes = long.select("strategy", *KEYS, "apfd", F.explode(F.array(F.lit(stats.OVERALL), F.col("project"))).alias("scope"))
-    return scopes.join(out, ["scope", "strategy", "apfd"], "left_semi").select("scope", "strategy", *KEYS, "apfd")
+    return stats.outliers(long).select("scope", "strategy", *KEYS, "apfd")

@@ -236,6 +236,21 @@ def j9(spark, d):
     return enumerate_tests.superclass_closure(classes_of(spark, d)[0])
 
 
+CYCLES = """WITH RECURSIVE c AS (SELECT p_partkey AS k, CASE WHEN p_size % 4 <> 0 THEN p_partkey // 4 * 4 + (p_partkey + 1) % 4 END AS over FROM part),
+e AS (SELECT k, over FROM c WHERE over IN (SELECT k FROM c)),
+up AS (SELECT k, over, 1 AS depth FROM e UNION ALL SELECT up.k, e.over, depth + 1 FROM up JOIN e ON up.over = e.k WHERE depth < 19)
+SELECT 'c' || k AS class_name, min(depth) AS length FROM up WHERE k = over GROUP BY k"""
+
+
+@query("J9_cyclic_classes", CYCLES)
+def j9_cycles(spark, d):
+    """The parts by fours as classes, of which most extend the next and the last the first: a broken build where all of the four do."""
+    k = F.col("p_partkey")
+    near = F.when(F.col("p_size") % 4 != 0, F.expr("p_partkey div 4 * 4") + (k + 1) % 4)
+    name = [F.concat(F.lit("c"), c).alias(n) for c, n in ((k, "class_name"), (near, "superclass"))]
+    return enumerate_tests.cyclic_classes(enumerate_tests.superclass_closure(spark.read.parquet(f"{d}/part.parquet").select(*name)))
+
+
 @query(
     "W6_nearest_override",
     HIERARCHY + ", n AS (SELECT up.class_name, name, test, row_number() OVER (PARTITION BY up.class_name, name ORDER BY depth) AS k FROM up JOIN m ON up.ancestor = m.class_name JOIN c ON c.class_name = up.class_name WHERE NOT c.is_abstract) SELECT class_name AS test_class, name AS test_method FROM n WHERE k = 1 AND test",

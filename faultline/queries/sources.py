@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import semicolon_list
 from faultline.operators import labels, split
+from faultline.operators.rank import global_rank
 from faultline.plans import derived
 from faultline.plans.derived import sql
 from faultline.plans.jobs import merge_parts
@@ -138,10 +139,12 @@ def s11(spark, d):
 
 @query("S12_sorted_export", sql(" SELECT row_number() OVER (ORDER BY project, bug) - 1 AS line, project, bug FROM ch"))
 def s12(spark, d):
+    """The export's lines in the order of its files."""
     path = new_path(spark, "export")
-    files.export_sorted(derived.dates(spark, d), path, ["project", "bug"], ["project", "bug"])
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.btrim("value", F.lit("\n")), "\n")).alias("line", "v")).where("line > 0")
-    return lines.select((F.col("line") - 1).cast("long").alias("line"), F.get(F.split("v", ","), F.lit(0)).alias("project"), F.get(F.split("v", ","), F.lit(1)).cast("long").alias("bug"))
+    files.export_sorted(derived.dates(spark, d), path, ["project", "bug"], ["project", "bug"], 3)
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.btrim("value", F.lit("\n")), "\n")).alias("pos", "v")).where("pos > 0")
+    lines = global_rank(texts, ["file", "pos"], "line")
+    return lines.select("line", F.get(F.split("v", ","), F.lit(0)).alias("project"), F.get(F.split("v", ","), F.lit(1)).cast("long").alias("bug"))
 
 
 @query("Q5_merge_parts", sql(f" SELECT {F_COLUMNS} FROM f"))

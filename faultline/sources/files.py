@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.operators.rank import ranged
 from faultline.schema import BUILD_REPORT, COMMIT_DATES, FEATURES, INTERMEDIATE, SPLIT
 
 
@@ -102,9 +103,9 @@ def append_report(df: DataFrame, path: str) -> None:
     df.select(*BUILD_REPORT.names).withColumn("attempt", F.lit(last + 1).cast("long")).write.mode("append").parquet(path)
 
 
-def export_sorted(df: DataFrame, path: str, columns: list[str], by: list[str]) -> None:
-    """One CSV file of a table with a row for each change, with fixed columns, sorted: one task, which spills where they are many."""
-    df.select(*columns).coalesce(1).sortWithinPartitions(*by).write.mode("overwrite").option("header", True).csv(path)
+def export_sorted(df: DataFrame, path: str, columns: list[str], by: list[str], files: int | None = None) -> None:
+    """CSV files of a table with fixed columns: each is sorted, and so are the files by their names. files: how many at most; else Spark decides by size."""
+    ranged(df.select(*columns), by, files).write.mode("overwrite").option("header", True).csv(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
