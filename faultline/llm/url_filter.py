@@ -3,8 +3,9 @@
 Host edges come from the pages' absolute links, counted before they are shuffled. Two personalised PageRanks run
 over them as joins and sums: trust starts at hosts with allowed pages and follows links; distrust starts at
 hosts with blocked pages and follows links backwards, to the hosts that link there. Mass at hosts without
-a way on returns to the seeds. The rounds go on until no more than TOLERANCE of the mass can still move. Then both masses are counted in whole seeds (ranks times the sum of all seeds' strengths, so that
-neither shrinks as more hosts are good or bad); a host is blocked if its distrust is over MARGIN times its trust and over LEAST; its pages that no rule fits get
+a way on returns to the seeds. Masses are counted in whole seeds: a host's
+rank, times the sum of all seeds' strengths, over the part of a seed's own mass that stays with it. That is the sum over all chains of links from seeds of strength times damping, so
+it doesn't change with pages that no chain joins to the host. The rounds go on until no more than TOLERANCE whole seeds can still move, anywhere. A host is blocked if its distrust is over MARGIN times its trust and over LEAST; its pages that no rule fits get
 that verdict. A seed's strength is the share of the host's own pages that a rule blocks or allows, so that a rule for one path
 of a host doesn't condemn the rest of it.
 
@@ -34,8 +35,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 DAMPING = 0.85
-#: Share of the mass that may be left where another round would move it.
-TOLERANCE = 0.01
+#: Whole seeds that may be left where more rounds would move them, in all.
+TOLERANCE = 0.001
 MARGIN = 2.0
 LEAST = 0.1
 BROADCAST_HOSTS = 100_000
@@ -68,10 +69,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
-    """(host, rank) of a personalised PageRank from staged seeds (host, seed), which sum to 1, over staged edges (src, dst, share), whose shares sum to 1 for each src."""
+def spread(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, total: float | None = None) -> DataFrame:
+    """(host, rank) of a personalised PageRank from staged seeds (host, seed), which sum to 1, over staged edges (src, dst, share), whose shares sum to 1 for each src.
+
+    With total, the sum of the seeds' strengths, ranks and tolerance are in whole seeds, whatever returns to the seeds from hosts without a way on.
+    """
     if edges.isEmpty():
-        return seeds.select("host", F.col("seed").alias("rank"))
+        return seeds.select("host", (F.col("seed") * (total or 1.0)).alias("rank"))
     none = F.lit(0.0)
     ways = staged(edges.select(F.col("src").alias("host"), none.alias("rank"), none.alias("before"), F.lit(1).alias("way")).distinct(), "ways")
     ranks = staged(_added(seeds.select("host", F.col("seed").alias("rank"), none.alias("before"), F.lit(0).alias("way")).unionByName(ways)), "ranks")
@@ -83,8 +87,9 @@ def spread(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, dam
         old = ranks.select("host", none.alias("rank"), F.col("rank").alias("before"), "way")
         ranks = staged(_added(on.unionByName(back).unionByName(old)), f"ranks-{k}")
         moved, change = ranks.agg(F.coalesce(F.sum(F.when(F.col("way") > 0, F.col("rank"))), none), F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), none)).first()
-        if change * damping / (1 - damping) <= tolerance:
-            return ranks.where("rank > 0").select("host", "rank")
+        unit = total / (1 - damping * moved) if total else 1.0
+        if change * damping / (1 - damping) * unit <= tolerance:
+            return ranks.where("rank > 0").select("host", (F.col("rank") * unit).alias("rank"))
 
 
 def _added(rows: DataFrame) -> DataFrame:
@@ -97,7 +102,7 @@ def _shares(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
 
 def host_verdicts(judged: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, trust, distrust and blocked for staged pages (host, ruled) and staged edges (src, dst, weight)."""
+    """host, trust and distrust in whole seeds, and blocked, for staged pages (host, ruled) and staged edges (src, dst, weight)."""
     hosts = judged.where("host <> ''").groupBy("host").agg(*[F.avg(F.coalesce((F.col("ruled") == v).cast("double"), F.lit(0.0))).alias(v) for v in ("allow", "block")])
     hosts = staged(hosts, "hosts")
     sums = hosts.agg(F.sum("allow").alias("a"), F.sum("block").alias("b")).first()
@@ -106,13 +111,12 @@ def host_verdicts(judged: DataFrame, edges: DataFrame, tolerance: float = TOLERA
         if not total:
             return hosts.limit(0).select("host", F.lit(0.0).alias(v))
         seeds = staged(hosts.where(F.col(v) > 0).select("host", (F.col(v) / total).alias("seed")), "seeds")
-        return spread(seeds, staged(_shares(edges, src, dst), "shares"), tolerance).withColumnRenamed("rank", v)
+        return spread(seeds, staged(_shares(edges, src, dst), "shares"), tolerance, total=total).withColumnRenamed("rank", v)
 
     trust = rank("allow", sums["a"], "src", "dst").select("host", F.col("allow").alias("trust"))
     distrust = rank("block", sums["b"], "dst", "src").select("host", F.col("block").alias("distrust"))
     out = hosts.join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    bad, good = F.col("distrust") * (sums["b"] or 0.0), F.col("trust") * (sums["a"] or 0.0)
-    blocked = (bad > MARGIN * good) & (bad > LEAST)
+    blocked = (F.col("distrust") > MARGIN * F.col("trust")) & (F.col("distrust") > LEAST)
     return out.select("host", "trust", "distrust", blocked.alias("blocked"))
 
 

@@ -350,3 +350,13 @@ def test_site_tree_is_the_brute_force_one(spark, monkeypatch):
     got = html_extract.extract(with_clashes(spark.createDataFrame(rows + extra, PAGES))).collect()
     assert sorted(((r["page_id"], r["text"]) for r in got), key=repr) == sorted([*texts.items(), (900, ""), (None, ""), (901, "\n\n".join([LONG] * 3)), (0, texts[0])], key=repr)
     assert all(r["n_chars"] == len(r["text"]) for r in got) and {r["page_id"]: r["url"] for r in got}[901] == "u"
+
+
+@pytest.mark.parametrize("apart", [0, 200, 2000])
+def test_verdicts_do_not_depend_on_pages_apart(spark, apart):
+    chain = ["bad", *[f"d{i}" for i in range(1, 21)]]
+    pages = [(0, "http://bad.com/de/x", None)] + [(i, f"http://{a}.com/x", f"<a href='http://{b}.com/y'>") for i, (b, a) in enumerate(zip(chain, chain[1:], strict=False), 1)]
+    pages += [(1000 + i, f"http://apart{i}.com/de/x", None) for i in range(apart)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_report(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    # a seed's distrust is damped by 0.85 a link: 0.85 ** 14 is over LEAST, 0.85 ** 15 isn't
+    assert [got[i] for i in range(21)] == ["block"] * 15 + ["allow"] * 6
