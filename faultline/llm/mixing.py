@@ -6,11 +6,12 @@
 2. Blocks: each source's documents, in a fixed pseudorandom order, are one stream of words cut into blocks of
    block_words words; the last may be shorter.
 3. Draws: each of an output shard's SHARD_SLOTS slots draws its source by a keyed hash, in proportion to the targets, so that the
-   sources' counts in a shard are a multinomial draw. A source's slots are numbered through the shards in their order:
-   pass 0 holds every block at most once, pass 1 again. A source that its draws bring to its target takes no more
-   slots; what draws leave short of it fills closing shards, so that totals meet the targets.
-4. Slots map to blocks through a pseudorandom permutation of the source's block indices, x -> (a x + b) mod n
-   with gcd(a, n) = 1, and join the blocks by index. The last slot is cut to the words that are left.
+   sources' counts in a shard are a multinomial draw. A source's slots are numbered through the shards in their order, and cut into passes of as many slots as it
+   has blocks. Draws beyond a source's target are left out, what draws leave short of it fills closing shards, so that totals meet the targets.
+4. Slots map to blocks through a pseudorandom permutation of the source's block indices for each pass, x -> (a x + b) mod n
+   with gcd(a, n) = 1, and join the blocks by index. A full pass takes every index. Of the last pass, which takes r of n indices, each shard has a range of
+   indices of its own, as long as its share of the r slots stretched to n; of it the shard takes as many as it drew. So the drawn counts decide
+   which blocks the mix takes again, or at all. The last slot is cut to the words that are left.
 
 Positions in a stream and numbers of slots are two-level prefix sums (within buckets, then over bucket totals), so
 that a source with a third of all rows is never in one task. Sources are rows of a table, however many there are. Reruns agree: all draws are keyed hashes.
@@ -32,11 +33,13 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BLOCK_WORDS = 256
-SHARD_SLOTS = 4096
+SHARD_SLOTS = 256
 BUCKET_DOCS = 2_000
 #: Rows of one bucket of a two-level prefix sum over sources or shards.
 BUCKET_ROWS = 10_000
 SEED = "mix"
+#: Of the draws of sources.
+DRAW_SEED = "draw"
 #: Rows of sources, or of cells of the draw, that may be broadcast, if names are short: about 100 bytes each.
 BROADCAST_ROWS = 50_000
 
@@ -107,7 +110,7 @@ def drawn(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     shards = bucket_count(slots, shard_slots)
     width = bucket_count(total, 4 * n)  # of a cell: a draw meets the few sources whose share touches its cell
     cells = aims.select("name", "low", "high", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(high - 1) div {width}"))).alias("cell"))
-    at = F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.lit(total))
+    at = F.pmod(F.xxhash64(F.lit(DRAW_SEED), F.col("id")), F.lit(total))
     draws = spark.range(shards * shard_slots).select(F.expr(f"id div {shard_slots}").alias("shard"), at.alias("at")).withColumn("cell", F.expr(f"at div {width}"))
     hits = draws.join(small_or_not(staged(cells, "draw-cells"), BROADCAST_ROWS), "cell").where("at >= low and at < high")
     counts = staged(hits.groupBy("name", "shard").agg(F.count("*").alias("n")), "draws")
@@ -139,7 +142,7 @@ def plan(docs: DataFrame, carry: list[str], weights=WEIGHTS, block_words: int =
     totals = staged(sums.groupBy(F.col(c["src"]).alias("name")).agg(F.sum("words").alias("source_size")), "source-sizes")
     n_blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
     sources = targets(totals, weights).withColumn("quota", F.bround("target").cast("long")).withColumn("n_blocks", n_blocks)
-    sources = sources.withColumn("perm_a", _coprime(F.col("n_blocks"), F.col("name"))).withColumn("perm_b", F.pmod(F.xxhash64("name", F.lit(SEED)), F.greatest("n_blocks", F.lit(1))))
+    sources = sources.withColumn("perm_a", _coprime(F.col("n_blocks"), F.col("name")))
     span = F.when(F.col("quota") > 0, F.ceil(F.col("quota") / F.lit(block_words)) + 2).otherwise(F.lit(0)).cast("long")
     sources = staged(sources.withColumn("slots", span), "sources")
     before = Window.partitionBy(c["src"]).orderBy(c["bucket"]).rowsBetween(Window.unboundedPreceding, -1)
@@ -149,17 +152,22 @@ def plan(docs: DataFrame, carry: list[str], weights=WEIGHTS, block_words: int =
     offsets = staged(offsets, "offsets")
     placed = placed.join(small_or_not(offsets, 2 * BROADCAST_ROWS), F.col(c["src"]).eqNullSafe(F.col("o_src")) & (F.col(c["bucket"]) == F.col("o_bucket")), "left")
     placed = _each_copy(placed.withColumn(c["start"], (F.col(c["start"]) + F.col("offset")).cast("long")).drop("o_src", "o_bucket", "offset"), rows, c)
-    # Slot k of pass p holds block perm(k). All blocks but the last have block_words words; where the last one falls is known.
+    # All blocks but the last have block_words words; where the last one falls is known.
     known = small_or_not(sources, BROADCAST_ROWS)
     counts = drawn(sources, shard_slots).withColumnRenamed("name", "d_name")
     slots = counts.join(known, F.col("d_name").eqNullSafe(F.col("name"))).drop("d_name")
     slots = slots.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1))).where("slot < slots")  # n is shard_slots at most
     slots = slots.withColumn("pass", F.expr("slot div n_blocks")).withColumn("k", F.col("slot") % F.col("n_blocks"))
-    slots = staged(slots.withColumn("block", _permuted(F.col("k"))), "slots")
+    # In the last pass a shard's slots stand together at the start of its stretched range: both stay in order and below n_blocks.
+    rest, begun = F.col("slots") % F.col("n_blocks"), F.greatest(F.col("first") - F.col("pass") * F.col("n_blocks"), F.lit(0))
+    stretched = F.call_function("div", begun.cast("decimal(18,0)") * F.col("n_blocks").cast("decimal(18,0)"), rest.cast("decimal(18,0)")) + F.col("k") - begun
+    index = F.when(F.col("pass") == F.expr("slots div n_blocks"), stretched).otherwise(F.col("k"))
+    slots = slots.withColumn("index", index).withColumn("perm_b", F.pmod(F.xxhash64("name", F.lit(SEED), "pass"), "n_blocks"))
+    slots = staged(slots.withColumn("block", _permuted(F.col("index"))), "slots")
     short = F.col("n_blocks") * block_words - F.col("source_size")
-    # The slot of the last block in a pass: perm(k) = n_blocks - 1, found by the slots themselves.
-    last = staged(slots.where("pass = 0 and block = n_blocks - 1").select(F.col("name").alias("l_name"), F.col("k").alias("last_k")), "last-blocks")
-    slots = slots.join(small_or_not(last, BROADCAST_ROWS), F.col("name").eqNullSafe(F.col("l_name")), "left").drop("l_name")
+    # The slot of the last block in each pass, found by the slots themselves; of the last pass it may be missing.
+    last = staged(slots.where("block = n_blocks - 1").select(F.col("name").alias("l_name"), F.col("pass").alias("l_pass"), F.col("k").alias("last_k")), "last-blocks")
+    slots = slots.join(small_or_not(last, BROADCAST_ROWS), F.col("name").eqNullSafe(F.col("l_name")) & (F.col("pass") == F.col("l_pass")), "left").drop("l_name", "l_pass")
     used = F.col("pass") * F.col("source_size") + F.col("k") * block_words - F.when(F.coalesce(F.col("last_k"), F.col("n_blocks")) < F.col("k"), short).otherwise(0)
     length = F.when(F.col("block") == F.col("n_blocks") - 1, block_words - short).otherwise(F.lit(block_words))
     slots = slots.withColumn("words", F.least(length, F.col("quota") - used).cast("long")).where("words > 0")

@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -90,6 +90,28 @@ def test_mix_report(spark, block):
     assert rows_of(mixing.mix_report(docs.repartition(3), block)) == rows_of(mixing.mix_report(docs, block))
 
 
+def test_another_draw_takes_other_documents(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30 + i % 50)), "en", f"s{i % 3}", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 256)
+    found = []
+    for seed in ("draw", "another", "third"):
+        monkeypatch.setattr(mixing, "DRAW_SEED", seed)
+        placed, slots, c = mixing.plan(docs, ["doc_id"], block_words=7)
+        got = slots.collect()
+        assert len({r["shard"] for r in got}) > 5
+        # no block twice in a pass, and full passes have each block
+        each = Counter((r["name"], r["pass"], r["block"]) for r in got)
+        assert max(each.values()) == 1
+        report = mixing.mix_report(docs, 7).collect()
+        found.append({r["doc_id"]: r["taken"] for r in report})
+        size, taken = {r["doc_id"]: r["size"] for r in report}, Counter()
+        for r in report:
+            taken[r["doc_id"] % 3] += r["taken"]
+        assert all(0 <= found[-1][i] <= 2 * size[i] for i in size) and all(abs(taken[r["doc_id"] % 3] - r["target"]) <= 1 for r in report)
+    assert sum(found[0][i] != found[1][i] for i in found[0]) > 20 and sum(found[1][i] != found[2][i] for i in found[0]) > 20
+
+
 def test_mix_documents_have_the_words_of_the_report(spark):
     docs = with_clashes(odd_frame(spark))
     mixed = mixing.mix_documents(docs, 7)
