@@ -206,85 +206,6 @@ def shards(fps: DataFrame, radius: int, shard: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, done, rows)
 
 
-def links(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query index, index in the tree's input) of the pairs within radius, a batch at a time."""
-        todo = [(0, np.arange(len(queries)))] if len(self.fps) and len(queries) else []
-        while todo:
-            node, who = todo.pop()
-            lo, hi, vantage, mu, inner, outer = self.nodes[node]
-            if mu < 0:
-                for q in range(0, len(who), 1024):
-                    for k in range(lo, hi, 1024):
-                        i, j = np.nonzero(np.bitwise_count(queries[who[q : q + 1024], None] ^ self.fps[None, k : min(k + 1024, hi)]) <= radius)
-                        yield who[q + i], self.at[k + j]
-                continue
-            d = np.bitwise_count(queries[who] ^ np.uint64(vantage)).astype(np.int16)
-            for to, near in ((inner, d <= mu + radius), (outer, d > mu - radius)):
-                some = who[near]
-                self.visited, self.pruned = self.visited + len(some), self.pruned + len(who) - len(some)
-                if some.size:
-                    todo.append((to, some))
-
-
-def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Merges the sets of i and j in label, whose entries are roots."""
-    while True:
-        a, b = label[i], label[j]
-        if not (differ := a != b).any():
-            return
-        i, j = i[differ], j[differ]
-        np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
-        while ((jumped := label[label]) != label).any():
-            label[:] = jumped
-
-
-def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) edges of a spanning forest of the links among fps: fewer than there are fps."""
-    label, tree = np.arange(len(fps)), VPTree(fps)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
-    for i, j in tree.links(fps, radius):
-        held.append((i[i < j], j[i < j]))
-        n += len(held[-1][0])
-        if n > 500_000:
-            _hook(label, *map(np.concatenate, zip(*held, strict=True)))
-            held, n = [], 0
-    if n:
-        _hook(label, *map(np.concatenate, zip(*held, strict=True)))
-    own = np.nonzero(label != np.arange(len(fps)))[0]
-    return own, label[own]
-
-
-def blocks(count: int, bits: int = 64) -> list[int]:
-    """Masks of count disjoint blocks that cover the bits."""
-    cuts = [bits * i // count for i in range(count + 1)]
-    return [((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def shard_keys(fps: DataFrame, radius: int, n: int) -> DataFrame:
-    """fp and key: each fingerprint once in a shard for each tuple of blocks. Equal keys of different tuples only merge shards."""
-    spare = sum(n > most for most in SPARE_BLOCKS)
-    parts = blocks(radius + 1 + spare)
-    masks = [_signed(sum(parts[i] for i in chosen)) for chosen in combinations(range(len(parts)), 1 + spare)]
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks)])
-    return fps.select("fp", F.explode(keys).alias("key"))
-
-
-def split_hot(rows: DataFrame, radius: int, most: int = 50_000) -> DataFrame:
-    """The rows with the shards of over most fingerprints dealt again, by blocks of interleaved bits: of radius + 1 a pair agrees on one."""
-    hot = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"), "hot-shards")
-    if hot.isEmpty():
-        return rows
-    masks = [_signed(sum(1 << b for b in range(j, 64, radius + 1))) for j in range(radius + 1)]
-    finer = F.array(*[F.xxhash64(F.col("key"), F.lit(j), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for j, m in enumerate(masks)])
-    hot = small_or_not(hot, BROADCAST_ROWS)
-    return rows.join(hot, "key", "left_anti").unionByName(rows.join(hot, "key", "left_semi").select("fp", F.explode(finer).alias("key")))
-
-
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Spanning edges (u, v) of the links among staged distinct fingerprints (fp)."""
     rows = shards(fps, radius)
