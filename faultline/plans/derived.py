@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.features import build_features
+from faultline.operators.split import tail_split
 from faultline.sources.shared import staged
 
 
@@ -53,22 +54,24 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("project", "bug", "fixed_commit_date").distinct()
 
 
-def dated_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(the feature table, project, bug, fixed_commit_date of each change).
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project, bug, test_class, test_method, history, same_package, modified_classes_count, label. Nothing is staged: what reads it once pays for no write."""
+    base = changes(spark, sf_dir)
+    return build_features(tests(spark, sf_dir), base.select("project", "bug", "modified_classes"), base.select("project", "bug", "fixed_commit_date"))
+
+
+def features_and_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the feature table, the chronological split of its changes).
 
-    The four-way join runs once: tests, changes and dates come from one aggregation by test, which is staged while they read it.
+    The four-way join runs once: tests, changes, dates and the split come from one aggregation by test, which is staged while they read it.
     """
     each = lines(spark, sf_dir).groupBy("project", "bug", "fixed_commit_date", "test_class", "test_method")
     each = staged(each.agg(F.max(F.col("hit").cast("int")).alias("is_trigger"), F.max("touched").alias("touched")), "tests")
     touched = F.sort_array(F.collect_set(F.when(F.col("touched"), F.col("test_class"))))
-    base = staged(each.groupBy("project", "bug", "fixed_commit_date").agg(touched.alias("modified_classes")), "changes")
+    base = each.groupBy("project", "bug", "fixed_commit_date").agg(touched.alias("modified_classes"))
     dates = base.select("project", "bug", "fixed_commit_date")
-    return build_features(each.drop("touched", "fixed_commit_date"), base.select("project", "bug", "modified_classes"), dates), dates
-
-
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project, bug, test_class, test_method, history, same_package, modified_classes_count, label."""
-    return dated_features(spark, sf_dir)[0]
+    split = staged(tail_split(each.select("project", "bug", F.col("is_trigger").alias("label")), dates), "split")
+    return build_features(each.drop("touched", "fixed_commit_date"), base.select("project", "bug", "modified_classes"), dates), split
 
 
 #: The same tables in SQL, as the head of each query's SQL: li, t, ch, modi, f.

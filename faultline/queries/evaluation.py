@@ -104,7 +104,7 @@ SPLIT = """, sp0 AS (SELECT project, bug, q, max(is_trigger) = 1 AS has_trigger
 
 @query("W4_tail_split", sql(SPLIT + " SELECT project, bug, fixed_commit_date, has_trigger, side FROM sp"))
 def w4(spark, d):
-    return split.tail_split(*derived.dated_features(spark, d))
+    return derived.features_and_split(spark, d)[1]
 
 
 @query("Q8_split_summary", sql(SPLIT + " SELECT project, count(*) AS total, count(*) FILTER (WHERE NOT has_trigger) AS no_trigger, count(*) FILTER (WHERE side = 'train') AS train, count(*) FILTER (WHERE side = 'test') AS test FROM sp GROUP BY ROLLUP (project)"))
@@ -114,9 +114,8 @@ def q8(spark, d):
 
 @query("P5_test_side_rows", sql(SPLIT + " SELECT f.project, f.bug, count(*) AS n, sum(label)::BIGINT AS positives FROM f JOIN sp ON f.project = sp.project AND f.bug = sp.bug WHERE side = 'test' GROUP BY ALL"))
 def p5(spark, d):
-    f, dates = derived.dated_features(spark, d)
-    f = kept(f)
-    rows = split.on_side(f, split.tail_split(f, dates), "test")
+    f, s = derived.features_and_split(spark, d)
+    rows = split.on_side(f, s, "test")
     return rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
 
 
@@ -138,9 +137,8 @@ LONG = (
 
 def long_results(spark, d):
     """strategy, project, bug, apfd (10 places), n_tests, n_trigger_tests of the test side's changes."""
-    f, dates = derived.dated_features(spark, d)
-    f = kept(f)
-    test = kept(split.on_side(f, split.tail_split(f, dates), "test"))
+    f, s = derived.features_and_split(spark, d)
+    test = kept(split.on_side(f, s, "test"))
     random = order.seed_summary(order.random_apfd(test, SEEDS)).withColumnRenamed("apfd_mean", "apfd").withColumn("strategy", F.lit("Random"))
     scored = order.apfd_by_scores(test, {k: F.expr(s) for k, s in SCORES.items()})
     return random.select(*scored.columns).unionByName(scored).select("strategy", *KEYS, exact(F.col("apfd")).alias("apfd"), "n_tests", "n_trigger_tests")
@@ -153,9 +151,8 @@ def u1(spark, d):
 
 @query("J1_test_side_results", sql(ranked_sql("r", "history") + SPLIT + " SELECT r.project, r.bug, round_even(apfd, 10) AS apfd FROM r SEMI JOIN (SELECT * FROM sp WHERE side = 'test') x ON r.project = x.project AND r.bug = x.bug"))
 def j1(spark, d):
-    f, dates = derived.dated_features(spark, d)
-    f = kept(f)
-    return split.on_side(apfd_of(f, "history"), split.tail_split(f, dates), "test").select(*KEYS, exact(F.col("apfd")).alias("apfd"))
+    f, s = derived.features_and_split(spark, d)
+    return split.on_side(apfd_of(f, "history"), s, "test").select(*KEYS, exact(F.col("apfd")).alias("apfd"))
 
 
 @query("P7_undefined_results", sql(ranked_sql("r", "history") + " SELECT project, bug FROM r WHERE apfd IS NULL"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import functions as F
 
 from faultline.operators import features
@@ -91,23 +93,59 @@ def t1_incomplete(spark, d):
     return incremental.incomplete(spark, sink, t.groupBy("project", "bug").agg(F.count("*").alias("expected")))
 
 
+#: The state store that transformWithState needs; without the second a run over all that is available never ends once states have a time to live.
+STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+@contextlib.contextmanager
+def state_conf(spark):
+    """STATE_CONF for a while."""
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+HISTORY_STREAM = "project string, bug long, test_class string, test_method string, fixed_commit_date long, is_trigger long"
+
+
+def arriving(spark, d, shares):
+    """(dated tests, conditions of the arrivals): the changes by date, cut at shares of the distinct dates."""
+    rows = staged(dated(spark, d).select("project", "bug", "test_class", "test_method", "fixed_commit_date", F.col("is_trigger").cast("long").alias("is_trigger")), "dated")
+    cuts = rows.select("fixed_commit_date").distinct().agg(F.percentile("fixed_commit_date", F.array(*map(F.lit, shares)))).first()[0] or [0] * len(shares)  # a few numbers
+    date = F.col("fixed_commit_date")
+    return rows, [date <= cuts[0], *[(date > low) & (date <= high) for low, high in zip(cuts, cuts[1:], strict=False)], date > cuts[-1]]
+
+
+def arrive(spark, rows, arrived, source, sink, check, ttl_ms=None, sink_rows=None):
+    """One arrival's rows added to the source, and a run of the stream over it."""
+    rows.where(arrived).write.mode("append").parquet(source)
+    stream = incremental.replay(spark, source, HISTORY_STREAM, 1_000_000)
+    incremental.running_history(stream, ttl_ms, sink_rows).writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+
 @query("T2_running_history", sql(HISTORY))
 def t2(spark, d):
     source, sink, check = new_path(spark, "stream"), new_path(spark, "sink"), new_path(spark, "check")
-    rows = staged(dated(spark, d).select("project", "bug", "test_class", "test_method", "fixed_commit_date", F.col("is_trigger").cast("long").alias("is_trigger")), "dated")
-    third = F.percentile("fixed_commit_date", F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    low, high = rows.select("fixed_commit_date").distinct().agg(third).first()[0] or (0, 0)  # two numbers
-    arrivals = [F.col("fixed_commit_date") <= low, (F.col("fixed_commit_date") > low) & (F.col("fixed_commit_date") <= high), F.col("fixed_commit_date") > high]
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    rows, arrivals = arriving(spark, d, [1 / 3, 2 / 3])
+    with state_conf(spark):
         for arrived in arrivals:  # in date order; each is a batch, and its state goes on to the next
-            rows.where(arrived).write.mode("append").parquet(source)
-            stream = incremental.replay(spark, source, "project string, bug long, test_class string, test_method string, fixed_commit_date long, is_trigger long", 1_000_000)
-            incremental.running_history(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+            arrive(spark, rows, arrived, source, sink, check)
+    return spark.read.parquet(sink).select("project", "bug", "test_class", "test_method", "history")
+
+
+@query("T2_expired_state", sql(HISTORY))
+def t2_expired(spark, d):
+    """The state of each test is gone as the second half arrives: it comes back from the sink."""
+    source, sink, check = new_path(spark, "stream"), new_path(spark, "sink"), new_path(spark, "check")
+    rows, (first, second) = arriving(spark, d, [1 / 2])
+    with state_conf(spark):
+        arrive(spark, rows, first, source, sink, check, ttl_ms=1)
+        arrive(spark, rows, second, source, sink, check, ttl_ms=1, sink_rows=spark.read.parquet(sink))
     return spark.read.parquet(sink).select("project", "bug", "test_class", "test_method", "history")
 
 

@@ -19,10 +19,10 @@ TREES = {"numTrees": 20, "maxDepth": 5}
 
 
 def sides(spark, d):
-    f, dates = derived.dated_features(spark, d)
+    """(train, test): views of one staged feature table."""
+    f, s = derived.features_and_split(spark, d)
     f = staged(f, "features")
-    s = staged(split.tail_split(f, dates), "split")
-    return staged(split.on_side(f, s, "train"), "train"), staged(split.on_side(f, s, "test"), "test")
+    return split.on_side(f, s, "train"), split.on_side(f, s, "test")
 
 
 @query("Q9_forest_apfd")

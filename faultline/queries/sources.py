@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.functions.text import semicolon_list
-from faultline.operators import labels, split
+from faultline.operators import labels
 from faultline.operators.rank import global_rank
 from faultline.plans import derived
 from faultline.plans.derived import sql
@@ -78,13 +78,13 @@ def w5(spark, d):
 @query("S4_split_file", sql(SPLIT + " SELECT side, project, bug FROM sp"))
 def s4(spark, d):
     path = new_path(spark, "split")
-    files.write_split(split.tail_split(*derived.dated_features(spark, d)), path)
+    files.write_split(derived.features_and_split(spark, d)[1], path)
     return files.read_split(spark, path)
 
 
 @query("S13_split_json", sql(SPLIT + " SELECT side, project, count(*) AS n, min(bug) AS first_id, max(bug) AS last_id FROM sp GROUP BY ALL"))
 def s13(spark, d):
-    value = files.split_json(split.tail_split(*derived.dated_features(spark, d)))
+    value = files.split_json(derived.features_and_split(spark, d)[1])
     parsed = value.select(F.from_json("value", "train map<string,array<long>>, test map<string,array<long>>").alias("s"))
     sides = parsed.select(F.explode(F.create_map(F.lit("train"), F.col("s.train"), F.lit("test"), F.col("s.test"))).alias("side", "m")).select("side", F.explode("m").alias("project", "ids"))
     return sides.select("side", "project", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"), F.element_at("ids", -1).alias("last_id"))

@@ -117,14 +117,17 @@ def ingest(stream: DataFrame, sink: str, checkpoint: str, build: Callable[[DataF
 
 
 class RunningHistory(StatefulProcessor):
-    """Positives seen so far of one (project, test_class, test_method)."""
+    """Positives seen so far of one (project, test_class, test_method). A key without state goes on from base, what the sink has of it."""
+
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long")
+        self.seen = handle.getValueState("seen", "n long", self.ttl_ms) if self.ttl_ms else handle.getValueState("seen", "n long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["fixed_commit_date", "bug"], kind="stable")
-        n = self.seen.get()[0] if self.seen.exists() else 0
+        n = self.seen.get()[0] if self.seen.exists() else int(batch["base"].iloc[0])
         batch["history"] = n + batch["is_trigger"].cumsum() - batch["is_trigger"]
         self.seen.update((int(n + batch["is_trigger"].sum()),))
         yield batch[["project", "bug", "test_class", "test_method", "fixed_commit_date", "is_trigger", "history"]]
@@ -136,10 +139,24 @@ class RunningHistory(StatefulProcessor):
 HISTORY_ROWS = struct(project=S, bug=L, test_class=S, test_method=S, fixed_commit_date=L, is_trigger=L, history=L)
 
 
-def running_history(stream: DataFrame) -> DataFrame:
-    """history for a stream of tests whose changes arrive in date order (late ones: recompute_late). The session needs the RocksDB state store."""
+TEST = ["project", "test_class", "test_method"]
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """project, test_class, test_method, base: all positives so far, from rows with their history."""
+    return rows.groupBy(*TEST).agg(F.max(F.col("history") + F.col("is_trigger")).alias("base"))
+
+
+def running_history(stream: DataFrame, ttl_ms: int | None = None, sink: DataFrame | None = None) -> DataFrame:
+    """history for a stream of tests whose changes arrive in date order (late ones: late_changes). The session needs the RocksDB state store.
+
+    The state is one number for each test; with ttl_ms it is dropped that long after the test's last row, so that it is bounded by the tests of that time. Given the
+    rows that the sink holds as the run starts, a test that comes back, or a run with a new checkpoint, goes on from there: a run must be shorter than ttl_ms.
+    With ttl_ms a run over all that is available ends only with spark.sql.streaming.noDataMicroBatches.enabled off.
+    """
     rows = stream.withColumn("is_trigger", F.col("is_trigger").cast("long"))
-    return rows.groupBy("project", "test_class", "test_method").transformWithStateInPandas(RunningHistory(), outputStructType=HISTORY_ROWS, outputMode="Append", timeMode="None")
+    rows = rows.join(totals(sink), TEST, "left").na.fill(0, ["base"]) if sink is not None else rows.withColumn("base", F.lit(0).cast("long"))
+    return rows.groupBy(*TEST).transformWithStateInPandas(RunningHistory(ttl_ms), outputStructType=HISTORY_ROWS, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 def recompute_late(existing: DataFrame, late: DataFrame) -> DataFrame:

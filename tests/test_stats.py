@@ -8,6 +8,7 @@ from faultline.operators import classify, features, quality, stats
 from faultline.plans import jobs
 from faultline.schema import FEATURES
 from faultline.sources import files
+from faultline.queries.incremental import state_conf
 from faultline.streaming import incremental
 
 LONG = "strategy string, project string, bug long, apfd double"
@@ -105,6 +106,22 @@ def test_running_history_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(*key).collect())) == sorted(map(tuple, features.history(df).select(*key).collect()))
 
 
+@pytest.mark.parametrize("restored", [True, False])
+def test_expired_state_comes_back_from_the_sink(spark, tmp_path, restored):
+    rows = [("P", b, "c", f"m{b % 2}", b, int(b % 3 == 0)) for b in range(12)]
+    df = spark.createDataFrame(rows, TESTS)
+    for k in range(2):
+        df.where(f"bug div 6 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        sink = spark.read.parquet(f"{tmp_path}/out") if k and restored else None
+        stream = incremental.running_history(incremental.replay(spark, f"{tmp_path}/in", TESTS, 1), 1, sink)
+        with state_conf(spark):
+            stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    key = ["bug", "test_method", "history"]
+    found = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").select(*key).collect()))
+    batch = features.history(df) if restored else features.history(df.where("bug < 6")).unionByName(features.history(df.where("bug >= 6")))
+    assert found == sorted(map(tuple, batch.select(*key).collect()))  # without the sink the second half starts from nothing: the state was gone
+
+
 def test_late_change_rewrites_later_history(spark):
     df = spark.createDataFrame([("P", 1, "c", "m", 1, 1), ("P", 2, "c", "m", 2, 1), ("P", 3, "c", "m", 3, 0), ("Q", 1, "c", "m", 1, 1)], TESTS)
     first = features.history(df.where("bug <> 2"))
