@@ -18,7 +18,8 @@ that a source with a third of all rows is never in one task. Sources are rows of
 
 Defined results: null or empty text has size 0 and takes nothing; long texts span many blocks; null source is a source of its own, the last;
 equal rows are counted before anything else and stand one after the other in the stream, each a document of its own; one source
-alone stops at twice its words; sources with equal limit for their weight stop together; an empty table gives an empty result.
+alone stops at twice its words; sources with equal limit for their weight stop together; rows without a doc_id are documents like others; extra columns
+are ignored by the report and kept by the mix, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
