@@ -4,8 +4,9 @@ The index holds one entry per distinct text. Its directory over the leading bits
 a bucket has over CAPACITY hashes it splits by its next bit, and the directory doubles when that bit is beyond its global depth, up
 to all 64 bits. Only overfull buckets split, so bucket depths differ. The directory is a table: its counts stay in Spark, STEP bits
 at a time. Every text goes by the directory to its bucket, and with it to the owner task of the bucket's range of hashes. The owner chains the texts that share a hash, compares their whole
-normalised bytes and writes keep_id and group_size of each to its buckets; only texts whose hash occurs again are sent with their bytes. Equal texts are combined before the shuffle, so that a third of
-all rows with one text reach their owner as a few rows for each task. Every row then finds its entry by directory and bucket.
+normalised bytes and writes keep_id and group_size of each to its buckets. Before any shuffle of texts a bit map of the hashes that occur again sifts them, and equal texts are combined in
+their task: a third of all rows with one text reach their owner as a few rows for each task, and of unique texts only those travel whose bit another hash has set.
+Every row then finds its entry by directory and bucket, the rows of hot texts by broadcast.
 
 Defined results: null text counts as empty, and all empty texts are equal; long texts are hashed and compared whole; of rows with equal text and
 the same largest doc_id exactly one stays; null doc_ids are the smallest; an empty table gives an empty
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, ascii_lower, bucket_count, fresh, small_or_not, staged
+from .common import HOT_ROWS, apart, ascii_lower, bucket_count, fresh, small_or_not, staged
 
 #: Hashes in a bucket before it splits.
 CAPACITY = 512
@@ -34,6 +35,8 @@ OWNER_ENTRIES = 20_000
 COMBINE_BYTES = 1 << 25
 #: Rows of (hash) or of the directory that may be broadcast: 16 to 24 bytes each.
 BROADCAST_ROWS = 500_000
+#: Leading bits of a hash that choose a word of the bit map; the next 6 choose the bit. At most 2 ** WORD_BITS rows of 16 bytes are broadcast.
+WORD_BITS = 20
 
 
 def prefix(h: str, depth: int | str) -> Column:
@@ -106,6 +109,13 @@ def prints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     return docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm")).select("doc_id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
 
 
+def sieved(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose hash h may be one of keys (h): none of those is lost, and of n other hashes about n * len(keys) / 2 ** (WORD_BITS + 6) stay. Nothing is shuffled but the bit map."""
+    word, bit = F.shiftrightunsigned("h", 64 - WORD_BITS), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {58 - WORD_BITS}) & 63L AS INT))")
+    words = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.join(F.broadcast(words), word == F.col("_word")).where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
 def larger(a, b):
     """The larger of two ids; null is the smallest."""
     return a if b is None or (a is not None and a >= b) else b
@@ -181,14 +191,22 @@ def build_index(docs: DataFrame, rows: DataFrame, text: str = "text", capacity:
     least = least_depth(found)
     alone = by_hash.where("n = 1").select("h", F.lit(None).cast("string").alias("norm"), "sha", "keep_id", "n")
     again = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm")).withColumn("h", F.xxhash64("norm"))
-    again = again.join(small_or_not(by_hash.where("n > 1").select("h"), BROADCAST_ROWS), "h", "left_semi").select("h", "norm", "doc_id")
-    again = again.mapInArrow(combined, f"h long, norm string, keep_id {kind}, n long").withColumn("sha", F.lit(None).cast("string"))
+    repeated = by_hash.where("n > 1").select("h")
+    again = sieved(again.select("h", "norm", "doc_id"), repeated).mapInArrow(combined, f"h long, norm string, keep_id {kind}, n long")
+    again = again.join(small_or_not(repeated, BROADCAST_ROWS), "h", "left_semi").select("h", "norm", F.lit(None).cast("string").alias("sha"), "keep_id", "n")
     owners = bucket_count(by_hash.count(), OWNER_ENTRIES)
     placed = looked_up(alone.unionByName(again), found, least).withColumn("owner", prefix("h", least))  # an owner takes many small ranges
     ordered = placed.repartition(owners, "owner").sortWithinPartitions("h").select("prefix", "depth", "h", "norm", "sha", "keep_id", "n")
     return staged(ordered.mapInArrow(owned, f"prefix long, depth int, h long, chain int, sha string, keep_id {kind}, group_size long"), "extendible"), found
 
 
+def with_entries(placed: DataFrame, index: DataFrame) -> DataFrame:
+    """The placed rows with their entry of the index, if it has one. A text of over HOT_ROWS rows is joined by broadcast: of n rows at most n / HOT_ROWS texts are."""
+    key = ["prefix", "depth", "h", "sha"]
+    hot, rest = index.where(F.col("group_size") > HOT_ROWS), index.where(F.col("group_size") <= HOT_ROWS)
+    return placed.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key).unionByName(placed.join(F.broadcast(hot), key))
+
+
 def repeated_rows(rows: DataFrame) -> DataFrame:
     """The rows whose text and doc_id both occur again: rh, rsha, rid."""
     return staged(rows.groupBy("h", "sha", "doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("rh"), F.col("sha").alias("rsha"), F.col("doc_id").alias("rid")), "repeats")
@@ -200,7 +218,7 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     index, found = build_index(docs, rows)
     repeats = repeated_rows(rows)
     out = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")]
-    joined = looked_up(rows, found, least_depth(found)).join(index.drop("chain"), ["prefix", "depth", "h", "sha"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    joined = with_entries(looked_up(rows, found, least_depth(found)), index.drop("chain")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     if repeats.isEmpty():
         return joined.select(*out)
     same = (F.col("h") == F.col("rh")) & (F.col("sha") == F.col("rsha")) & F.col("doc_id").eqNullSafe(F.col("rid"))
@@ -218,11 +236,11 @@ def dedup_filter(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts, with all columns: the one with the largest doc_id."""
     rows = staged(prints(docs), "prints")
     index, found = build_index(docs, rows)
-    index = index.where("group_size > 1").drop("chain", "group_size")
+    index = index.where("group_size > 1").drop("chain")
     h, sha = fresh(docs, "dedup_h"), fresh(docs, "dedup_sha")
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     marked = docs.withColumn(h, F.xxhash64(norm))
-    lost = looked_up(rows, found, least_depth(found)).join(index, ["prefix", "depth", "h", "sha"]).where("not (doc_id <=> keep_id)").select(F.col("h").alias("rh"), F.col("doc_id").alias("rid"))
+    lost = with_entries(looked_up(rows, found, least_depth(found)), index).where("not (doc_id <=> keep_id)").select(F.col("h").alias("rh"), F.col("doc_id").alias("rid"))
     repeats = repeated_rows(rows)
 
     def among(keys: DataFrame, how: str) -> DataFrame:

@@ -125,6 +125,26 @@ def test_chained_hashes_compare_bytes(spark, monkeypatch):
     assert got[1] == (2, 2) and got[6] == (7, 2) and got[9] == (9, 1)
 
 
+def test_sieve_loses_no_key_and_lets_few_others_pass(spark):
+    rnd = random.Random(4)
+    keys, others = ([(simhash._signed(rnd.getrandbits(64)),) for _ in range(n)] for n in (3000, 20_000))
+    keys += [(0,), (-1,), (1 << 37,), (-(1 << 63),)]
+    rows = spark.createDataFrame(keys + others, "h long")
+    got = {r[0] for r in exact_dedup.sieved(rows, spark.createDataFrame(keys, "h long")).collect()}
+    assert got >= {k for (k,) in keys} and len(got) < len(keys) + 20
+    assert exact_dedup.sieved(rows, spark.createDataFrame([], "h long")).count() == 0
+
+
+def test_hot_texts_beyond_any_broadcast(spark, monkeypatch):
+    """A text of a third of all rows, and nothing small enough for a broadcast but the hot entries: the same report and the same rows that stay."""
+    docs = spark.createDataFrame([(i, ("Hot TEXT " * 50 if i % 3 == 0 else f"text {i % 90}" if i % 3 == 1 else f"unique {i}"), "en", "a", 0) for i in range(600)], DOCS)
+    want, stay = rows_of(exact_dedup.dedup_report(docs)), rows_of(exact_dedup.dedup_filter(docs))
+    assert {r[2] for r in want if r[0] % 3 == 0} == {200} and {r[2] for r in want if r[0] % 3 == 2} == {1} and len(stay) == len({r[1] for r in want})
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 50)
+    assert rows_of(exact_dedup.dedup_report(docs)) == want and rows_of(exact_dedup.dedup_filter(docs)) == stay
+
+
 def test_split_of_overfull_buckets_only():
     found = sorted(exact_dedup.split(0, 0, {0: 5, 1: 5, 2: 1, 12: 40}, 4, 8))
     assert sum(x[2] for x in found) == 51 and sum(16 >> depth for _, depth, _ in found) == 16
