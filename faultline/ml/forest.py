@@ -13,12 +13,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, Mult
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.operators.classify import auc, balanced_weights, group_folds, ratio
-from faultline.operators.order import apfd, priority_rank
+from faultline.operators.order import apfd_unsorted, score_key
 from faultline.schema import FEATURE_COLUMNS, KEYS
 from faultline.sources.files import exists
 from faultline.sources.shared import new_path, staged
@@ -121,15 +121,19 @@ def search_scores(train: DataFrame, folds: int = 5, grid: dict | None = None, pa
     return spark.read.parquet(f"{path}/*")
 
 
+def objective(scores: DataFrame, by: list[str], scoring: str = "f1", count: str | None = None, hit: Column | None = None) -> DataFrame:
+    """by columns, value: f1 of the positive class at 0.5 (or where hit holds), or roc_auc, of all groups in one pass. A row stands for count instances, if given."""
+    if scoring == "roc_auc":
+        return auc(scores, by=by, count=count).select(*by, F.col("auc").alias("value"))
+    n, hit, y = F.col(count) if count else F.lit(1), F.col("score") > 0.5 if hit is None else hit, F.col("label") == 1
+    sums = scores.groupBy(*by).agg(*[F.sum(F.when(c, n).otherwise(0)).alias(k) for k, c in {"tp": hit & y, "fp": hit & ~y, "fn": ~hit & y}.items()])
+    return sums.select(*by, ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("value"))
+
+
 def setting_scores(scores: DataFrame, scoring: str = "f1") -> DataFrame:
     """The grid's params, score and std (population) over folds, of f1 of the positive class at 0.5, or roc_auc."""
     params = list(GRID)
-    if scoring == "roc_auc":
-        each = auc(scores, by=[*params, "fold"], count="n").select(*params, "fold", F.col("auc").alias("value"))
-    else:
-        hit, y = F.col("score") > 0.5, F.col("label") == 1
-        sums = scores.groupBy(*params, "fold").agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in {"tp": hit & y, "fp": hit & ~y, "fn": ~hit & y}.items()])
-        each = sums.select(*params, "fold", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("value"))
+    each = objective(scores, [*params, "fold"], scoring, "n")
     return each.groupBy(*params).agg(F.bround(F.avg("value"), 10).alias("score"), F.bround(F.stddev_pop("value"), 10).alias("std"))
 
 
@@ -168,7 +172,8 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFr
 
 
 def forest_apfd(scored: DataFrame) -> DataFrame:
-    return apfd(priority_rank(scored, F.bround("score", 12)))
+    """project, bug, apfd, n_tests, n_trigger_tests of the tests by score (12 places), without a sort."""
+    return apfd_unsorted(scored, score_key(F.bround("score", 12)))
 
 
 def fold_auc(train: DataFrame, folds: int = 5, **params) -> DataFrame:
