@@ -9,7 +9,7 @@ from faultline.functions.text import best_label
 from faultline.operators import stats
 from faultline.operators.features import build_features, modified_array
 from faultline.sources import versions
-from faultline.sources.files import overwrite, read_parts
+from faultline.sources.files import overwrite, read_part_lists, read_parts
 from faultline.sources.shared import new_path, staged
 from faultline.streaming.incremental import put_late
 
@@ -19,13 +19,12 @@ KEYS = ["project", "bug"]
 def merge_parts(spark: SparkSession, pattern: str, dates: DataFrame) -> DataFrame:
     """Features over all parts of the intermediate table; of a change that several parts hold, the last part's rows count.
 
-    Features come after the union: a test's history spans parts.
+    Features come after the union: a test's history spans parts. The rows never carry the changes' lists.
     """
-    parts = modified_array(read_parts(spark, pattern))
-    last = parts.groupBy(*KEYS).agg(F.max("part").alias("part"))
-    rows = parts.join(last, [*KEYS, "part"], "left_semi")
-    one = rows.groupBy(*KEYS).agg(F.first("modified_classes").alias("modified_classes"))
-    return build_features(rows.drop("modified_classes", "modified_classes_count", "part"), one, dates)
+    parts = read_parts(spark, pattern)
+    last = staged(parts.groupBy(*KEYS).agg(F.max("part").alias("part")), "last-parts")
+    one = modified_array(read_part_lists(spark, pattern).join(last, [*KEYS, "part"], "left_semi"))
+    return build_features(parts.join(last, [*KEYS, "part"], "left_semi").drop("part"), one.select(*KEYS, "modified_classes"), dates)
 
 
 def add_missing(path: str, new: DataFrame) -> versions.Version:

@@ -44,26 +44,29 @@ def s2(spark, d):
 
 
 def intermediate(spark, d):
-    t, ch = derived.tests(spark, d), derived.changes(spark, d)
-    sizes = ch.select("project", "bug", F.array_join("modified_classes", ";").alias("modified_classes"), F.size("modified_classes").alias("modified_classes_count"))
-    return t.join(sizes, ["project", "bug"]).select("project", "bug", "test_class", "test_method", "is_trigger", "modified_classes", "modified_classes_count")
+    """(tests, staged; the ;-joined list of each change; their dates)."""
+    t, ch = derived.tests_and_changes(spark, d)
+    lists = ch.select("project", "bug", F.array_join("modified_classes", ";").alias("modified_classes"), F.size("modified_classes").alias("modified_classes_count"))
+    return t, lists, ch.select("project", "bug", "fixed_commit_date")
 
 
 @query("S3_part_files", sql(" SELECT 'intermediate_' || project || '.csv' AS part, count(*) AS rows FROM t GROUP BY ALL"))
 def s3(spark, d):
     base = new_path(spark, "parts")
-    rows = staged(intermediate(spark, d), "intermediate")
-    for (project,) in rows.select("project").distinct().collect():  # one part for each project
-        files.overwrite(rows.where(F.col("project") == project), f"{base}/intermediate_{project}.csv", "csv")
+    t, lists, _ = intermediate(spark, d)
+    lists = staged(lists, "lists")
+    for (project,) in lists.select("project").distinct().collect():  # one part for each project
+        files.write_part(*[df.where(F.col("project") == project) for df in (t, lists)], f"{base}/intermediate_{project}.csv")
     return files.part_counts(files.read_parts(spark, f"{base}/intermediate_*.csv"))
 
 
 @query("S3_parts_modified_lists", sql(" SELECT t.project, t.bug, modified_classes_count AS listed, count(*) AS n FROM t JOIN ch ON t.project = ch.project AND t.bug = ch.bug GROUP BY ALL"))
 def s3_lists(spark, d):
     path = new_path(spark, "parts") + "/intermediate_all.csv"
-    files.overwrite(intermediate(spark, d), path, "csv")
-    rows = files.read_parts(spark, path)
-    return rows.groupBy("project", "bug", F.size(semicolon_list(F.col("modified_classes"))).alias("listed")).agg(F.count("*").alias("n"))
+    t, lists, _ = intermediate(spark, d)
+    files.write_part(t, lists, path)
+    listed = files.read_part_lists(spark, path).select("project", "bug", F.size(semicolon_list(F.col("modified_classes"))).alias("listed"))
+    return files.read_parts(spark, path).groupBy("project", "bug").agg(F.count("*").alias("n")).join(listed, ["project", "bug"]).select("project", "bug", "listed", "n")
 
 
 @query("W5_last_attempt", sql(" SELECT project, bug, 'part2' AS part, CASE WHEN fixed_commit_date % 3 = 0 THEN 'ok' ELSE 'again' END AS status FROM ch WHERE fixed_commit_date % 2 = 0 UNION ALL SELECT project, bug, 'part1', 'first' FROM ch WHERE fixed_commit_date % 2 = 1"))
@@ -150,7 +153,8 @@ def s12(spark, d):
 @query("Q5_merge_parts", sql(f" SELECT {F_COLUMNS} FROM f"))
 def q5(spark, d):
     base = new_path(spark, "merge")
-    rows = staged(intermediate(spark, d), "intermediate")
-    files.overwrite(rows.where("bug % 2 = 0"), f"{base}/intermediate_a.csv", "csv")
-    files.overwrite(rows, f"{base}/intermediate_b.csv", "csv")
-    return merge_parts(spark, f"{base}/intermediate_*.csv", derived.dates(spark, d)).select(*FEATURES.names)
+    t, lists, dates = intermediate(spark, d)
+    lists = staged(lists, "lists")
+    files.write_part(t.where("bug % 2 = 0"), lists.where("bug % 2 = 0"), f"{base}/intermediate_a.csv")
+    files.write_part(t, lists, f"{base}/intermediate_b.csv")
+    return merge_parts(spark, f"{base}/intermediate_*.csv", dates).select(*FEATURES.names)

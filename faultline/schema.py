@@ -15,6 +15,9 @@ FEATURE_COLUMNS = ["history", "same_package", "modified_classes_count"]
 
 #: One row for each (change, test); modified_classes is a ;-joined list in text sources.
 INTERMEDIATE = struct(project=S, bug=L, test_class=S, test_method=S, is_trigger=I, modified_classes=S, modified_classes_count=I)
+#: A part of it as files: the rows without the list, and beside them the list of each change, once.
+PART_ROWS = struct(project=S, bug=L, test_class=S, test_method=S, is_trigger=I)
+PART_LISTS = struct(project=S, bug=L, modified_classes=S, modified_classes_count=I)
 FEATURES = struct(project=S, bug=L, test_class=S, test_method=S, history=L, same_package=I, modified_classes_count=I, label=I)
 COMMIT_DATES = struct(project=S, bug=L, fixed_commit_date=L, fixed_revision=S)
 BUILD_REPORT = struct(project=S, bug=L, status=S, reason=S, n_tests=L, n_triggers_expected=L, n_triggers_labeled=L)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.operators.rank import ranged
-from faultline.schema import BUILD_REPORT, COMMIT_DATES, FEATURES, INTERMEDIATE, SPLIT
+from faultline.schema import BUILD_REPORT, COMMIT_DATES, FEATURES, PART_LISTS, PART_ROWS, SPLIT
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -30,9 +30,24 @@ def done_keys(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("project", "bug").distinct()
 
 
-def read_parts(spark: SparkSession, pattern: str, schema: T.StructType = INTERMEDIATE) -> DataFrame:
+def write_part(tests: DataFrame, changes: DataFrame, path: str) -> None:
+    """A part of the intermediate table, compressed: tests at path, and the ;-joined modified_classes of each of their changes at path.changes.
+
+    A change's list is written once, not beside each of its tests: the rows would grow with tests times classes.
+    """
+    for df, at in ((tests.select(*PART_ROWS.names), path), (changes.select(*PART_LISTS.names), f"{path}.changes")):
+        df.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(at)
+
+
+def read_part_lists(spark: SparkSession, pattern: str) -> DataFrame:
+    """project, bug, modified_classes, modified_classes_count of the changes of each part, by the glob of the parts; part as read_parts() names it."""
+    lists = read_parts(spark, f"{pattern}.changes", PART_LISTS)
+    return lists.withColumn("part", F.regexp_replace("part", r"[.]changes$", ""))
+
+
+def read_parts(spark: SparkSession, pattern: str, schema: T.StructType = PART_ROWS) -> DataFrame:
     """CSV parts by a glob, with part, the file's name, which orders them. No match is an error of the reader."""
-    return read_csv(spark, pattern, schema).withColumn("part", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$|([^/]+)$", 1))
+    return read_csv(spark, pattern, schema).withColumn("part", F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1))
 
 
 def part_counts(parts: DataFrame) -> DataFrame:
