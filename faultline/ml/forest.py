@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.operators.classify import auc, balanced_weights, group_folds, ratio
-from faultline.operators.order import apfd_unsorted, score_key
+from faultline.operators.order import apfd_by_scores, apfd_unsorted, score_key
 from faultline.schema import FEATURE_COLUMNS, KEYS
 from faultline.sources.files import exists
 from faultline.sources.shared import new_path, staged
@@ -28,6 +29,8 @@ SEED = 42
 GRID = {"numTrees": [100, 200, 500], "maxDepth": [30, 5, 10, 20], "minInstancesPerNode": [1, 2, 5]}
 #: Copies of a distinct row that a search's trees draw from, at least the largest minInstancesPerNode.
 COPIES = 8
+#: The same for a single forest.
+FIT_COPIES = 64
 VARIANTS = {"3 features": FEATURE_COLUMNS, "only same_package": ["same_package"], "only history": ["history"], "without same_package": ["history", "modified_classes_count"]}
 
 
@@ -39,7 +42,15 @@ def pipeline(features: list[str] = FEATURE_COLUMNS, **params) -> Pipeline:
 
 
 def fit(train: DataFrame, features: list[str] = FEATURE_COLUMNS, **params) -> PipelineModel:
-    return pipeline(features, **params).fit(balanced_weights(train))
+    """A forest of all of train's instances with balanced weights, fitted on weighted distinct rows: train is read once, whatever the trees are."""
+    return fit_distinct(staged(distinct_rows(train, features), "distinct"), features, **params)
+
+
+def fit_distinct(distinct: DataFrame, features: list[str] = FEATURE_COLUMNS, **params) -> PipelineModel:
+    """fit() of staged distinct_rows() by the features or more columns."""
+    rows = distinct.groupBy(*features, "label").agg(F.sum("n").alias("n"))
+    dealt = weighted_copies(rows, FIT_COPIES).repartition(8, *features, "label").sortWithinPartitions(*features, "label")  # a fixed order: reruns draw alike
+    return pipeline(features, **params).fit(dealt)
 
 
 def evaluator(scoring: str) -> Evaluator:
@@ -62,13 +73,13 @@ def distinct_rows(rows: DataFrame, features: list[str] = FEATURE_COLUMNS, by: li
     return rows.groupBy(*features, "label", *(by or [])).agg(F.count("*").alias("n"))
 
 
-def weighted_copies(distinct: DataFrame) -> DataFrame:
-    """distinct rows as min(n, COPIES) copies each, with weights that sum to n balanced between the classes.
+def weighted_copies(distinct: DataFrame, copies: int = COPIES) -> DataFrame:
+    """distinct rows as min(n, copies) copies each, with weights that sum to n balanced between the classes.
 
-    Trees draw copies, not instances, so a row's share of a tree varies more than if all instances were drawn; counts of under COPIES instances, which
+    Trees draw copies, not instances, so a row's share of a tree varies more than if all instances were drawn; counts of under copies instances, which
     the smallest leaf asks for, stay exact.
     """
-    n_copies = F.least("n", F.lit(COPIES))
+    n_copies = F.least("n", F.lit(copies))
     sizes = distinct.groupBy("label").agg(F.sum("n").alias("_size"))
     total = F.sum("_size").over(Window.partitionBy())  # two rows
     share = F.broadcast(sizes.select("label", (total / (2 * F.col("_size"))).alias("_share")))
@@ -177,22 +188,22 @@ def forest_apfd(scored: DataFrame) -> DataFrame:
 
 
 def fold_auc(train: DataFrame, folds: int = 5, **params) -> DataFrame:
-    """fold, auc: each fold scored by a model of the others. A model for each fold, fitted one after the other."""
-    rows = folds_with_positives(train, folds)
-    parts = [score(fit(rows.where(F.col("fold") != k).drop("fold"), **params), rows.where(F.col("fold") == k)).select("fold", "label", "score") for k in range(folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return auc(out, by=["fold"])
+    """fold, auc: each fold scored by a model of the others. A model for each fold, fitted one after the other; a distinct row counts as its instances."""
+    rows = staged(distinct_rows(folds_with_positives(train, folds), by=["fold"]), "distinct")
+    parts = [score(fit_distinct(rows.where(F.col("fold") != k), **params), rows.where(F.col("fold") == k)).select("fold", "label", "score", "n") for k in range(folds)]
+    return auc(reduce(DataFrame.unionByName, parts), by=["fold"], count="n").select("fold", "auc", "positives", "negatives")
 
 
 def ablation(train: DataFrame, test: DataFrame, variants: dict[str, list[str]] | None = None, **params) -> DataFrame:
     """strategy, project, bug, apfd, n_tests, n_trigger_tests: the test changes ordered by a model of each feature subset."""
-    out = None
-    for name, features in (variants or VARIANTS).items():
-        part = forest_apfd(score(fit(train, features, **params), test)).withColumn("strategy", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.select("strategy", *KEYS, "apfd", "n_tests", "n_trigger_tests")
+    variants = variants or VARIANTS
+    columns = sorted({f for features in variants.values() for f in features})
+    rows = staged(distinct_rows(train, columns), "distinct")
+    cells = test.select(*columns).distinct()
+    for i, features in enumerate(variants.values()):
+        cells = score(fit_distinct(rows, features, **params), cells).withColumn(f"_s{i}", F.bround("score", 12)).drop("score", "predicted")
+    cells = staged(cells, "variant-scores")  # a row for each different value of the features, with all variants' scores
+    return apfd_by_scores(test.join(cells, columns), {name: F.col(f"_s{i}") for i, name in enumerate(variants)})
 
 
 def importances(model: PipelineModel, features: list[str] = FEATURE_COLUMNS) -> list[tuple[str, float]]:

@@ -83,7 +83,7 @@ def m6(spark, d):
 def q12(spark, d):
     train, test = sides(spark, d)
     variants = forest.ablation(train, test, **TREES)
-    baseline = order.apfd(order.priority_rank(test, F.col("same_package"))).withColumn("strategy", F.lit("Same-Package"))
+    baseline = order.apfd_unsorted(test, order.score_key(F.col("same_package"))).withColumn("strategy", F.lit("Same-Package"))
     both = staged(variants.unionByName(baseline), "variants")
     return stats.wilcoxon(both, [*forest.VARIANTS, "Same-Package"])
 

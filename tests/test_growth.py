@@ -5,10 +5,14 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.ml import forest
+from faultline.operators import classify, features
 from faultline.plans import derived, jobs
 from faultline.queries import features as feature_queries
+from faultline.queries import incremental as incremental_queries
 from faultline.queries import sources
 from faultline.sources import files
+from faultline.streaming import incremental
 
 SALES = {
     "lineitem": ("l_orderkey long, l_partkey long, l_returnflag string, l_quantity double, l_discount double", [(1, 1, "R", 50.0, 0.1), (1, 1, "N", 1.0, 0.0), (1, 2, "N", 48.0, 0.1), (2, 1, "N", 1.0, 0.0), (2, 3, "R", 45.0, 0.09), (3, 9, "R", 50.0, 0.1), (9, 1, "R", 50.0, 0.1), (4, 2, "N", 1.0, 0.0), (None, 1, "N", 1.0, 0.0)]),
@@ -84,3 +88,41 @@ def test_same_package_opens_a_list_once(spark, sales):
     assert rows_of(out) == by_sql(sales, " SELECT project, bug, sum(same_package)::BIGINT FROM f GROUP BY ALL")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("exists(") < plan.index("explode(")  # the lists are opened below, and met package by package
+
+
+def test_fits_read_the_instances_once(spark, monkeypatch):
+    rows = [("P", i % 12, "c", f"m{i}", int(i % 7 == 0), int(i % 5 == 0), i % 3, int(i % 5 == 0 and i % 12 < 9 or i % 31 == 0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "project string, bug long, test_class string, test_method string, history long, same_package int, modified_classes_count int, label int")
+    fitted = []
+    copies = forest.weighted_copies
+    monkeypatch.setattr(forest, "weighted_copies", lambda d, *n: fitted.append(copies(d, *n)) or fitted[-1])
+    params = {"numTrees": 10, "maxDepth": 4}
+    model = forest.fit(df, **params)
+    n_distinct = df.select(*forest.FEATURE_COLUMNS, "label").distinct().count()
+    assert fitted[0].count() <= forest.FIT_COPIES * n_distinct < 3000
+    by_label = {r["label"]: r["w"] for r in fitted[0].groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+    assert by_label == {0: pytest.approx(1500), 1: pytest.approx(1500)}
+    # against a fit on all instances, and each variant against a fit and an ordering of its own
+    whole = forest.pipeline(**params).fit(classify.balanced_weights(df))
+    cells = df.select(*forest.FEATURE_COLUMNS).distinct()
+    both = forest.score(model, cells).join(forest.score(whole, cells).withColumnRenamed("score", "other"), forest.FEATURE_COLUMNS)
+    assert both.agg(F.max(F.abs(F.col("score") - F.col("other")))).first()[0] < 0.1
+    found = {tuple(r) for r in forest.ablation(df, df, **params).collect()}
+    each = [forest.forest_apfd(forest.score(forest.fit(df, features, **params), df)).select(F.lit(name), "*") for name, features in forest.VARIANTS.items()]
+    assert found == {tuple(r) for part in each for r in part.collect()}
+    folds = forest.fold_auc(df, 3, **params).collect()
+    assert sorted(r["fold"] for r in folds) == [0, 1, 2] and sum(r["positives"] + r["negatives"] for r in folds) == 3000 and all(r["auc"] > 0.8 for r in folds)
+
+
+def test_running_history_calls_by_bucket(spark, tmp_path, monkeypatch):
+    schema = "project string, bug long, test_class string, test_method string, fixed_commit_date long, is_trigger long"
+    rows = [("P" if i % 2 else None, b, f"c{i % 5}", f"m{i}", b, int((i + b) % 3 == 0)) for b in range(6) for i in range(40)]
+    whole = {tuple(r) for r in features.history(spark.createDataFrame(rows, schema)).select("project", "bug", "test_method", "history").collect()}
+    with incremental_queries.state_conf(spark):
+        for k in range(2):  # the second batch's rows go on from the state of the first
+            spark.createDataFrame([r for r in rows if r[1] // 3 == k], schema).write.mode("append").parquet(f"{tmp_path}/in")
+            out = incremental.running_history(incremental.replay(spark, f"{tmp_path}/in", schema, 100), buckets=3)
+            query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+            query.awaitTermination()
+            assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) <= 3  # not one for each of the 40 tests
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("project", "bug", "test_method", "history").collect()} == whole
