@@ -1,14 +1,16 @@
-"""Near copies of texts for the pipeline: SimHash at a radius for similarity 0.8, each link verified by exact Jaccard.
+"""Near copies of texts for the pipeline: SimHash at a radius for similarity 0.8, vantage-point trees, each link verified by exact Jaccard.
 
-Two texts link if the Jaccard similarity of their sets of five-word shingles is SIMILAR or more. At 0.8 SimHash fingerprints
-differ by 9.7 +- 2.9 of 64 bits. A radius of 24, five deviations more, loses none, but 25 bit blocks of two or three
-bits can't shard it: each shard would hold an eighth of all texts or more. Shards are therefore bands of minima: of BANDS bands of
-ROWS minima each, a pair at similarity s shares one with probability 1 - (1 - s^5)^20, 99.96% at 0.8.
-In a shard every pair of different components is tested: first the radius, then the sets. Shards with the same members are searched once.
+Two texts link if the Jaccard similarity of their sets of five-word shingles is SIMILAR or more. SimHash fingerprints have WORDS words here:
+at 0.8 they differ by 39 +- 6 of 256 bits, unrelated ones by 128 +- 8, so RADIUS, five deviations more, tells them apart.
+No set of disjoint bit blocks shards such a radius. Shards are therefore drawn bits: texts whose fingerprints agree in one of the tables' drawn
+bits meet. A shard is to hold about SHARD unrelated texts, which sets the bits; a pair at 0.8 misses all tables with probability MISSED, which sets their number.
+A shard of over CELL texts, dense by the bits drawn, is dealt again by other bits as long as that makes fewer pairs. In each shard a vantage-point tree
+finds the links at the radius: their components there are groups. A shard of over CELL that stays dense is a group as it is.
 
-A shard of over CELL texts is dealt to cells, each with the shard's smallest node too; after the components of these links, what
-isn't in the shard's largest component meets every cell. So no pair
-that shares a band is lost. A large group that the first links join costs no square; one that falls into many components does.
+In a group every pair of different components is tested by the sets. Groups with the same members are searched once.
+A group of over CELL texts is dealt to cells, each with the group's smallest node too; after the components of these links, what
+isn't in the group's largest component meets every cell. So no pair of a group is lost.
+A large group that the first links join costs no square; one that falls into many components does.
 
 Defined results: texts without words are copies of each other, null too; fewer words than a shingle: the whole sequence is one; long texts are read whole;
 a similarity of just SIMILAR links; of equal smallest doc_ids the text with the smallest hash stays, and of repeated rows one; an empty table gives an empty result.
@@ -16,7 +18,10 @@ a similarity of just SIMILAR links; of equal smallest doc_ids the text with the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,33 +29,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_or_not, staged
-from .simhash import BROADCAST_ROWS, components, keep_first, majority, shingle_hashes
+from .simhash import BROADCAST_ROWS, components, forest, keep_first, shingle_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
-RADIUS = 24
-BANDS, ROWS = 20, 5
+WORDS = 4
+#: The share of bits in which fingerprints at SIMILAR differ, acos(2s / (1 + s)) / pi; and five deviations more.
+DIFFER = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+RADIUS = round(64 * WORDS * DIFFER + 5 * math.sqrt(64 * WORDS * DIFFER * (1 - DIFFER)))
+#: Unrelated texts of a shard, about, and the probability that a pair at SIMILAR is in none of the tables.
+SHARD, MISSED = 128, 0.001
 CELL = 2000
+LEAF = 64
+FP = [f"w{i}" for i in range(WORDS)]
 
-_DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, int]:
-    """The sorted set of a text's shingle hashes, and its fingerprint."""
-    found = np.concatenate(list(shingle_hashes(text, SHINGLE)) or [np.zeros(1, np.uint64)])
-    return np.unique(found), majority([found])
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted set of a text's shingle hashes."""
+    return np.unique(np.concatenate(list(shingle_hashes(text, SHINGLE)) or [np.zeros(1, np.uint64)]))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of the minima of a set; equal keys of different bands only merge shards."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[at : at + 4096, None] * _DRAWN[0] + _DRAWN[1]).min(axis=0))
-    mixed = (least ^ (least >> np.uint64(32))) * _DRAWN[2]
-    return (mixed ^ (mixed >> np.uint64(29))).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The bits that more than half of a set's hashes have, in WORDS words: each word mixes the hash anew."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 255 * 32):
+        mixed = (hashes[at : at + 255 * 32, None] ^ (hashes[at : at + 255 * 32, None] >> np.uint64(32))) * _DRAWN[0]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _DRAWN[1]
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # sums of bytes
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def linked(sets: list[np.ndarray], fps: np.ndarray, root: np.ndarray) -> Iterator[tuple[int, int]]:
+@cache
+def tables(bits: int) -> int:
+    """How many tables of so many drawn bits a pair at SIMILAR misses with probability MISSED at most."""
+    width = 64 * WORDS
+    odds = [(math.comb(width, d) * DIFFER**d * (1 - DIFFER) ** (width - d), math.comb(width - d, bits) / math.comb(width, bits)) for d in range(width + 1)]
+    return next(t for t in count(1) if sum(p * (1 - same) ** t for p, same in odds) <= MISSED)
+
+
+def masks(level: int, bits: int) -> np.ndarray:
+    """The drawn bits of each table of a level, as rows of words."""
+    rnd = np.random.default_rng([42, level, bits])
+    drawn = np.zeros((tables(bits), 64 * WORDS), np.uint8)
+    for row in drawn:
+        row[rnd.choice(64 * WORDS, bits, replace=False)] = 1
+    return np.packbits(drawn, axis=1, bitorder="little").view(np.uint64)
+
+
+def bits_for(n: int) -> int:
+    """Bits that deal n unrelated texts to shards of about SHARD."""
+    return min(32, max(0, round(math.log2(max(1, n) / SHARD))))
+
+
+def dealt(rows: DataFrame, level: int, bits: int) -> DataFrame:
+    """key, node, the words and child of rows with a key: a child for each table of the level."""
+    drawn = masks(level, bits)
+    salts = np.random.default_rng([43, level]).integers(0, 1 << 63, (2, len(drawn)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                words = np.stack([part.column(c).to_numpy().view(np.uint64) for c in FP], axis=1)
+                h = (part.column("key").to_numpy().view(np.uint64)[:, None] ^ salts[0]) * salts[1]
+                for w in range(WORDS):
+                    h = (h ^ (words[:, w, None] & drawn[:, w])) * salts[1]
+                    h ^= h >> np.uint64(31)
+                who = pa.array(np.repeat(np.arange(part.num_rows), len(drawn)))
+                yield pa.RecordBatch.from_arrays([*part.take(who).columns, pa.array(h.ravel().view(np.int64))], names=["key", "node", *FP, "child"])
+
+    return rows.select("key", "node", *FP).mapInArrow(each, f"key long, node long, {', '.join(f'{c} long' for c in FP)}, child long")
+
+
+def shards(fps: DataFrame) -> DataFrame:
+    """key, node and words: each of staged fingerprints in a shard of every table; a shard over CELL is dealt again by other bits as long as that makes fewer pairs."""
+    bits, done = bits_for(fps.count()), []
+    rows = dealt(fps.withColumn("key", F.lit(0).cast("long")), 0, bits).select(F.col("child").alias("key"), "node", *FP)
+    for level in count(1):
+        large = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL), "large-shards")
+        most = large.agg(F.max("n")).first()[0]
+        if most is None:
+            break
+        chosen = rows.join(small_or_not(large.select("key"), BROADCAST_ROWS), "key", "left_semi")
+        finer = staged(dealt(chosen, level, max(1, bits_for(most))), "dealt")
+        pairs = finer.groupBy("key", "child").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum(F.col("c") * F.col("c")).alias("after"))
+        pays = staged(pairs.join(large, "key").where(2 * F.col("after") < F.col("n").cast("double") * F.col("n")).select("key"), "dealt-shards")
+        if pays.isEmpty():
+            break
+        pays = small_or_not(pays, BROADCAST_ROWS)
+        done.append(rows.join(pays, "key", "left_anti"))
+        rows = finer.join(pays, "key", "left_semi").select(F.col("child").alias("key"), "node", *FP)
+    return reduce(DataFrame.unionByName, done, rows)
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, root, node of rows (key, node, words) sorted by key: the members of each component of a shard's links at RADIUS, found by a vantage-point tree."""
+    held: list[pa.RecordBatch] = []
+
+    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+        fps = np.stack([t.column(c).to_numpy().view(np.uint64) for c in FP], axis=1)
+        cuts = [0, *(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi - lo > CELL:
+                out.append((np.full(hi - lo, lo), np.arange(lo, hi)))
+            elif hi - lo > 1:
+                own, root = forest(fps[lo:hi], RADIUS, LEAF)
+                tops = np.unique(root)
+                out.append((lo + np.concatenate([root, tops]), lo + np.concatenate([own, tops])))
+        if out:
+            root, at = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[root]), pa.array(node[at])], names=["key", "root", "node"])
+
+    for batch in batches:
+        if batch.num_rows:
+            t = pa.Table.from_batches([*held, batch])
+            key = t.column("key").to_numpy()
+            done = int(np.searchsorted(key, key[-1]))
+            if done:
+                yield from found(t.slice(0, done))
+            held = t.slice(done).to_batches()
+    if held:
+        yield from found(pa.Table.from_batches(held))
+
+
+def candidates(fps: DataFrame) -> DataFrame:
+    """Distinct (node, key): groups in which alike texts meet, from staged fingerprints (node and words)."""
+    found = shards(fps).repartition("key").sortWithinPartitions("key").mapInArrow(groups, "key long, root long, node long")
+    return found.select("node", F.xxhash64("key", "root").alias("key")).distinct()
+
+
+def linked(sets: list[np.ndarray], root: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pairs that link the components (root) of a cell's members: every pair of different ones is tested."""
     label, sizes = np.unique(root, return_inverse=True)[1], np.array([len(s) for s in sets])
     named = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -58,7 +173,7 @@ def linked(sets: list[np.ndarray], fps: np.ndarray, root: np.ndarray) -> Iterato
     mark = np.zeros(int(named.max()) + 1, bool)
     for i in range(len(sets) - 1):
         least, most = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
-        near = (label[i + 1 :] != label[i]) & (least >= SIMILAR * most) & (np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= RADIUS)
+        near = (label[i + 1 :] != label[i]) & (least >= SIMILAR * most)
         others = np.nonzero(near)[0] + i + 1
         if not len(others):
             continue
@@ -73,10 +188,10 @@ def linked(sets: list[np.ndarray], fps: np.ndarray, root: np.ndarray) -> Iterato
 
 
 def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) of rows (cell, node, root, fp, hashes) sorted by cell."""
+    """Edges (u, v) of rows (cell, node, root, hashes) sorted by cell."""
 
     def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, node, root, fp = (t.column(c).to_numpy() for c in ("cell", "node", "root", "fp"))
+        cell, node, root = (t.column(c).to_numpy() for c in ("cell", "node", "root"))
         hashes = t.column("hashes").combine_chunks()
         hashes = pa.concat_arrays(hashes.chunks) if isinstance(hashes, pa.ChunkedArray) else hashes
         sets = np.split(hashes.flatten().to_numpy(), np.cumsum(hashes.value_lengths().to_numpy())[:-1])
@@ -85,7 +200,7 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             at = lo + np.unique(node[lo:hi], return_index=True)[1]
             if len(at) > 1:
-                for i, j in linked([sets[x] for x in at], fp[at].view(np.uint64), root[at]):
+                for i, j in linked([sets[x] for x in at], root[at]):
                     us.append(node[at[i]])
                     vs.append(node[at[j]])
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -104,7 +219,7 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _searched(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    rows = cells.join(sets, "node").select("cell", "node", "root", "fp", "hashes")
+    rows = cells.join(sets, "node").select("cell", "node", "root", "hashes")
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "u long, v long").distinct()
 
 
@@ -121,14 +236,14 @@ def links(keys: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                both = [shingles(t) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *[len(s) for s, _ in both]])
-                hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([s for s, _ in both]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array([f for _, f in both], np.uint64).view(np.int64)), hashes], names=["node", "fp", "hashes"])
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *[len(s) for s in sets]])
+                hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), hashes], names=["node", "hashes"])
 
     asked = staged(members.select("node").distinct(), "alike")
     sets = texts.join(small_or_not(asked, BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"])
-    sets = staged(sets.select("node", "text").mapInArrow(sets_of, "node long, fp long, hashes array<long>"), "shingles")
+    sets = staged(sets.select("node", "text").mapInArrow(sets_of, "node long, hashes array<long>"), "shingles")
     own = F.col("node").alias("root")
     cells = members.select(cell, "node", own)
     hot = shards.where(F.col("n") > CELL)
@@ -150,17 +265,16 @@ def near_copy_filter(docs: DataFrame) -> DataFrame:
     """One row of each component of texts alike, with all columns: the one with the smallest doc_id."""
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys = np.concatenate([bands(shingles(t)[0]) for t in part.column(2).to_pylist()]).view(np.int64)
-                ends = pa.array(np.arange(part.num_rows + 1) * BANDS, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(keys))], names=["doc_id", "node", "bands"])
+                fps = np.stack([wide_fingerprint(shingles(t)) for t in part.column(2).to_pylist()]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(fps[:, w].copy()) for w in range(WORDS)]], names=["doc_id", "node", *FP])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = staged(docs.select("doc_id", node.alias("node"), "text").mapInArrow(banded, f"doc_id {kind}, node long, bands array<long>"), "bands")
-    keys = rows.select("node", F.explode("bands").alias("key")).distinct()
+    rows = staged(docs.select("doc_id", node.alias("node"), "text").mapInArrow(printed, f"doc_id {kind}, node long, {', '.join(f'{c} long' for c in FP)}"), "fingerprints")
+    keys = staged(candidates(staged(rows.select("node", *FP).distinct(), "distinct")), "groups")
     stars = staged(components(links(keys, docs.select(node.alias("node"), "text"))), "components")
     stars = small_or_not(stars.withColumnRenamed("node", "of"), BROADCAST_ROWS)
     placed = rows.join(stars, F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), F.struct("doc_id", F.col("node").alias("key")).alias("row"))

@@ -89,11 +89,17 @@ def fingerprints(docs: DataFrame, carry: list[str], text: str = "text", shingle:
     return docs.select(*carry, of(F.col(text)).alias("fp"))
 
 
+def distance(a: np.ndarray, b: np.ndarray, wide: bool) -> np.ndarray:
+    """Differing bits of fingerprints of one word, or of rows of words (wide)."""
+    d = np.bitwise_count(a ^ b)
+    return d.sum(axis=-1, dtype=np.int16) if wide else d
+
+
 class VPTree:
-    """A vantage-point tree over unsigned 64-bit fingerprints, which are sorted in place by branches."""
+    """A vantage-point tree over fingerprints, unsigned 64-bit words or rows of them, which are sorted in place by branches."""
 
     def __init__(self, fps: np.ndarray, leaf: int = LEAF):
-        self.fps, self.leaf, self.at = fps.copy(), leaf, np.arange(len(fps))
+        self.fps, self.leaf, self.at, self.wide = fps.copy(), leaf, np.arange(len(fps)), fps.ndim > 1
         self.nodes: list[tuple] = []
         self.visited = self.pruned = 0  # branches that queries went into, and that the bounds ruled out
         todo = [(0, len(fps), -1, 0)]
@@ -106,8 +112,8 @@ class VPTree:
                 self.nodes.append([lo, hi, 0, -1, -1, -1])
                 continue
             part = self.fps[lo:hi]
-            vantage = part[(hi - lo) // 2]
-            d = np.bitwise_count(part ^ vantage)
+            vantage = part[(hi - lo) // 2].copy()
+            d = distance(part, vantage, self.wide)
             mu = int(np.median(d))
             inner = d <= mu
             if inner.all():
@@ -119,7 +125,7 @@ class VPTree:
             order = np.argsort(~inner, kind="stable")
             self.fps[lo:hi], self.at[lo:hi] = part[order], self.at[lo:hi][order]
             cut = lo + int(inner.sum())
-            self.nodes.append([lo, hi, int(vantage), mu, -1, -1])
+            self.nodes.append([lo, hi, vantage, mu, -1, -1])
             todo += [(lo, cut, me, 0), (cut, hi, me, 1)]
 
     def links(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -131,10 +137,10 @@ class VPTree:
             if mu < 0:
                 for q in range(0, len(who), 1024):
                     for k in range(lo, hi, 1024):
-                        i, j = np.nonzero(np.bitwise_count(queries[who[q : q + 1024], None] ^ self.fps[None, k : min(k + 1024, hi)]) <= radius)
+                        i, j = np.nonzero(distance(queries[who[q : q + 1024], None], self.fps[None, k : min(k + 1024, hi)], self.wide) <= radius)
                         yield who[q + i], self.at[k + j]
                 continue
-            d = np.bitwise_count(queries[who] ^ np.uint64(vantage)).astype(np.int16)
+            d = distance(queries[who], vantage, self.wide).astype(np.int16)
             for to, near in ((inner, d <= mu + radius), (outer, d > mu - radius)):
                 some = who[near]
                 self.visited, self.pruned = self.visited + len(some), self.pruned + len(who) - len(some)
@@ -154,9 +160,9 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = jumped
 
 
-def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, radius: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) edges of a spanning forest of the links among fps: fewer than there are fps."""
-    label, tree = np.arange(len(fps)), VPTree(fps)
+    label, tree = np.arange(len(fps)), VPTree(fps, leaf)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     n = 0
     for i, j in tree.links(fps, radius):

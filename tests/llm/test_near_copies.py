@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from faultline.llm import near_copies
+from faultline.llm import near_copies, simhash
 
 from .cases import DOCS, odd_documents, with_clashes
 
@@ -48,3 +49,28 @@ def test_stage_links_at_similarity_08(spark, monkeypatch, cell):
     got = corpus_pipeline.near_dedup(spark, with_clashes(spark.createDataFrame(rows, DOCS)), "")
     assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == brute_kept(rows)
     assert got.limit(0).count() == corpus_pipeline.near_dedup(spark, spark.createDataFrame([], DOCS), "").count() == 0
+
+
+def test_vantage_point_trees_find_the_candidates(spark, monkeypatch):
+    """Groups of the fingerprints' shards, drawn bits and all, hold every pair at 0.8, and trees with bounds prune on clusters."""
+    rnd, texts = random.Random(3), []
+    for _ in range(150):
+        base = [f"v{rnd.randrange(5000)}" for _ in range(200)]
+        texts += [" ".join(base), edited(rnd, base, 2), " ".join(f"u{rnd.randrange(5000)}" for _ in range(200))]
+    fps = np.stack([near_copies.wide_fingerprint(near_copies.shingles(t)) for t in texts])
+    sizes = []
+    tree = simhash.VPTree
+    monkeypatch.setattr(simhash, "VPTree", lambda *a: (sizes.append(len(a[0])), tree(*a))[1])
+    own, root = simhash.forest(fps, near_copies.RADIUS, 8)
+    assert sizes == [450] and sorted(zip(own.tolist(), root.tolist())) == [(3 * k + 1, 3 * k) for k in range(150)]
+    near = tree(np.concatenate([fps[2:100:3], np.repeat(fps[:1], 30, 0), fps[101:200:3]]), 8)  # a cluster among others
+    list(near.links(fps[:1], near_copies.RADIUS))
+    assert near.pruned
+    monkeypatch.setattr(near_copies, "SHARD", 16)
+    monkeypatch.setattr(near_copies, "CELL", 30)
+    df = near_copies.staged(spark.createDataFrame([(k, *f.view(np.int64).tolist()) for k, f in enumerate(fps)], "node long, w0 long, w1 long, w2 long, w3 long"), "fps")
+    assert near_copies.bits_for(450) == 5 and near_copies.shards(df).groupBy("key").count().agg({"count": "max"}).first()[0] < 120
+    keys = {}
+    for r in near_copies.candidates(df).collect():
+        keys.setdefault(r["node"], set()).add(r["key"])
+    assert all(keys.get(3 * k, set()) & keys.get(3 * k + 1, set()) for k in range(150)) and not any(3 * k + 2 in keys for k in range(150))
