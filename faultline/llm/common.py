@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.sources.shared import new_path, staged  # noqa: F401
+from faultline.sources.shared import new_path, small_or_not, staged  # noqa: F401
 
 #: The white space of the word contract, [\x20\x09-\x0D].
 WS = " \t\n\x0b\f\r"
@@ -13,11 +13,6 @@ WS_RE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def small_or_not(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if a count proves that it has at most max_rows rows, else df, which then joins by a shuffle. df should be staged: it is counted. At most max_rows rows of a few fixed-width columns are ever broadcast."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 #: A key with more rows than that is joined by broadcast: of n rows at most n / HOT_ROWS keys are.
 HOT_ROWS = 100_000
 

@@ -9,7 +9,7 @@ from faultline.functions.text import exact
 from faultline.operators import quality, stats
 from faultline.plans import derived
 from faultline.plans.derived import sql
-from faultline.sources.shared import staged
+from faultline.sources.shared import small_or_not, staged
 from faultline.streaming.incremental import lost_projects
 
 from . import query
@@ -114,7 +114,8 @@ ALL_CHECKS += [_check("history_consistency", "'all'", "0", "0", ""), _check("det
 
 @query("Q13_all_checks", sql(" UNION ALL ".join(ALL_CHECKS)))
 def q13(spark, d):
-    return quality.all_checks(derived.features(spark, d), derived.dates(spark, d))
+    t, base = derived.ordered_and_changes(spark, d)
+    return quality.all_checks(staged(derived.with_features(t, base), "features"), small_or_not(staged(base.select("project", "bug", "fixed_commit_date"), "dates")))
 
 
 @query("A17_distinct_counts", sql(" SELECT count(DISTINCT project) AS projects, count(DISTINCT (project, bug)) AS changes, count(DISTINCT test_class) AS test_classes, count(DISTINCT (test_class, test_method)) AS tests FROM f"))

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _within: contextvars.ContextVar[str] = contextvars.ContextVar("within", default="")
 
@@ -54,6 +55,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_or_not(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if a count proves that it has at most max_rows rows, else df, which then joins by a shuffle. df should be staged: it is counted. At most max_rows rows of a few fixed-width columns are ever broadcast."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside are deleted at its end: what is still needed must be written elsewhere before."""

@@ -1,6 +1,7 @@
 """Forms whose work grows no faster than their input: tables derived by part, lists beside parts, coarse state, fits on distinct rows."""
 
 import gzip
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,19 @@ def test_running_history_calls_by_bucket(spark, tmp_path, monkeypatch):
             query.awaitTermination()
             assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) <= 3  # not one for each of the 40 tests
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("project", "bug", "test_method", "history").collect()} == whole
+
+
+def test_history_comes_from_the_dealing_by_part(spark, monkeypatch):
+    """Rows by test are dealt by part into tasks of a bounded number of lines; their history needs no shuffle by test, and equals the window over tests."""
+    d = "/root/testdata/sf0.001"
+    plain = sorted(map(tuple, derived.features(spark, d).collect()))
+    monkeypatch.setattr(derived, "TASK_LINES", 500)
+    each = derived.each_test(spark, d)
+    plan = each._jdf.queryExecution().executedPlan().toString()
+    assert derived.deals(spark, d) == [-(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 500)] and "Window" in plan
+    assert not re.search(r"hashpartitioning\((project|test_class)", plan) and "hashpartitioning(part#" in plan
+    assert sorted(map(tuple, derived.features(spark, d).collect())) == plain
+    again = features.history(each.drop("history"))
+    assert each.exceptAll(again.select(*each.columns)).isEmpty()
+    names = derived.test_names(spark, d)
+    assert sorted(map(tuple, names.collect())) == sorted(map(tuple, each.select(*names.columns).distinct().collect()))
