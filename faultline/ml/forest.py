@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from faultline.ml.cuts import cut_scores
 from faultline.operators.classify import auc, balanced_weights, group_folds, ratio
 from faultline.operators.order import apfd_by_scores, apfd_unsorted, score_key
 from faultline.schema import FEATURE_COLUMNS, KEYS
@@ -96,35 +97,21 @@ def grown(n_trees: list[int]) -> list[tuple[int, int]]:
 def search_scores(train: DataFrame, folds: int = 5, grid: dict | None = None, parallelism: int = 8, features: list[str] = FEATURE_COLUMNS) -> DataFrame:
     """numTrees, maxDepth, minInstancesPerNode, fold, label, n, score: the scores of each fold's distinct rows by forests of the other folds, for every setting.
 
-    Forests are fitted on weighted distinct rows, parallelism at a time. Votes add up, so the sizes in the grid share their trees; and forests are fitted from the
-    deepest setting down, for a forest whose trees are no deeper than the next setting is one of that setting too. All objectives can be read from the scores.
+    Forests are fitted on weighted distinct rows, parallelism at a time, one for each smallest leaf and fold: of the most and deepest trees in the grid, whose first
+    trees, cut at each depth, are the forests of the other settings. All objectives can be read from the scores.
     """
     grid = grid or GRID
-    spark, depths, sizes = train.sparkSession, sorted(set(grid["maxDepth"]), reverse=True), sorted(set(grid["numTrees"]))
+    spark, depths, sizes = train.sparkSession, sorted(set(grid["maxDepth"])), sorted(set(grid["numTrees"]))
     rows = staged(distinct_rows(folds_with_positives(train, folds), features, ["fold"]), "distinct")
     path = new_path(spark, "search-scores")
-    sides = [(staged(weighted_copies(rows.where(F.col("fold") != k).drop("fold")), "fold-train"), VectorAssembler(inputCols=features, outputCol="features").transform(rows.where(F.col("fold") == k))) for k in range(folds)]
-
-    def voted(leaf: int, depth: int, k: int) -> tuple[DataFrame, int]:
-        """The fold's rows with the votes of each size, and the depth of the deepest tree."""
-        fitting, scored = sides[k]
-        votes, deepest = [], 0
-        for i, (size, seed) in enumerate(grown(sizes)):
-            model = pipeline(features, numTrees=size, seed=seed, maxDepth=depth, minInstancesPerNode=leaf).fit(fitting).stages[-1]
-            deepest = max(deepest, *(t.depth() for t in model._java_obj.trees()))  # model.trees makes a Python model of each
-            scored = model.transform(scored).withColumn(f"_votes{i}", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
-            votes.append(F.col(f"_votes{i}") + votes[-1] if votes else F.col(f"_votes{i}"))
-        each = F.inline(F.array(*[F.struct(F.lit(t).alias("numTrees"), F.bround(v / t, 10).alias("score")) for t, v in zip(sizes, votes, strict=True)]))
-        return scored.select("fold", "label", "n", each), deepest
+    sides = [(staged(weighted_copies(rows.where(F.col("fold") != k).drop("fold")), "fold-train"), rows.where(F.col("fold") == k)) for k in range(folds)]
 
     def one(task: tuple[str, int, int]) -> None:
         own, leaf, k = task
-        todo = list(depths)
-        while todo:
-            scored, deepest = voted(leaf, todo[0], k)
-            same = [d for d in todo if d == todo[0] or d >= deepest]
-            scored.select("*", F.lit(leaf).alias("minInstancesPerNode"), F.explode(F.array(*map(F.lit, same))).alias("maxDepth")).write.parquet(f"{own}-{todo[0]}")
-            todo = [d for d in todo if d not in same]
+        fitting, scored = sides[k]
+        model = pipeline(features, numTrees=sizes[-1], maxDepth=depths[-1], minInstancesPerNode=leaf).fit(fitting).stages[-1]
+        out = cut_scores(model, scored.select(*features, "fold", "label", "n"), features, sizes, depths)
+        out.select("fold", "label", "n", "numTrees", "score", F.lit(leaf).alias("minInstancesPerNode"), "maxDepth").write.parquet(own)
 
     tasks = [(f"{path}/{i}", leaf, k) for i, (leaf, k) in enumerate(itertools.product(sorted(set(grid["minInstancesPerNode"])), range(folds)))]
     with ThreadPoolExecutor(parallelism) as pool:
