@@ -5,7 +5,8 @@ at 0.8 they differ by 39 +- 6 of 256 bits, unrelated ones by 128 +- 8, so RADIUS
 No set of disjoint bit blocks shards such a radius. Shards are therefore drawn bits: texts whose fingerprints agree in one of the tables' drawn
 bits meet. A shard is to hold about SHARD unrelated texts, which sets the bits; a pair at 0.8 misses all tables with probability MISSED, which sets their number.
 A shard of over CELL texts, dense by the bits drawn, is dealt again by other bits as long as that makes fewer pairs. In each shard a vantage-point tree
-finds the links at the radius: their components there are groups. A shard of over CELL that stays dense is a group as it is.
+finds the links at the radius: their components there are groups. A shard of over CELL that stays dense is a group as it is. Groups of all tables that share texts
+are one, up to CELL texts, so that a text's set is shuffled once and not for each table.
 
 In a group every pair of different components is tested by the sets. Groups with the same members are searched once.
 A group of over CELL texts is dealt to cells, each with the group's smallest node too; after the components of these links, what
@@ -160,9 +161,20 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(fps: DataFrame) -> DataFrame:
-    """Distinct (node, key): groups in which alike texts meet, from staged fingerprints (node and words)."""
-    found = shards(fps).repartition("key").sortWithinPartitions("key").mapInArrow(groups, "key long, root long, node long")
-    return found.select("node", F.xxhash64("key", "root").alias("key")).distinct()
+    """Distinct (node, key): groups in which alike texts meet, from staged fingerprints (node and words).
+
+    The groups of all tables that share texts are one, which a text is in once, however many tables it meets others in. Where that makes more than CELL texts the tables' own groups stay.
+    """
+    found = shards(fps).repartition("key").sortWithinPartitions("key", "node").mapInArrow(groups, "key long, root long, node long")  # a root is its group's smallest node in each table
+    found = staged(found.select("node", "root", F.xxhash64("key", "root").alias("key")), "shard-groups")
+    stars = components(found.select(F.col("root").alias("u"), F.col("node").alias("v")).where("u <> v").distinct())
+    stars = staged(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "met")
+    large = staged(stars.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("root"), "large-groups")
+    if large.isEmpty():
+        return stars.select("node", F.col("root").alias("key"))
+    large = small_or_not(large, BROADCAST_ROWS)
+    own = found.select("node", "key").distinct().join(stars.join(large, "root", "left_semi").select("node"), "node", "left_semi")
+    return own.unionByName(stars.join(large, "root", "left_anti").select("node", F.col("root").alias("key")))
 
 
 def linked(sets: list[np.ndarray], root: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -74,3 +74,22 @@ def test_vantage_point_trees_find_the_candidates(spark, monkeypatch):
     for r in near_copies.candidates(df).collect():
         keys.setdefault(r["node"], set()).add(r["key"])
     assert all(keys.get(3 * k, set()) & keys.get(3 * k + 1, set()) for k in range(150)) and not any(3 * k + 2 in keys for k in range(150))
+
+
+@pytest.mark.parametrize(("cell", "once"), [(2000, True), (20, False)])
+def test_a_text_meets_others_once_for_all_tables(spark, monkeypatch, cell, once):
+    """Groups that different tables find of the same texts are one; over CELL texts the tables' own groups stay, and hold the same pairs."""
+    rnd = random.Random(4)
+    monkeypatch.setattr(near_copies, "SHARD", 16)
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    base = [f"v{rnd.randrange(5000)}" for _ in range(200)]
+    texts = [edited(rnd, base, c // 3) for c in range(30)] + [" ".join(f"u{rnd.randrange(5000)}" for _ in range(200)) for _ in range(120)]
+    fps = np.stack([near_copies.wide_fingerprint(near_copies.shingles(t)) for t in texts])
+    near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=-1) <= near_copies.RADIUS
+    df = near_copies.staged(spark.createDataFrame([(k, *f.view(np.int64).tolist()) for k, f in enumerate(fps)], "node long, w0 long, w1 long, w2 long, w3 long"), "fps")
+    rows = [tuple(r) for r in near_copies.candidates(df).collect()]
+    keys = {}
+    for node, key in rows:
+        keys.setdefault(node, set()).add(key)
+    assert len(rows) == len(set(rows)) and (len(rows) == len(keys)) is once
+    assert all(keys[0] & keys[k] for k in range(1, 30) if near[0, k]) and near[0, 1:30].any()
