@@ -4,7 +4,9 @@ Two texts link if the Jaccard similarity of their sets of five-word shingles is
 at 0.8 they differ by 39 +- 6 of 256 bits, unrelated ones by 128 +- 8, so RADIUS, five deviations more, tells them apart.
 No set of disjoint bit blocks shards such a radius. Shards are therefore drawn bits: texts whose fingerprints agree in one of the tables' drawn
 bits meet. A shard is to hold about SHARD unrelated texts, which sets the bits; a pair at 0.8 misses all tables with probability MISSED, which sets their number.
-A shard of over CELL texts, dense by the bits drawn, is dealt again by other bits as long as that makes fewer pairs. In each shard a vantage-point tree
+The bits are drawn in two steps: by the first ones texts are shuffled to shards of about 2 * CELL, so that there are few such tables, and by the others a task
+deals a shard again in memory, with other tables for each shard. A shard of over CELL texts, dense by the bits drawn, is dealt once more by other bits as long as that makes fewer pairs
+(over 8 * CELL in the first step: by a shuffle). In each shard a vantage-point tree
 finds the links at the radius: their components there are groups. A shard of over CELL that stays dense is a group as it is. Groups of all tables that share texts
 are one, up to CELL texts, so that a text's set is shuffled once and not for each table.
 
@@ -73,10 +75,28 @@ def tables(bits: int) -> int:
     return next(t for t in count(1) if sum(p * (1 - same) ** t for p, same in odds) <= MISSED)
 
 
-def masks(level: int, bits: int) -> np.ndarray:
-    """The drawn bits of each table of a level, as rows of words."""
-    rnd = np.random.default_rng([42, level, bits])
-    drawn = np.zeros((tables(bits), 64 * WORDS), np.uint8)
+@cache
+def nested(first: int, bits: int) -> tuple[int, int]:
+    """(tables of so many first bits, tables of the other bits in each shard of these) that a pair at SIMILAR misses with probability MISSED at most: about as many in all as tables(bits)."""
+    width, inner = 64 * WORDS, -(-tables(bits) // tables(first))
+
+    def meets(d: int) -> float:
+        shuffled, both = (math.comb(width - d, b) / math.comb(width, b) for b in (first, bits))
+        return shuffled and shuffled * (1 - (1 - both / shuffled) ** inner)
+
+    odds = [(math.comb(width, d) * DIFFER**d * (1 - DIFFER) ** (width - d), meets(d)) for d in range(width + 1)]
+    return next(t for t in count(1) if sum(p * (1 - met) ** t for p, met in odds) <= MISSED), inner
+
+
+def first_bits(n: int) -> int:
+    """Bits that deal n unrelated texts to shards of about 2 * CELL, the first of bits_for(n)."""
+    return min(bits_for(n), max(0, round(math.log2(max(1, n) / (2 * CELL)))))
+
+
+def masks(seed: list[int], bits: int, n: int) -> np.ndarray:
+    """The drawn bits of each of n tables, as rows of words."""
+    rnd = np.random.default_rng(seed)
+    drawn = np.zeros((n, 64 * WORDS), np.uint8)
     for row in drawn:
         row[rnd.choice(64 * WORDS, bits, replace=False)] = 1
     return np.packbits(drawn, axis=1, bitorder="little").view(np.uint64)
@@ -87,9 +107,12 @@ def bits_for(n: int) -> int:
     return min(32, max(0, round(math.log2(max(1, n) / SHARD))))
 
 
-def dealt(rows: DataFrame, level: int, bits: int) -> DataFrame:
-    """key, node, the words and child of rows with a key: a child for each table of the level."""
-    drawn = masks(level, bits)
+def dealt(rows: DataFrame, level: int, n: int) -> DataFrame:
+    """key, node, the words, child, bits and draws of rows with a key, of which n have the same: a child for each table of the level, and how many bits and tables are left to deal it in memory."""
+    every = max(bits_for(n), min(level, 1))
+    first = max(first_bits(n), min(level, 1))
+    number, draws = nested(first, every)
+    drawn = masks([42, level, first], first, number)
     salts = np.random.default_rng([43, level]).integers(0, 1 << 63, (2, len(drawn)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,49 +127,80 @@ def dealt(rows: DataFrame, level: int, bits: int) -> DataFrame:
                 who = pa.array(np.repeat(np.arange(part.num_rows), len(drawn)))
                 yield pa.RecordBatch.from_arrays([*part.take(who).columns, pa.array(h.ravel().view(np.int64))], names=["key", "node", *FP, "child"])
 
-    return rows.select("key", "node", *FP).mapInArrow(each, f"key long, node long, {', '.join(f'{c} long' for c in FP)}, child long")
+    out = rows.select("key", "node", *FP).mapInArrow(each, f"key long, node long, {', '.join(f'{c} long' for c in FP)}, child long")
+    return out.withColumn("bits", F.lit(every - first)).withColumn("draws", F.lit(draws))
 
 
 def shards(fps: DataFrame) -> DataFrame:
-    """key, node and words: each of staged fingerprints in a shard of every table; a shard over CELL is dealt again by other bits as long as that makes fewer pairs."""
-    bits, done = bits_for(fps.count()), []
-    rows = dealt(fps.withColumn("key", F.lit(0).cast("long")), 0, bits).select(F.col("child").alias("key"), "node", *FP)
+    """key, node, words, bits, draws: each of staged fingerprints in a shard of every table of first bits; a shard over 8 * CELL is dealt again by other bits as long as that makes fewer pairs."""
+    n, done = fps.count(), []
+    held = [F.col("child").alias("key"), "node", *FP, "bits", "draws"]
+    rows = dealt(fps.withColumn("key", F.lit(0).cast("long")), 0, n).select(*held)
     for level in count(1):
-        large = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CELL), "large-shards")
+        large = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 8 * CELL), "large-shards")
         most = large.agg(F.max("n")).first()[0]
         if most is None:
             break
         chosen = rows.join(small_or_not(large.select("key"), BROADCAST_ROWS), "key", "left_semi")
-        finer = staged(dealt(chosen, level, max(1, bits_for(most))), "dealt")
+        finer = staged(dealt(chosen, level, most), "dealt")
         pairs = finer.groupBy("key", "child").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum(F.col("c") * F.col("c")).alias("after"))
         pays = staged(pairs.join(large, "key").where(2 * F.col("after") < F.col("n").cast("double") * F.col("n")).select("key"), "dealt-shards")
         if pays.isEmpty():
             break
         pays = small_or_not(pays, BROADCAST_ROWS)
         done.append(rows.join(pays, "key", "left_anti"))
-        rows = finer.join(pays, "key", "left_semi").select(F.col("child").alias("key"), "node", *FP)
+        rows = finer.join(pays, "key", "left_semi").select(*held)
     return reduce(DataFrame.unionByName, done, rows)
 
 
+def parts(fps: np.ndarray, seed: list[int], bits: int, draws: int) -> Iterator[list[np.ndarray]]:
+    """For each of so many tables of drawn bits the rows of fps that agree in them, where there are two or more."""
+    for mask in masks(seed, bits, draws):
+        h = np.zeros(len(fps), np.uint64)
+        for w in range(WORDS):
+            h = (h ^ (fps[:, w] & mask[w])) * _DRAWN[1, w]
+            h ^= h >> np.uint64(31)
+        order = np.argsort(h, kind="stable")
+        yield [x for x in np.split(order, np.nonzero(np.diff(h[order]))[0] + 1) if len(x) > 1]
+
+
+def grouped(fps: np.ndarray, at: np.ndarray, seed: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(root, member) rows of the components of the links among the rows at of fps; over CELL they are dealt again as long as that makes fewer pairs, else they are one group."""
+    n = len(at)
+    if n <= CELL:
+        own, root = forest(fps[at], RADIUS, LEAF)
+        tops = np.unique(root)
+        yield at[np.concatenate([root, tops])], at[np.concatenate([own, tops])]
+        return
+    bits = max(1, bits_for(n))
+    if 2 * sum(len(x) ** 2 for table in parts(fps[at], seed, bits, tables(bits)) for x in table) >= n * n:
+        yield np.full(n, at[0]), at
+        return
+    for t, table in enumerate(parts(fps[at], seed, bits, tables(bits))):
+        for x in table:
+            yield from grouped(fps, at[x], [*seed, t])
+
+
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, root, node of rows (key, node, words) sorted by key: the members of each component of a shard's links at RADIUS, found by a vantage-point tree."""
+    """key, root, node of rows (key, node, words, bits, draws) sorted by key: the members of each component of a shard's links at RADIUS, found by vantage-point trees in the shards that the other bits deal it to."""
     held: list[pa.RecordBatch] = []
 
     def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
         fps = np.stack([t.column(c).to_numpy().view(np.uint64) for c in FP], axis=1)
+        bits, draws = t.column("bits").to_numpy(), t.column("draws").to_numpy()
         cuts = [0, *(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi - lo > CELL:
-                out.append((np.full(hi - lo, lo), np.arange(lo, hi)))
-            elif hi - lo > 1:
-                own, root = forest(fps[lo:hi], RADIUS, LEAF)
-                tops = np.unique(root)
-                out.append((lo + np.concatenate([root, tops]), lo + np.concatenate([own, tops])))
+            if hi - lo > 1:
+                seed = [42, int(key[lo]) % (1 << 64)]  # other bits for each shard, so that its tables miss other pairs than another's
+                for k, table in enumerate(parts(fps[lo:hi], seed, int(bits[lo]), int(draws[lo]))):
+                    for x in table:
+                        for root, at in grouped(fps, lo + x, [*seed, k]):
+                            out.append((np.full(len(at), k), root, at))
         if out:
-            root, at = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[root]), pa.array(node[at])], names=["key", "root", "node"])
+            table, root, at = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(table.astype(np.int32)), pa.array(node[root]), pa.array(node[at])], names=["key", "part", "root", "node"])
 
     for batch in batches:
         if batch.num_rows:
@@ -165,8 +219,8 @@ def candidates(fps: DataFrame) -> DataFrame:
 
     The groups of all tables that share texts are one, which a text is in once, however many tables it meets others in. Where that makes more than CELL texts the tables' own groups stay.
     """
-    found = shards(fps).repartition("key").sortWithinPartitions("key", "node").mapInArrow(groups, "key long, root long, node long")  # a root is its group's smallest node in each table
-    found = staged(found.select("node", "root", F.xxhash64("key", "root").alias("key")), "shard-groups")
+    found = shards(fps).repartition("key").sortWithinPartitions("key", "node").mapInArrow(groups, "key long, part int, root long, node long")  # a root is its group's smallest node in each table
+    found = staged(found.select("node", "root", F.xxhash64("key", "part", "root").alias("key")), "shard-groups")
     stars = components(found.select(F.col("root").alias("u"), F.col("node").alias("v")).where("u <> v").distinct())
     stars = staged(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "met")
     large = staged(stars.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("root"), "large-groups")
@@ -230,13 +284,16 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(pa.Table.from_batches(held))
 
 
-def _searched(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    rows = cells.join(sets, "node").select("cell", "node", "root", "hashes")
+def _searched(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) of rows (cell, node, root, hashes), whose sets are shuffled by cell."""
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(search, "u long, v long").distinct()
 
 
 def links(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """Spanning edges (u, v) of the texts (node, text) that are alike, by staged distinct (node, key)."""
+    """Spanning edges (u, v) of the texts (node, text) that are alike, by staged distinct (node, key).
+
+    A text brings its cells along until its set is built, so that sets are shuffled once, by cell, and don't meet the cells by a join.
+    """
     shards = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("x")).where("n > 1")
     shards = staged(shards.groupBy("n", "least", "most", "x").agg(F.min("key").alias("key")).select("key", "n", "least"), "shards")
     chunks = F.ceil(F.col("n") / CELL).cast("int")
@@ -251,16 +308,14 @@ def links(keys: DataFrame, texts: DataFrame) -> DataFrame:
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *[len(s) for s in sets]])
                 hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), hashes], names=["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), hashes, part.column(2)], names=["node", "hashes", "cells"])
 
-    asked = staged(members.select("node").distinct(), "alike")
-    sets = texts.join(small_or_not(asked, BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"])
-    sets = staged(sets.select("node", "text").mapInArrow(sets_of, "node long, hashes array<long>"), "shingles")
-    own = F.col("node").alias("root")
-    cells = members.select(cell, "node", own)
     hot = shards.where(F.col("n") > CELL)
-    leaders = hot.select("key", F.col("least").alias("node"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")).select(cell, "node", own)
-    edges = staged(_searched(cells.unionByName(leaders), sets), "alike-edges")
+    leaders = hot.select("key", F.col("least").alias("node"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")).select(cell, "node")
+    asked = members.select(cell, "node").unionByName(leaders).groupBy("node").agg(F.collect_set("cell").alias("cells"))
+    sets = texts.join(small_or_not(staged(asked, "alike"), BROADCAST_ROWS), "node").dropDuplicates(["node"])
+    sets = staged(sets.select("node", "text", "cells").mapInArrow(sets_of, "node long, hashes array<long>, cells array<long>"), "shingles")
+    edges = staged(_searched(sets.select(F.explode("cells").alias("cell"), "node", F.col("node").alias("root"), "hashes")), "alike-edges")
     if hot.isEmpty():
         return edges
     placed = members.where(F.col("n") > CELL).join(components(edges).withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
@@ -270,7 +325,7 @@ def links(keys: DataFrame, texts: DataFrame) -> DataFrame:
     placed = placed.join(small_or_not(torn, BROADCAST_ROWS), "key")
     everywhere = placed.where("root <> largest").select("key", "node", "root", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     more = placed.where("root = largest").select(cell, "node", "root").unionByName(everywhere.select(cell, "node", "root"))
-    return edges.unionByName(_searched(more, sets)).distinct()
+    return edges.unionByName(_searched(more.join(sets, "node").select("cell", "node", "root", "hashes"))).distinct()
 
 
 def near_copy_filter(docs: DataFrame) -> DataFrame:
