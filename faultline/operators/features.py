@@ -33,10 +33,14 @@ def history(tests: DataFrame, label: str = "is_trigger") -> DataFrame:
     return tests.withColumn("history", F.coalesce(F.sum(F.col(label).cast("long")).over(earlier), F.lit(0)).cast("long"))
 
 
-def same_package(tests: DataFrame, changes: DataFrame) -> DataFrame:
-    """tests with same_package: a join with the distinct packages of each change's modified classes."""
+def same_package(tests: DataFrame, changes: DataFrame, n: list[int] | None = None) -> DataFrame:
+    """tests with same_package: a join with the distinct packages of each change's modified classes; both sides dealt to n partitions, if given."""
     packages = changes.select("project", "bug", F.explode("modified_classes").alias("c")).select("project", "bug", package_of(F.col("c")).alias("package")).distinct()
-    joined = tests.withColumn("package", package_of(F.col("test_class"))).join(packages.withColumn("same", F.lit(1)), ["project", "bug", "package"], "left")
+    keys = ["project", "bug", "package"]
+    tests = tests.withColumn("package", package_of(F.col("test_class")))
+    if n:
+        tests, packages = tests.repartition(*n, *keys), packages.repartition(*n, *keys)
+    joined = tests.join(packages.withColumn("same", F.lit(1)), keys, "left")
     return joined.withColumn("same_package", F.coalesce("same", F.lit(0))).drop("same", "package")
 
 

@@ -115,7 +115,7 @@ ALL_CHECKS += [_check("history_consistency", "'all'", "0", "0", ""), _check("det
 @query("Q13_all_checks", sql(" UNION ALL ".join(ALL_CHECKS)))
 def q13(spark, d):
     t, base = derived.ordered_and_changes(spark, d)
-    return quality.all_checks(staged(derived.with_features(t, base), "features"), small_or_not(staged(base.select("project", "bug", "fixed_commit_date"), "dates")))
+    return quality.all_checks(staged(derived.with_features(t, base, derived.deals(spark, d)), "features"), small_or_not(staged(base.select("project", "bug", "fixed_commit_date"), "dates")))
 
 
 @query("A17_distinct_counts", sql(" SELECT count(DISTINCT project) AS projects, count(DISTINCT (project, bug)) AS changes, count(DISTINCT test_class) AS test_classes, count(DISTINCT (test_class, test_method)) AS tests FROM f"))
