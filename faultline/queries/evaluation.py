@@ -74,13 +74,13 @@ RANDOM = f""", k AS (SELECT project, bug, label, s.seed, md5(concat_ws(':', s.se
 
 @query("X1_random_apfd", sql(RANDOM + " SELECT project, bug, seed::INT AS seed, round_even(apfd, 10) AS apfd, n_tests, n_trigger_tests FROM ks"))
 def x1(spark, d):
-    f = kept(derived.features(spark, d))
+    f = kept(derived.labelled(spark, d))
     return order.random_apfd(f, SEEDS).withColumn("apfd", exact(F.col("apfd")))
 
 
 @query("A3_random_summary", sql(RANDOM + " SELECT project, bug, round_even(apfd, 10) AS apfd_mean, round_even(apfd_std, 10) AS apfd_std, n_tests, n_trigger_tests FROM rnd"))
 def a3(spark, d):
-    f = kept(derived.features(spark, d))
+    f = kept(derived.labelled(spark, d))
     out = order.seed_summary(order.random_apfd(f, SEEDS))
     return out.withColumn("apfd_mean", exact(F.col("apfd_mean"))).withColumn("apfd_std", exact(F.col("apfd_std")))
 
@@ -397,7 +397,7 @@ def j10(spark, d):
 
 @query("Q7_random_baseline", sql(RANDOM + f" SELECT project, {SUMMARY} FROM rnd GROUP BY project"))
 def q7(spark, d):
-    f = kept(derived.features(spark, d))
+    f = kept(derived.labelled(spark, d))
     return stats.strategy_summary(order.seed_summary(order.random_apfd(f, SEEDS)).withColumnRenamed("apfd_mean", "apfd"), ["project"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from faultline.ml import forest
 from faultline.operators import classify, features
 from faultline.plans import derived, jobs
+from faultline.queries import evaluation
 from faultline.queries import features as feature_queries
 from faultline.queries import incremental as incremental_queries
 from faultline.queries import sources
@@ -151,3 +152,28 @@ def test_streams_deal_more_files_not_larger_ones(spark, monkeypatch):
     monkeypatch.setattr(derived, "TASK_LINES", 500)
     n = derived.deals(spark, d)[0]
     assert n > 8 and incremental_queries.shares(spark, d, 4) == -(-n // 4) and incremental_queries.shares(spark, d, 40) == -(-n // 40)
+
+
+def test_random_orders_read_no_features(spark, sales):
+    """The random strategy's rows are those of the feature table, nulls among the keys left out, with neither history nor packages derived for them."""
+    keys = "project, bug, test_class, test_method"
+    assert rows_of(derived.labelled(spark, sales)) == by_sql(sales, f" SELECT {keys}, label FROM f")
+    plan = derived.labelled(spark, sales)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "regexp" not in plan
+    assert evaluation.a3.__code__.co_names.count("labelled") == evaluation.x1.__code__.co_names.count("labelled") == 1
+
+
+def test_distinct_tests_are_not_grouped_by_name(spark, sales):
+    keys = "project, test_class, test_method"
+    assert rows_of(derived.test_names(spark, sales)) == by_sql(sales, f" SELECT DISTINCT {keys} FROM t")
+    plan = derived.test_names(spark, sales)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Project") and plan.splitlines()[1].lstrip("+- ").startswith("Join")
+
+
+def test_packages_are_met_in_even_deals(spark, sales, monkeypatch):
+    """Where rows are many, the join by package is dealt like the other steps, not to the session's number of partitions."""
+    few = rows_of(derived.features(spark, sales))
+    monkeypatch.setattr(derived, "TASK_LINES", 1)
+    assert derived.deals(spark, sales) == [9]
+    f = derived.features(spark, sales)
+    assert rows_of(f) == few and f._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [project") == 2
